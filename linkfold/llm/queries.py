@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkfold.llm import minmax, packing
+from linkfold.llm import minmax, packing, seed_extend
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +24,18 @@ def op5_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = seed_extend.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minmax_near_duplicates": op5_minmax_near_duplicates,
+    "op7_seed_and_extend": op7_seed_and_extend,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
