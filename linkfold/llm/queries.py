@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkfold.llm import minmax, packing, seed_extend
+from linkfold.llm import minmax, packing, seed_extend, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.kd_shards(table(spark, sf_dir, "documents"), shards=40)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def op5_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -34,6 +40,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kd_sharding": op1_kd_sharding,
     "op5_minmax_near_duplicates": op5_minmax_near_duplicates,
     "op7_seed_and_extend": op7_seed_and_extend,
     "op9_best_fit_packing": op9_best_fit_packing,
