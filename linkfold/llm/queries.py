@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkfold.llm import minmax, packing, seed_extend, sharding
+from linkfold.llm import decontaminate, line_spread, minmax, packing, seed_extend, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=10).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -39,11 +43,42 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=0.2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_sharding": op1_kd_sharding,
+    "op4_line_spread": op4_line_spread,
     "op5_minmax_near_duplicates": op5_minmax_near_duplicates,
     "op7_seed_and_extend": op7_seed_and_extend,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+LINE_SPREAD_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, text, coalesce(source, chr(0)) AS site, string_split(text, chr(10)) AS lines FROM documents
+), longest AS (
+  SELECT *, list_max(list_transform(lines, lambda x: {'n': length(x), 'x': x})).x AS longest FROM rows
+), places AS (
+  SELECT DISTINCT doc_id, site, longest, trim(l, ' ') AS line
+  FROM (SELECT doc_id, site, longest, unnest(lines) AS l FROM longest) WHERE trim(l, ' ') <> ''
+), wide AS (
+  SELECT line FROM places GROUP BY line HAVING count(DISTINCT site) >= 10
+), copies AS (
+  SELECT line FROM (SELECT line, longest, count(*) AS n FROM places SEMI JOIN wide USING (line) GROUP BY line, longest)
+  GROUP BY line HAVING 2 * max(n) <= sum(n)
+), gone AS (
+  SELECT list(line) AS gone FROM copies
+)
+SELECT doc_id,
+       CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), trim(x, ' '))), chr(10)) END AS text,
+       coalesce(len(lines), 0)::BIGINT AS n_lines,
+       coalesce(len(list_filter(lines, lambda x: list_contains(coalesce(gone, []), trim(x, ' ')))), 0)::BIGINT AS n_removed
+FROM rows, gone
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_spread": LINE_SPREAD_SQL,
+}
