@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkfold.llm import decontaminate, line_spread, minmax, packing, seed_extend, sharding
+from linkfold.llm import decontaminate, line_spread, minmax, packing, seed_extend, sharding, toxicity_fm, url_rules
+
+
+#: Scores from here on count as toxic.
+TOXIC_FROM = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +38,22 @@ def op5_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = seed_extend.remove_repeats(table(spark, sf_dir, "documents"), window=50)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity_fm.score(docs, toxicity_fm.fit(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")
+    return scored.select(F.col("doc_id").cast("long"), toxicity_fm.held_out().alias("held_out"), "score", predicted)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
@@ -51,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_sharding": op1_kd_sharding,
     "op4_line_spread": op4_line_spread,
     "op5_minmax_near_duplicates": op5_minmax_near_duplicates,
+    "op6_url_rules": op6_url_rules,
     "op7_seed_and_extend": op7_seed_and_extend,
+    "op8_toxicity_fm": op8_toxicity_fm,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_cgk_decontamination": op10_cgk_decontamination,
 }
@@ -79,6 +96,26 @@ SELECT doc_id,
 FROM rows, gone
 """
 
+URL_RULES_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url, coalesce(contains(url, '://'), false) AS ok, substr(url, strpos(url, '://') + 3) AS rest FROM pages
+), split AS (
+  SELECT page_id, CASE WHEN ok THEN lower(regexp_extract(rest, '^[^/?#]*')) ELSE '' END AS host,
+         CASE WHEN ok THEN regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') ELSE '' END AS path
+  FROM parts
+), rules(verdict, rhost, rpath) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), fits AS (
+  SELECT page_id, arg_max(verdict, length(rhost || rpath)) AS verdict, arg_max(rhost || rpath, length(rhost || rpath)) AS rule
+  FROM split JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN fits.verdict IS NOT NULL THEN fits.verdict
+            WHEN regexp_matches(host, '(^|[.-])(adult|ads-track|casino|cheap-pills|free-bets|spam-farm)[.-]') THEN 'block' ELSE 'allow' END AS verdict
+FROM split LEFT JOIN fits USING (page_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_line_spread": LINE_SPREAD_SQL,
+    "op6_url_rules": URL_RULES_SQL,
 }
