@@ -5,18 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkfold.llm import packing
-from linkfold.llm.queries import table, tokenizer_path
+from linkfold.llm import decontaminate, line_spread, minmax, packing, toxicity_fm
+from linkfold.llm.queries import TOXIC_FROM, table, tokenizer_path
 from linkfold.llm.scratch import stored
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine, fitted on the labels that aren't held out, scores below the threshold."""
+    model = toxicity_fm.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity_fm.score(docs, model).filter(F.col("score") < TOXIC_FROM).drop("score")
+
+
+def strip_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that ten or more sites carry."""
+    stripped = line_spread.remove_boilerplate(docs, min_sites=10)
+    return stripped.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else c for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates (five-word shingles, similarity of 0.8 or more)."""
+    gone = minmax.near_duplicates(docs, percent=80).filter("not kept").select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage, up to a fifth of its words edited."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), share=0.2)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 2048 tokens."""
     return packing.pack_documents(docs, tokenizer_path(), 2048)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_spread", strip_boilerplate),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
     ("best_fit_packing", pack_sequences),
 ]
 

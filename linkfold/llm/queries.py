@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkfold.llm import decontaminate, html_template, line_spread, minmax, packing, seed_extend, sharding, toxicity_fm, url_rules
+from linkfold.llm import chroma, decontaminate, html_template, line_spread, minmax, packing, seed_extend, sharding, toxicity_fm, url_rules
 
 
 #: Scores from here on count as toxic.
@@ -30,6 +30,12 @@ def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"))
+    found = chroma.align(chroma.fingerprints(chroma.melody(vectors)), F.col("id") % 100 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op3_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html_template.main_texts(table(spark, sf_dir, "pages"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -69,6 +75,7 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_sharding": op1_kd_sharding,
+    "op2_chroma_fingerprints": op2_chroma_fingerprints,
     "op3_html_template": op3_html_template,
     "op4_line_spread": op4_line_spread,
     "op5_minmax_near_duplicates": op5_minmax_near_duplicates,
