@@ -22,9 +22,11 @@ from linkfold.llm.components import connected_components
 from linkfold.llm.scratch import stored
 from linkfold.llm.words import lower_ascii, mix, word_hashes
 
-BANDS, ROWS = 25, 5
-#: Chance of missing a link at similarity 0.85: (1 - 0.85**5)**25, about 4e-7; less above.
+BANDS, ROWS = 45, 7
+#: Chance of missing a link at similarity 0.85: (1 - 0.85**7)**45, about 3e-8, and 3e-5 at 0.8; less above.
 PERMUTATIONS = (BANDS * ROWS + 1) // 2
+#: Members of a bucket that are compared with each other in one go.
+BLOCK = 256
 #: Ids that are broadcast at most (16 MB); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20_240_229)
@@ -73,7 +75,7 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
                 values = shingles(words, size)
                 if len(values):
                     sig = signature(values)
-                    rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), len(values), band_keys(sig), sig.astype(np.uint16).tobytes()))
+                    rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), len(values), band_keys(sig), sig.astype(np.uint8).tobytes()))
                 else:
                     rows.append((doc, None, 0, None, None))
             out = pd.DataFrame(rows, columns=["doc_id", "words_key", "n_shingles", "bands", "short"])
@@ -95,10 +97,54 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of equal signature values, an unbiased estimate of the similarity."""
     if not len(a):
         return pd.Series([], dtype="float64")
-    x, y = (np.frombuffer(b"".join(s), dtype=np.uint16).reshape(len(s), -1) for s in (a, b))
+    x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (a, b))
     return pd.Series((x == y).mean(axis=1))
 
 
+def _likely_across(members: DataFrame, nodes: DataFrame, percent: int, least: float) -> DataFrame:
+    """Pairs (a, b) of ``members`` (bucket, node, n, part) that share a bucket, but not a part, and whose signatures agree enough.
+
+    A bucket's members are dealt into blocks of about BLOCK, and each pair of blocks is compared by itself, so that no task holds a whole
+    bucket, and only likely pairs become rows.  A pair is given once, for the first of the bands that it shares.
+    """
+    counts = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = members.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.join(nodes.select("node", "bands", "short"), "node")
+    blocks = dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "n", "part", "bands", "short")).alias("members"))
+    blocks = stored(blocks, "blocks")
+    x = blocks.select("bucket", F.col("block").alias("i"), F.col("members").alias("x"))
+    y = blocks.select("bucket", F.col("block").alias("j"), F.col("members").alias("y"))
+
+    def matrix(members: list, field: str, dtype: type) -> np.ndarray:
+        return np.array([m[field] for m in members], dtype=dtype)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for bucket, i, j, xs, ys in zip(batch["bucket"], batch["i"], batch["j"], batch["x"], batch["y"], strict=True):
+                part, n, node = ([matrix(m, f, np.int64) for m in (xs, ys)] for f in ("part", "n", "node"))
+                wanted = part[0][:, None] != part[1]
+                wanted &= 100 * np.minimum(n[0][:, None], n[1]) >= percent * np.maximum(n[0][:, None], n[1])
+                if i == j:
+                    wanted &= node[0][:, None] < node[1]
+                a, b = np.nonzero(wanted)
+                if not len(a):
+                    continue
+                short = [np.frombuffer(b"".join(m["short"] for m in members), dtype=np.uint8).reshape(len(members), -1) for members in (xs, ys)]
+                bands = [np.stack([m["bands"] for m in members]) for members in (xs, ys)]
+                for at in range(0, len(a), 8_192):
+                    p, q = a[at : at + 8_192], b[at : at + 8_192]
+                    near = (short[0][p] == short[1][q]).mean(axis=1) >= least
+                    p, q = p[near], q[near]
+                    shared = bands[0][p] == bands[1][q]
+                    here = bands[0][p, shared.argmax(axis=1)] == bucket
+                    found.append(np.stack([node[0][p[here]], node[1][q[here]]], axis=1))
+            pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+            yield pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+
+    return x.join(y, "bucket").filter("i <= j").mapInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text; others are ignored): doc_id, n_shingles, component_id, kept.
 
@@ -113,8 +159,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     nodes = stored(nodes, "nodes")
 
     placed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
-    members = stored(placed.join(shared, "bucket"), "members")
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head != last")
+    members = stored(placed.join(shared.select("bucket", "head"), "bucket"), "members")
 
     involved = members.select("node").distinct()
     if involved.count() <= BROADCAST_IDS:
@@ -122,9 +168,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     sets = stored(_sets(docs.join(involved, docs["doc_id"] == involved["node"], "left_semi"), size), "sets")
     shorts = nodes.join(involved, "node", "left_semi").select("node", "n", "short")
 
-    # a signature that agrees in less than this is over five standard deviations below the threshold
+    # a signature that agrees in less than this is over four standard deviations below the threshold
     share = percent / 100
-    least = share - 5 * (share * (1 - share) / (BANDS * ROWS)) ** 0.5
+    least = share - 4 * (share * (1 - share) / (BANDS * ROWS)) ** 0.5
 
     agreement = F.pandas_udf(_agreement, "double")
 
@@ -139,26 +185,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
         both = likely.join(xs, "b").join(ys, "a").select("a", "b", common.alias("common"), (F.col("na") + F.col("nb")).alias("total"))
         return stored(both.filter(f"100 * common >= {percent} * (total - common)").select("a", "b"), "links")
 
-    # one representative for each node: the smallest, then the largest node of its buckets
-    edges, labels = None, None
-    for head, pick in (("low", F.min), ("high", F.max)):
-        open_members = members
-        if labels is not None:
-            named = members.join(labels, "node", "left").withColumn("part", F.coalesce("component", "node"))
-            mixed = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q")
-            open_members = named.join(mixed.select("bucket"), "bucket", "left_semi")
-        pairs = open_members.filter(F.col("node") != F.col(head)).groupBy(F.col("node").alias("a")).agg(pick(head).alias("b"))
-        links = confirmed(pairs)
-        edges = links if edges is None else edges.unionByName(links)
-        labels = connected_components(edges)
+    # every node against one representative, the head of most of its buckets
+    heads = members.filter("node != head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
+    best = heads.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", (-F.col("head")).alias("less"))).alias("best"))
+    edges = confirmed(best.select("a", (-F.col("best.less")).alias("b")))
+    labels = connected_components(edges)
+
+    # where that left a bucket with several components, every node against the heads of all its buckets
+    def mixed_members() -> DataFrame:
+        named = members.join(labels, "node", "left").select("bucket", "node", "n", "head", F.coalesce("component", "node").alias("part"))
+        mixed = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q")
+        return stored(named.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
+
+    open_heads = mixed_members().filter("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"), "part").distinct()
+    parts = labels.select(F.col("node").alias("b"), "component")
+    open_heads = open_heads.join(parts, "b", "left").filter(F.col("part") != F.coalesce("component", "b")).select("a", "b")
+    edges = edges.unionByName(confirmed(open_heads))
+    labels = connected_components(edges)
 
     # whatever still shares a bucket across components
-    named = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("part"))
-    mixed = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q")
-    named = stored(named.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
-    x, y = named.alias("x"), named.alias("y")
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") < F.col("y.part")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    across = _likely_across(mixed_members().select("bucket", "node", "n", "part"), nodes, percent, least)
     labels = connected_components(edges.unionByName(confirmed(across)))
 
     group = nodes.join(labels, "node", "left").select("words_key", F.coalesce("component", "node").alias("component"))
