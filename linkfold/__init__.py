@@ -1,0 +1 @@
+"""Entity resolution and retrieval analytics as PySpark DataFrame plans."""
