@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,24 +11,35 @@ def cie_lab(l8: Column, a8: Column, b8: Column) -> tuple[Column, Column, Column]
     return l8 * 100 / 255, a8 - 128, b8 - 128
 
 
-def ciede2000(lab1: tuple[Column, Column, Column], lab2: tuple[Column, Column, Column]) -> Column:
-    """The CIEDE2000 difference of two CIE Lab colours, all three factors 1."""
-    (l1, a1, b1), (l2, a2, b2) = lab1, lab2
-    c = (F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2
-    seventh = lambda x: F.sqrt(F.pow(x, 7.0) / (F.pow(x, 7.0) + F.lit(25.0**7)))
-    g = (1 - seventh(c)) / 2
-    p1, p2 = a1 * (1 + g), a2 * (1 + g)
-    c1, c2 = F.sqrt(p1 * p1 + b1 * b1), F.sqrt(p2 * p2 + b2 * b2)
+def with_ciede2000(rows: DataFrame, name: str = "delta") -> DataFrame:
+    """``rows`` with the CIEDE2000 difference of the CIE Lab colours (l1, a1, b1) and (l2, a2, b2), all three factors 1.
+
+    Every intermediate value is a column, so it is computed once; a null component gives a null.
+    """
+    seventh = lambda x: F.sqrt(F.pow(x, F.lit(7.0)) / (F.pow(x, F.lit(7.0)) + F.lit(25.0**7)))
     hue = lambda b, p: F.when((b == 0) & (p == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(b, p)), F.lit(360.0)))
-    h1, h2 = hue(b1, p1), hue(b2, p2)
-    turn = h2 - h1
-    dh = F.when(c1 * c2 == 0, 0.0).when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
-    dl, dc, dbig = l2 - l1, c2 - c1, 2 * F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2))
-    lm, cm, total = (l1 + l2) / 2, (c1 + c2) / 2, h1 + h2
-    hm = F.when(c1 * c2 == 0, total).when(F.abs(turn) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
-    cos = lambda k, shift: F.cos(F.radians(k * hm + shift))
-    t = 1 - 0.17 * cos(1, -30) + 0.24 * cos(2, 0) + 0.32 * cos(3, 6) - 0.20 * cos(4, -63)
-    sl = 1 + 0.015 * F.pow(lm - 50, 2.0) / F.sqrt(20 + F.pow(lm - 50, 2.0))
-    sc, sh = 1 + 0.045 * cm, 1 + 0.015 * cm * t
-    rotation = -2 * seventh(cm) * F.sin(F.radians(60 * F.exp(-F.pow((hm - 275) / 25, 2.0))))
-    return F.sqrt(F.pow(dl / sl, 2.0) + F.pow(dc / sc, 2.0) + F.pow(dbig / sh, 2.0) + rotation * (dc / sc) * (dbig / sh))
+    cos = lambda k, shift: F.cos(F.radians(k * c("hm") + shift))
+    c = lambda n: F.col(f"_{n}")
+    l1, a1, b1, l2, a2, b2 = (F.col(n) for n in ("l1", "a1", "b1", "l2", "a2", "b2"))
+    steps = [
+        {"c": (F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2},
+        {"g": (1 - seventh(c("c"))) / 2},
+        {"p1": a1 * (1 + c("g")), "p2": a2 * (1 + c("g"))},
+        {"c1": F.sqrt(c("p1") * c("p1") + b1 * b1), "c2": F.sqrt(c("p2") * c("p2") + b2 * b2), "h1": hue(b1, c("p1")), "h2": hue(b2, c("p2"))},
+        {"turn": c("h2") - c("h1"), "total": c("h1") + c("h2"), "grey": c("c1") * c("c2") == 0, "cm": (c("c1") + c("c2")) / 2, "lm": F.pow((l1 + l2) / 2 - 50, F.lit(2.0))},
+        {
+            "dh": F.when(c("grey"), 0.0).when(c("turn") > 180, c("turn") - 360).when(c("turn") < -180, c("turn") + 360).otherwise(c("turn")),
+            "hm": F.when(c("grey"), c("total")).when(F.abs(c("turn")) <= 180, c("total") / 2).when(c("total") < 360, (c("total") + 360) / 2).otherwise((c("total") - 360) / 2),
+        },
+        {"t": 1 - 0.17 * cos(1, -30) + 0.24 * cos(2, 0) + 0.32 * cos(3, 6) - 0.20 * cos(4, -63)},
+        {
+            "x": (l2 - l1) / (1 + 0.015 * c("lm") / F.sqrt(20 + c("lm"))),
+            "y": (c("c2") - c("c1")) / (1 + 0.045 * c("cm")),
+            "z": 2 * F.sqrt(c("c1") * c("c2")) * F.sin(F.radians(c("dh") / 2)) / (1 + 0.015 * c("cm") * c("t")),
+            "r": -2 * seventh(c("cm")) * F.sin(F.radians(60 * F.exp(-F.pow((c("hm") - 275) / 25, F.lit(2.0))))),
+        },
+    ]
+    for step in steps:
+        rows = rows.withColumns({f"_{k}": v for k, v in step.items()})
+    delta = F.sqrt(c("x") * c("x") + c("y") * c("y") + c("z") * c("z") + c("r") * c("y") * c("z"))
+    return rows.withColumn(name, delta).drop(*[f"_{k}" for step in steps for k in step])

@@ -25,16 +25,17 @@ CYRILLIC_SINGLE = "абвгдезийклмнопрстуфыэё"
 LATIN_SINGLE = "abvgdezijklmnoprstufyee"
 
 
-def _token(t: Column) -> Column:
-    """One token without white space, digits and Latin letters replaced by look-alikes where the rules allow."""
+def _digits_as_letters(t: Column) -> Column:
+    """A token's digits as letters, where they are glued to letters and no more than those; years, decimals and percentages stay."""
     letters, digits = F.length(F.regexp_replace(t, r"[^\p{L}]", "")), F.length(F.regexp_replace(t, r"[^0-9]", ""))
     number = t.rlike(r"^(19|20)\d{2}$") | t.rlike(r"\d+[.,]\d+") | t.contains("%")
-    glued = t.rlike(r"\p{L}[0-9]|[0-9]\p{L}")
-    fixed = F.when((digits > 0) & (letters > 0) & ~number & (digits <= letters) & glued, F.translate(t, DIGITS, DIGIT_LETTERS)).otherwise(t)
-    aliased = _alias(fixed)
-    mixed = aliased.rlike(r"[A-Za-z]") & aliased.rlike(r"[А-Яа-яЁё]")
-    alike = aliased.rlike(r"[A-Za-z]") & ~aliased.rlike(rf"[A-Za-z&&[^{LATIN}{LATIN.lower()}]]")
-    return F.when(mixed | alike, F.translate(aliased, LATIN + LATIN.lower(), CYRILLIC + CYRILLIC.lower())).otherwise(aliased)
+    return F.when(t.rlike(r"\p{L}[0-9]|[0-9]\p{L}") & ~number & (digits <= letters), F.translate(t, DIGITS, DIGIT_LETTERS)).otherwise(t)
+
+
+def _latin_as_cyrillic(t: Column) -> Column:
+    """A token's look-alikes in Cyrillic, where it mixes scripts or all its Latin letters are look-alikes."""
+    alike = t.rlike(r"[А-Яа-яЁё]") | ~t.rlike(rf"[A-Za-z&&[^{LATIN}{LATIN.lower()}]]")
+    return F.when(t.rlike(r"[A-Za-z]") & alike, F.translate(t, LATIN + LATIN.lower(), CYRILLIC + CYRILLIC.lower())).otherwise(t)
 
 
 def _alias(t: Column) -> Column:
@@ -50,8 +51,11 @@ def words(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """Lower case with look-alikes in Cyrillic and one blank between words; empty for null."""
-    return F.array_join(F.transform(words(text), lambda t: _alias(F.translate(F.lower(_token(t)), "ё", "е"))), " ")
+    """Lower case with look-alikes in Cyrillic and one blank between words; empty for null.  Each step is a pass over the words."""
+    out = words(text)
+    for step in (_digits_as_letters, _alias, _latin_as_cyrillic, lambda t: F.translate(F.lower(t), "ё", "е"), _alias):
+        out = F.transform(out, step)
+    return F.array_join(out, " ")
 
 
 def fold_accents(text: Column) -> Column:
@@ -61,11 +65,9 @@ def fold_accents(text: Column) -> Column:
 def ocr_form(text: Column) -> Column:
     """Recognised text without accents, percent and volume marks and punctuation; O, I and l within years become digits."""
     t = fold_accents(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"\b(19|20)([0-9oil]{2})\b", "$1§$2§")
-    t = F.regexp_replace(F.regexp_replace(t, r"§([0-9]?)o([0-9]?)§", "§$10$2§"), r"§([0-9]?)[il]([0-9]?)§", "§$11$2§")
-    t = F.regexp_replace(t, "§", "")
-    t = F.regexp_replace(t, r"\b\d+([.,]\d+)?\s*(%|vol|ml|мл|л|l)(?![\p{L}])", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), " +", " "))
+    t = F.regexp_replace(t, r"\b\d+([.,]\d+)?\s*(%|vol|ml|мл|л|l)(?![\p{L}\p{N}])", " ")
+    year = lambda w: F.when(w.rlike("^[12il][09o][0-9oil]{2}$") & w.rlike("[0-9].*[0-9]"), F.translate(w, "oil", "011")).otherwise(w)
+    return F.array_join(F.transform(words(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), year), " ")
 
 
 def tokens(text: Column, least: int = 2) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkfold.functions.similarity import _partial, dice, jaccard, overlap, safe_ratio, string_similarities
+from linkfold.functions.similarity import _partial, dice, jaccard, jaro_winkler, overlap, safe_ratio, string_similarities
 from linkfold.functions.text import canonical, first_numbers, ngrams, soft_tokens, tokens
 
 # Weights of the soft score.
@@ -80,7 +80,7 @@ def soft_tfidf(pairs: DataFrame, query: str, reference: str, idf: DataFrame, n_i
     same = F.array_contains("rt", F.col("token"))
     # of unequal tokens, only those whose length can reach a threshold are compared
     rest = terms.filter(~same).select(*keys, "token", "idf", F.explode_outer(F.filter("rt", lambda t: 2 * F.least(F.length(t), F.length("token")) >= F.greatest(F.length(t), F.length("token")))).alias("other"))
-    score, shorter = string_similarities(F.col("token"), F.col("other"))["jaro_winkler"], F.least(F.length("token"), F.length("other"))
+    score, shorter = jaro_winkler(F.col("token"), F.col("other"), 0.80), F.least(F.length("token"), F.length("other"))
     rest = rest.withColumns({"jw": score, "least": F.when(shorter <= 4, 0.92).when(shorter <= 6, 0.85).otherwise(0.80)})
     rest = rest.groupBy(*keys, "token", "idf").agg(F.max(F.when(F.col("jw") >= F.col("least"), F.col("jw")).otherwise(0.0)).alias("sim"))
     both = terms.filter(same).select(*keys, "token", "idf", F.lit(1.0).alias("sim")).unionByName(rest)

@@ -305,7 +305,7 @@ def pair_features(t):
 @query()
 def soft_tfidf(t):
     items = t("conversations").select(text.soft_tokens(text.canonical(F.col("text"))).alias("tokens"))
-    return pairs.soft_tfidf(_pairs(t), "q", "r", pairs.idf_table(items, "tokens"), 1000, keys=("conv_id", "turn"))
+    return pairs.soft_tfidf(_pairs(t), "q", "r", pairs.idf_table(items, "tokens"), items.count(), keys=("conv_id", "turn"))
 
 
 @query()
@@ -316,14 +316,23 @@ def line_alignment(t):
 # Texts ----------------------------------------------------------------------------------------------------------------------------------------------
 
 
-@query(r"""
-SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[\s\x{00a0}]+'), lambda x: x <> ''), ' ') AS plain FROM documents
-WHERE NOT regexp_matches(text, '[0-9А-Яа-яЁё]') AND NOT len(list_filter(regexp_split_to_array(text, '[\s\x{00a0}]+'), lambda x: regexp_matches(x, '[A-Za-z]') AND NOT regexp_matches(x, '[D-DF-GI-JNQU-WZd-df-gi-jnqu-wz]'))) > 0
+_ALIAS = "CASE WHEN translate(lower(t), 'ё', 'е') = 'mepro' THEN 'мерло' ELSE t END"
+_BOTH = (text.LATIN + text.LATIN.lower(), text.CYRILLIC + text.CYRILLIC.lower())
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\x{{00a0}}]+'), lambda t: t <> '') AS w FROM documents),
+  d AS (SELECT doc_id, list_transform(w, lambda t: CASE WHEN regexp_matches(t, '[0-9]') AND regexp_matches(t, '\p{{L}}') AND NOT regexp_matches(t, '^(19|20)\d{{2}}$')
+    AND NOT regexp_matches(t, '\d+[.,]\d+') AND NOT contains(t, '%') AND length(regexp_replace(t, '[^0-9]', '', 'g')) <= length(regexp_replace(t, '[^\p{{L}}]', '', 'g'))
+    AND regexp_matches(t, '\p{{L}}[0-9]|[0-9]\p{{L}}') THEN translate(t, '{text.DIGITS}', '{text.DIGIT_LETTERS}') ELSE t END) AS w FROM w),
+  a AS (SELECT doc_id, list_transform(w, lambda t: {_ALIAS}) AS w FROM d),
+  h AS (SELECT doc_id, list_transform(w, lambda t: CASE WHEN regexp_matches(t, '[A-Za-z]') AND (regexp_matches(t, '[А-Яа-яЁё]') OR NOT regexp_matches(t, '[DFGIJNQUVWZdfgijnquvwz]'))
+    THEN translate(t, '{_BOTH[0]}', '{_BOTH[1]}') ELSE t END) AS w FROM a),
+  l AS (SELECT doc_id, list_transform(w, lambda t: translate(lower(t), 'ё', 'е')) AS w FROM h)
+SELECT doc_id, array_to_string(list_transform(w, lambda t: {_ALIAS}), ' ') AS plain FROM l
 """)
 def text_canonical(t):
-    docs = t("documents").select("doc_id", "text", text.canonical(F.col("text")).alias("plain"))
-    alike = F.exists(text.words(F.col("text")), lambda x: x.rlike("[A-Za-z]") & ~x.rlike("[DFGIJNQUVWZdfgijnquvwz]"))
-    return docs.filter(~F.col("text").rlike("[0-9А-Яа-яЁё]") & ~alike).select("doc_id", "plain")
+    return t("documents").select("doc_id", text.canonical(F.col("text")).alias("plain"))
 
 
 @query(f"""
@@ -559,7 +568,8 @@ def bhattacharyya(t):
 @query()
 def ciede2000(t):
     lab = lambda k: color.cie_lab(F.pmod(F.col("c_acctbal") * k, F.lit(255.0)), F.pmod(F.col("c_custkey") * k, F.lit(255)), F.lit(128.0) + F.col("c_nationkey") * k)
-    return t("customer").select("c_custkey", F.round(color.ciede2000(lab(1), lab(2)), 4).alias("delta"))
+    rows = t("customer").select("c_custkey", *[c.alias(f"{n}{k}") for k in (1, 2) for n, c in zip("lab", lab(k), strict=True)])
+    return color.with_ciede2000(rows).select("c_custkey", F.round("delta", 4).alias("delta"))
 
 
 _BOXES = "SELECT l_orderkey, l_linenumber AS id, l_quantity AS x1, l_discount * 100 AS y1, l_quantity + 10 + l_linenumber AS x2, l_discount * 100 + 5 + l_tax * 100 AS y2, l_extendedprice AS conf FROM lineitem"
