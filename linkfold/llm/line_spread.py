@@ -2,8 +2,8 @@
 
 HyperLogLog sketches of the sites are built for every line's hash and merge by aggregation.  Lines whose estimate lies far from
 the threshold are decided by it; those near it get exact distinct counts.  A line is boilerplate if it reaches the threshold
-and its carriers differ otherwise: where most of them share their longest line, they are copies of one document, which is for
-near-duplicate removal to settle, and their lines stay.
+and its carriers differ otherwise: where most of them share their longest other line, they are copies of one document, which is
+for near-duplicate removal to settle, and their lines stay.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> tuple[DataFrame,
 
     Lines are taken without blanks at the ends; empty lines never count.  A null source is a site of its own.
     """
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    longest = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
-    places = docs.select("doc_id", F.xxhash64("source").alias("site"), lines.alias("lines"))
-    places = places.select("doc_id", "site", F.xxhash64(longest).alias("longest"), F.array_distinct(F.transform("lines", F.trim)).alias("lines"))
-    places = places.select("doc_id", "site", "longest", F.explode("lines").alias("text")).filter("text != ''")
-    places = stored(places.select("doc_id", "site", "longest", F.xxhash64("text").alias("line")), "lines")
+    lines = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.trim))
+    longest = lambda c: F.array_max(F.transform(c, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    places = docs.select("doc_id", F.xxhash64("source").alias("site"), lines.alias("lines")).withColumn("first", longest("lines"))
+    places = places.withColumn("second", longest(F.filter("lines", lambda x: x != F.col("first"))))
+    places = places.select("doc_id", "site", "first", "second", F.explode("lines").alias("text")).filter("text != ''")
+    other = F.when(F.col("text") == F.col("first"), F.coalesce("second", F.lit(""))).otherwise(F.col("first"))
+    places = stored(places.select("doc_id", "site", F.xxhash64(other).alias("other"), F.xxhash64("text").alias("line")), "lines")
 
     spread = places.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_REGISTERS)).alias("sketch"))
     spread = spread.select("line", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites / NEAR)
@@ -38,7 +39,7 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> tuple[DataFrame,
 
     exact = carried.filter("near").select("line", "site").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("sites"))
     wide = spread.filter("not near").select("line").unionByName(exact.filter(F.col("sites") >= min_sites).select("line"))
-    copies = carried.groupBy("line", "longest").agg(F.count(F.lit(1)).alias("n"))
+    copies = carried.groupBy("line", "other").agg(F.count(F.lit(1)).alias("n"))
     copies = copies.groupBy("line").agg(F.max("n").alias("most"), F.sum("n").alias("n")).filter("2 * most <= n")
     found = stored(wide.join(copies.select("line"), "line"), "boilerplate")
     return found, carried.join(found, "line").select("doc_id", "line")

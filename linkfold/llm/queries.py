@@ -89,15 +89,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LINE_SPREAD_SQL = r"""
 WITH rows AS (
   SELECT doc_id, text, coalesce(source, chr(0)) AS site, string_split(text, chr(10)) AS lines FROM documents
+), trimmed AS (
+  SELECT *, list_distinct(list_transform(lines, lambda x: trim(x, ' '))) AS t FROM rows
 ), longest AS (
-  SELECT *, list_max(list_transform(lines, lambda x: {'n': length(x), 'x': x})).x AS longest FROM rows
+  SELECT *, list_max(list_transform(t, lambda x: {'n': length(x), 'x': x})).x AS one FROM trimmed
+), second AS (
+  SELECT *, coalesce(list_max(list_transform(list_filter(t, lambda x: x <> one), lambda x: {'n': length(x), 'x': x})).x, '') AS two FROM longest
 ), places AS (
-  SELECT DISTINCT doc_id, site, longest, trim(l, ' ') AS line
-  FROM (SELECT doc_id, site, longest, unnest(lines) AS l FROM longest) WHERE trim(l, ' ') <> ''
+  SELECT doc_id, site, line, CASE WHEN line = one THEN two ELSE one END AS other FROM (SELECT doc_id, site, one, two, unnest(t) AS line FROM second) WHERE line <> ''
 ), wide AS (
   SELECT line FROM places GROUP BY line HAVING count(DISTINCT site) >= 10
 ), copies AS (
-  SELECT line FROM (SELECT line, longest, count(*) AS n FROM places SEMI JOIN wide USING (line) GROUP BY line, longest)
+  SELECT line FROM (SELECT line, other, count(*) AS n FROM places SEMI JOIN wide USING (line) GROUP BY line, other)
   GROUP BY line HAVING 2 * max(n) <= sum(n)
 ), gone AS (
   SELECT list(line) AS gone FROM copies
