@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkfold.llm.words import lower_ascii, mix, word_hashes
+from linkfold.llm.words import folded_hashes, mix
 
 #: Repetitions, and words sampled in each; by test, over 95 % of passages edited up to the limit are found, and all others with few edits.
 REPETITIONS, SAMPLED = 24, 3
@@ -87,7 +87,7 @@ class Items:
         self.share = share
         by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, text in items:
-            words = word_hashes(lower_ascii(text))
+            words = folded_hashes(text)
             if len(words):
                 by_size.setdefault(len(words), []).append((item, words))
         self.ids = {m: np.array([i for i, _ in v], dtype=np.int64) for m, v in by_size.items()}
@@ -176,8 +176,8 @@ class Items:
 def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.2) -> DataFrame:
     """(doc_id, item_id, start, distance) for documents with a window of an item's size within the allowed edits of it.
 
-    docs: doc_id, text; items: item_id, text; other columns are ignored.  Words are taken in lower case (A-Z); an item of m words
-    allows m * share edited words; start is the best window's first word.  Rows without words or id, on either side, match nothing;
+    docs: doc_id, text; items: item_id, text; other columns are ignored.  Words are compared without case and marks at their ends; an item of m
+    words allows m * share edited words; start is the best window's first word.  Rows without words or id, on either side, match nothing;
     repeated rows give one row for each.  Items are searched for in blocks of bounded size, each against all documents.
     """
     spark = docs.sparkSession
@@ -195,7 +195,7 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.2) -> DataF
             for batch in batches:
                 for at in range(0, len(batch), 2_000):
                     part = batch[at : at + 2_000]
-                    rows = block.find([(d, word_hashes(lower_ascii(t))) for d, t in zip(part["doc_id"], part["text"], strict=True)])
+                    rows = block.find([(d, folded_hashes(t)) for d, t in zip(part["doc_id"], part["text"], strict=True)])
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "distance"])
 
         found = docs.mapInPandas(search, PAIRS_SCHEMA)

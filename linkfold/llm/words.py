@@ -24,6 +24,28 @@ def lower_ascii(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+_EDGES = ".,;:!?\"'()[]{}<>*_~`|«»„“”‘’¿¡…–—-"
+_folded: dict[str, int] = {}
+
+
+def folded_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each word of a text, alike for words that differ by case or by marks at their ends.
+
+    Words end at any white space; a word that is nothing but marks keeps them.
+    """
+    words = text.split() if text else []
+    out = list(map(_folded.get, words))
+    if None in out:
+        room = len(_folded) < _LIMIT
+        for i, h in enumerate(out):
+            if h is None:
+                plain = (words[i].strip(_EDGES) or words[i]).lower()
+                out[i] = h = xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass"))
+                if room:
+                    _folded[words[i]] = h
+    return np.array(out, dtype=np.uint64)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash for each word.  Common words are remembered by the Python worker."""
     known, digest = _known, xxhash.xxh64_intdigest

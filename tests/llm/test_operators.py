@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linkfold.llm import chroma, decontaminate, html_template, line_spread, minmax, packing, seed_extend, sharding, toxicity_fm, url_rules
 from linkfold.llm.components import connected_components
 from linkfold.llm.queries import tokenizer_path
-from linkfold.llm.words import lower_ascii, word_hashes
+from linkfold.llm.words import folded_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, pos string, size string, node string"
 
@@ -205,9 +205,9 @@ def test_decontamination_recall(spark):
         w = items[k][1].split()
         texts.append(" ".join(words(80, 20_000 + i) + edited(w, random.Random(i).randint(0, len(w) // 5), i) + words(50, 30_000 + i)))
     texts += [" ".join(words(200, 40_000 + i)) for i in range(100)] + [None, "", "a"]
-    hashed = {k: word_hashes(lower_ascii(t)) for k, t in items}
+    hashed = {k: folded_hashes(t) for k, t in items}
     for i in range(300):
-        h, item = word_hashes(lower_ascii(texts[i])), hashed[i % 60]
+        h, item = folded_hashes(texts[i]), hashed[i % 60]
         windows = np.lib.stride_tricks.sliding_window_view(h, len(item))
         if decontaminate.edit_distances(windows, np.broadcast_to(item, windows.shape)).min() <= decontaminate.allowed(len(item), 0.2):
             truth.add((i, i % 60))
@@ -220,6 +220,13 @@ def test_decontamination_recall(spark):
     assert decontaminate.contaminated(docs_of(spark, texts), table.limit(0)).count() == 0
 
 
+def test_decontamination_folds_case_and_marks(spark):
+    item = "Éai éonleeau pour an éonqueê aivi ai, éenai éoiré anvitre (èenreré) ouan. La fin"
+    texts = [f"avant {item.upper()} après", f"avant {'! '.join(item.split())}!! après", "rien de cela"]
+    found = decontaminate.contaminated(docs_of(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start"], r["distance"]) for r in found) == [(0, 1, 0), (1, 1, 0)]
+
+
 def test_edit_distances():
     def plain(a, b):
         row = list(range(len(b) + 1))
