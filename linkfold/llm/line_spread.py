@@ -24,7 +24,7 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> tuple[DataFrame,
 
     Lines are taken without blanks at the ends; empty lines never count.  A null source is a site of its own.
     """
-    lines = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.trim))
+    lines = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x)))  # F.trim itself would take the index for its second argument
     longest = lambda c: F.array_max(F.transform(c, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     places = docs.select("doc_id", F.xxhash64("source").alias("site"), lines.alias("lines")).withColumn("first", longest("lines"))
     places = places.withColumn("second", longest(F.filter("lines", lambda x: x != F.col("first"))))
