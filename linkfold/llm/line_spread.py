@@ -1,9 +1,9 @@
 """Removal of boilerplate lines by the number of distinct sites that carry them, with DataFrame operations only.
 
 HyperLogLog sketches of the sites are built for every line's hash and merge by aggregation.  Lines whose estimate lies far from
-the threshold are decided by it; those near it get exact distinct counts.  A line is boilerplate if it reaches the threshold
-and its carriers differ otherwise: where most of them share their longest other line, they are copies of one document, which is
-for near-duplicate removal to settle, and their lines stay.
+the threshold are decided by it; those near it get exact distinct counts.  A line is boilerplate if it reaches the threshold, with as many
+carriers when copies of one document, which are for near-duplicate removal to settle, count as one.  Equal texts are copies, and so are
+documents that consist of such lines but for a ninth and share their longest other one.  A boilerplate line goes from all its carriers.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from linkfold.llm.scratch import stored
 LG_REGISTERS = 12
 #: Estimates within this factor of the threshold are replaced by exact counts.
 NEAR = 1.25
+#: Two documents that share this much of their text have a similarity of 0.8, from which on the pipeline takes them for near-duplicates.
+COPIED = 8 / 9
 
 
 def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -25,12 +27,10 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> tuple[DataFrame,
     Lines are taken without blanks at the ends; empty lines never count.  A null source is a site of its own.
     """
     lines = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x)))  # F.trim itself would take the index for its second argument
-    longest = lambda c: F.array_max(F.transform(c, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    places = docs.select("doc_id", F.xxhash64("source").alias("site"), lines.alias("lines")).withColumn("first", longest("lines"))
-    places = places.withColumn("second", longest(F.filter("lines", lambda x: x != F.col("first"))))
-    places = places.select("doc_id", "site", "first", "second", F.explode("lines").alias("text")).filter("text != ''")
-    other = F.when(F.col("text") == F.col("first"), F.coalesce("second", F.lit(""))).otherwise(F.col("first"))
-    places = stored(places.select("doc_id", "site", F.xxhash64(other).alias("other"), F.xxhash64("text").alias("line")), "lines")
+    places = docs.select("doc_id", F.xxhash64("source").alias("site"), F.xxhash64("text").alias("doc"), lines.alias("lines"))
+    size = F.aggregate("lines", F.lit(0), lambda n, x: n + F.length(x)).alias("size")
+    places = places.select("doc_id", "site", "doc", size, F.explode("lines").alias("text")).filter("text != ''")
+    places = stored(places.select("doc_id", "site", "doc", "size", F.length("text").alias("n"), F.xxhash64("text").alias("line")), "lines")
 
     spread = places.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_REGISTERS)).alias("sketch"))
     spread = spread.select("line", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites / NEAR)
@@ -39,9 +39,15 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> tuple[DataFrame,
 
     exact = carried.filter("near").select("line", "site").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("sites"))
     wide = spread.filter("not near").select("line").unionByName(exact.filter(F.col("sites") >= min_sites).select("line"))
-    copies = carried.groupBy("line", "other").agg(F.count(F.lit(1)).alias("n"))
-    copies = copies.groupBy("line").agg(F.max("n").alias("most"), F.sum("n").alias("n")).filter("2 * most <= n")
-    found = stored(wide.join(copies.select("line"), "line"), "boilerplate")
+    # equal texts are one row from here on
+    texts = carried.join(wide, "line").select("doc", "size", "n", "line").distinct()
+    texts = texts.groupBy("doc").agg(F.max("size").alias("size"), F.sum("n").alias("wide"), F.sort_array(F.collect_list(F.struct("n", "line")), asc=False).alias("lines"))
+    longest = [F.get("lines", F.lit(k))["line"] for k in (0, 1)]
+    copied = F.col("wide") >= COPIED * F.col("size")
+    texts = texts.select("doc", copied.alias("copied"), longest[0].alias("first"), longest[1].alias("second"), F.inline("lines"))
+    other = F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    carriers = texts.select("line", "copied", F.when(F.col("copied"), other).otherwise(F.col("doc")).alias("carrier")).distinct()
+    found = stored(carriers.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("line"), "boilerplate")
     return found, carried.join(found, "line").select("doc_id", "line")
 
 

@@ -197,6 +197,17 @@ def test_line_spread_near_threshold_is_exact(spark):
     assert left == {f"shared by {k}" for k in range(5, 10)}
 
 
+def test_line_spread_removes_lines_of_copies_and_blocks(spark):
+    footer, block = "A footer of many pages.", ["Terms of use and privacy, long line one", "Imprint and contact, also a long line"]
+    page = "\n".join(f"line {k} of a page that was copied to many sites" for k in range(6))
+    texts = [f"{page}\n{footer}"] * 60 + [f"own text of page {i}, which is no copy\n{footer}" for i in range(30)]
+    texts += ["\n".join([*block, *(f"short {i} {k}" for k in range(6))]) for i in range(30)]
+    texts += ["Nothing but this line."] * 20 + [f"{i} other text around it, which is longer\nNothing but this line." for i in range(12)]
+    out = {r["doc_id"]: r["text"] for r in line_spread.remove_boilerplate(docs_of(spark, texts, source=lambda i: f"site{i % 20}"), 10).collect()}
+    gone = {footer, *block, "Nothing but this line."}
+    assert out == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, t in enumerate(texts)}
+
+
 def test_decontamination_recall(spark):
     items = [(k, " ".join(words(15 + k % 40, 10_000 + k))) for k in range(60)]
     texts, truth = [], set()
