@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage, up to a fifth of its words edited."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), share=0.2)
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), share=0.2, indels=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 Item-sized windows of words are embedded by CGK random walks, which map edit distance to Hamming distance: at each step the
 window's current word is emitted, and whether the walk moves on to the next word depends on a random bit of that word.  Words
 sampled at random steps are hashed; windows that agree with an item in one of several repetitions are verified by exact edit distance.
+With ``indels`` passages may be shorter or longer than the item by all their edits, windows reach over the ends of a text, and an item is
+aligned with any run of words around its window; without, only runs of as many words as the item has are compared.
 Only windows are embedded that hold as many of the benchmark's word pairs as so few edits must leave, which loses nothing.
 """
 
@@ -48,8 +50,12 @@ def _starts(pairs: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return count
 
 
-def cgk_keys(stream: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
-    """Keys (repetition, window) of the windows of ``m`` words at ``starts``: hashes of the sampled words of their embeddings."""
+def cgk_keys(stream: np.ndarray, starts: np.ndarray, m: int, first: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> np.ndarray:
+    """Keys (repetition, window) of the windows of ``m`` words at ``starts``: hashes of the sampled words of their embeddings.
+
+    Words outside of a window's text, from ``first`` to ``end``, are blank.
+    """
+    end = len(stream) if end is None else end
     rng = np.random.default_rng([m, REPETITIONS, SAMPLED])
     steps = 2 * m
     bits = rng.integers(0, 2**63, (steps, REPETITIONS, 1), dtype=np.uint64)
@@ -60,7 +66,8 @@ def cgk_keys(stream: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
     at = np.zeros((REPETITIONS, len(starts)), dtype=np.int64)
     keys = np.broadcast_to(np.arange(1, REPETITIONS + 1, dtype=np.uint64)[:, None], at.shape).copy()
     for j in range(last + 1):
-        word = np.where(at < m, stream[np.minimum(starts + at, len(stream) - 1)], np.uint64(0))
+        place = starts + at
+        word = np.where((at < m) & (place >= first) & (place < end), stream[np.clip(place, 0, len(stream) - 1)], np.uint64(0))
         r = picked[j]
         if r.any():
             keys[r] = mix(keys[r] * _PAIR + word[r])
@@ -80,11 +87,24 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, m]
 
 
+def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least edit distance of each row of ``b`` to any run of words of the same row of ``a``, and where the first such run starts."""
+    one = np.int64(2**32)  # an edit; the run's start is held below
+    steps = np.arange(a.shape[1] + 1, dtype=np.int64)
+    row = np.broadcast_to(steps, (len(a), len(steps))).copy()
+    for i in range(b.shape[1]):
+        new = row + one
+        np.minimum(new[:, 1:], row[:, :-1] + (a != b[:, i : i + 1]) * one, out=new[:, 1:])
+        row = np.minimum.accumulate(new - steps * one, axis=1) + steps * one
+    distance, start = np.divmod(row.min(axis=1), one)
+    return distance, start
+
+
 class Items:
     """A block of benchmark items, by their number of words."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float):
-        self.share = share
+    def __init__(self, items: list[tuple[int, str]], share: float, indels: bool = False):
+        self.share, self.indels = share, indels
         by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, text in items:
             words = folded_hashes(text)
@@ -112,22 +132,29 @@ class Items:
         """Word pairs that a window within the allowed edits of an item of ``m`` words must share with it: an edit breaks two at most."""
         return m - 1 - 2 * allowed(m, self.share)
 
+    def reach(self, m: int) -> int:
+        """Words that a passage may have more or less than its item."""
+        return allowed(m, self.share) if self.indels else 0
+
     def windows(self, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Sizes and starts of the windows of a text that hold enough of the items' word pairs."""
+        """Sizes and starts of the windows of a text that hold enough of the items' word pairs, counted over the longest passage."""
         n = len(hashes)
         pairs = _pairs(hashes) if n > 1 else hashes[:0]
         count = _starts(pairs, self.seen)
         # a window of m words holds m - 1 pairs
         for sizes in self.classes:
-            if sizes[0] > n:
+            if sizes[0] - self.reach(sizes[0]) > n:
                 break
-            wide = min(sizes[-1], n)
+            wide = min(sizes[-1] + self.reach(sizes[-1]), n)
             if (count[wide - 1 :] - count[: n - wide + 1]).max() < min(map(self.needed, sizes)):
                 continue
             for m in sizes:
-                if m <= n:
+                k = self.reach(m)
+                if m - k <= n:
                     own = _starts(pairs, self.seen_by_size[m])
-                    starts = np.flatnonzero(own[m - 1 :] - own[: n - m + 1] >= self.needed(m))
+                    starts = np.arange(-k, n - m + k + 1)
+                    held = own[np.minimum(starts + (m + k - 1), n - 1)] - own[np.maximum(starts, 0)]
+                    starts = starts[held >= self.needed(m)]
                     if len(starts):
                         yield m, starts
 
@@ -147,15 +174,18 @@ class Items:
         if not streams:
             return []
         stream = np.concatenate(streams)
-        begin = {k: int(at[0]) for at, k in windows.pop(-1)}
+        begin = np.zeros(len(docs), dtype=np.int64)
+        for at, k in windows.pop(-1):
+            begin[k] = at[0]
+        finish = begin + [len(h) for _, h in docs]
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for m, found in windows.items():
             starts = np.concatenate([s for s, _ in found])
             owner = np.concatenate([np.full(len(s), k) for s, k in found])
             keys, place = self.keys[m]
             for at in range(0, len(starts), 4096):
-                part = starts[at : at + 4096]
-                asked = cgk_keys(stream, part, m)
+                part, first, end = starts[at : at + 4096], begin[owner[at : at + 4096]], finish[owner[at : at + 4096]]
+                asked = cgk_keys(stream, part, m, first, end)
                 lo, hi = np.searchsorted(keys, asked.ravel(), "left"), np.searchsorted(keys, asked.ravel(), "right")
                 some = np.flatnonzero(hi > lo)
                 n = (hi - lo)[some]
@@ -164,17 +194,24 @@ class Items:
                 pairs = np.unique(window * len(self.ids[m]) + item)
                 for lot in range(0, len(pairs), 4096):
                     w, i = np.divmod(pairs[lot : lot + 4096], len(self.ids[m]))
-                    distance = edit_distances(stream[part[w][:, None] + np.arange(m)], self.words[m][i])
+                    if self.indels:
+                        reach = self.reach(m)
+                        spots = part[w][:, None] + np.arange(-reach, m + 2 * reach)
+                        inside = (spots >= first[w][:, None]) & (spots < end[w][:, None])
+                        distance, start = aligned(np.where(inside, stream[np.clip(spots, 0, len(stream) - 1)], np.uint64(0)), self.words[m][i])
+                        start = np.maximum(part[w] - reach + start, first[w])
+                    else:
+                        distance, start = edit_distances(stream[part[w][:, None] + np.arange(m)], self.words[m][i]), part[w]
                     for j in np.flatnonzero(distance <= allowed(m, self.share)):
                         k = int(owner[at + w[j]])
-                        got = int(distance[j]), int(part[w[j]]) - begin[k]
+                        got = int(distance[j]), int(start[j] - begin[k])
                         key = k, int(self.ids[m][i[j]])
                         best[key] = min(best.get(key, got), got)
         return [(docs[k][0], item, start, d) for (k, item), (d, start) in best.items()]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.2) -> DataFrame:
-    """(doc_id, item_id, start, distance) for documents with a window of an item's size within the allowed edits of it.
+def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.2, indels: bool = False) -> DataFrame:
+    """(doc_id, item_id, start, distance) for documents with a window of an item's size, or of any with ``indels``, within the allowed edits of it.
 
     docs: doc_id, text; items: item_id, text; other columns are ignored.  Words are compared without case and marks at their ends; an item of m
     words allows m * share edited words; start is the best window's first word.  Rows without words or id, on either side, match nothing;
@@ -191,7 +228,7 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.2) -> DataF
         held = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.collect()])
 
         def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            block = Items(held.value, share)
+            block = Items(held.value, share, indels)
             for batch in batches:
                 for at in range(0, len(batch), 2_000):
                     part = batch[at : at + 2_000]
@@ -203,7 +240,7 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.2) -> DataF
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.2) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.2, indels: bool = False) -> DataFrame:
     """The rows and columns of ``docs`` without the documents that hold a benchmark item; see ``contaminated``."""
-    held = contaminated(docs, items, share).select(F.col("doc_id").alias("_held")).distinct()
+    held = contaminated(docs, items, share, indels).select(F.col("doc_id").alias("_held")).distinct()
     return docs.join(held, docs["doc_id"] == held["_held"], "left_anti")

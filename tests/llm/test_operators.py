@@ -231,6 +231,25 @@ def test_decontamination_recall(spark):
     assert decontaminate.contaminated(docs_of(spark, texts), table.limit(0)).count() == 0
 
 
+def test_decontamination_finds_inserted_and_deleted_words(spark):
+    items = [(k, " ".join(words(15 + k % 40, 10_000 + k))) for k in range(60)]
+    texts, truth = [], set()
+    for i in range(600):
+        w = items[i % 60][1].split()
+        part = edited(w, random.Random(i).randint(0, len(w) // 5), i)
+        # half of the passages are texts of their own
+        texts.append(" ".join(words(80, 20_000 + i) + part + words(50, 30_000 + i) if i < 300 else part))
+        truth.add((i, i % 60))
+    texts += [" ".join(items[0][1].split()[:-1]), " ".join(items[1][1].split()[2:]), " ".join(items[2][1].split()[:9])]
+    truth |= {(600, 0), (601, 1)}
+    found = decontaminate.contaminated(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"), indels=True).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    print(len(got), len(truth))
+    assert got <= truth and len(got) >= 0.97 * len(truth) and {(600, 0), (601, 1)} <= got
+    assert all(r["start"] >= 0 and r["distance"] <= len(items[r["item_id"]][1].split()) // 5 for r in found)
+    assert {r["doc_id"]: r["distance"] for r in found}[600] == 1
+
+
 def test_decontamination_folds_case_and_marks(spark):
     item = "Éai éonleeau pour an éonqueê aivi ai, éenai éoiré anvitre (èenreré) ouan. La fin"
     texts = [f"avant {item.upper()} après", f"avant {'! '.join(item.split())}!! après", "rien de cela"]
