@@ -24,7 +24,8 @@ from linkfold.llm.url_rules import split_url
 #: Rows of host templates that are broadcast at most (some 50 MB); beyond, pages and templates are shuffled by host.
 BROADCAST_ROWS = 200_000
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MARKING = frozenset(["class", "id", "role"])
 _WORD = re.compile("[a-z]+")
 _RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -113,7 +114,7 @@ class Page:
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("hidden", "aria-hidden"):
                 hidden = hidden or value != "false"
-            else:
+            elif key in _MARKING:
                 words.update(_WORD.findall(value))
         return words, hidden
 

@@ -337,6 +337,16 @@ def test_main_text(spark, tag):
     assert html_template.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', "style='overflow-x: hidden'", 'data-state="hidden"', 'data-id="related" data-role=menu', 'title="a class=nav id=ad"', "data-hidden", "x=1/hidden"])
+def test_attributes_are_whole_names(attributes):
+    assert html_template.Page.marks(f" {attributes}") == (set(), False)
+    for tag in ("body", "article", "div"):
+        page = html_template.Page(f"<html><{tag} {attributes}><p>The text of the page.</p></{tag}></html>")
+        assert html_template.extract(page, None) == "The text of the page."
+    assert html_template.Page.marks(f' {attributes} CLASS = "Nav x" id=ad hidden') == ({"nav", "x", "ad"}, True)
+    assert html_template.Page.marks(" aria-hidden=true") == (set(), True) and html_template.Page.marks(" aria-hidden='false'") == (set(), False)
+
+
 def test_equivalence_classes_drop_constant_text(spark):
     page = "<html><body><div><p>Sign in to read more</p><p>story {i} with many words of its own</p><p>tail {i}</p></div></body></html>"
     rows = [(i, "http://h.org/x", page.replace("{i}", str(i))) for i in range(5)]
