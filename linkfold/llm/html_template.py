@@ -2,9 +2,9 @@
 
 Tokens of a page are its containers (a tag with its class, under the tags that hold it) and its texts.  Over the pages of a host every
 token has an occurrence vector, one count for each page; the vector is held as a sum of hashes of (page, count), which merges by
-aggregation, so a host with a third of all pages is no task's burden.  Tokens of one vector are an equivalence class.  A class is valid if it
-occurs on at least half of the host's pages; valid classes nest by their containers' paths into the host's template.  What the template
-leaves open are slots: the one that gathers the article is chosen, menus and the like are cut out of it, and its blocks are the text.
+aggregation, so a host with a third of all pages is no task's burden.  Tokens on at least half of the host's pages are its template; their
+classes by vector are not used further, nor nested, so this is less than the full method.  Of what the template's containers hold, the
+slot that gathers the article is chosen, menus and the like are cut out of it by tag and class, and its blocks are the text.
 """
 
 from __future__ import annotations
