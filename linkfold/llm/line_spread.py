@@ -27,9 +27,8 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> tuple[DataFrame,
     Lines are taken without blanks at the ends; empty lines never count.  A null source is a site of its own.
     """
     lines = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x)))  # F.trim itself would take the index for its second argument
-    places = docs.select("doc_id", F.xxhash64("source").alias("site"), F.xxhash64("text").alias("doc"), lines.alias("lines"))
-    size = F.aggregate("lines", F.lit(0), lambda n, x: n + F.length(x)).alias("size")
-    places = places.select("doc_id", "site", "doc", size, F.explode("lines").alias("text")).filter("text != ''")
+    places = docs.select("doc_id", F.xxhash64("source").alias("site"), F.xxhash64("text").alias("doc"), F.length(F.translate("text", "\n", "")).alias("size"), lines.alias("lines"))
+    places = places.select("doc_id", "site", "doc", "size", F.explode("lines").alias("text")).filter("text != ''")
     places = stored(places.select("doc_id", "site", "doc", "size", F.length("text").alias("n"), F.xxhash64("text").alias("line")), "lines")
 
     spread = places.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_REGISTERS)).alias("sketch"))
@@ -38,7 +37,7 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> tuple[DataFrame,
     carried = stored(places.join(spread, "line"), "carried")
 
     exact = carried.filter("near").select("line", "site").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("sites"))
-    wide = spread.filter("not near").select("line").unionByName(exact.filter(F.col("sites") >= min_sites).select("line"))
+    wide = stored(spread.filter("not near").select("line").unionByName(exact.filter(F.col("sites") >= min_sites).select("line")), "wide")
     # equal texts are one row from here on
     texts = carried.join(wide, "line").select("doc", "size", "n", "line").distinct()
     texts = texts.groupBy("doc").agg(F.max("size").alias("size"), F.sum("n").alias("wide"), F.sort_array(F.collect_list(F.struct("n", "line")), asc=False).alias("lines"))
