@@ -1,10 +1,13 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens of a page are its containers (a tag with its class, under the tags that hold it) and its texts.  Over the pages of a host every
-token has an occurrence vector, one count for each page; the vector is held as a sum of hashes of (page, count), which merges by
-aggregation, so a host with a third of all pages is no task's burden.  Tokens on at least half of the host's pages are its template; their
-classes by vector are not used further, nor nested, so this is less than the full method.  Of what the template's containers hold, the
-slot that gathers the article is chosen, menus and the like are cut out of it by tag and class, and its blocks are the text.
+Tokens of a page are the begins and ends of its containers (a tag with its class, under the tags that hold it) and its texts.  Over the
+pages of a host every token has an occurrence vector, one count for each page; the vector is held as a sum of hashes of (page, count),
+which merges by aggregation, so a host with a third of all pages is no task's burden.  Tokens with equal vectors, on a tenth of the host's
+pages at least, are a class.  A second look at the pages tells which classes are valid: their tokens come in one order on every page
+that has them, repeated as a whole, and always inside the same slot of the same other class.  Valid classes nest into the host's
+template.  A text that shares the class of its container belongs to the template; what is left in the slots is the pages' own.  Of the
+template's containers the one that gathers the article's slots is chosen, menus and the like are cut out of it by tag and class, and
+the blocks in its slots are the text.
 """
 
 from __future__ import annotations
@@ -13,20 +16,24 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkfold.llm.scratch import stored
-from linkfold.llm.url_rules import split_url
 
-#: Rows of host templates that are broadcast at most (some 50 MB); beyond, pages and templates are shuffled by host.
-BROADCAST_ROWS = 200_000
+#: A class is on so many pages of its host at least, and on this share of them.
+LEAST_PAGES, LEAST_SHARE = 5, 0.1
+#: Numbers in host templates that are broadcast at most (32 MB); beyond, pages and templates are shuffled by host.
+BROADCAST_NUMBERS = 4_000_000
+#: Templates that a Python worker keeps unpacked at a time.
+KEPT_TEMPLATES = 500
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _MARKING = frozenset(["class", "id", "role"])
-_WORD = re.compile("[a-z]+")
+_PART = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -40,16 +47,40 @@ _OUT_WORDS = frozenset(
     "replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar complementary contentinfo alert".split()
 )
 _HEAD_WORDS = frozenset(["header", "masthead"])
+#: Words that say nothing of a part's purpose: "ad-box" is an advert, "no-sidebar" and "share-price" are not what one of their words says.
+_NEUTRAL = frozenset(
+    "area bar block bottom box buttons center col column container fixed form group holder inner item items left links list main outer page panel post posts primary reader "
+    "right row secondary section site slot sticky top unit user widget widgets wrap wrapper".split()
+)
 _MAIN_TAGS = frozenset(["article", "main"])
+_NORMAL, _MAIN, _PARAGRAPH = 0, 1, 2
+_END = 0x5BD1E9955BD1E995
+
+
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
+def _hash(*parts: object) -> int:
+    return _signed(xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass")))
+
+
+def marked(name: str, words: frozenset[str]) -> bool:
+    """Whether a class name as a whole, all its parts but neutral ones, consists of ``words``."""
+    parts = [p.lower() for p in _PART.findall(name)]
+    return any(p in words for p in parts) and all(p in words or p in _NEUTRAL or p.isdigit() for p in parts)
 
 
 class Page:
-    """Containers and blocks of one page; every block knows the containers that hold it and whether it lies in an excluded part."""
+    """Containers and texts of one page in page order, read in time linear in its length and depth."""
 
     def __init__(self, text: str | None):
-        self.blocks: list[tuple[tuple[str, ...], bool, str]] = []
-        self.counts: dict[str, int] = {}
-        stack: list[tuple[str, str, bool]] = []  # tag, path, excluded
+        #: Of each container: its token, its kind, the container that holds it, its depth, and whether it is excluded; the first is the page.
+        self.token, self.kind, self.holder, self.depth, self.out = [0], [_NORMAL], [-1], [0], [False]
+        #: Begins, ends and texts in page order; of each text its container, its token, and its words.
+        self.tokens: list[int] = []
+        self.blocks: list[tuple[int, int, str]] = []
+        stack, tags, opened, mains = [0], [""], {}, 0
         parts: list[str] = []
         text = text or ""
 
@@ -57,9 +88,20 @@ class Page:
             if parts:
                 words = entities.unescape("".join(parts)).split()
                 if words:
-                    self.blocks.append((tuple(p for _, p, _ in stack), bool(stack) and stack[-1][2], " ".join(words)))
+                    words = " ".join(words)
+                    token = _hash(self.token[stack[-1]], words)
+                    self.blocks.append((stack[-1], token, words))
+                    self.tokens.append(token)
                 parts.clear()
 
+        def close() -> str:
+            nonlocal mains
+            tag = tags.pop()
+            self.tokens.append(self.token[stack.pop()] ^ _END)
+            opened[tag] -= 1
+            mains -= tag in _MAIN_TAGS
+            return tag
+
         at = 0
         while True:
             mark = _MARK.search(text, at)
@@ -72,16 +114,15 @@ class Page:
             name = (mark[2] or "").lower()
             if not name:
                 continue
-            if name in _BLOCK or name in _OUT_TAGS:
+            holds = name in _BLOCK or name in _OUT_TAGS
+            if holds:
                 flush()
             elif name == "br":
                 parts.append(" ")
             if mark[1]:
-                if any(tag == name for tag, _, _ in stack):
-                    while stack:
-                        tag = stack.pop()[0]
-                        if tag == name:
-                            break
+                if opened.get(name):
+                    while close() != name:
+                        pass
                 continue
             if name in _VOID:
                 continue
@@ -89,139 +130,259 @@ class Page:
                 end = _RAW[name].search(text, at)
                 at = end.end() if end else len(text)
                 continue
-            if name not in _BLOCK and name not in _OUT_TAGS:
+            if not holds:
                 continue
             # an open paragraph ends where a block begins, an open list item or cell where the next does
-            if stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "td", "th", "tr")):
-                stack.pop()
+            if tags[-1] == "p" or tags[-1] == name and name in ("li", "dt", "dd", "td", "th", "tr"):
+                close()
             marks, hidden = self.marks(mark[3])
-            path = f"{stack[-1][1] if stack else ''}>{name}{'.' + '.'.join(sorted(marks)) if marks else ''}"
-            in_main = any(tag in _MAIN_TAGS for tag, _, _ in stack)
-            out = (bool(stack) and stack[-1][2]) or name in _OUT_TAGS or hidden
+            out = self.out[stack[-1]] or name in _OUT_TAGS or hidden
             if name not in ("body", "html", *_MAIN_TAGS):
-                out = out or bool(marks & _OUT_WORDS) or (not in_main and (name == "header" or bool(marks & _HEAD_WORDS)))
-            stack.append((name, path, out))
-            if name != "p":
-                self.counts[path] = self.counts.get(path, 0) + 1
+                out = out or any(marked(m, _OUT_WORDS) for m in marks) or (not mains and (name == "header" or any(marked(m, _HEAD_WORDS) for m in marks)))
+            self.token.append(_hash(self.token[stack[-1]], name, *sorted(marks)))
+            self.kind.append(_MAIN if name in _MAIN_TAGS else _PARAGRAPH if name == "p" else _NORMAL)
+            self.holder.append(stack[-1])
+            self.depth.append(len(stack))
+            self.out.append(out)
+            stack.append(len(self.token) - 1)
+            tags.append(name)
+            opened[name] = opened.get(name, 0) + 1
+            mains += name in _MAIN_TAGS
+            self.tokens.append(self.token[-1])
         flush()
+        while len(stack) > 1:
+            close()
 
     @staticmethod
     def marks(attributes: str) -> tuple[set[str], bool]:
+        """Class names, id and role, and whether the element is hidden."""
         if not attributes:
             return set(), False
-        words, hidden = set(), False
+        names, hidden = set(), False
         for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
             if key in ("hidden", "aria-hidden"):
-                hidden = hidden or value != "false"
+                hidden = hidden or value.lower() != "false"
             elif key in _MARKING:
-                words.update(_WORD.findall(value))
-        return words, hidden
+                names.update(value.split())
+        return names, hidden
 
-    def chars(self) -> dict[str, int]:
-        """Characters of unexcluded text in each container."""
-        out: dict[str, int] = {}
-        for paths, excluded, text in self.blocks:
-            if not excluded:
-                for p in dict.fromkeys(paths):
-                    out[p] = out.get(p, 0) + len(text)
-        return out
+    def gathered(self, counts: list[bool]) -> dict[int, tuple[int, int, int]]:
+        """(characters, depth, kind) of each container's token, over the unexcluded blocks that count."""
+        chars = [0] * len(self.token)
+        for (node, _, words), counted in zip(self.blocks, counts, strict=True):
+            if counted and not self.out[node]:
+                chars[node] += len(words)
+        for node in range(len(chars) - 1, 0, -1):  # containers come before what they hold
+            chars[self.holder[node]] += chars[node]
+        found: dict[int, tuple[int, int, int]] = {}
+        for node in range(1, len(chars)):
+            if chars[node]:
+                n, depth, kind = found.get(self.token[node], (0, self.depth[node], self.kind[node]))
+                found[self.token[node]] = n + chars[node], depth, kind
+        return found
 
+    def within(self, slot: int) -> list[bool]:
+        """Whether each container lies in one of token ``slot``, or is one."""
+        inside = [False] * len(self.token)
+        for node in range(1, len(inside)):
+            inside[node] = inside[self.holder[node]] or self.token[node] == slot
+        return inside
 
-def _is_main(path: str) -> bool:
-    return re.split(r"[>.]", path.rpartition(">")[2])[0] in _MAIN_TAGS
 
-
-def main_slot(chars: dict[str, int]) -> str | None:
-    """Of containers with their text, the innermost article or main element that holds the most, else the innermost container with most of the text."""
-    chars = {p: n for p, n in chars.items() if n}
-    if not chars:
-        return None
-    main = {p: n for p, n in chars.items() if _is_main(p)}
+def main_slot(chars: dict[int, tuple[int, int, int]]) -> int | None:
+    """Of containers with (characters, depth, kind), the innermost article or main element that holds the most, else the innermost with most of the text."""
+    main = {t: (d, n) for t, (n, d, kind) in chars.items() if kind == _MAIN and n}
     if main:
-        most = max(main.values())
-        return max((p for p, n in main.items() if 2 * n > most), key=lambda p: (p.count(">"), main[p], p))
-    most = max(chars.values())
-    return max((p for p, n in chars.items() if 5 * n >= 4 * most and not p.rpartition(">")[2].startswith("p")), key=lambda p: (p.count(">"), chars[p], p), default=None)
+        most = max(n for _, n in main.values())
+        return max((t for t, (_, n) in main.items() if 2 * n > most), key=lambda t: (*main[t], t))
+    most = max((n for n, _, _ in chars.values()), default=0)
+    rest = {t: (d, n) for t, (n, d, kind) in chars.items() if kind == _NORMAL and n and 5 * n >= 4 * most}
+    return max(rest, key=lambda t: (*rest[t], t), default=None)
 
 
-def _text_token(text: str) -> str:
-    return "=" + xxhash.xxh3_128_hexdigest(text)
+def _numbers(packed: object, width: int) -> list[tuple[int, ...]]:
+    return list(map(tuple, np.asarray(packed, dtype=np.int64).reshape(-1, width).tolist())) if packed is not None else []
 
 
-def host_templates(pages: DataFrame, support: float = 0.5) -> DataFrame:
-    """(host, tokens): the tokens of each host's valid classes, with the text that their slots gather, for ``pages`` (page_id, url, html).
+class _Unpacked:
+    """What a worker keeps of host templates between pages: unpacked once for each host."""
 
-    A token is a container's path or the hash of a text.  The hosts' token lists are bounded by a page's length, as each token occurs on
-    ``support`` of the pages at least.  Hosts with fewer than three pages, and URLs without a host, have no template.
-    """
+    def __init__(self, make):
+        self.make, self.known = make, {}
+
+    def __call__(self, host: int, packed: object):
+        if packed is None:
+            return None
+        found = self.known.get(host)
+        if found is None:
+            if len(self.known) >= KEPT_TEMPLATES:
+                self.known.clear()
+            found = self.known[host] = self.make(packed)
+        return found
+
+
+def own_blocks(page: Page, classes: dict[int, int]) -> list[bool]:
+    """Whether each block is the page's own: its token isn't in the class of its container."""
+    return [token not in classes or classes[token] != classes.get(page.token[node]) for node, token, _ in page.blocks]
+
+
+def order_and_nesting(page: Page, classes: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """(class, its order on this page, the class around it, that class's slot) of the classes on a page; a class without an order has that of this page alone."""
+    places: dict[int, list[int]] = {}
+    for at, token in enumerate(page.tokens):
+        cls = classes.get(token) or classes.get(token ^ _END)
+        if cls is not None:
+            places.setdefault(cls, []).append(at)
+    names = sorted(places)
+    where = [np.array(places[c]) for c in names]
+    low, high = np.array([w[0] for w in where]), np.array([w[-1] for w in where])
+    narrowest = np.full(len(names), np.iinfo(np.int64).max)
+    around, slot = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
+    orders = []
+    for c, at in zip(names, where, strict=True):
+        tokens = [page.tokens[i] for i in at]
+        period = len(set(tokens))
+        whole = tokens == tokens[:period] * (len(tokens) // period)
+        orders.append(_hash(*tokens[:period]) if whole else _hash(*page.tokens))
+        if len(at) > 1:
+            k = np.searchsorted(at, low)
+            inside = (k > 0) & (k < len(at)) & (at[np.minimum(k, len(at) - 1)] > high)
+            width = np.where(inside, at[np.minimum(k, len(at) - 1)] - at[np.maximum(k, 1) - 1], np.iinfo(np.int64).max)
+            closer = width < narrowest
+            narrowest[closer], around[closer], slot[closer] = width[closer], c, k[closer] % period
+    return list(zip(names, orders, around.tolist(), slot.tolist(), strict=True))
+
+
+class Template:
+    """A host's valid classes, nested, and the container that gathers the article's slots."""
+
+    def __init__(self, packed: object):
+        rows = _numbers(packed, 5)
+        around = {key: a for kind, key, a, _, _ in rows if kind == 0}
+
+        def nested(cls: int) -> bool:
+            """Whether all classes around this one are valid; a class is never around itself, as its slot is narrower than the class."""
+            seen = set()
+            while cls and cls in around and cls not in seen:
+                seen.add(cls)
+                cls = around[cls]
+            return cls == 0
+
+        valid = {cls for cls in around if nested(cls)}
+        self.classes = {key: a for kind, key, a, _, _ in rows if kind == 2 and a in valid}
+        self.main = main_slot({key: (n, depth, tag) for kind, key, n, depth, tag in rows if kind == 1 and key in self.classes})
+
+
+def _host(url: str) -> Column:
+    """A number for the URL's host, in any case; null without one."""
+    rest = F.when(F.instr(url, "://") > 0, F.regexp_extract(url, "^.*?://([^/?#]*)", 1))
+    return F.when(rest != "", F.xxhash64(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+
+def _by_host(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """Each page with its host's numbers, which are broadcast while they are few."""
+    size = templates.agg(F.sum(F.size("packed")).alias("n")).first()["n"] or 0
+    return pages.join(F.broadcast(templates) if size <= BROADCAST_NUMBERS else templates, "host", "left")
+
+
+def candidate_classes(pages: DataFrame) -> DataFrame:
+    """(host, token, class) of tokens on enough of a host's pages; equal classes are equal occurrence vectors."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found: dict[tuple[str, str], list[int]] = {}
-            for page, url, text in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
-                host, parsed = split_url(url)[0], Page(text)
-                tokens = dict(parsed.counts)
-                for _, _, block in parsed.blocks:
-                    token = _text_token(block)
-                    tokens[token] = tokens.get(token, 0) + 1
-                tokens[""] = 1
-                chars = parsed.chars()
-                for token, n in tokens.items():
-                    sums = found.setdefault((host, token), [0, 0, 0])
-                    sums[0] = (sums[0] + xxhash.xxh64_intdigest(f"{page} {n}")) & (2**64 - 1)
+            found: dict[tuple[int, int], list[int]] = {}
+            for page_id, host, text in zip(batch["page_id"], batch["host"], batch["html"], strict=True):
+                page, counts = Page(text), {}
+                for token in page.token[1:]:
+                    counts[token] = counts.get(token, 0) + 1
+                for _, token, _ in page.blocks:
+                    counts[token] = counts.get(token, 0) + 1
+                own, parts = _hash(page_id, text), {}
+                for token, n in [*counts.items(), (0, 1)]:
+                    part = parts.get(n)
+                    if part is None:
+                        part = parts[n] = xxhash.xxh3_64_intdigest(f"{own} {n}")
+                    sums = found.setdefault((host, token), [0, 0])
+                    sums[0] = (sums[0] + part) & (2**64 - 1)
                     sums[1] += 1
-                    sums[2] += chars.get(token, 0)
-            rows = [(h, t, v - 2**64 if v >= 2**63 else v, n, c) for (h, t), (v, n, c) in found.items()]
-            yield pd.DataFrame(rows, columns=["host", "token", "vector", "pages", "chars"])
+            rows = [(h, t, _signed(v), n) for (h, t), (v, n) in found.items()]
+            yield pd.DataFrame(rows, columns=["host", "token", "vector", "pages"])
 
-    counted = pages.select("page_id", "url", "html").mapInPandas(count, "host string, token string, vector long, pages long, chars long")
+    counted = pages.filter("host is not null").select("page_id", "host", "html").mapInPandas(count, "host long, token long, vector long, pages long")
     # vectors are summed modulo 2**64, in halves so that no sum overflows
     low, high = F.sum(F.col("vector").bitwiseAND(F.lit(2**32 - 1))), F.sum(F.shiftrightunsigned("vector", 32))
-    sums = counted.groupBy("host", "token").agg(low.alias("low"), high.alias("high"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
-    vector = F.concat_ws(":", F.pmod("low", F.lit(2**32)), F.pmod(F.col("high") + F.floor(F.col("low") / 2**32), F.lit(2**32)))
-    sums = stored(sums.select("host", "token", vector.alias("vector"), "pages", "chars"), "tokens")
-    hosts = sums.filter("token = '' and pages >= 3 and host != ''").select("host", F.col("pages").alias("of"))
-    valid = sums.filter("token != ''").join(hosts, "host").filter(F.col("pages") >= support * F.col("of"))
-    classes = valid.groupBy("host", "vector").agg(F.collect_list(F.struct("token", "pages", "chars")).alias("tokens"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
-
-
-def extract(page: Page, template: list | None) -> str:
-    """The blocks of the main slot, joined by an empty line."""
-    slot, constant = None, frozenset()
-    if template is not None and len(template):
-        chars = {t["token"]: t["chars"] for t in template if not t["token"].startswith("=")}
-        slot = main_slot(chars)
-        constant = frozenset(t["token"] for t in template if t["token"].startswith("="))
-    if slot is None or slot not in page.counts or any(_is_main(p) for p in page.counts) and not _is_main(slot):
-        slot = main_slot(page.chars())
-    if slot is None:
-        kept = [(t, False) for paths, out, t in page.blocks if not out and not paths]
-    else:
-        kept = [(t, _is_main(slot)) for paths, out, t in page.blocks if not out and slot in paths]
-    own = [t for t, sure in kept if sure or _text_token(t) not in constant]
-    return "\n\n".join(own or [t for t, _ in kept])  # a page that is nothing but recurring text is a copy
+    sums = counted.groupBy("host", "token").agg(low.alias("low"), high.alias("high"), F.sum("pages").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
+    vector = F.xxhash64(F.pmod("low", F.lit(2**32)), F.pmod(F.col("high") + F.shiftrightunsigned("low", 32), F.lit(2**32)), "pages")
+    sums = stored(sums.select("host", "token", vector.alias("class"), "pages"), "tokens")
+    hosts = sums.filter("token = 0").select("host", F.col("pages").alias("of"))
+    return sums.filter("token != 0").join(hosts, "host").filter(F.col("pages") >= LEAST_SHARE * F.col("of")).select("host", "token", "class")
+
+
+def host_templates(pages: DataFrame) -> DataFrame:
+    """(host, packed): the valid classes of each host with their nesting, its template's containers, and its tokens, for ``Template``.
+
+    A host's numbers are bounded by its pages' length, as every token is on a tenth of the pages at least.  Hosts with fewer pages than
+    ``LEAST_PAGES``, and URLs without a host, have no template.
+    """
+    tokens = stored(candidate_classes(pages), "classes")
+    packed = tokens.groupBy("host").agg(F.flatten(F.collect_list(F.array("token", "class"))).alias("packed"))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpacked = _Unpacked(lambda packed: dict(_numbers(packed, 2)))
+        for batch in batches:
+            found: dict[tuple[int, int, int], list[int]] = {}
+            for host, text, numbers in zip(batch["host"], batch["html"], batch["packed"], strict=True):
+                classes = unpacked(host, numbers)
+                page = Page(text)
+                rows = [(0, c, order, around, _hash(around, slot), 0) for c, order, around, slot in order_and_nesting(page, classes)]
+                rows += [(1, t, depth, kind, 0, n) for t, (n, depth, kind) in page.gathered(own_blocks(page, classes)).items() if t in classes]
+                for kind, key, x, y, z, n in rows:
+                    seen = found.get((host, kind, key))
+                    if seen is None:
+                        found[host, kind, key] = [x, x, y, z, z, n]
+                    else:
+                        found[host, kind, key] = [min(seen[0], x), max(seen[1], x), max(seen[2], y), min(seen[3], z), max(seen[4], z), seen[5] + n]
+            yield pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["host", "kind", "key", "x0", "x1", "y", "z0", "z1", "n"])
+
+    schema = "host long, kind long, key long, x0 long, x1 long, y long, z0 long, z1 long, n long"
+    seen = _by_host(pages.filter("host is not null").select("host", "html"), packed).filter("packed is not null").mapInPandas(look, schema)
+    seen = seen.groupBy("host", "kind", "key").agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.max, "y"), (F.min, "z0"), (F.max, "z1"), (F.sum, "n"))])
+    row = lambda *columns: F.array(*[c.cast("long") if isinstance(c, Column) else F.lit(c).cast("long") for c in columns]).alias("row")
+    valid = seen.filter("kind = 0 and x0 = x1 and z0 = z1").select("host", row(0, F.col("key"), F.col("y"), 0, 0))
+    gathered = seen.filter("kind = 1").select("host", row(1, F.col("key"), F.col("n"), F.col("x0"), F.col("y")))
+    rows = valid.unionByName(gathered).unionByName(tokens.select("host", row(2, F.col("token"), F.col("class"), 0, 0)))
+    return rows.groupBy("host").agg(F.flatten(F.collect_list("row")).alias("packed"))
+
+
+def extract(page: Page, template: Template | None) -> str:
+    """The blocks in the main container's slots, joined by an empty line.
+
+    The template's texts go, unless they are over half of what the container holds: such pages are copies of each other.
+    """
+    own = own_blocks(page, template.classes) if template else [True] * len(page.blocks)
+    slot, gathered = template.main if template else None, page.gathered(own) or page.gathered([True] * len(own))
+    if slot not in gathered or any(kind == _MAIN for _, _, kind in gathered.values()) and gathered[slot][2] != _MAIN:
+        slot = main_slot(gathered)
+    inside = page.within(slot) if slot is not None else [True] * len(page.token)
+    kept = [(words, mine) for (node, _, words), mine in zip(page.blocks, own, strict=True) if inside[node] and not page.out[node]]
+    copied = 2 * sum(len(w) for w, mine in kept if mine) < sum(len(w) for w, _ in kept)
+    return "\n\n".join(w for w, mine in kept if mine or copied)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url and text for each row of ``pages`` (page_id, url, html; others are ignored).
 
     A block's white space is one blank, blocks are in page order with an empty line between.  A null or empty html gives an empty text; a
-    null URL has no host; repeated rows are treated alike.  Without an article or main element, texts that recur on
-    half of the host's pages are taken for the template's, unless the page has no other.
+    null URL has no host, and pages without one, or of hosts with few pages, are read by themselves; repeated rows are treated alike.
     """
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host("url").alias("host"))
     templates = stored(host_templates(pages), "templates")
-    if templates.count() <= BROADCAST_ROWS:
-        templates = F.broadcast(templates)
-    rest = F.when(F.instr("url", "://") > 0, F.regexp_extract("url", "^.*?://([^/?#]*)", 1)).otherwise("")
-    host = F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpacked = _Unpacked(Template)
         for batch in batches:
-            texts = [extract(Page(h), t) for h, t in zip(batch["html"], batch["tokens"], strict=True)]
+            texts = [extract(Page(h), unpacked(host, t)) for host, h, t in zip(batch["host"], batch["html"], batch["packed"], strict=True)]
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts})
 
-    joined = pages.withColumn("host", host).join(templates, "host", "left").select("page_id", "url", "html", "tokens")
-    return joined.mapInPandas(read, "page_id long, url string, text string")
+    return _by_host(pages, templates).select("page_id", "url", F.coalesce("host", F.lit(0)).alias("host"), "html", "packed").mapInPandas(read, "page_id long, url string, text string")

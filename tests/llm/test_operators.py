@@ -343,10 +343,93 @@ def test_attributes_are_whole_names(attributes):
     for tag in ("body", "article", "div"):
         page = html_template.Page(f"<html><{tag} {attributes}><p>The text of the page.</p></{tag}></html>")
         assert html_template.extract(page, None) == "The text of the page."
-    assert html_template.Page.marks(f' {attributes} CLASS = "Nav x" id=ad hidden') == ({"nav", "x", "ad"}, True)
+    assert html_template.Page.marks(f' {attributes} CLASS = "Nav x" id=ad hidden') == ({"Nav", "x", "ad"}, True)
     assert html_template.Page.marks(" aria-hidden=true") == (set(), True) and html_template.Page.marks(" aria-hidden='false'") == (set(), False)
 
 
+def texts_of(spark, htmls, host="h.org"):
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", h, "clash", 1) for i, h in enumerate(htmls)], "page_id long, url string, html string, text string, packed int").repartition(4)
+    return [r["text"] for r in html_template.main_texts(df).orderBy("page_id").collect()]
+
+
+def test_classes_decide_what_is_template(spark):
+    """A notice in a container of its own goes, on a third of the pages too; a passage that as many pages share among their paragraphs stays."""
+    notice, passage = '<div class="zq"><p>Our readers choose this tea</p></div>', "<p>A passage that pages quote word by word</p>"
+    page = "<html><body><article><h1>Head {i}</h1><p>story {i} is told here at length</p>{a}{b}<p>tail {i} of it</p></article></body></html>"
+    htmls = [page.replace("{a}", notice if i % 3 == 0 else "").replace("{b}", passage if i % 3 == 1 else "").replace("{i}", str(i)) for i in range(24)]
+    want = [f"Head {i}\n\nstory {i} is told here at length\n\n" + ("A passage that pages quote word by word\n\n" if i % 3 == 1 else "") + f"tail {i} of it" for i in range(24)]
+    assert texts_of(spark, htmls) == want
+    # with each notice's container under another name, its class is broken up: no template, and the texts stay
+    broken = [h.replace("zq", f"zq{i}x") for i, h in enumerate(htmls)]
+    assert texts_of(spark, broken)[0] == want[0].replace("tail", "Our readers choose this tea\n\ntail")
+    # tokens of equal vectors that come in another order on half of the pages aren't a class
+    other = '<div class="b1"><p>One text of the notice</p></div>', '<div class="b2"><p>Another text of the notice</p></div>'
+    mixed = [page.replace("{a}", "".join(other[:: 1 if i % 2 else -1])).replace("{b}", "").replace("{i}", str(i)) for i in range(12)]
+    assert all("One text of the notice" in t for t in texts_of(spark, mixed))
+    assert not any("text of the notice" in t for t in texts_of(spark, [page.replace("{a}", "".join(other)).replace("{b}", "").replace("{i}", str(i)) for i in range(12)]))
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<html><body><div><h1>One head</h1><p>The same story on every page of this host</p></div></body></html>"
+    assert texts_of(spark, [page] * 8) == ["One head\n\nThe same story on every page of this host"] * 8
+
+
+@pytest.mark.parametrize(("name", "out"), [("no-sidebar", False), ("layout no-sidebar", False), ("share-price", False), ("cookieBanner", True), ("ad-box", True), ("site-footer", True), ("related_posts", True), ("adaptive", False), ("searchlight", False)])
+def test_class_names_count_whole(name, out):
+    page = html_template.Page(f'<body><div class="{name}"><p>A price of a share.</p></div><p>Rest.</p></body>')
+    assert html_template.extract(page, None) == ("Rest." if out else "A price of a share.\n\nRest.")
+    page = html_template.Page(f'<body><article><p class="{name}">A price of a share.</p><p>Rest.</p></article></body>')
+    assert html_template.extract(page, None) == ("Rest." if out else "A price of a share.\n\nRest.")
+
+
+def test_deep_and_long_pages():
+    import time
+
+    began = time.perf_counter()
+    page = html_template.Page("<div>" * 30_000 + "<p>deep</p>" + "</div>" * 30_000 + "<p>x &lt; y" * 20_000)
+    assert len(page.blocks) == 20_001 and html_template.extract(page, None).startswith("x < y")
+    assert time.perf_counter() - began < 10
+
+
+def plain_article(text):
+    """The blocks of a page's article by the standard library's parser, for the pages of the tables, which have one each."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        inside, blocks, part = False, (), ""
+
+        def flush(self):
+            words = " ".join(self.part.split())
+            self.blocks, self.part = (*self.blocks, words) if words and self.inside else self.blocks, ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.part += " "
+            elif tag in ("article", "p", "h1", "div", "nav", "footer", "ul", "li"):
+                self.flush()
+                self.inside = self.inside or tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag in ("article", "p", "h1", "div", "nav", "footer", "ul", "li"):
+                self.flush()
+                self.inside = self.inside and tag != "article"
+
+        def handle_data(self, data):
+            self.part += data if self.inside else ""
+
+    reader = Reader()
+    reader.feed(text or "")
+    reader.flush()
+    return "\n\n".join(reader.blocks)
+
+
+def test_main_texts_agree_with_a_plain_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html_template.main_texts(pages).collect()}
+    assert got == {k: plain_article(h) for k, h in html.items()}
+
+
 def test_equivalence_classes_drop_constant_text(spark):
     page = "<html><body><div><p>Sign in to read more</p><p>story {i} with many words of its own</p><p>tail {i}</p></div></body></html>"
     rows = [(i, "http://h.org/x", page.replace("{i}", str(i))) for i in range(5)]
