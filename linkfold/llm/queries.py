@@ -32,7 +32,7 @@ def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"))
-    found = chroma.align(chroma.fingerprints(chroma.melody(vectors)), F.col("id") % 100 == 0)
+    found = chroma.align(chroma.melody_fingerprints(vectors), F.col("id") % 100 == 0)
     return found.withColumnRenamed("id", "vec_id")
 
 
