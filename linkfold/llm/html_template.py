@@ -347,7 +347,7 @@ def host_templates(pages: DataFrame) -> DataFrame:
 
     schema = "host long, kind long, key long, x0 long, x1 long, y long, z0 long, z1 long, n long"
     seen = _by_host(pages.filter("host is not null").select("host", "html"), packed).filter("packed is not null").mapInPandas(look, schema)
-    seen = seen.groupBy("host", "kind", "key").agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.max, "y"), (F.min, "z0"), (F.max, "z1"), (F.sum, "n"))])
+    seen = stored(seen.groupBy("host", "kind", "key").agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.max, "y"), (F.min, "z0"), (F.max, "z1"), (F.sum, "n"))]), "seen")
     row = lambda *columns: F.array(*[c.cast("long") if isinstance(c, Column) else F.lit(c).cast("long") for c in columns]).alias("row")
     valid = seen.filter("kind = 0 and x0 = x1 and z0 = z1").select("host", row(0, F.col("key"), F.col("y"), 0, 0))
     gathered = seen.filter("kind = 1").select("host", row(1, F.col("key"), F.col("n"), F.col("x0"), F.col("y")))
