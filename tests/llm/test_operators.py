@@ -54,6 +54,31 @@ def corpus(spark):
     return texts
 
 
+def test_scratch_refuses_a_cluster_without_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from linkfold.llm import scratch
+
+    def fake(master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]", "k8s://h"):
+        with pytest.raises(ValueError):
+            scratch.shared_dir(fake(master))
+    assert scratch.shared_dir(fake("yarn", "hdfs://n/shared/")) == "hdfs://n/shared"
+    before = list(scratch._stored)
+    scratch._stored.clear()
+    table = scratch.stored(spark.range(3), "gone")
+    path = scratch._stored[0].removeprefix("file://")
+    import os
+
+    assert table.count() == 3 and os.path.isdir(path)
+    scratch.release()
+    assert not os.path.exists(path) and not scratch._stored
+    scratch._stored.extend(before)
+
+
 def test_shards(spark, corpus):
     docs = docs_of(spark, corpus)
     docs = docs.unionByName(docs.limit(2)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
