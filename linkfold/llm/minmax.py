@@ -4,7 +4,7 @@ Under each permutation both the smallest and the largest hash of a document's sh
 permutations give as many signature values, with less variance than from minima alone.  Bands of the signature
 give buckets; documents in a common bucket are candidates, and a link counts only if the full shingle sets confirm it.
 Equal word sequences are one node from the start.  Within buckets, nodes are first checked against one representative each;
-then all candidate pairs that are still in different components are checked, so no link between different texts is lost
+then all candidate pairs that are still in different components are checked, so no candidate between components is left out
 and a group of thousands of copies never becomes all its pairs.
 """
 
@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkfold.llm.components import connected_components
-from linkfold.llm.scratch import stored
+from linkfold.llm.scratch import small_batches, stored
 from linkfold.llm.words import lower_ascii, mix, word_hashes
 
 BANDS, ROWS = 45, 7
-#: Chance of missing a link at similarity 0.85: (1 - 0.85**7)**45, about 3e-8, and 3e-5 at 0.8; less above.
+#: Chance of missing a link at similarity 0.85: (1 - 0.85**7)**45, about 3e-8, and 3e-5 at 0.8; less above.  ``SIGMAS`` adds less than 1e-8.
 PERMUTATIONS = (BANDS * ROWS + 1) // 2
-#: Members of a bucket that are compared with each other in one go.
-BLOCK = 256
+#: Members of a bucket that are compared with each other in one go, and pairs of blocks that Python gets at a time (some 100 MB).
+BLOCK, BLOCK_PAIRS = 256, 256
+#: Candidates whose signatures agree in so many standard deviations less than the threshold aren't confirmed on full sets.
+SIGMAS = 6
 #: Ids that are broadcast at most (16 MB); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20_240_229)
@@ -70,27 +72,31 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for row, doc, text in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
                 words = lower_ascii(text)
                 values = shingles(words, size)
                 if len(values):
                     sig = signature(values)
-                    rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), len(values), band_keys(sig), sig.astype(np.uint8).tobytes()))
+                    rows.append((row, doc, _words_key(words), len(values), band_keys(sig), sig.astype(np.uint8).tobytes()))
                 else:
-                    rows.append((doc, None, 0, None, None))
-            out = pd.DataFrame(rows, columns=["doc_id", "words_key", "n_shingles", "bands", "short"])
-            yield out.astype({"doc_id": "Int64"})
+                    rows.append((row, doc, None, 0, None, None))
+            out = pd.DataFrame(rows, columns=["row", "doc_id", "words_key", "n_shingles", "bands", "short"])
+            yield out.astype({"row": "Int64", "doc_id": "Int64"})
 
-    return docs.mapInPandas(run, "doc_id long, words_key binary, n_shingles long, bands array<long>, short binary")
+    return docs.mapInPandas(run, "row long, doc_id long, words_key binary, n_shingles long, bands array<long>, short binary")
+
+
+def _words_key(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(lower_ascii(t), size).view(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["doc_id"], "shingles": sets})
+            texts = [lower_ascii(t) for t in batch["text"]]
+            yield pd.DataFrame({"words_key": [_words_key(w) for w in texts], "shingles": [shingles(w, size).view(np.int64) for w in texts]})
 
-    return docs.mapInPandas(run, "node long, shingles array<long>")
+    return docs.mapInPandas(run, "words_key binary, shingles array<long>")
 
 
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -104,16 +110,18 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 def _likely_across(members: DataFrame, nodes: DataFrame, percent: int, least: float) -> DataFrame:
     """Pairs (a, b) of ``members`` (bucket, node, n, part) that share a bucket, but not a part, and whose signatures agree enough.
 
-    A bucket's members are dealt into blocks of about BLOCK, and each pair of blocks is compared by itself, so that no task holds a whole
-    bucket, and only likely pairs become rows.  A pair is given once, for the first of the bands that it shares.
+    A bucket's members are dealt into blocks of about BLOCK, and the pairs of blocks are dealt out by themselves, so that no task holds a
+    whole bucket, and only likely pairs become rows.  A pair is given once, for the first of the bands that it shares.
     """
-    counts = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    counts = stored(members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "counts")
     dealt = members.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = dealt.join(nodes.select("node", "bands", "short"), "node")
-    blocks = dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "n", "part", "bands", "short")).alias("members"))
+    blocks = dealt.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("node", "n", "part", "bands", "short")).alias("members"))
     blocks = stored(blocks, "blocks")
-    x = blocks.select("bucket", F.col("block").alias("i"), F.col("members").alias("x"))
-    y = blocks.select("bucket", F.col("block").alias("j"), F.col("members").alias("y"))
+    within = blocks.select("bucket", F.col("block").alias("i"), F.col("block").alias("j"), F.col("members").alias("x"), F.col("members").alias("y"))
+    several = blocks.filter("blocks > 1")
+    x = several.filter("block < blocks - 1").select("bucket", F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("j"), F.col("members").alias("x"))
+    y = several.filter("block > 0").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.col("members").alias("y"))
 
     def matrix(members: list, field: str, dtype: type) -> np.ndarray:
         return np.array([m[field] for m in members], dtype=dtype)
@@ -142,35 +150,45 @@ def _likely_across(members: DataFrame, nodes: DataFrame, percent: int, least: fl
             pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
             yield pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
-    return x.join(y, "bucket").filter("i <= j").mapInPandas(compare, "a long, b long").distinct()
+    pairs = within.unionByName(x.join(y, ["bucket", "i", "j"])).mapInPandas(compare, "a long, b long")
+    with small_batches(members.sparkSession, BLOCK_PAIRS):
+        return stored(pairs, "across").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, row: str | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text; others are ignored): doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest doc_id
-    reachable over links.  Null, empty and blank texts have no shingles and are linked with nothing.  Repeated rows are
-    linked as equal texts are.  A null doc_id has a null component_id and is kept.  ``percent`` below about 70 needs more bands.
+    reachable over links, or, for a row without one, null.  Null, empty and blank texts have no shingles and are linked with nothing.  Repeated
+    rows, and rows that share a doc_id, are linked as their texts are.  kept: whether doc_id is component_id; a null doc_id is kept.  With
+    ``row``, the name of a column of distinct numbers, that column is returned too, and first: whether the row is the one of its
+    component that stays, the first of those with the smallest doc_id.  ``percent`` below about 70 needs more bands.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    docs = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = stored(_described(docs, size), "described")
-    worded = described.filter("words_key is not null and doc_id is not null")
-    nodes = worded.groupBy("words_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short"))
-    nodes = stored(nodes, "nodes")
+    worded = described.filter("words_key is not null")
+    # a text without any doc_id still links others; it stands behind all that have one
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
+    nodes = worded.groupBy("words_key").agg(F.min(order).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short"))
+    nodes = stored(nodes.select("words_key", F.col("least.row").alias("node"), "least", "n", "bands", "short"), "nodes")
 
     placed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head != last")
     members = stored(placed.join(shared.select("bucket", "head"), "bucket"), "members")
 
-    involved = members.select("node").distinct()
-    if involved.count() <= BROADCAST_IDS:
-        involved = F.broadcast(involved)
-    sets = stored(_sets(docs.join(involved, docs["doc_id"] == involved["node"], "left_semi"), size), "sets")
-    shorts = nodes.join(involved, "node", "left_semi").select("node", "n", "short")
+    involved = stored(members.select("node").distinct(), "involved")
+    few = involved.count() <= BROADCAST_IDS
+    shorts = nodes.join(F.broadcast(involved) if few else involved, "node", "left_semi").select("node", "n", "short")
+    # texts are found again by the doc_id of their node, and their sets by the words
+    wanted = nodes.join(F.broadcast(involved) if few else involved, "node", "left_semi").select("words_key", "node", F.col("least.doc_id").alias("of"))
+    ids = wanted.select("of").distinct()
+    ids = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    sets = _sets(ids, size).groupBy("words_key").agg(F.first("shingles").alias("shingles"))
+    sets = stored(wanted.select("words_key", "node").join(sets, "words_key").select("node", "shingles"), "sets")
 
-    # a signature that agrees in less than this is over four standard deviations below the threshold
     share = percent / 100
-    least = share - 4 * (share * (1 - share) / (BANDS * ROWS)) ** 0.5
+    least = share - SIGMAS * (share * (1 - share) / (BANDS * ROWS)) ** 0.5
 
     agreement = F.pandas_udf(_agreement, "double")
 
@@ -194,8 +212,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     # where that left a bucket with several components, every node against the heads of all its buckets
     def mixed_members() -> DataFrame:
         named = members.join(labels, "node", "left").select("bucket", "node", "n", "head", F.coalesce("component", "node").alias("part"))
+        named = stored(named, "named")
         mixed = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q")
-        return stored(named.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
+        return stored(named.join(stored(mixed.select("bucket"), "open"), "bucket", "left_semi"), "mixed")
 
     open_heads = mixed_members().filter("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"), "part").distinct()
     parts = labels.select(F.col("node").alias("b"), "component")
@@ -207,8 +226,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     across = _likely_across(mixed_members().select("bucket", "node", "n", "part"), nodes, percent, least)
     labels = connected_components(edges.unionByName(confirmed(across)))
 
-    group = nodes.join(labels, "node", "left").select("words_key", F.coalesce("component", "node").alias("component"))
+    named = nodes.join(labels, "node", "left").select("words_key", "least", F.coalesce("component", "node").alias("component"))
+    firsts = named.groupBy("component").agg(F.min("least").alias("top"))
+    group = named.join(firsts, "component").select("words_key", "top")
     out = described.join(group, "words_key", "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("top.doc_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), kept.alias("kept"))
+    more = [] if row is None else [F.col("row").alias(row), F.coalesce(F.col("row") == F.col("top.row"), F.lit(True)).alias("first")]
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *more)

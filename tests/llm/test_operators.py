@@ -138,6 +138,11 @@ def test_near_duplicates_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"], r["kept"]) for r in minmax.near_duplicates(df).collect())
     assert got == [(False, 1, 1, True), (False, 1, 1, True), (False, 2, 1, False), (False, 3, 3, True), (True, 0, None, True)]
+    # one row of each group stays: repeated rows, rows without id, and different texts under one id
+    rows = [(0, None, "a b c"), (1, 1, "a b c"), (2, 1, "a b c"), (3, 2, "A B  C"), (4, 3, None), (5, 3, None), (6, 4, "d e f"), (7, 4, "g h i"), (8, 5, "G H I"), (9, None, "k l m"), (10, None, "k l m")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "n long, doc_id long, text string, row string").repartition(3)
+    got = {r["n"]: (r["component_id"], r["first"]) for r in minmax.near_duplicates(df, row="n").collect()}
+    assert got == {0: (None, False), 1: (1, True), 2: (1, False), 3: (1, False), 4: (3, True), 5: (3, True), 6: (4, True), 7: (4, True), 8: (4, False), 9: (None, True), 10: (None, False)}
     assert minmax.near_duplicates(df.limit(0)).count() == 0
 
 
