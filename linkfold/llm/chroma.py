@@ -151,10 +151,12 @@ class QueryIndex:
         self.size = np.array([len(q) for q in queries], dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
         self.owner = np.repeat(np.arange(len(queries)), self.size)
-        votes = self.voting = np.flatnonzero(turns(self.prints, self.first))
+        votes = np.flatnonzero(turns(self.prints, self.first))
         keys = _byte_pairs(self.prints[votes])
-        self.order = np.argsort(keys, axis=1, kind="stable")
-        self.start = np.stack([np.searchsorted(k[o], np.arange(2**16 + 1)) for k, o in zip(keys, self.order, strict=True)])
+        order = np.argsort(keys, axis=1, kind="stable")
+        self.start = np.stack([np.searchsorted(k[o], np.arange(2**16 + 1)) for k, o in zip(keys, order, strict=True)])
+        self.filed = order
+        self.asking = (self.owner[votes] << 21) + 2**20 - (votes - self.first[self.owner[votes]])
         self.voters = np.bincount(self.owner[votes], minlength=len(queries))
 
     def aligned(self, recordings: list[np.ndarray], max_errors: float, least_common: int) -> pd.DataFrame:
@@ -174,36 +176,27 @@ class QueryIndex:
         lots = np.cumsum(per) // LOT_VOTES
         for lot in np.unique(lots):
             mine = np.flatnonzero(lots[owner[at]] == lot)
-            where, votes = [], []
+            votes = []
             for k in range(len(keys)):
                 n = count[k, mine]
+                some = np.flatnonzero(n)
+                n = n[some]
                 ends = np.cumsum(n)
-                place = self.voting[self.order[k][np.repeat(low[k, mine] - ends + n, n) + np.arange(n.sum())]]
-                r = np.repeat(at[mine], n)
-                q, who = self.owner[place], owner[r]
-                shift = (r - first[who]) - (place - self.first[q])
-                packed, c = np.unique((who << 42) | (q << 21) | (shift + 2**20), return_counts=True)
-                where.append(packed)
-                votes.append(c)
-            packed, back = np.unique(np.concatenate(where), return_inverse=True)
-            votes = np.bincount(back, np.concatenate(votes), len(packed))
+                place = self.filed[k][np.repeat(low[k, mine[some]] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+                # recording, query and offset in one number; its parts add up without carrying over
+                votes.append(np.repeat((owner[at[mine[some]]] << 42) + (at[mine[some]] - first[owner[at[mine[some]]]]), n) + self.asking[place])
+            packed, votes = np.unique(np.concatenate(votes), return_counts=True)
             who, q, shift = packed >> 42, (packed >> 21) & (2**21 - 1), (packed & (2**21 - 1)) - 2**20
             a, b = np.maximum(shift, 0), np.maximum(-shift, 0)
             common = np.minimum(size[who] - a, self.size[q] - b)
             wanted = (common >= least_common) & (votes >= np.minimum(np.minimum(voters[who], self.voters[q]), common) // 100)
             who, q, shift, common, a, b = (x[wanted] for x in (who, q, shift, common, a, b))
             a, b = a + first[who], b + self.first[q]
-            # bit errors of the overlap, a bounded number of places at a time
-            part = np.cumsum(common) // LOT_VOTES
-            for p in np.unique(part):
-                i = np.flatnonzero(part == p)
-                n = common[i]
-                begins = np.cumsum(n) - n
-                step = np.arange(n.sum()) - np.repeat(begins, n)
-                wrong = np.bitwise_count(own[np.repeat(a[i], n) + step] ^ self.prints[np.repeat(b[i], n) + step])
-                errors = np.add.reduceat(wrong.astype(np.int64), begins) / (32 * n)
-                near = errors <= max_errors
-                found.append(pd.DataFrame({"recording": who[i][near], "query": q[i][near], "shift": shift[i][near], "common": n[near], "bit_errors": errors[near]}))
+            for part in range(0, len(a), LOT_VOTES // 16):
+                i = slice(part, part + LOT_VOTES // 16)
+                errors = bit_errors(own, self.prints, a[i], b[i], common[i], max_errors)
+                near = np.flatnonzero(errors <= max_errors) + part
+                found.append(pd.DataFrame({"recording": who[near], "query": q[near], "shift": shift[near], "common": common[near], "bit_errors": errors[near - part]}))
         if not found:
             return pd.DataFrame({c: [] for c in ("recording", "query", "shift", "common", "bit_errors")})
         out = pd.concat(found)
@@ -211,6 +204,27 @@ class QueryIndex:
         return out.drop_duplicates(["recording", "query"])[["recording", "query", "shift", "common", "bit_errors"]]
 
 
+def bit_errors(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, common: np.ndarray, max_errors: float) -> np.ndarray:
+    """The share of different bits of each run of ``common`` prints from ``a`` in x and from ``b`` in y, read to the end only while it may still be in the limit; else 1."""
+    wrong, most = np.zeros(len(a), dtype=np.int64), max_errors * 32 * common
+    still, step = np.arange(len(a)), 16
+    x, y = (np.lib.stride_tricks.sliding_window_view(np.concatenate([z, np.zeros(step, dtype=z.dtype)]), step) for z in (x, y))
+    done = 0
+    while len(still):
+        unlike = x[a[still] + done]
+        unlike ^= y[b[still] + done]
+        last = common[still] - done
+        if last.min() < step:
+            short = np.flatnonzero(last < step)
+            unlike[short] *= np.arange(step) < last[short, None]
+        wrong[still] += np.bitwise_count(unlike.view(np.uint64)).sum(axis=1, dtype=np.uint16)
+        over = wrong[still] > most[still]
+        wrong[still[over]] = 32 * common[still[over]]
+        done += step
+        still = still[~over & (last > step)]
+    return wrong / (32 * common)
+
+
 def turns(packed: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The places that vote: the first and last of each run of equal prints, which is every place but those inside a held tone or silence."""
     edge = np.zeros(len(packed) + 1, dtype=bool)
