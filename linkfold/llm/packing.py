@@ -3,8 +3,7 @@
 Documents become pieces of at most ``capacity`` tokens.  Packing is hierarchical: every partition packs its
 own pieces by best fit (longest first, into the open sequence with the least room that still holds the piece),
 emits sequences that are full or nearly so, and passes the underfull ones on as items.  The items of several partitions
-meet in fewer partitions, are packed again by best fit, and so on until one partition of bounded size is left
-or a round no longer merges anything (items over half the capacity can't meet in one sequence).
+meet in fewer partitions, are packed again by best fit, and so on until no two of them can meet.
 """
 
 from __future__ import annotations
@@ -175,8 +174,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, slack: int = 8, partition_item
 
         return run
 
-    total = pieces.count()
-    parts, round_no, finished = max(1, math.ceil(total / partition_items)), 0, []
+    parts, round_no, finished = max(1, math.ceil(pieces.count() / partition_items)), 0, []
     while True:
         # deal out by the first member, so that a retry sees the same partition
         dealt = items.repartition(parts, F.xxhash64(F.col("members")[0]["doc_id"], F.col("members")[0]["piece"]))
@@ -185,14 +183,18 @@ def pack(pieces: DataFrame, capacity: int = 2048, slack: int = 8, partition_item
         if parts == 1:
             break
         left = packed.filter("not done")
-        count = left.count()
-        if count == 0:
-            break
-        if count > 0.98 * total:  # nothing more meets: these stay as they are
+        # two sequences of one partition never fit together, so at most one of each is half empty, and any two that still meet include such a one
+        small = left.filter(2 * F.col("size") <= capacity)
+        few = small.agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least")).first()
+        if not few["n"]:
             finished.append(left)
             break
-        items, total, round_no = left.select("size", "members"), count, round_no + 1
-        parts = max(1, math.ceil(count / partition_items))
+        # of those over half full, as many as there are half empty ones, the emptiest: if any other could take one, so could these
+        others = left.filter((2 * F.col("size") > capacity) & (F.col("size") <= capacity - few["least"])).orderBy("size", "sequence_id").limit(few["n"])
+        chosen = stored(small.unionByName(others), f"underfull{round_no}")
+        finished.append(left.join(chosen.select("sequence_id"), "sequence_id", "left_anti"))
+        items, round_no = chosen.select("size", "members"), round_no + 1
+        parts = min(parts - 1, math.ceil(2 * few["n"] / partition_items))
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)
