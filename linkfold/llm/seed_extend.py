@@ -16,7 +16,7 @@ from itertools import compress
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkfold.llm.scratch import stored
@@ -96,16 +96,18 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
             yield _columns(parts, names)
 
     compared = stored(docs.join(heads.hint("shuffle_hash"), "doc_id").mapInPandas(windows, "anchor long, whole long, k long, content long, doc_id long"), "windows")
+    # minima are written first, so that the join with them is one of plain tables, whose large keys Spark can split
     earliest = compared.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    extended = compared.join(earliest, ["anchor", "content"]).filter("first < doc_id")
-    extended = extended.groupBy("anchor", "whole").agg(F.collect_set("k").alias("ks"))
+    extended = compared.join(stored(earliest, "earliest"), ["anchor", "content"]).filter("first < doc_id").select("anchor", "whole", "k").distinct()
+    # neighbouring windows are one range
+    apart = F.col("k") - F.row_number().over(Window.partitionBy("anchor", "whole").orderBy("k"))
+    extended = extended.withColumn("apart", apart).groupBy("anchor", "whole", "apart").agg(F.min("k").alias("low"), F.max("k").alias("high"))
 
     # an occurrence behind its class's first document is covered throughout, the first document's where it is extended
     same = places.join(classes.select("anchor", "whole", F.col("doc_id").alias("first")), ["anchor", "whole"])
     behind = same.filter("doc_id > first").select("doc_id", "start", (F.col("start") + F.col("count") + window - 1).alias("stop"))
     ahead = same.filter("doc_id = first").join(extended, ["anchor", "whole"])
-    ahead = ahead.select("doc_id", "start", F.explode("ks").alias("k"))
-    ahead = ahead.select("doc_id", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k") + window).alias("stop"))
+    ahead = ahead.select("doc_id", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high") + window).alias("stop"))
     return behind.unionByName(ahead)
 
 
