@@ -8,7 +8,7 @@ documents that consist of such lines but for a ninth and share their longest oth
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkfold.llm.scratch import stored
@@ -17,19 +17,25 @@ from linkfold.llm.scratch import stored
 LG_REGISTERS = 12
 #: Estimates within this factor of the threshold are replaced by exact counts.
 NEAR = 1.25
-#: Two documents that share this much of their text have a similarity of 0.8, from which on the pipeline takes them for near-duplicates.
-COPIED = 8 / 9
+#: Two documents that share eight ninths of their text have a similarity of 0.8, from which on the pipeline takes them for near-duplicates.
+COPIED = (8, 9)
+#: Lost lines that are broadcast at most (some 32 MB); beyond, texts are shuffled.
+BROADCAST_LINES = 2_000_000
+
+
+def _lines(text: Column) -> Column:
+    """A text's distinct lines without blanks at the ends."""
+    return F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.trim(x)))  # F.trim itself would take the index for its second argument
 
 
 def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Hashes (line) of the boilerplate lines of ``docs`` (doc_id, text, source), and (doc_id, line) for those who carry them.
+    """Hashes (line) of the boilerplate lines of ``docs`` (text, source), and (doc, line) for the texts, by their hash, that carry them.
 
     Lines are taken without blanks at the ends; empty lines never count.  A null source is a site of its own.
     """
-    lines = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x)))  # F.trim itself would take the index for its second argument
-    places = docs.select("doc_id", F.xxhash64("source").alias("site"), F.xxhash64("text").alias("doc"), F.length(F.translate("text", "\n", "")).alias("size"), lines.alias("lines"))
-    places = places.select("doc_id", "site", "doc", "size", F.explode("lines").alias("text")).filter("text != ''")
-    places = stored(places.select("doc_id", "site", "doc", "size", F.length("text").alias("n"), F.xxhash64("text").alias("line")), "lines")
+    places = docs.select(F.xxhash64("source").alias("site"), F.xxhash64("text").alias("doc"), F.length(F.translate("text", "\n", "")).alias("size"), F.explode(_lines(F.col("text"))).alias("text"))
+    places = places.filter("text != ''").select("doc", "site", "size", F.length("text").alias("n"), F.xxhash64("text").alias("line"))
+    places = stored(places, "lines")
 
     spread = places.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_REGISTERS)).alias("sketch"))
     spread = spread.select("line", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites / NEAR)
@@ -42,30 +48,33 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> tuple[DataFrame,
     texts = carried.join(wide, "line").select("doc", "size", "n", "line").distinct()
     texts = texts.groupBy("doc").agg(F.max("size").alias("size"), F.sum("n").alias("wide"), F.sort_array(F.collect_list(F.struct("n", "line")), asc=False).alias("lines"))
     longest = [F.get("lines", F.lit(k))["line"] for k in (0, 1)]
-    copied = F.col("wide") >= COPIED * F.col("size")
-    texts = texts.select("doc", copied.alias("copied"), longest[0].alias("first"), longest[1].alias("second"), F.inline("lines"))
+    copied = COPIED[1] * F.col("wide") >= COPIED[0] * F.col("size")
+    texts = stored(texts.select("doc", copied.alias("copied"), longest[0].alias("first"), longest[1].alias("second"), F.inline("lines")), "texts")
     other = F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first"))
     carriers = texts.select("line", "copied", F.when(F.col("copied"), other).otherwise(F.col("doc")).alias("carrier")).distinct()
     found = stored(carriers.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("line"), "boilerplate")
-    return found, carried.join(found, "line").select("doc_id", "line")
+    return found, texts.join(found, "line").select("doc", "line")
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10) -> DataFrame:
-    """The rows and columns of ``docs`` (doc_id, text, source and any others) without boilerplate lines in ``text``.
+    """The rows and columns of ``docs`` (text, source and any others) without boilerplate lines in ``text``.
 
-    Adds n_lines and n_removed.  A text that loses no line stays as it is; a null text stays null with no lines, an empty one has one
-    line that stays.  Rows with a null doc_id count as carriers but lose nothing; repeated rows are treated alike.
+    Adds n_lines and n_removed, in place of columns of these names.  A text that loses no line stays as it is; a null text stays null with no
+    lines, an empty one has one line that stays.  Rows are judged by their texts, whatever their other columns: repeated rows, and rows without doc_id, are
+    treated alike.  The lost lines of each text are broadcast while they are few; a line is held equal to another if their 64-bit hashes are.
     """
-    found = boilerplate_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), min_sites)[1]
-    lost = found.groupBy("doc_id").agg(F.collect_set("line").alias("_lost")).withColumnRenamed("doc_id", "_id")
-    names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    rows = docs.select(*names, F.col("text").alias("_text"), F.split("text", "\n", -1).alias("_lines"))
-    rows = rows.join(lost.hint("shuffle_hash"), rows["doc_id"] == lost["_id"], "left")
-    left = F.filter("_lines", lambda x: ~F.array_contains("_lost", F.xxhash64(F.trim(x))) | (F.trim(x) == ""))
-    rows = rows.withColumn("_left", F.when(F.col("_lost").isNotNull(), left))
-    text = F.when(F.col("_left").isNull(), F.col("_text")).otherwise(F.array_join("_left", "\n")).alias("text")
-    n = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    removed = F.when(F.col("_left").isNull(), 0).otherwise(F.size("_lines") - F.size("_left")).cast("long")
-    order = [F.col(c) for c in names]
-    order.insert(min(docs.columns.index("text"), len(order)), text)
+    found = stored(boilerplate_lines(docs.select("text", "source"), min_sites)[1], "lost")
+    lost = found.groupBy("doc").agg(F.collect_set("line").alias("lost"))
+    lost = F.broadcast(lost) if found.count() <= BROADCAST_LINES else lost.hint("shuffle_hash")
+    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    # names of the rows' own columns are held in a struct, so that none can clash with those used here
+    rows = docs.select(F.struct(*rest).alias("rest") if rest else F.lit(None).alias("rest"), F.col("text").alias("text"), F.split("text", "\n", -1).alias("lines"), F.xxhash64("text").alias("doc"))
+    rows = rows.join(lost, "doc", "left")
+    left = F.filter("lines", lambda x: ~F.array_contains("lost", F.xxhash64(F.trim(x))) | (F.trim(x) == ""))
+    rows = rows.withColumn("kept", F.when(F.col("lost").isNotNull(), left))
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text")
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    removed = F.when(F.col("kept").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long")
+    order = [F.col("rest")[c].alias(c) for c in rest]
+    order.insert(min([c for c in docs.columns if c not in ("n_lines", "n_removed")].index("text"), len(order)), text)
     return rows.select(*order, n.alias("n_lines"), removed.alias("n_removed"))

@@ -89,21 +89,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LINE_SPREAD_SQL = r"""
 WITH rows AS (
   SELECT doc_id, text, coalesce(source, chr(0)) AS site, string_split(text, chr(10)) AS lines FROM documents
-), trimmed AS (
-  SELECT *, list_distinct(list_transform(lines, lambda x: trim(x, ' '))) AS t FROM rows
-), longest AS (
-  SELECT *, list_max(list_transform(t, lambda x: {'n': length(x), 'x': x})).x AS one FROM trimmed
-), second AS (
-  SELECT *, coalesce(list_max(list_transform(list_filter(t, lambda x: x <> one), lambda x: {'n': length(x), 'x': x})).x, '') AS two FROM longest
 ), places AS (
-  SELECT doc_id, site, line, CASE WHEN line = one THEN two ELSE one END AS other FROM (SELECT doc_id, site, one, two, unnest(t) AS line FROM second) WHERE line <> ''
+  SELECT DISTINCT text, site, line FROM (SELECT text, site, unnest(list_transform(lines, lambda x: trim(x, ' '))) AS line FROM rows) WHERE line <> ''
 ), wide AS (
   SELECT line FROM places GROUP BY line HAVING count(DISTINCT site) >= 10
-), copies AS (
-  SELECT line FROM (SELECT line, other, count(*) AS n FROM places SEMI JOIN wide USING (line) GROUP BY line, other)
-  GROUP BY line HAVING 2 * max(n) <= sum(n)
+), carried AS (
+  SELECT DISTINCT text, line FROM places SEMI JOIN wide USING (line)
+), texts AS (
+  SELECT text, 9 * sum(length(line)) >= 8 * length(replace(text, chr(10), '')) AS copied, list(line ORDER BY length(line) DESC, line DESC) AS top FROM carried GROUP BY text
+), carriers AS (
+  SELECT DISTINCT line, copied, CASE WHEN NOT copied THEN text WHEN line = top[1] THEN top[2] ELSE top[1] END AS carrier FROM carried JOIN texts USING (text)
 ), gone AS (
-  SELECT list(line) AS gone FROM copies
+  SELECT list(line) AS gone FROM (SELECT line FROM carriers GROUP BY line HAVING count(*) >= 10)
 )
 SELECT doc_id,
        CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), trim(x, ' '))), chr(10)) END AS text,

@@ -202,6 +202,16 @@ def test_packing(spark, corpus):
     assert sorted(r["length"] for r in nulls) == [1, 2]
 
 
+def test_packing_stops_only_when_no_two_meet(spark):
+    """Nearly all pieces are over half a sequence; the few short ones of the partitions still find a place."""
+    rng = random.Random(2)
+    sizes = [rng.randint(140, 170) for _ in range(400)] + [rng.randint(60, 110) for _ in range(9)]
+    df = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], packing.PIECE_SCHEMA)
+    rows = packing.pack(df, 256, partition_items=50).toPandas()
+    rooms = sorted(rows.groupby("sequence_id")["length"].sum())
+    assert len(rows) == len(sizes) and rooms[0] + rooms[1] > 256 and rooms[-1] <= 256 and len(rooms) == 400
+
+
 def test_best_fit_takes_the_tightest():
     assert packing.best_fit([60, 50, 40, 30, 20], 100) == [0, 1, 0, 1, 1]
 
@@ -220,6 +230,17 @@ def test_line_spread(spark):
     assert line_spread.remove_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_line_spread_takes_odd_rows(spark):
+    """Null ids and sources, repeated rows, long texts, and columns with the names used inside."""
+    texts = [f"own {i}\nshared line" for i in range(12)] + ["x y\n" * 200_000 + "shared line"]
+    rows = [(None if i < 3 else 7, t, f"s{i}" if i else None, "a", "b", "c", 1, 2) for i, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lost string, lines string, doc string, n_lines int, rest int")
+    out = line_spread.remove_boilerplate(df, 10)
+    assert out.columns == ["doc_id", "text", "source", "lost", "lines", "doc", "rest", "n_lines", "n_removed"]
+    got = out.collect()
+    assert len(got) == 26 and all("shared line" not in r["text"] and r["n_removed"] == 1 and r["lost"] == "a" and r["rest"] == 2 for r in got)
+
+
 def test_line_spread_near_threshold_is_exact(spark):
     texts = [f"a long line of its own in document {i}\n" + "\n".join(f"shared by {k}" for k in range(5, 16) if i < k) for i in range(16)]
     out = line_spread.remove_boilerplate(docs_of(spark, texts, source=lambda i: f"site{i}"), 10).collect()
