@@ -124,9 +124,9 @@ WITH parts AS (
 )
 SELECT page_id, host, path, rule,
        CASE WHEN fits.verdict IS NOT NULL THEN fits.verdict
-            WHEN regexp_matches(host, '(^|[.-])(adult|ads-track|casino|cheap-pills|free-bets|spam-farm)[.-]') THEN 'block' ELSE 'allow' END AS verdict
+            WHEN regexp_matches(host, '(^|[.-])(LABELS)[.-]') THEN 'block' ELSE 'allow' END AS verdict
 FROM split LEFT JOIN fits USING (page_id)
-"""
+""".replace("LABELS", "|".join(url_rules.BLOCKED_LABELS))
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_spread": LINE_SPREAD_SQL,

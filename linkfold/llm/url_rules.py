@@ -21,7 +21,7 @@ MAX_RULES = 200_000
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule over "host<NUL>path": ``strength`` decides between fitting rules, larger first; ``shown`` is the name it goes by, if any."""
+    """A rule over "host<NUL>path": ``strength`` decides between fitting rules, larger first, then the rules' order; ``shown`` is the name it goes by, if any."""
 
     verdict: str
     pattern: str
@@ -50,8 +50,30 @@ HOST_RULES = (
     host_rule("block", "example.net", "/de/8"),
     host_rule("block", "org", "/es/"),
 )
-#: Host labels of link farms and the like, for URLs that no host rule fits.
-LABEL_RULES = tuple(label_rule("block", x) for x in ("adult", "ads-track", "casino", "cheap-pills", "free-bets", "spam-farm"))
+#: Host labels of adult sites, gambling, pill shops, trackers and link farms, for URLs that no host rule fits.
+BLOCKED_LABELS = (
+    "adserver", "ads-track", "adult", "betting", "bets", "bingo", "blackjack", "casino", "cheap-meds", "cheap-pills", "cialis", "clickfarm", "cracked", "doorway", "escort", "escorts",
+    "essay-mill", "fake-id", "free-bets", "free-robux", "gambling", "get-rich", "jackpot", "keygen", "link-farm", "linkfarm", "lottery", "malware", "nude", "nudes", "payday-loans",
+    "phishing", "pill-shop", "poker", "porn", "porno", "replica-watches", "roulette", "scam", "sex", "slots", "spam", "spam-farm", "sportsbook", "torrents", "trackers", "viagra", "warez",
+    "webcams", "xxx",
+)
+LABEL_RULES = tuple(label_rule("block", x) for x in BLOCKED_LABELS)
+
+
+def rules_of(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules of a table (kind, verdict, host, path), in the order of its column ``place``: kind "host" or "label", the label in ``host``.
+
+    Rows with another kind or verdict, or without a host, are refused.  A table of more than ``MAX_RULES`` rows is refused, not cut.
+    """
+    rows = table.select("place", "kind", "verdict", "host", "path").orderBy("place").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    out = []
+    for r in rows:
+        if r["kind"] not in ("host", "label") or r["verdict"] not in ("allow", "block") or not r["host"]:
+            raise ValueError(f"not a rule: {r}")
+        out.append(host_rule(r["verdict"], r["host"].lower(), r["path"] or "/") if r["kind"] == "host" else label_rule(r["verdict"], r["host"].lower()))
+    return tuple(out)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -72,23 +94,23 @@ class RuleIndex:
     """Rules by their rarest token; those without a token are tried on every URL."""
 
     def __init__(self, rules: tuple[Rule, ...], counts: dict[str, int]):
-        self.filed: dict[str, list[tuple[Rule, re.Pattern]]] = {}
-        self.always: list[tuple[Rule, re.Pattern]] = []
-        for rule in rules:
-            compiled = rule, re.compile(rule.pattern, re.DOTALL)
+        self.filed: dict[str, list[tuple[int, int, Rule, re.Pattern]]] = {}
+        self.always: list[tuple[int, int, Rule, re.Pattern]] = []
+        for place, rule in enumerate(rules):
+            compiled = -rule.strength, place, rule, re.compile(rule.pattern, re.DOTALL)
             if rule.tokens:
                 self.filed.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(compiled)
             else:
                 self.always.append(compiled)
 
     def judge(self, host: str, path: str) -> tuple[str | None, str]:
-        """The name of the strongest rule that fits, and its verdict; "allow" where none does."""
-        subject, best = f"{host}\0{path}", None
+        """The name of the strongest rule that fits, the first of equals, and its verdict; "allow" where none does."""
+        subject = f"{host}\0{path}"
         fetched = [r for t in dict.fromkeys(_TOKEN.findall(subject)) for r in self.filed.get(t, ())]
-        for rule, pattern in self.always + fetched:
-            if (best is None or rule.strength > best.strength) and pattern.match(subject):
-                best = rule
-        return (best.shown, best.verdict) if best else (None, "allow")
+        for _, _, rule, pattern in sorted(self.always + fetched, key=lambda r: r[:2]):
+            if pattern.match(subject):
+                return rule.shown, rule.verdict
+        return None, "allow"
 
 
 def token_counts(pages: DataFrame, tokens: set[str]) -> dict[str, int]:
