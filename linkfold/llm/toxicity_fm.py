@@ -125,9 +125,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows that aren't held out: a bounded sample of them, but whole texts.
 
     docs: doc_id, text; labels: doc_id, toxic; rows with a null id or label are left out, and without any the score is the same for all.
+    A document that some labels call toxic and others don't is toxic; texts that share a doc_id share its label.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    sample = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).dropDuplicates(["doc_id"])
+    sample = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING_ROWS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sample = stored(docs.join(F.broadcast(sample), "doc_id"), "labelled").repartition(48, "doc_id")
@@ -160,8 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train([r["terms"] for r in rows], np.array([float(r["toxic"] == 1) for r in rows]), places)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows and columns of ``docs`` (text and any others) with ``score``, from 0 to 1; null and empty texts get the model's bias."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The rows and columns of ``docs`` (text and any others) with a score from 0 to 1 in a new column; null and empty texts get the model's bias."""
+    if name in docs.columns:
+        raise ValueError(f"docs have a column {name} already")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -171,5 +174,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.Series(model.scores([reader.read(t) for t in texts]), dtype="float64")
 
     scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("score", F.pandas_udf(scores, "double")("text"))
+    return docs.withColumn(name, F.pandas_udf(scores, "double")("text"))
 
