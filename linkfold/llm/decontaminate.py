@@ -18,12 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkfold.llm.scratch import stored
 from linkfold.llm.words import folded_hashes, mix
 
 #: Repetitions, and words sampled in each; by test, over 95 % of passages edited up to the limit are found, and all others with few edits.
 REPETITIONS, SAMPLED = 24, 3
 #: Words of items that a task holds at a time (some 100 MB with their tables); more items are searched for in blocks.
 BLOCK_WORDS = 1_000_000
+#: Texts whose hashes are broadcast at most (16 MB); beyond, documents are shuffled by them.
+BROADCAST_TEXTS = 1_000_000
 _PAIR = np.uint64(0xA0761D6478BD642F)
 PAIRS_SCHEMA = "doc_id long, item_id long, start long, distance int"
 
@@ -210,18 +213,15 @@ class Items:
         return [(docs[k][0], item, start, d) for (k, item), (d, start) in best.items()]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.2, indels: bool = False) -> DataFrame:
-    """(doc_id, item_id, start, distance) for documents with a window of an item's size, or of any with ``indels``, within the allowed edits of it.
-
-    docs: doc_id, text; items: item_id, text; other columns are ignored.  Words are compared without case and marks at their ends; an item of m
-    words allows m * share edited words; start is the best window's first word.  Rows without words or id, on either side, match nothing;
-    repeated rows give one row for each.  Items are searched for in blocks of bounded size, each against all documents.
-    """
+def _found(docs: DataFrame, items: DataFrame, share: float, indels: bool) -> DataFrame:
+    """(doc_id, item_id, start, distance) for ``docs`` (doc_id: any number, text), with one block of items broadcast at a time."""
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     words = items.agg(F.sum(F.octet_length("text") / 2 + 1).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(words / BLOCK_WORDS))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    if blocks > 1:
+        hashed = F.pandas_udf(lambda texts: pd.Series([folded_hashes(t).tobytes() for t in texts], dtype="object"), "binary")
+        docs = stored(docs.select("doc_id", hashed("text").alias("text")), "hashed")  # words are hashed once for all blocks
     out = None
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).distinct().orderBy("item_id", "text")
@@ -229,18 +229,37 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.2, indels:
 
         def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             block = Items(held.value, share, indels)
+            hashes = folded_hashes if blocks == 1 else lambda x: np.frombuffer(x, dtype=np.uint64)
             for batch in batches:
                 for at in range(0, len(batch), 2_000):
                     part = batch[at : at + 2_000]
-                    rows = block.find([(d, folded_hashes(t)) for d, t in zip(part["doc_id"], part["text"], strict=True)])
+                    rows = block.find([(d, hashes(t)) for d, t in zip(part["doc_id"], part["text"], strict=True)])
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "distance"])
 
-        found = docs.mapInPandas(search, PAIRS_SCHEMA)
+        found = stored(docs.mapInPandas(search, PAIRS_SCHEMA), "contaminated")
+        held.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.2, indels: bool = False) -> DataFrame:
+    """(doc_id, item_id, start, distance) for documents with a window of an item's size, or of any with ``indels``, within the allowed edits of it.
+
+    docs: doc_id, text; items: item_id, text; other columns are ignored.  Words are compared without case and marks at their ends; an item of m
+    words allows m * share edited words; start is the best window's first word.  Rows without words or id, on either side, match nothing;
+    repeated rows give one row for each.  Items are searched for in blocks of bounded size, each against all documents.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    return _found(docs, items, share, indels)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.2, indels: bool = False) -> DataFrame:
-    """The rows and columns of ``docs`` without the documents that hold a benchmark item; see ``contaminated``."""
-    held = contaminated(docs, items, share, indels).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs["doc_id"] == held["_held"], "left_anti")
+    """The rows and columns of ``docs`` (text and any others) without the documents that hold a benchmark item; see ``contaminated``.
+
+    Rows are judged by their texts, so those without a doc_id, and repeated ones, go too; texts are held equal if their 64-bit hashes are.
+    """
+    held = _found(docs.filter("text is not null").select(F.xxhash64("text").alias("doc_id"), "text"), items, share, indels)
+    held = stored(held.select(F.col("doc_id").alias("held")).distinct(), "held")
+    few = held.count() <= BROADCAST_TEXTS
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("held"))  # a struct, so that no name can clash
+    return rows.join(F.broadcast(held) if few else held, "held", "left_anti").select("row.*")

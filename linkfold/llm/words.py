@@ -11,7 +11,7 @@ import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
 _LIMIT = 400_000
-_known: dict[bytes, int] = {}
+_known: dict[bytes, bytes] = {}
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -25,7 +25,7 @@ def lower_ascii(text: str | None) -> list[bytes]:
 
 
 _EDGES = ".,;:!?\"'()[]{}<>*_~`|«»„“”‘’¿¡…–—-"
-_folded: dict[str, int] = {}
+_folded: dict[str, bytes] = {}
 
 
 def folded_hashes(text: str | None) -> np.ndarray:
@@ -40,15 +40,15 @@ def folded_hashes(text: str | None) -> np.ndarray:
         for i, h in enumerate(out):
             if h is None:
                 plain = (words[i].strip(_EDGES) or words[i]).lower()
-                out[i] = h = xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass"))
+                out[i] = h = xxhash.xxh64_digest(plain.encode("utf-8", "surrogatepass"))
                 if room:
                     _folded[words[i]] = h
-    return np.array(out, dtype=np.uint64)
+    return np.frombuffer(b"".join(out), dtype=">u8").astype(np.uint64)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash for each word.  Common words are remembered by the Python worker."""
-    known, digest = _known, xxhash.xxh64_intdigest
+    known, digest = _known, xxhash.xxh64_digest
     out = list(map(known.get, words))
     if None in out:
         room = len(known) < _LIMIT
@@ -57,7 +57,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
                 out[i] = h = digest(words[i])
                 if room:
                     known[words[i]] = h
-    return np.array(out, dtype=np.uint64)
+    return np.frombuffer(b"".join(out), dtype=">u8").astype(np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
