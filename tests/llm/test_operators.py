@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from linkfold.llm import chroma, decontaminate, html_template, line_spread, minmax, packing, seed_extend, sharding, toxicity_fm, url_rules
 from linkfold.llm.components import connected_components
 from linkfold.llm.queries import tokenizer_path
+from linkfold.llm.scratch import stored
 from linkfold.llm.words import folded_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, pos string, size string, node string"
@@ -96,6 +97,26 @@ def test_shards(spark, corpus):
     assert sharding.kd_shards(small, None, target_bytes=20_000).agg(F.max("shard")).first()[0] >= 5
 
 
+def test_shards_keep_groups_of_copies_whole(spark):
+    """Groups up to a shard's size stay in one shard, one beyond is cut, and sizes are still near equal; the tree's splits match a plain reading of them."""
+    texts = [" ".join(words(30, k)) for k in range(1_500)]
+    for k, n in enumerate((5, 20, 60, 100, 140, 900)):
+        texts += [" ".join(words(30, 9_000 + k))] * n
+    docs = docs_of(spark, texts)
+    rows = sharding.kd_shards(docs, shards=9).toPandas()
+    where = rows.groupby("text_crc32")["shard"].nunique()
+    total, biggest = rows["size"].sum(), zlib.crc32(texts[-1].encode())
+    assert (where.drop(biggest) == 1).all() and where[biggest] > 1
+    sizes = rows.groupby("shard")["size"].sum()
+    assert len(sizes) == 9 and sizes.max() < 1.04 * total / 9 and sizes.min() > 0.96 * total / 9
+    # a cut in the tree is the weighted quantile of its dimension, by plain sorting
+    units = spark.createDataFrame([(1 + k % 7, int(x) << 32) for k, x in enumerate(np.random.default_rng(1).integers(0, 10**6, 5_000))], "weight long, x long")
+    splits, numbers = sharding.split_tree(units, ["x"], [1.0, 1.0, 2.0])
+    plain = sorted((r["x"], r["weight"]) for r in units.collect())
+    below, whole = sum(w for x, w in plain if x <= splits[1][1]), sum(w for _, w in plain)
+    assert set(numbers.values()) == {0, 1, 2} and abs(below / whole - 1 / 4) < 0.005
+
+
 def test_components(spark):
     chain = [(i + 1, i) for i in range(0, 40)] + [(100, 101), (101, 102), (200, 200), (5, None)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -184,7 +205,7 @@ def test_packing(spark, corpus):
     tokenizer.encode_special_tokens = True
     texts = [*corpus, "Ünïcode ’tis don't I'LL 12,5% 中文字 <|endoftext|> a b c\x1cd\x85e", "x" * 5_000, "İstanbul ΣΑΣ é"]
     docs = docs_of(spark, texts)
-    rows = packing.pack(packing.token_pieces(docs, tokenizer_path(), 256).localCheckpoint(), 256, partition_items=60).toPandas()
+    rows = packing.pack(stored(packing.token_pieces(docs, tokenizer_path(), 256), "pieces"), 256, partition_items=60).toPandas()
     by_doc = {d: g.sort_values("piece") for d, g in rows.groupby("doc_id")}
     for i, t in enumerate(texts):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
@@ -308,6 +329,22 @@ def test_decontamination_folds_case_and_marks(spark):
     assert sorted((r["doc_id"], r["start"], r["distance"]) for r in found) == [(0, 1, 0), (1, 1, 0)]
 
 
+def test_decontamination_takes_odd_rows_and_many_blocks(spark, monkeypatch):
+    items = [(k, " ".join(words(20, 50_000 + k))) for k in range(12)]
+    texts = [f"before {items[i % 12][1]} after" if i % 2 else " ".join(words(40, 60_000 + i)) for i in range(48)] + [" ".join(words(120_000, 3)) + " " + items[0][1]]
+    rows = [(None if i < 6 else i // 2, t, i, "h", "r") for i, t in enumerate(texts)] + [(99, None, 98, "h", "r"), (99, "", 99, "h", "r")]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, n int, held string, row string").repartition(3)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([r[2] for r in rows if r[2] % 2 == 0 and r[2] != 48 or r[2] == 99] * 2)
+    kept = decontaminate.decontaminate(df, table)
+    assert kept.columns == df.columns and sorted(r["n"] for r in kept.collect()) == want
+    once = decontaminate.contaminated(df, table).collect()
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+    monkeypatch.setattr(decontaminate, "BROADCAST_TEXTS", 1)
+    assert sorted(decontaminate.contaminated(df, table).collect()) == sorted(once) and len(once) == 2 * 22
+    assert sorted(r["n"] for r in decontaminate.decontaminate(df, table).collect()) == want
+
+
 def test_edit_distances():
     def plain(a, b):
         row = list(range(len(b) + 1))
@@ -323,6 +360,29 @@ def test_edit_distances():
     assert list(decontaminate.edit_distances(a, b)) == [plain(x, y) for x, y in zip(a.tolist(), b.tolist())]
 
 
+def test_toxicity_scores_are_a_plain_double_sum():
+    rng = np.random.default_rng(9)
+    model = toxicity_fm.Model({k: k for k in range(30)}, -0.4, rng.normal(size=30), rng.normal(size=(30, toxicity_fm.FACTORS)) / 3)
+    rows = [sorted(rng.choice(30, n, replace=False).tolist()) for n in (0, 1, 2, 9, 30)]
+    for row, got in zip(rows, model.scores(rows)):
+        raw = model.bias + sum(model.weights[i] for i in row) + sum(float(model.factors[i] @ model.factors[j]) for i in row for j in row if i < j)
+        assert abs(got - 1 / (1 + np.exp(-raw))) < 1e-12
+
+
+def test_toxicity_takes_odd_rows(spark):
+    """Labels that contradict each other, repeated rows, null ids, long texts, and a column of the score's name."""
+    rows = [(i % 400, ("vermin " if i % 2 else "") + " ".join(words(20, i, 200)), "x") for i in range(800)] + [(None, "vermin", "x"), (1, "vermin " * 200_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(400)] + [(i, 0) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity_fm.fit(docs, labels)
+    with pytest.raises(ValueError):
+        toxicity_fm.score(docs, model)
+    got = toxicity_fm.score(docs, model, "found").toPandas()
+    assert len(got) == 802 and (got["score"] == "x").all()
+    toxic = got["text"].str.startswith("vermin")
+    assert got["found"][toxic].min() > 0.5 > got["found"][~toxic].max()
+
+
 def test_toxicity_learns_pairs(spark):
     rng = random.Random(4)
     rows, labels = [], []
@@ -356,6 +416,19 @@ def test_url_rules(url, want):
     assert (host, path, *url_rules.RuleIndex(rules, counts).judge(host, path)) == want
 
 
+def test_url_rules_of_a_table_and_odd_rows(spark):
+    table = [(3, "host", "allow", "a.com", "/x"), (1, "label", "block", "shop", None), (2, "host", "block", "a.com", "/x"), (4, "host", "allow", "com", "/")]
+    rules = url_rules.rules_of(spark.createDataFrame(table, "place int, kind string, verdict string, host string, path string"))
+    urls = [(1, "http://a.com/x/1"), (None, "http://shop.b.org/"), (1, "http://a.com/x/1"), (2, "http://b.com/x"), (3, None)]
+    df = spark.createDataFrame([(*u, "r", "v") for u in urls], "page_id long, url string, rule string, verdict string")
+    got = sorted(((r["page_id"] or 0, r["rule"], r["verdict"]) for r in url_rules.judge_urls(df, rules).collect()), key=str)
+    # of two rules alike in strength the first in order decides
+    assert got == [(0, None, "block"), (1, "a.com/x", "block"), (1, "a.com/x", "block"), (2, "com/", "allow"), (3, None, "allow")]
+    for bad in ((1, "host", "maybe", "a", "/"), (1, "path", "allow", "a", "/"), (1, "host", "allow", None, "/")):
+        with pytest.raises(ValueError):
+            url_rules.rules_of(spark.createDataFrame([bad], "place int, kind string, verdict string, host string, path string"))
+
+
 def test_url_index_is_all_rules(spark):
     """Fetching candidates by token judges as trying every rule does."""
     rng = random.Random(8)
