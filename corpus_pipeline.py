@@ -12,22 +12,37 @@ from linkfold.llm.queries import TOXIC_FROM, table, tokenizer_path
 from linkfold.llm.scratch import stored
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` don't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, fitted on the labels that aren't held out, scores below the threshold."""
+    score = unused(docs, "score")
     model = toxicity_fm.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity_fm.score(docs, model).filter(F.col("score") < TOXIC_FROM).drop("score")
+    return toxicity_fm.score(docs, model, score).filter(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def strip_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that ten or more sites carry."""
-    stripped = line_spread.remove_boilerplate(docs, min_sites=10)
-    return stripped.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else c for c in docs.columns])
+    held = docs.select("text", "source", F.struct(*docs.columns).alias("row"))  # the operator's own columns can't clash with those of a struct
+    stripped = line_spread.remove_boilerplate(held, min_sites=10)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return stripped.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates (five-word shingles, similarity of 0.8 or more)."""
-    gone = minmax.near_duplicates(docs, percent=80).filter("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """One row, the first of those with the smallest id, of each group of near-duplicates (five-word shingles, similarity of 0.8 or more).
+
+    Rows are told apart by numbers of their own, so of repeated rows one stays, and rows without doc_id are judged like others.
+    """
+    row, gone = unused(docs, "row"), unused(docs, "gone")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = minmax.near_duplicates(numbered.select("doc_id", "text", row), percent=80, row=row).filter("not first").select(F.col(row).alias(gone))
+    return numbered.join(found, numbered[row] == found[gone], "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
