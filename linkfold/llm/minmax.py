@@ -23,12 +23,13 @@ from linkfold.llm.scratch import small_batches, stored
 from linkfold.llm.words import lower_ascii, mix, word_hashes
 
 BANDS, ROWS = 45, 7
-#: Chance of missing a link at similarity 0.85: (1 - 0.85**7)**45, about 3e-8, and 3e-5 at 0.8; less above.  ``SIGMAS`` adds less than 1e-8.
+#: Chance of missing a link at similarity 0.85: (1 - 0.85**7)**45, about 3e-8, and 3e-5 at 0.8; less above.  ``SIGMAS`` adds 3e-6.
 PERMUTATIONS = (BANDS * ROWS + 1) // 2
 #: Members of a bucket that are compared with each other in one go, and pairs of blocks that Python gets at a time (some 100 MB).
 BLOCK, BLOCK_PAIRS = 256, 256
-#: Candidates whose signatures agree in so many standard deviations less than the threshold aren't confirmed on full sets.
-SIGMAS = 6
+#: Candidates whose signatures agree in so many standard deviations less than the threshold aren't confirmed on full sets: with more of them, the
+#: pairs of a large group that are nearly links, but aren't, become rows.
+SIGMAS = 4.5
 #: Ids that are broadcast at most (16 MB); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20_240_229)
