@@ -33,8 +33,9 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> tuple[DataFrame,
 
     Lines are taken without blanks at the ends; empty lines never count.  A null source is a site of its own.
     """
-    places = docs.select(F.xxhash64("source").alias("site"), F.xxhash64("text").alias("doc"), F.length(F.translate("text", "\n", "")).alias("size"), F.explode(_lines(F.col("text"))).alias("text"))
-    places = places.filter("text != ''").select("doc", "site", "size", F.length("text").alias("n"), F.xxhash64("text").alias("line"))
+    # a text is hashed and measured before its lines become rows, not once for each
+    places = docs.select(F.xxhash64("source").alias("site"), F.xxhash64("text").alias("doc"), F.length(F.translate("text", "\n", "")).alias("size"), _lines(F.col("text")).alias("lines"))
+    places = places.select("site", "doc", "size", F.explode("lines").alias("text")).filter("text != ''").select("doc", "site", "size", F.length("text").alias("n"), F.xxhash64("text").alias("line"))
     places = stored(places, "lines")
 
     spread = places.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_REGISTERS)).alias("sketch"))
