@@ -27,7 +27,7 @@ REPETITIONS, SAMPLED = 24, 3
 BLOCK_WORDS = 1_000_000
 #: Texts whose hashes are broadcast at most (16 MB); beyond, documents are shuffled by them.
 BROADCAST_TEXTS = 1_000_000
-_PAIR = np.uint64(0xA0761D6478BD642F)
+_PAIR, _STEP = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 PAIRS_SCHEMA = "doc_id long, item_id long, start long, distance int"
 
 
@@ -66,15 +66,21 @@ def cgk_keys(stream: np.ndarray, starts: np.ndarray, m: int, first: np.ndarray |
     for r in range(REPETITIONS):
         picked[rng.choice(steps, SAMPLED, replace=False), r] = True
     last = int(np.flatnonzero(picked.any(axis=1)).max())
-    at = np.zeros((REPETITIONS, len(starts)), dtype=np.int64)
+    # each window's words in a row of their own, with a blank behind them at which walks end
+    spots = starts[:, None] + np.arange(m + 1)
+    inside = (spots >= np.reshape(first, (-1, 1))) & (spots < np.reshape(end, (-1, 1)))
+    inside[:, m] = False
+    words = np.where(inside, stream[np.clip(spots, 0, len(stream) - 1)], np.uint64(0)).ravel()
+    begin = np.arange(len(starts)) * (m + 1)
+    at = np.broadcast_to(begin, (REPETITIONS, len(starts))).copy()
     keys = np.broadcast_to(np.arange(1, REPETITIONS + 1, dtype=np.uint64)[:, None], at.shape).copy()
     for j in range(last + 1):
-        place = starts + at
-        word = np.where((at < m) & (place >= first) & (place < end), stream[np.clip(place, 0, len(stream) - 1)], np.uint64(0))
+        word = words[at]
         r = picked[j]
         if r.any():
             keys[r] = mix(keys[r] * _PAIR + word[r])
-        at += (mix(word ^ bits[j]) >> np.uint64(63)).astype(np.int64)
+        at += (((word ^ bits[j]) * _STEP) >> np.uint64(63)).astype(np.int64)
+        np.minimum(at, begin + m, out=at)
     return keys
 
 
