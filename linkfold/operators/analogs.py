@@ -2,67 +2,144 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkfold.operators.lexicon import CATEGORY, TYPE
+from linkfold.functions.classes import GRAPE_ALIASES, GRAPES, color_key, grapes_match, split_grapes, type_key
+from linkfold.functions.text import canonical, distinct_words, entity_form, is_bad_producer
+from linkfold.operators.lexicon import CATEGORY, TYPE, lexicon_hits
 
-# Weights of the criteria, and what a type that is near or unknown, or a conflicting colour, is worth.
+# Weights of the criteria, what a type that is near or unknown, or a conflicting colour, is worth, and the parts of a grape's share.
 WEIGHTS = {"producer": 0.35, "grape": 0.30, "category": 0.20, "type": 0.15}
 TYPE_NEAR, TYPE_UNKNOWN, COLOR_CONFLICT = 0.4, 0.5, 0.75
+GRAPE_RECALL, GRAPE_SHARE = 0.75, 0.25
 RANK_MISSING = 10_000
 CATEGORY_ORDER = tuple(c for c, _ in CATEGORY)
 TYPE_ORDER = tuple(c for c, _ in TYPE)
+#: Queries that are broadcast at most (some 20 MB of criteria); more are ranked in blocks.
+BLOCK_QUERIES = 50_000
+_LIST = "array<string>"
 
 
-def canon_rank(column: str, order: tuple[str, ...]):
+def canon_rank(column: str, order: tuple[str, ...]) -> Column:
     """A canonical form's place in its lexicon; forms that are missing come last."""
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column))
     return F.when(place > 0, place - 1).otherwise(RANK_MISSING)
 
 
-def rank_analogs(criteria: DataFrame, catalog: DataFrame, n: int = 10, cosine: DataFrame | None = None, category_order: tuple[str, ...] = CATEGORY_ORDER, type_order: tuple[str, ...] = TYPE_ORDER) -> DataFrame:
-    """(query_id, id, score, hits, rank): the ``n`` best items of ``catalog`` (id, producer, grapes, category, type) for each row of ``criteria`` (query_id, and the
-    same columns, null or empty where nothing is asked; exclude_id).
+def _listed(df: DataFrame, name: str, plural: str) -> Column:
+    """A column of lists: ``plural``, or the single values of ``name``; null counts as empty."""
+    values = F.col(plural) if plural in df.columns else F.filter(F.array(F.col(name)), lambda x: x.isNotNull())
+    return F.coalesce(values, F.array().cast(_LIST))
+
+
+def rank_analogs(criteria: DataFrame, catalog: DataFrame, n: int = 10, cosine: DataFrame | None = None, rejected: DataFrame | None = None, category_order: tuple[str, ...] = CATEGORY_ORDER, type_order: tuple[str, ...] = TYPE_ORDER) -> DataFrame:
+    """(query_id, id, score, hits, rank): the ``n`` best items of ``catalog`` (id, producer, grapes, category, type) for each row of ``criteria`` (query_id,
+    producer or producers, grapes, category or categories, type; null or empty where nothing is asked; exclude_id).
 
-    Items meet queries over a common producer, grape or category, or an equal or neighbouring type, by equal joins; a pair that shares none of these scores at most
-    what an unknown type is worth, and comes in only where a query asks for nothing else.  cosine (query_id, id, cosine) breaks ties.
+    Every item is scored, one whose type is unknown too; what scores 0 is left out.  Ties go to the category's and the type's order, the cosine (query_id, id,
+    cosine), the number of hits and the smaller id.  Queries are a stated set: they are broadcast in blocks of bounded size, and each task keeps the best ``n`` of
+    each query before anything is shuffled.  rejected (query_id, id) are left out.
     """
-    rank_of = lambda c: canon_rank(c, type_order)
-    wanted = criteria.select("query_id", "exclude_id", F.col("producer").alias("q_producer"), F.coalesce("grapes", F.array().cast("array<string>")).alias("q_grapes"), F.col("category").alias("q_category"), F.col("type").alias("q_type"), rank_of("type").alias("q_rank"))
-    items = catalog.withColumn("type_rank", rank_of("type"))
-    key = lambda kind, c: F.when(c.isNotNull(), F.concat(F.lit(kind), c.cast("string")))
-    of = lambda producer, grapes, category, types: F.array_distinct(F.filter(F.concat(F.array(key("p:", producer), key("c:", category)), F.transform(grapes, lambda g: F.concat(F.lit("g:"), g)), types), lambda x: x.isNotNull()))
-    near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.when(F.col("q_type").isNotNull(), F.concat(F.lit("t:"), (F.col("q_rank") + d).cast("string"))))
-    unknown = F.array(F.when(F.col("q_type").isNotNull() & F.col("q_producer").isNull() & F.col("q_category").isNull() & (F.size("q_grapes") == 0), "t:none"))
-    asks = wanted.withColumn("meet", F.explode(of(F.col("q_producer"), F.col("q_grapes"), F.col("q_category"), F.concat(near, unknown))))
-    own = F.array(F.when(F.col("type").isNull(), "t:none").otherwise(F.concat(F.lit("t:"), F.col("type_rank").cast("string"))))
-    meets = items.withColumn("meet", F.explode(of(F.col("producer"), F.coalesce("grapes", F.array().cast("array<string>")), F.col("category"), own)))
-    pairs = asks.join(meets, "meet").drop("meet").dropDuplicates(["query_id", "id"]).filter(~F.col("id").eqNullSafe(F.col("exclude_id")))
-
-    hit_grapes = F.size(F.array_intersect("q_grapes", F.coalesce("grapes", F.array().cast("array<string>"))))
-    asks_grape = F.size("q_grapes") > 0
-    producer = F.coalesce(F.col("producer") == F.col("q_producer"), F.lit(False))
-    category = F.coalesce(F.col("category") == F.col("q_category"), F.lit(False))
-    conflict = F.col("q_category").isNotNull() & F.col("category").isNotNull() & ~category
-    grape = F.when(hit_grapes > 0, 0.75 * hit_grapes / F.size("q_grapes") + 0.25 * F.least(F.lit(1.0), hit_grapes / F.greatest(F.size("grapes"), F.lit(1)))).otherwise(0.0)
+    asked = criteria.select(
+        "query_id", "exclude_id", _listed(criteria, "producer", "producers").alias("q_producers"), F.coalesce("grapes", F.array().cast(_LIST)).alias("q_grapes"),
+        _listed(criteria, "category", "categories").alias("q_categories"), F.col("type").alias("q_type"), canon_rank("type", type_order).alias("q_rank"),
+    )
+    asks = lambda c: (F.size(c) > 0).cast("double")
+    total = WEIGHTS["producer"] * asks("q_producers") + WEIGHTS["grape"] * asks("q_grapes") + WEIGHTS["category"] * asks("q_categories") + WEIGHTS["type"] * F.col("q_type").isNotNull().cast("double")
+    asked = asked.withColumn("asked", total)
+    items = catalog.select("id", "producer", F.coalesce("grapes", F.array().cast(_LIST)).alias("grapes"), "category", "type", canon_rank("type", type_order).alias("type_rank"), canon_rank("category", category_order).alias("category_rank"))
+    blocks = max(1, math.ceil(criteria.count() / BLOCK_QUERIES))
+    best = None
+    for b in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
+        pairs = items.join(F.broadcast(block), F.lit(True)).filter(~F.col("id").eqNullSafe(F.col("exclude_id")))
+        scored = _scored(pairs)
+        if rejected is not None:
+            scored = scored.join(rejected.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
+        scored = scored.join(cosine, ["query_id", "id"], "left") if cosine is not None else scored.withColumn("cosine", F.lit(None).cast("double"))
+        order = [F.desc("exact"), "category_rank", "type_rank", F.coalesce("cosine", F.lit(-1.0)).desc(), F.desc("hits"), "id"]
+        part = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= n)
+        best = part if best is None else best.unionByName(part)
+    return best.select("query_id", "id", F.round("exact", 6).alias("score"), "hits", "rank")
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """Pairs of an item and a query's criteria with exact, the score as it is ranked by, and hits."""
+    zero_one = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    producer, category = zero_one(F.array_contains("q_producers", F.col("producer"))), zero_one(F.array_contains("q_categories", F.col("category")))
+    conflict = (F.size("q_categories") > 0) & F.col("category").isNotNull() & (category == 0)
+    pairs = pairs.withColumn("grape_hits", F.size(F.filter("q_grapes", lambda q: F.exists("grapes", lambda g: grapes_match(q, g)))))
+    share = F.least(F.lit(1.0), F.col("grape_hits") / F.greatest(F.size("grapes"), F.lit(1)))
+    grape = F.when(F.col("grape_hits") > 0, GRAPE_RECALL * F.col("grape_hits") / F.size("q_grapes") + GRAPE_SHARE * share).otherwise(0.0)
     kind = F.when(F.col("q_type").isNull(), 0.0).when(F.col("type").isNull(), TYPE_UNKNOWN).when(F.col("type") == F.col("q_type"), 1.0)
     kind = kind.when(F.abs(F.col("type_rank") - F.col("q_rank")) <= 1, TYPE_NEAR).otherwise(0.0)
-    same_type = F.coalesce(F.col("type") == F.col("q_type"), F.lit(False))
-    one = lambda c: c.cast("double")
-    raw = WEIGHTS["producer"] * one(producer) + WEIGHTS["grape"] * grape + WEIGHTS["category"] * one(category) + WEIGHTS["type"] * kind
-    asked = WEIGHTS["producer"] * one(F.col("q_producer").isNotNull()) + WEIGHTS["grape"] * one(asks_grape) + WEIGHTS["category"] * one(F.col("q_category").isNotNull()) + WEIGHTS["type"] * one(F.col("q_type").isNotNull())
-    scored = pairs.withColumn("raw", raw).filter("raw > 0")
-    score = F.round(F.col("raw") / asked * F.when(conflict, COLOR_CONFLICT).otherwise(1.0), 6)
-    hits = one(producer) + one(hit_grapes > 0) + one(category) + one(same_type)
-    scored = scored.withColumns({"score": score, "hits": hits.cast("int"), "category_rank": canon_rank("category", category_order)})
-    scored = scored.join(cosine, ["query_id", "id"], "left") if cosine is not None else scored.withColumn("cosine", F.lit(None).cast("double"))
-    order = [F.desc("score"), "category_rank", "type_rank", F.coalesce("cosine", F.lit(-1.0)).desc(), F.desc("hits"), "id"]
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= n)
-    return best.select("query_id", "id", "score", "hits", "rank")
+    raw = WEIGHTS["producer"] * producer + WEIGHTS["grape"] * grape + WEIGHTS["category"] * category + WEIGHTS["type"] * kind
+    hits = producer + (F.col("grape_hits") > 0).cast("double") + category + zero_one(F.col("type") == F.col("q_type"))
+    exact = F.col("raw") / F.col("asked") * F.when(conflict, COLOR_CONFLICT).otherwise(1.0)
+    scored = pairs.withColumns({"raw": raw, "hits": hits.cast("int")}).filter("raw > 0").withColumn("exact", exact)
+    return scored.select("query_id", "id", "exact", "hits", "category_rank", "type_rank")
 
 
 def cosine_fallback(hits: DataFrame, rejected: DataFrame, n: int = 5, least: float = 0.70) -> DataFrame:
     """The ``n`` nearest of ``hits`` (query_id, id, cosine) over a cosine, without rejected ones (query_id, id)."""
     left = hits.join(rejected.select("query_id", "id"), ["query_id", "id"], "left_anti").filter(F.col("cosine") > least)
     return left.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))).filter(F.col("rank") <= n)
+
+
+def find_analogs(criteria: DataFrame, catalog: DataFrame, hits: DataFrame, rejected: DataFrame, n: int = 10, fallback: int = 5, least: float = 0.70) -> DataFrame:
+    """(query_id, id, score, rank, source): the analogs of each query by its criteria, and for queries without any the nearest of ``hits`` (query_id, id, cosine)."""
+    ranked = rank_analogs(criteria, catalog, n, hits.select("query_id", "id", "cosine"), rejected)
+    found = ranked.select("query_id", "id", "score", "rank", F.lit("criteria").alias("source"))
+    near = cosine_fallback(hits.select("query_id", "id", "cosine"), rejected, fallback, least).join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return found.unionByName(near.select("query_id", "id", F.col("cosine").alias("score"), "rank", F.lit("embedding_cosine").alias("source")))
+
+
+def catalog_canons(catalog: DataFrame) -> DataFrame:
+    """(id, producer, grapes, category, type) of ``catalog`` (id, name, producer, category, color, type, grapes, label): canonical criteria.
+
+    The category is the first colour that the category, the recognised colour or the name says; the type the first that the recognised type, the name or the label does.
+    """
+    grapes = F.array_distinct(F.transform(split_grapes(F.col("grapes")), lambda g: canonical(g)))
+    aliased = F.transform(grapes, lambda g: _alias(g))
+    producer = distinct_words(F.trim(F.col("producer")))
+    return catalog.select(
+        "id", F.when(~is_bad_producer(entity_form(producer)), canonical(producer)).alias("producer"), F.filter(aliased, lambda g: F.length(g) >= 3).alias("grapes"),
+        F.coalesce(color_key(F.col("category")), color_key(F.col("color")), color_key(F.col("name"))).alias("category"), F.coalesce(type_key(F.col("type")), type_key(F.col("name")), type_key(F.col("label"))).alias("type"),
+    )
+
+
+def _alias(grape: Column) -> Column:
+    out = grape
+    for alias, canon in GRAPE_ALIASES.items():
+        out = F.when(grape == alias, canon).otherwise(out)
+    return out
+
+
+def text_criteria(texts: DataFrame, producers: DataFrame, most_producers: int = 3) -> DataFrame:
+    """(query_id, exclude_id, producers, grapes, categories, type) of ``texts`` (query_id, text): what a recognised text asks for.
+
+    producers: a lexicon of producers' forms (``lexicon_table``); of forms within each other the longest counts, and at most ``most_producers`` are asked for.  A
+    grape that begins another one found is left out.
+    """
+    named = texts.select("query_id", canonical(F.col("text")).alias("plain"))
+    found = lexicon_hits(texts.select(F.col("query_id").alias("id"), "text"), producers)
+    longest = found.withColumn("r", F.row_number().over(Window.partitionBy("id", "canon").orderBy(F.length("form").desc(), "form"))).filter("r = 1")
+    forms = longest.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.length("form")).alias("l"), "form", "canon"))).alias("f"))
+    kept = F.filter("f", lambda x: ~F.exists("f", lambda y: (y["form"] != x["form"]) & y["form"].contains(x["form"])))
+    forms = forms.select(F.col("id").alias("query_id"), F.slice(F.transform(kept, lambda x: x["canon"]), 1, most_producers).alias("producers"))
+    grapes = F.filter(F.array(*[F.when(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")).contains(f" {g} "), F.lit(GRAPE_ALIASES.get(g, g))) for g in GRAPES]), lambda g: g.isNotNull())
+    rows = named.withColumn("g", F.array_distinct(grapes))
+    whole = F.filter("g", lambda x: ~F.exists("g", lambda y: (y != x) & F.concat(F.lit(" "), y, F.lit(" ")).contains(F.concat(F.lit(" "), x, F.lit(" ")))))
+    rows = rows.select("query_id", whole.alias("grapes"), F.filter(F.array(color_key(F.col("plain"))), lambda c: c.isNotNull()).alias("categories"), type_key(F.col("plain")).alias("type"))
+    out = rows.join(forms, "query_id", "left").withColumn("producers", F.coalesce("producers", F.array().cast(_LIST)))
+    return out.select("query_id", F.lit(None).cast("long").alias("exclude_id"), "producers", "grapes", "categories", "type")
+
+
+def rescored(texts: DataFrame, lexicon: DataFrame, catalog: DataFrame, hits: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The analogs of stored queries from their texts (query_id, text): criteria are read again and ranked against the catalogue as it is now."""
+    return find_analogs(text_criteria(texts, lexicon), catalog, hits, rejected)
+
+

@@ -109,18 +109,35 @@ def timing_histogram(rows: DataFrame, seconds: str) -> DataFrame:
     return counted.join(F.broadcast(total), F.lit(True)).select("second", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("pct"))
 
 
+#: Ranges that the values of a group are counted in before any are sorted.
+RANGES = 4_096
+
+
 def medians(rows: DataFrame, group: str, value: str) -> DataFrame:
     """For each group: the nearest-rank median (half to even), the interpolated median, and linear quantiles.
 
-    Each takes the group's distinct values with their counts, which partial aggregation makes, and no group's rows are sorted in one task.
+    Values are counted by range first, over equal parts of the group's span; running sums over these tell which few ranges hold the wanted ranks, and only their
+    values are put in order, range by range, so a group with a third of all rows is in no task as a whole.  Null and NaN values don't count.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("k"))
-    ahead = F.sum("k").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumns({"upto": ahead, "n": F.sum("k").over(Window.partitionBy(group))})
-    place = F.bround((F.col("n") - 1) / 2, 0).cast("long")
-    nearest = F.min(F.when(F.col("upto") > place, F.col(value))).alias("nearest")
-    quantiles = [F.round(F.expr(f"percentile({value}, {p}, k)"), 6).alias(f"p{round(100 * p)}") for p in (0.25, 0.75, 0.95)]
-    return ranked.groupBy(group).agg(F.sum("k").alias("n"), nearest, F.round(F.expr(f"percentile({value}, 0.5, k)"), 6).alias("interpolated"), *quantiles)
+    rows = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    spans = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    part = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * RANGES), F.lit(RANGES - 1))).otherwise(0)
+    placed = rows.join(spans, "g").select("g", "v", part.cast("int").alias("part"))
+    counts = placed.groupBy("g", "part").agg(F.count(F.lit(1)).alias("k"))
+    counts = counts.withColumn("upto", F.sum("k").over(Window.partitionBy("g").orderBy("part")))
+    at = lambda p: (F.col("n") - 1) * F.lit(p)
+    ranks = [F.struct(F.lit("nearest").alias("what"), F.bround((F.col("n") - 1) / 2, 0).cast("long").alias("rank"))]
+    for p in (0.25, 0.5, 0.75, 0.95):
+        ranks += [F.struct(F.lit(f"{side}{p}").alias("what"), side_of(at(p)).cast("long").alias("rank")) for side, side_of in (("a", F.floor), ("b", F.ceil))]
+    wanted = spans.select("g", F.explode(F.array(*ranks)).alias("r")).select("g", "r.*")
+    found = wanted.join(counts, "g").filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k"))).select("g", "part", "what", (F.col("rank") - F.col("upto") + F.col("k")).alias("rank"))
+    inside = placed.join(found.select("g", "part").distinct(), ["g", "part"], "left_semi").groupBy("g", "part", "v").agg(F.count(F.lit(1)).alias("k"))
+    inside = inside.withColumn("upto", F.sum("k").over(Window.partitionBy("g", "part").orderBy("v")))
+    values = found.join(inside, ["g", "part"]).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k")))
+    value_of = lambda what: F.max(F.when(F.col("what") == what, F.col("v"))).alias(what)
+    values = values.groupBy("g").agg(*[value_of(w) for w in ("nearest", *[f"{s}{p}" for p in (0.25, 0.5, 0.75, 0.95) for s in "ab"])])
+    between = lambda p: F.round(F.col(f"`a{p}`") + (at(p) - F.floor(at(p))) * (F.col(f"`b{p}`") - F.col(f"`a{p}`")), 6)
+    return spans.join(values, "g").select(F.col("g").alias(group), "n", "nearest", between(0.5).alias("interpolated"), between(0.25).alias("p25"), between(0.75).alias("p75"), between(0.95).alias("p95"))
 
 
 def ratio_buckets(ratio: Column, a: Column, b: Column) -> Column:
@@ -132,6 +149,13 @@ def ratio_buckets(ratio: Column, a: Column, b: Column) -> Column:
 
 
 def rate_limited(rows: DataFrame, key: str, ts: str, limit: int, seconds: int = 60) -> DataFrame:
-    """Rows with how many of their key came in the last ``seconds``, and whether that is within the limit."""
-    window = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("recent", F.count(F.lit(1)).over(window)).withColumn("allowed", F.col("recent") <= limit)
+    """Rows with how many of their key came in the last ``seconds``, and whether that is within the limit.
+
+    Time is cut into slices of that length, and each row also goes to the next one, whose rows may look back on it; so a busy key is split by time.
+    """
+    names, micros = rows.columns, F.unix_micros(F.col(ts).cast("timestamp"))
+    slices = rows.withColumns({"_at": micros, "_slice": F.floor(micros / (seconds * 1_000_000))})
+    slices = slices.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_slice", F.when(F.col("_own"), F.col("_slice")).otherwise(F.col("_slice") + 1))
+    window = Window.partitionBy(key, "_slice").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    counted = slices.withColumn("recent", F.count(F.lit(1)).over(window)).filter("_own")
+    return counted.select(*names, "recent").withColumn("allowed", F.col("recent") <= limit)

@@ -41,11 +41,22 @@ def link_names(names: DataFrame, known: DataFrame, least_share: float = 0.5, lea
     around = short_name.join(right.withColumn("g", F.explode(places(F.col("known_key")))), "g").filter("contains(known_key, key)")
     contained = inside.select("name", "id").unionByName(around.select("name", "id")).select("name", "id", F.lit(2).alias("rule"), F.lit(0.0).alias("share"))
 
-    ours = names.select("name", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    theirs = known.select("id", F.size("known_tokens").alias("m"), F.explode("known_tokens").alias("token"))
-    shared = ours.join(theirs, "token").groupBy("name", "id", "n", "m").agg(F.count(F.lit(1)).alias("common"))
-    share = F.col("common") / F.greatest("n", "m")
-    alike = shared.withColumn("share", share).filter(F.col("share") >= least_share).select("name", "id", F.lit(3).alias("rule"), "share")
+    # lists that share ``least_share`` of the longer one have a token in common among the rarest of each that the rest can't make up for, so common
+    # tokens are never joined on
+    counts = known.select(F.explode("known_tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+    def rarest(df: DataFrame, key: str, column: str) -> DataFrame:
+        size = F.size(column)
+        each = df.select(key, size.alias("size"), F.explode(column).alias("token")).join(counts, "token", "left")
+        first = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")))
+        ordered = each.groupBy(key, "size").agg(first.alias("by_count"))
+        kept = F.slice("by_count", F.lit(1), (F.col("size") - F.ceil(least_share * F.col("size")) + 1).cast("int"))
+        return ordered.select(key, F.explode(F.transform(kept, lambda x: x["token"])).alias("token"))
+
+    near = rarest(names, "name", "tokens").join(rarest(known, "id", "known_tokens"), "token").select("name", "id").distinct()
+    both = near.join(names.select("name", "tokens"), "name").join(known.select("id", "known_tokens"), "id")
+    share = F.size(F.array_intersect("tokens", "known_tokens")) / F.greatest(F.size("tokens"), F.size("known_tokens"))
+    alike = both.withColumn("share", share).filter(F.col("share") >= least_share).select("name", "id", F.lit(3).alias("rule"), "share")
 
     found = exact.unionByName(contained).unionByName(alike)
     best = found.groupBy("name").agg(F.min(F.struct("rule", (-F.col("share")).alias("s"), "id")).alias("best"))

@@ -6,11 +6,15 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkfold.functions.similarity import _partial, dice, jaccard, jaro_winkler, overlap, safe_ratio, string_similarities
-from linkfold.functions.text import canonical, first_numbers, ngrams, soft_tokens, tokens
+from linkfold.functions import classes
+from linkfold.functions.scores import fin_blend
+from linkfold.functions.similarity import (
+    dice, fuzzy_coverage, jaccard, levenshtein_similarity, multiset_ngram_dice, overlap, partial_ratio, ratio, safe_ratio, string_similarities, token_similarity,
+)
+from linkfold.functions.text import canonical, line_count, ngrams, pair_form, soft_form, soft_terms, tokens
 
 # Weights of the soft score.
 W_COVER, W_PARTIAL, W_UNIQUE = 0.80, 0.20, 0.08
@@ -49,56 +53,119 @@ def ngram_jaccards(pairs: DataFrame, a: str, b: str, sizes: tuple[int, ...] = (2
     return found.drop(*[f"_{s}{n}" for n in sizes for s in "ab"])
 
 
-def pair_features(pairs: DataFrame, query: str, reference: str) -> DataFrame:
-    """``pairs`` with lengths, string, n-gram, token and number features of two text columns, all from 0 to 1 but the lengths."""
-    q, r = canonical(F.col(query)), canonical(F.col(reference))
-    pairs = pairs.withColumns({"_q": q, "_r": r}).withColumns({"_qt": F.array_distinct(tokens(F.col("_q"))), "_rt": F.array_distinct(tokens(F.col("_r")))})
-    qn, rn = F.col("_qn"), F.col("_rn")
-    share = lambda c, pattern: F.when(F.length(c) > 0, F.length(F.regexp_replace(c, pattern, "")) / F.length(c)).otherwise(0.0)
+def pair_features(pairs: DataFrame, query: str, reference: str, as_of_year: int, cosine: str | None = None, label_color: str | None = None, label_type: str | None = None, vintage_year: str | None = None, foundation_year: str | None = None) -> DataFrame:
+    """``pairs`` with the 63 features of a recognised text and a label, as doubles; those that ask for more columns than are named count them as null.
+
+    Lengths, string likeness, n-grams, shared and covered tokens, years, numbers, alcohol, volumes, digits and letters, script, and classes of colour,
+    sweetness and sparkling.  String measures run once for each distinct pair of texts in a batch, on Arrow batches.  ``as_of_year`` bounds the years.
+    """
+    of = lambda name, kind: F.col(name).cast(kind) if name else F.lit(None).cast(kind)
+    texts = lambda c: F.coalesce(c, F.lit(""))
+    base = pairs.withColumns({"_o": pair_form(F.col(query)), "_r": pair_form(F.trim(texts(F.col(reference)))), "_lines": line_count(F.col(query)), "_lc": pair_form(of(label_color, "string")), "_lt": pair_form(of(label_type, "string"))})
+    base = base.withColumns({"_ot": tokens(F.col("_o")), "_rt": tokens(F.col("_r"))}).withColumns({"_os": F.array_distinct("_ot"), "_rs": F.array_distinct("_rt")})
+    long = lambda c: F.filter(c, lambda t: (F.length(t) >= 5) & ~t.rlike(r"^\d+$"))
+    digits, letters = (lambda c: F.regexp_replace(c, r"[^\p{N}]", "")), (lambda c: F.regexp_replace(c, r"[^\p{L}]", ""))
+    o, r, foundation = F.col("_o"), F.col("_r"), of(foundation_year, "int")
+    named_year = of(vintage_year, "int")
+    known = named_year.between(1950, as_of_year + 1)
+    base = base.withColumns({
+        "_s": string_similarities(o, r), "_fwd": fuzzy_coverage(F.col("_rt"), F.col("_ot")), "_back": fuzzy_coverage(F.col("_ot"), F.col("_rt")), "_long": fuzzy_coverage(long(F.col("_rt")), long(F.col("_ot"))),
+        "_oy": classes.vintage_years(o, foundation, as_of_year), "_ry": F.when(known, F.array(named_year)).otherwise(classes.vintage_years(r, foundation, as_of_year)),
+        "_on": classes.number_set(o), "_rn": classes.number_set(r), "_oa": classes.alcohol_set(o), "_ra": classes.alcohol_set(r), "_ov": classes.volume_set(o), "_rv": classes.volume_set(r),
+        "_od": digits(o), "_rd": digits(r), "_ol": letters(o), "_rl": letters(r), "_oc": classes.word_classes(F.col("_os"), classes.COLOR_WORDS), "_named": classes.word_classes(tokens(F.col("_lc")), classes.COLOR_WORDS),
+        "_held": classes.word_classes(F.col("_rs"), classes.COLOR_WORDS), "_osw": classes.word_classes(F.col("_os"), classes.SWEET_WORDS), "_all": F.array_union("_rs", tokens(F.col("_lt"))),
+    })
+    base = base.withColumns({
+        "_rc": F.when(F.size("_named") > 0, F.col("_named")).otherwise(F.col("_held")), "_rsw": classes.word_classes(F.col("_all"), classes.SWEET_WORDS),
+        "_osp": classes.is_sparkling(F.col("_os")), "_rsp": classes.is_sparkling(F.col("_all")), "_digits": ratio(F.col("_od"), F.col("_rd")), "_letters": ratio(F.col("_ol"), F.col("_rl")),
+    })
+    base = with_ngrams(base, "_o", "_r")
+    c = F.col
+    some = lambda x: F.size(x) > 0
+    both = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0)
+    hit = lambda x, y: both(x, y) & F.arrays_overlap(c(x), c(y))
+    miss = lambda x, y: both(x, y) & ~F.arrays_overlap(c(x), c(y))
+    grams = lambda n: F.when((F.length("_o") < n) & (F.length("_r") < n) & (F.length("_o") > 0) & (c("_o") == c("_r")), 1.0).otherwise(jaccard(c(f"_a{n}"), c(f"_b{n}")))
+    cyrillic = lambda t: F.when(F.length(t) > 0, F.length(F.regexp_replace(t, "[^а-я]", "")) / F.length(t)).otherwise(0.0)
+    shared_years = F.array_intersect("_oy", "_ry")
     features = {
-        "q_len": F.length("_q"), "r_len": F.length("_r"), "len_ratio": safe_ratio(F.length("_q"), F.length("_r")),
-        "q_tokens": F.size("_qt"), "r_tokens": F.size("_rt"), "token_ratio": safe_ratio(F.size("_qt"), F.size("_rt")),
-        "token_jaccard": jaccard(F.col("_qt"), F.col("_rt")), "token_dice": dice(F.col("_qt"), F.col("_rt")), "token_overlap": overlap(F.col("_qt"), F.col("_rt")),
-        "numbers_shared": F.size(F.array_intersect(qn, rn)), "numbers_query_only": F.size(F.array_except(qn, rn)), "numbers_reference_only": F.size(F.array_except(rn, qn)),
-        "q_digits": share(F.col("_q"), "[^0-9]"), "r_digits": share(F.col("_r"), "[^0-9]"), "q_letters": share(F.col("_q"), r"[^\p{L}]"), "r_letters": share(F.col("_r"), r"[^\p{L}]"),
+        "siglip_cosine": F.nanvl(F.coalesce(of(cosine, "double"), F.lit(0.0)), F.lit(0.0)),
+        "ocr_chars": F.length(o), "ref_chars": F.length(r), "char_length_ratio": safe_ratio(F.length(o), F.length(r)), "ocr_lines": c("_lines"), "ocr_tokens": F.size("_ot"), "ref_tokens": F.size("_rt"),
+        "token_length_ratio": safe_ratio(F.size("_ot"), F.size("_rt")), "ref_has_label": F.length(F.trim(texts(c(reference)))) > 0,
+        "lev_similarity": levenshtein_similarity(o, r), "jaro_winkler": c("_s.jaro_winkler"), "fuzz_ratio": c("_s.ratio"), "fuzz_partial_ratio": c("_s.partial"), "fuzz_token_sort_ratio": c("_s.token_sort"),
+        "fuzz_token_set_ratio": c("_s.token_set"), "fuzz_wratio": c("_s.weighted"), "char_ngram_jaccard_2": grams(2), "char_ngram_jaccard_3": grams(3), "char_ngram_jaccard_4": grams(4),
+        "token_jaccard": jaccard(c("_os"), c("_rs")), "token_overlap_ratio": overlap(c("_os"), c("_rs")), "token_overlap_count": F.size(F.array_intersect("_os", "_rs")),
+        "ref_tok_cov_mean": c("_fwd.mean"), "ref_tok_cov_max": c("_fwd.most"), "ref_tok_cov_frac80": c("_fwd.share"), "ocr_tok_cov_mean": c("_back.mean"), "ocr_tok_cov_max": c("_back.most"), "ocr_tok_cov_frac80": c("_back.share"),
+        "ref_long_tok_cov_mean": c("_long.mean"), "ref_long_tok_cov_frac80": c("_long.share"), "ref_long_tok_count": F.size(long(c("_rt"))),
+        "year_present_ocr": some("_oy"), "year_present_ref": some("_ry"), "year_present_both": both("_oy", "_ry"), "year_exact_match": hit("_oy", "_ry"), "year_mismatch": miss("_oy", "_ry"),
+        "year_match_recency": F.when(hit("_oy", "_ry"), 1.0 / (1.0 + F.abs(F.array_max(shared_years) - as_of_year))).otherwise(0.0),
+        "num_count_ocr": F.size("_on"), "num_count_ref": F.size("_rn"), "num_jaccard": jaccard(c("_on"), c("_rn")), "num_ref_only": F.size(F.array_except("_rn", "_on")), "num_ocr_only": F.size(F.array_except("_on", "_rn")),
+        "alc_present_both": both("_oa", "_ra"), "alc_match": hit("_oa", "_ra"), "alc_mismatch": miss("_oa", "_ra"), "vol_present_both": both("_ov", "_rv"), "vol_match": hit("_ov", "_rv"), "vol_mismatch": miss("_ov", "_rv"),
+        "digit_match_ratio": F.when((F.length("_od") > 0) | (F.length("_rd") > 0), c("_digits")).otherwise(0.0), "alpha_match_ratio": F.when((F.length("_ol") > 0) | (F.length("_rl") > 0), c("_letters")).otherwise(0.0),
+        "cyr_frac_ocr": cyrillic(c("_ol")), "cyr_frac_ref": cyrillic(c("_rl")), "cyr_frac_diff": F.abs(cyrillic(c("_ol")) - cyrillic(c("_rl"))),
+        "color_ocr_detected": some("_oc"), "color_ref_known": some("_rc"), "color_match": hit("_oc", "_rc"), "color_mismatch": miss("_oc", "_rc"), "sweet_ocr_detected": some("_osw"), "sweet_match": hit("_osw", "_rsw"),
+        "sweet_mismatch": miss("_osw", "_rsw"), "sparkling_ocr": c("_osp"), "sparkling_ref": c("_rsp"), "sparkling_mismatch": c("_osp") != c("_rsp"),
     }
-    pairs = pairs.withColumns({"_qn": F.array_distinct(first_numbers(F.col("_q"))), "_rn": F.array_distinct(first_numbers(F.col("_r")))})
-    out = ngram_jaccards(pairs, "_q", "_r").withColumns({k: F.round(v.cast("double"), 6) for k, v in features.items()}).withColumn("_s", string_similarities(F.col("_q"), F.col("_r")))
-    names = ("ratio", "partial", "token_sort", "token_set", "jaro_winkler")
-    return out.withColumns({n: F.round(F.col(f"_s.{n}"), 6) for n in names}).drop("_q", "_r", "_qt", "_rt", "_qn", "_rn", "_s")
+    return base.select(*pairs.columns, *[F.round(v.cast("double"), 6).alias(k) for k, v in features.items()])
 
 
 def soft_tfidf(pairs: DataFrame, query: str, reference: str, idf: DataFrame, n_items: int, unique: DataFrame | None = None, keys: tuple[str, ...] = ("query_id", "id")) -> DataFrame:
-    """(keys, cover, score): how much of the query's term weight the reference covers, with a part for partial and n-gram likeness.
+    """(keys, cover, cover_r, partial, ngram3, uniq_recall, matched_idf, q_terms, r_terms, score): how much of the query's term weight the reference covers,
+    with a part for a partial likeness and the n-grams.
 
-    Tokens of both sides are compared by Jaro-Winkler with a threshold that falls with length; equal tokens need no function.  unique: keys and token
-    of tokens that only this reference holds in its pool.
+    Terms are those of ``soft_terms``; unequal ones are compared by Jaro-Winkler with a threshold that falls with length.  unique: keys and token of the tokens
+    that only this reference holds in its pool, see ``pool_unique``.
     """
-    base = pairs.select(*keys, canonical(F.col(query)).alias("q"), canonical(F.col(reference)).alias("r"))
-    base = base.withColumns({"qt": soft_tokens(F.col("q")), "rt": soft_tokens(F.col("r"))})
-    terms = base.select(*keys, "rt", F.explode("qt").alias("token")).join(idf.select("token", "idf"), "token", "left").fillna(default_idf(n_items), ["idf"])
-    same = F.array_contains("rt", F.col("token"))
-    # of unequal tokens, only those whose length can reach a threshold are compared
-    rest = terms.filter(~same).select(*keys, "token", "idf", F.explode_outer(F.filter("rt", lambda t: 2 * F.least(F.length(t), F.length("token")) >= F.greatest(F.length(t), F.length("token")))).alias("other"))
-    score, shorter = jaro_winkler(F.col("token"), F.col("other"), 0.80), F.least(F.length("token"), F.length("other"))
-    rest = rest.withColumns({"jw": score, "least": F.when(shorter <= 4, 0.92).when(shorter <= 6, 0.85).otherwise(0.80)})
-    rest = rest.groupBy(*keys, "token", "idf").agg(F.max(F.when(F.col("jw") >= F.col("least"), F.col("jw")).otherwise(0.0)).alias("sim"))
-    both = terms.filter(same).select(*keys, "token", "idf", F.lit(1.0).alias("sim")).unionByName(rest)
-    cover = both.groupBy(*keys).agg((F.sum(F.col("idf") * F.col("sim")) / F.sum("idf")).alias("cover"))
+    base = pairs.select(*keys, soft_form(F.col(query)).alias("q"), soft_form(F.col(reference)).alias("r"))
+    base = base.withColumns({"qt": soft_terms(F.col("q")), "rt": soft_terms(F.col("r"))})
+
+    def best(mine: str, theirs: str) -> DataFrame:
+        """(keys, token, idf, sim) for each term of one side: its weight and its best likeness with the other's."""
+        terms = base.select(*keys, theirs, F.explode(mine).alias("token")).join(idf.select("token", "idf"), "token", "left").fillna(default_idf(n_items), ["idf"])
+        same = F.array_contains(theirs, F.col("token"))
+        # of unequal tokens, only those whose length can reach a threshold are compared
+        near = F.filter(theirs, lambda t: 2 * F.least(F.length(t), F.length("token")) >= F.greatest(F.length(t), F.length("token")))
+        rest = terms.filter(~same).select(*keys, "token", "idf", F.explode_outer(near).alias("other"))
+        rest = rest.withColumn("sim", F.when(F.col("other").isNotNull(), token_similarity(F.col("token"), F.col("other"))).otherwise(0.0))
+        rest = rest.groupBy(*keys, "token", "idf").agg(F.max("sim").alias("sim"))
+        return terms.filter(same).select(*keys, "token", "idf", F.lit(1.0).alias("sim")).unionByName(rest)
+
+    weighted = F.sum(F.col("idf") * F.col("sim"))
+    cover = best("qt", "rt").groupBy(*keys).agg((weighted / F.sum("idf")).alias("cover"), weighted.alias("matched_idf"))
+    back = best("rt", "qt")
+    cover_r = back.groupBy(*keys).agg((weighted / F.sum("idf")).alias("cover_r"))
     if unique is not None:
-        told = unique.join(base.select(*keys, "qt"), list(keys)).groupBy(*keys).agg(F.avg(F.array_contains("qt", F.col("token")).cast("double")).alias("unique_recall"))
+        told = back.join(unique.select(*keys, "token"), [*keys, "token"], "left_semi").groupBy(*keys).agg(F.avg((F.col("sim") > 0).cast("double")).alias("uniq_recall"))
         cover = cover.join(told, list(keys), "left")
     else:
-        cover = cover.withColumn("unique_recall", F.lit(0.0))
-    partial = F.pandas_udf(_partials, "double")(F.replace("q", F.lit(" "), F.lit("")), F.replace("r", F.lit(" "), F.lit("")))
-    likeness = with_ngrams(base, "q", "r", (3,)).select(*keys, partial.alias("partial"), dice(F.col("_a3"), F.col("_b3")).alias("ng3"))
-    out = likeness.join(cover, list(keys), "left").fillna(0.0, ["cover", "unique_recall"])
-    total = W_COVER * F.col("cover") + W_PARTIAL * F.greatest(F.col("partial"), 0.5 * F.col("ng3")) + W_UNIQUE * F.col("unique_recall")
-    return out.select(*keys, F.round("cover", 6).alias("cover"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6).alias("score"))
+        cover = cover.withColumn("uniq_recall", F.lit(0.0))
+    glued = base.withColumns({"q": F.replace("q", F.lit(" "), F.lit("")), "r": F.replace("r", F.lit(" "), F.lit(""))})
+    likeness = glued.select(
+        *keys, F.when((F.length("q") > 0) & (F.length("r") > 0), partial_ratio(F.col("q"), F.col("r"))).otherwise(0.0).alias("partial"), multiset_ngram_dice(F.col("q"), F.col("r")).alias("ngram3"),
+        F.size("qt").alias("q_terms"), F.size("rt").alias("r_terms"),
+    )
+    out = likeness.join(cover, list(keys), "left").join(cover_r, list(keys), "left").fillna(0.0, ["cover", "cover_r", "uniq_recall", "matched_idf"])
+    total = W_COVER * F.col("cover") + W_PARTIAL * F.greatest(F.col("partial"), 0.5 * F.col("ngram3")) + W_UNIQUE * F.col("uniq_recall")
+    rounded = [F.round(c, 6).alias(c) for c in ("cover", "cover_r", "partial", "ngram3", "uniq_recall")]
+    return out.select(*keys, *rounded, F.round("matched_idf", 4).alias("matched_idf"), "q_terms", "r_terms", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6).alias("score"))
+
+
+def soft_pool(scored: DataFrame, cosine: DataFrame, rejected: DataFrame | None = None, weight_text: float = 0.65, weight_cosine: float = 0.45, query: str = "query_id") -> DataFrame:
+    """(query, id, score2, fin2, rank): a pool's candidates by the blend of ``soft_tfidf`` and cosine (query, id, cosine); rejected ones (query, id) score 0.
+
+    A query of fewer than two terms is trusted by half.  Ties go to the score, the cover, the richer reference and the smaller id.
+    """
+    rows = scored.join(cosine, [query, "id"], "left")
+    rows = rows.join(rejected.select(query, "id").distinct().withColumn("_out", F.lit(True)), [query, "id"], "left") if rejected is not None else rows.withColumn("_out", F.lit(None).cast("boolean"))
+    text = F.when(F.col("_out"), 0.0).when(F.col("q_terms") < 2, F.col("score") * 0.5).otherwise(F.col("score"))
+    rows = rows.withColumns({"score2": F.round(text, 6), "fin2": F.when(F.col("_out"), 0.0).otherwise(fin_blend(text, F.col("cosine"), weight_text, weight_cosine))})
+    order = [F.desc("fin2"), F.desc("score2"), F.desc("cover"), F.desc("r_terms"), "id"]
+    return rows.select(query, "id", "score2", "fin2", F.row_number().over(Window.partitionBy(query).orderBy(*order)).alias("rank"))
 
 
-def _partials(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_partial(x, y) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype="float64")
+def soft_veto(cover: Column, score: Column, least_cover: float = 0.40, least_score: float = 0.35) -> Column:
+    """Whether the soft score says that a winner's reference barely holds what the query names."""
+    return (cover < least_cover) & (score < least_score)
 
 
 def aligned_lines(pairs: DataFrame, query: str, reference: str, least: float = 0.6) -> DataFrame:

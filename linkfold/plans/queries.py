@@ -16,6 +16,7 @@ from linkfold.sources.writers import upserted
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Thresholds that populate all bands on these vectors.
+AS_OF_YEAR = 2026
 BANDS = Settings(match_threshold=0.40, similar_threshold=0.33)
 
 
@@ -299,12 +300,12 @@ def pool_unique(t):
 
 @query()
 def pair_features(t):
-    return pairs.pair_features(_pairs(t), "q", "r").drop("q", "r")
+    return pairs.pair_features(_pairs(t), "q", "r", AS_OF_YEAR).drop("q", "r")
 
 
 @query()
 def soft_tfidf(t):
-    items = t("conversations").select(text.soft_tokens(text.canonical(F.col("text"))).alias("tokens"))
+    items = t("conversations").select(text.soft_terms(text.soft_form(F.col("text"))).alias("tokens"))
     return pairs.soft_tfidf(_pairs(t), "q", "r", pairs.idf_table(items, "tokens"), items.count(), keys=("conv_id", "turn"))
 
 
@@ -387,20 +388,24 @@ def jw_sim(t):
     return both.select("a", "b", F.round(similarity.jaro_winkler(F.col("a"), F.col("b")), 6).alias("jw"))
 
 
-_KNOWN = "SELECT min(p_partkey) AS id, p_name AS known FROM part WHERE p_type = 'PROMO' AND p_name < 'n' GROUP BY p_name"
+_NAMES = """
+SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) ELSE p_name || ' ' || lower(p_brand) END AS name FROM part
+"""
 
 
 @query(f"""
-WITH n AS (SELECT DISTINCT p_name AS name, regexp_replace(p_name, '[^a-z0-9]', '', 'g') AS k, list_distinct(string_split(p_name, ' ')) AS w FROM part),
-  g AS (SELECT id, regexp_replace(known, '[^a-z0-9]', '', 'g') AS k, list_distinct(string_split(known, ' ')) AS w FROM ({_KNOWN})),
+WITH n AS (SELECT name, regexp_replace(name, '[^a-z0-9]', '', 'g') AS k, list_distinct(regexp_extract_all(name, '[a-z0-9]{{2,}}')) AS w FROM ({_NAMES})),
+  g AS (SELECT min(p_partkey) AS id, regexp_replace(p_name, '[^a-z0-9]', '', 'g') AS k, list_distinct(regexp_extract_all(p_name, '[a-z0-9]{{2,}}')) AS w FROM part GROUP BY p_name),
   c AS (SELECT name, id, CASE WHEN n.k = g.k THEN 1 WHEN length(g.k) >= 5 AND contains(n.k, g.k) OR length(n.k) >= 5 AND contains(g.k, n.k) THEN 2 ELSE 3 END AS rule,
     len(list_intersect(n.w, g.w)) / greatest(len(n.w), len(g.w)) AS share FROM n, g),
   b AS (SELECT name, arg_min(id, (rule, CASE WHEN rule = 3 THEN -share ELSE 0 END, id)) AS id, min(rule) AS rule FROM c WHERE rule < 3 OR share >= 0.5 GROUP BY name)
 SELECT name, id, CASE rule WHEN 1 THEN 'exact' WHEN 2 THEN 'contained' WHEN 3 THEN 'tokens' ELSE 'none' END AS how FROM n LEFT JOIN b USING (name)
 """)
 def link_fuzzy(t):
-    known = t("part").filter("p_type = 'PROMO' and p_name < 'n'").groupBy(F.col("p_name").alias("known_name")).agg(F.min("p_partkey").alias("id"))
-    return linking.link_names(t("part").select(F.col("p_name").alias("name")), known)
+    word, size = (lambda k: F.element_at(F.split("p_name", " "), k)), F.col("p_size") % 3
+    name = F.when(size == 0, F.col("p_name")).when(size == 1, F.concat_ws(" ", word(2), word(1))).otherwise(F.concat_ws(" ", "p_name", F.lower("p_brand")))
+    known = t("part").groupBy(F.col("p_name").alias("known_name")).agg(F.min("p_partkey").alias("id"))
+    return linking.link_names(t("part").select(name.alias("name")), known)
 
 
 @query("""
@@ -599,19 +604,18 @@ def box_merge(t):
 
 
 @query("""
-WITH q AS (SELECT p_partkey AS query_id, p_brand AS qb, split_part(p_name, ' ', 2) AS qg, p_size % 4 AS qc, p_size % 7 AS qt FROM part WHERE p_partkey % 100 = 0),
-  c AS (SELECT p_partkey AS id, p_brand AS b, split_part(p_name, ' ', 2) AS g, p_size % 4 AS c, p_size % 7 AS t FROM part),
-  s AS (SELECT query_id, id, c, t, (qb = b)::INT + (qg = g)::INT + (qc = c)::INT + (qt = t)::INT AS hits,
-    round((0.35 * (qb = b)::INT + 0.3 * (qg = g)::INT + 0.2 * (qc = c)::INT + 0.15 * (CASE WHEN qt = t THEN 1.0 WHEN abs(qt - t) <= 1 THEN 0.4 ELSE 0 END))::DOUBLE
-      * CASE WHEN qc = c THEN 1.0::DOUBLE ELSE 0.75 END, 6) AS score FROM q, c WHERE query_id <> id),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c, t, hits DESC, id) AS rank FROM s WHERE score > 0)
+WITH i AS (SELECT p_partkey AS id, p_brand AS b, split_part(p_name, ' ', 2) AS g, p_size % 4 AS c, CASE WHEN p_size % 11 <> 0 THEN p_size % 7 END AS t FROM part),
+  s AS (SELECT q.id AS query_id, i.id, i.c, i.t, (q.b = i.b)::INT + (q.g = i.g)::INT + (q.c = i.c)::INT + coalesce(q.t = i.t, false)::INT AS hits,
+    (0.35 * (q.b = i.b)::INT + 0.3 * (q.g = i.g)::INT + 0.2 * (q.c = i.c)::INT + 0.15 * (CASE WHEN q.t IS NULL THEN 0 WHEN i.t IS NULL THEN 0.5 WHEN q.t = i.t THEN 1.0 WHEN abs(q.t - i.t) <= 1 THEN 0.4 ELSE 0 END))::DOUBLE AS raw,
+    CASE WHEN q.t IS NULL THEN 0.85::DOUBLE ELSE 1.0 END AS asked, CASE WHEN q.c = i.c THEN 1.0::DOUBLE ELSE 0.75 END AS factor FROM i q JOIN i ON q.id % 100 = 0 AND q.id <> i.id),
+  r AS (SELECT query_id, id, round(raw / asked * factor, 6) AS score, hits, row_number() OVER (PARTITION BY query_id ORDER BY round(raw / asked * factor, 9) DESC, c, t NULLS LAST, hits DESC, id) AS rank FROM s WHERE raw > 0)
 SELECT query_id, id, score, hits, rank::INT AS rank FROM r WHERE rank <= 10
 """)
 def analog_rank(t):
     categories, types = ("0", "1", "2", "3"), ("0", "1", "2", "3", "4", "5", "6")
     items = t("part").select(
         F.col("p_partkey").alias("id"), F.col("p_brand").alias("producer"), F.array(F.element_at(F.split("p_name", " "), 2)).alias("grapes"),
-        (F.col("p_size") % 4).cast("string").alias("category"), (F.col("p_size") % 7).cast("string").alias("type"),
+        (F.col("p_size") % 4).cast("string").alias("category"), F.when(F.col("p_size") % 11 != 0, (F.col("p_size") % 7).cast("string")).alias("type"),
     )
     asked = items.filter("id % 100 = 0").withColumns({"query_id": F.col("id"), "exclude_id": F.col("id")})
-    return analogs.rank_analogs(asked, items, 10, None, categories, types)
+    return analogs.rank_analogs(asked, items, 10, category_order=categories, type_order=types)

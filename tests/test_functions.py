@@ -20,8 +20,8 @@ def test_canonical(spark, raw, want):
     assert values(spark, [(raw,)], "t string", text.canonical(F.col("t"))) == [want]
 
 
-def test_ocr_form(spark):
-    assert values(spark, [("Семейный 12% Château, 2O1l",)], "t string", text.ocr_form(F.col("t"))) == ["семеиныи chateau 2011"]
+def test_entity_form(spark):
+    assert values(spark, [("Семейный 12% Château, 2O1l",)], "t string", text.entity_form(F.col("t"))) == ["семеиныи chateau 2011"]
 
 
 def test_score_band(spark):

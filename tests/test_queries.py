@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from linkfold.plans.queries import ORACLE_SQL, QUERIES
+from linkfold.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
