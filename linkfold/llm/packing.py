@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from linkfold.llm.scratch import stored
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_CHUNKS = 300_000
-_PIECES = 400_000
+_CHUNKS = 200_000
+_PIECES = 200_000
 
 
 class WordEncoder:
