@@ -33,6 +33,28 @@ def tilt(degrees: Column) -> Column:
     return F.pmod(degrees, F.lit(180.0)) - 90
 
 
+def center(box: Column) -> Column:
+    return F.struct(((box["x1"] + box["x2"]) / 2).alias("x"), ((box["y1"] + box["y2"]) / 2).alias("y"))
+
+
+def is_inside(inner: Column, outer: Column, slack: float = 0.0) -> Column:
+    """Whether a box lies in another, up to some pixels."""
+    return (inner["x1"] >= outer["x1"] - slack) & (inner["y1"] >= outer["y1"] - slack) & (inner["x2"] <= outer["x2"] + slack) & (inner["y2"] <= outer["y2"] + slack)
+
+
+def are_close(a: Column, b: Column, tolerance: float) -> Column:
+    """Whether all four edges of two boxes are within a tolerance of each other."""
+    return F.greatest(*[F.abs(a[k] - b[k]) for k in ("x1", "y1", "x2", "y2")]) <= tolerance
+
+
+def transformed(box: Column, matrix: Column) -> Column:
+    """The upright box around a box whose corners an affine matrix (two rows of three numbers) has moved."""
+    at = lambda row, x, y: matrix[row][0] * x + matrix[row][1] * y + matrix[row][2]
+    corners = [(box[x], box[y]) for x in ("x1", "x2") for y in ("y1", "y2")]
+    xs, ys = [at(0, x, y) for x, y in corners], [at(1, x, y) for x, y in corners]
+    return F.struct(F.least(*xs).alias("x1"), F.least(*ys).alias("y1"), F.greatest(*xs).alias("x2"), F.greatest(*ys).alias("y2"))
+
+
 def overlap_join(inner: DataFrame, outer: DataFrame, image: str, least: float) -> DataFrame:
     """Pairs of boxes (columns ``box`` and an id, ``inner_id`` or ``outer_id``) of one image where enough of the inner lies in the outer."""
     pairs = inner.withColumnRenamed("box", "inner_box").join(outer.withColumnRenamed("box", "outer_box"), image)
@@ -61,3 +83,122 @@ def drop_weak(boxes: DataFrame, image: str, least: float) -> DataFrame:
     per = Window.partitionBy(image)
     sure = F.max(F.col("conf")).over(per) > least
     return boxes.withColumn("_drop", (F.count(F.lit(1)).over(per) > 1) & sure & (F.col("conf") <= least)).filter("not _drop").drop("_drop")
+
+
+# When a label is an orphan, when it belongs to a bottle, and which of several is taken.
+ORPHAN_OUTSIDE, ORPHAN_CONF, ORPHAN_PEER = 0.5, 0.5, 0.5
+BELONGS, MERGE_FROM = 0.85, 2
+SIMILAR_AREAS, HALF_SIZE, CONF_GAP, WEAK_CONF, WEAK_GAP, WEAK_AREA = 0.12, 0.5, 0.9, 0.55, 0.15, 0.25
+NECK, IN_BOTTLE, TOP_TRIM, TOP_TRIM_MOST = 0.20, 0.90, 0.18, 0.35
+SILHOUETTE_HEIGHT, SILHOUETTE_CONF, LABELLED_CONF, LABELLED_GAP = 0.85, 0.55, 0.55, 0.20
+
+
+def best_share(labels: DataFrame, bottles: DataFrame, image: str) -> DataFrame:
+    """``labels`` (image, id, box, conf) with best, the largest share of each that lies in a bottle (image, bottle_id, bottle_box) of its image; 0 without one."""
+    pairs = labels.join(bottles.select(image, "bottle_box"), image, "left")
+    share = F.coalesce(share_inside(F.col("box"), F.col("bottle_box")), F.lit(0.0))
+    return pairs.groupBy(*labels.columns).agg(F.max(share).alias("best"))
+
+
+def drop_orphans(labels: DataFrame, bottles: DataFrame, image: str, outside: float = ORPHAN_OUTSIDE, most_conf: float = ORPHAN_CONF, peer: float = ORPHAN_PEER) -> DataFrame:
+    """``labels`` without those of low confidence that lie mostly outside all bottles, where another label of the image lies in one."""
+    shares = best_share(labels, bottles, image)
+    others = F.sum((F.col("best") >= peer).cast("int")).over(Window.partitionBy(image)) - (F.col("best") >= peer).cast("int")
+    bottled = shares.join(bottles.select(image).distinct().withColumn("_has", F.lit(True)), image, "left").withColumn("_others", others)
+    orphan = F.coalesce(F.col("_has"), F.lit(False)) & (F.col("best") <= outside) & (F.coalesce("conf", F.lit(0.0)) <= most_conf) & (F.col("_others") > 0)
+    return bottled.filter(~orphan).select(*labels.columns)
+
+
+def assigned_to_bottles(labels: DataFrame, bottles: DataFrame, image: str, least: float = BELONGS) -> DataFrame:
+    """``labels`` (image, id, box, conf) with bottle_id: the first bottle of the image, by its id, that holds enough of each label; null for none."""
+    pairs = labels.join(bottles.select(image, "bottle_id", "bottle_box"), image, "left")
+    held = F.when(share_inside(F.col("box"), F.col("bottle_box")) >= least, F.col("bottle_id"))
+    return pairs.groupBy(*labels.columns).agg(F.min(held).alias("bottle_id"))
+
+
+def merged_by_bottle(labels: DataFrame, bottles: DataFrame, image: str) -> DataFrame:
+    """(image, box, conf, n): the labels of one bottle as one box where it has two or more, all others as they are."""
+    rows = assigned_to_bottles(labels, bottles, image)
+    several = F.count(F.lit(1)).over(Window.partitionBy(image, "bottle_id")) >= MERGE_FROM
+    own = F.when(F.col("bottle_id").isNotNull() & several, F.struct(F.lit(0).alias("alone"), F.col("bottle_id").alias("key"))).otherwise(F.struct(F.lit(1).alias("alone"), F.col("id").alias("key")))
+    return merge_labels(rows.withColumn("_own", own), [image, "_own"]).drop("_own")
+
+
+def primary_label(labels: DataFrame, image: str) -> DataFrame:
+    """(image, id, box, conf, reason): the label of each image that is cropped.
+
+    The largest, but the middle one of three alike in size; the next by size if it is much surer and over half as large; or if the largest is weak, surer and over a
+    quarter as large.  Equal sizes go by id.
+    """
+    size = F.struct((-area(F.col("box"))).alias("a"), "id", "box", "conf")
+    top = labels.groupBy(image).agg(F.array_sort(F.collect_list(size)).alias("by"))
+    first, second, third = (F.get("by", F.lit(k)) for k in range(3))
+    a0, a1, a2 = (-x["a"] for x in (first, second, third))
+    c0, c1 = (F.coalesce(x["conf"], F.lit(0.0)) for x in (first, second))
+    n = F.size("by")
+    middle = (n == 3) & (a2 > 0) & ((a0 - a2) / a0 <= SIMILAR_AREAS)
+    half = (n >= 2) & (a0 > 0) & (a1 <= HALF_SIZE * a0)
+    surer = (n >= 2) & (c1 - c0 >= CONF_GAP)
+    weak = (n >= 2) & (c0 < WEAK_CONF) & (c1 - c0 >= WEAK_GAP) & (a0 > 0) & (a1 > WEAK_AREA * a0)
+    pick = lambda x, why: F.struct(x["id"].alias("id"), x["box"].alias("box"), x["conf"].alias("conf"), F.lit(why).alias("reason"))
+    chosen = F.when(middle, pick(second, "middle_of_three_similar")).when(half, pick(first, "largest_vs_half_size")).when(surer, pick(second, "next_by_size_higher_conf"))
+    chosen = chosen.when(weak, pick(second, "next_by_size_weak_largest")).otherwise(pick(first, "largest"))
+    return top.select(image, chosen.alias("c")).select(image, "c.*")
+
+
+def on_body(label: Column, conf: Column, bottle: Column) -> Column:
+    """Whether a label is one of a bottle's body: nine tenths of it in the bottle, its middle below the neck, and no weak box of almost the bottle's height."""
+    height = F.nullif(bottle["y2"] - bottle["y1"], F.lit(0.0))
+    middle = (center(label)["y"] - bottle["y1"]) / height
+    silhouette = (F.coalesce(conf, F.lit(0.0)) < SILHOUETTE_CONF) & ((label["y2"] - label["y1"]) / height >= SILHOUETTE_HEIGHT)
+    return (share_inside(label, bottle) >= IN_BOTTLE) & ~F.coalesce(silhouette, F.lit(False)) & (F.coalesce(middle, F.lit(1.0)) >= NECK)
+
+
+def primary_bottle(bottles: DataFrame, labels: DataFrame, image: str) -> DataFrame:
+    """(image, bottle_id, bottle_box): the largest bottle of each image, or the one with the surest label on its body, if that is sure and much surer than the largest's own.
+
+    bottles: image, bottle_id, bottle_box, bottle_conf; labels: image, box, conf.  Equal bottles go by confidence, then id.
+    """
+    pairs = bottles.join(labels.select(image, "box", "conf"), image, "left")
+    best = F.max(F.when(on_body(F.col("box"), F.col("conf"), F.col("bottle_box")), F.coalesce("conf", F.lit(0.0))))
+    rated = pairs.groupBy(image, "bottle_id", "bottle_box", "bottle_conf").agg(F.coalesce(best, F.lit(-1.0)).alias("label_conf"))
+    rated = rated.withColumn("size", area(F.col("bottle_box")))
+    row = F.struct("bottle_id", "bottle_box", "label_conf")
+    by_size = F.min_by(row, F.struct((-F.col("size")).alias("s"), (-F.coalesce("bottle_conf", F.lit(0.0))).alias("c"), "bottle_id"))
+    by_label = F.min_by(row, F.struct((-F.col("label_conf")).alias("l"), (-F.col("size")).alias("s"), "bottle_id"))
+    found = rated.groupBy(image).agg(by_size.alias("large"), by_label.alias("labelled"))
+    sure = (F.col("labelled.label_conf") >= LABELLED_CONF) & (F.col("labelled.label_conf") - F.greatest(F.col("large.label_conf"), F.lit(0.0)) >= LABELLED_GAP)
+    chosen = F.when(sure, F.col("labelled")).otherwise(F.col("large"))
+    return found.select(image, chosen["bottle_id"].alias("bottle_id"), chosen["bottle_box"].alias("bottle_box"))
+
+
+def crop_boxes(labels: DataFrame, bottles: DataFrame, image: str, least_conf: float = 0.6) -> DataFrame:
+    """(image, box, reason): what of each image with bottles is cropped: the primary label on the body of its primary bottle, else that bottle's body.
+
+    bottles: image, bottle_id, bottle_box, bottle_conf; where an image has several, weak ones don't count unless all are.  A bottle's body begins below the labels on
+    its neck and those that stick out of all bottles, within bounds.
+    """
+    strong = drop_weak(bottles.withColumnRenamed("bottle_conf", "conf"), image, least_conf).withColumnRenamed("conf", "bottle_conf")
+    chosen = primary_bottle(strong, labels, image).select(image, F.col("bottle_box").alias("bottle"))
+    pairs = best_share(labels, strong, image).join(chosen, image)
+    body = pairs.filter(on_body(F.col("box"), F.col("conf"), F.col("bottle")))
+    picked = primary_label(body.select(*labels.columns), image).select(image, F.col("box").alias("picked"), F.col("reason").alias("why"))
+    own = share_inside(F.col("box"), F.col("bottle")) >= IN_BOTTLE
+    left_out = (F.col("best") < IN_BOTTLE) | (own & ~on_body(F.col("box"), F.col("conf"), F.col("bottle")))
+    crosses = (F.col("box")["y2"] > F.col("bottle")["y1"]) & (F.col("box")["y1"] < F.col("bottle")["y2"])
+    high = center(F.col("box"))["y"] <= F.col("bottle")["y1"] + NECK * (F.col("bottle")["y2"] - F.col("bottle")["y1"])
+    neck = pairs.filter(left_out & crosses & high).groupBy(image).agg(F.max(F.col("box")["y2"]).alias("neck"))
+    rows = chosen.join(picked, image, "left").join(neck, image, "left")
+    height = F.col("bottle")["y2"] - F.col("bottle")["y1"]
+    top = F.col("bottle")["y1"] + TOP_TRIM * height
+    begin = F.least(F.greatest(top, F.coalesce("neck", top)), F.col("bottle")["y1"] + TOP_TRIM_MOST * height)
+    rest = F.struct(F.col("bottle")["x1"].alias("x1"), F.when(begin >= F.col("bottle")["y2"] - 2, top).otherwise(begin).alias("y1"), F.col("bottle")["x2"].alias("x2"), F.col("bottle")["y2"].alias("y2"))
+    box = F.when(F.col("picked").isNotNull(), F.col("picked")).otherwise(rest)
+    return rows.select(image, box.alias("box"), F.coalesce(F.concat("why", F.lit("_on_primary_bottle")), F.lit("bottle_body_fallback")).alias("reason"))
+
+
+def cut_rects(crop: DataFrame, foreign: DataFrame, image: str) -> DataFrame:
+    """(image, rects): the parts of each crop (image, box) that labels of other bottles (image, box) cover, in the crop's own coordinates, from top to bottom."""
+    pairs = crop.select(image, F.col("box").alias("crop")).join(foreign.select(image, "box"), image)
+    part = F.struct(*[(f(F.col("box")[k], F.col("crop")[k]) - F.col("crop")[o]).alias(k) for f, k, o in ((F.greatest, "y1", "y1"), (F.greatest, "x1", "x1"), (F.least, "y2", "y1"), (F.least, "x2", "x1"))])
+    return pairs.filter(intersection(F.col("crop"), F.col("box")) > 0).groupBy(image).agg(F.array_sort(F.collect_list(part)).alias("rects"))

@@ -78,7 +78,7 @@ def hard_reject_reason(query_tokens: Column, reference_tokens: Column) -> Column
 
 def ranking_metrics(ranked_rows: DataFrame, query: str, label: str, score: str, threshold: float) -> DataFrame:
     """One row: top-1, 3 and 5 accuracy and mean reciprocal rank over queries with a positive; precision, recall, F1 and false positive rate at
-    ``threshold`` (included); the area under the ROC curve from midranks of distinct scores, without sorting all rows in one task."""
+    ``threshold`` (included).  ``roc_auc`` and ``best_f1_threshold`` give the areas and the best threshold."""
     positives = ranked_rows.filter(F.col(label) == 1).groupBy(query).agg(F.min("rank").alias("rank"))
     top = positives.agg(
         F.count(F.lit(1)).alias("queries"), *[F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"top{k}") for k in (1, 3, 5)],
@@ -107,3 +107,95 @@ def roc_auc(rows: DataFrame, label: str, score: str, step: float = 1e-6) -> Data
     wins = counts.withColumn("inside", inside).join(ranges.select("range", "below_range"), "range")
     area = F.sum(F.col("p") * (F.col("below_range") + F.col("inside") + F.col("n") / 2.0))
     return wins.agg(F.round(F.when(F.sum("p") * F.sum("n") > 0, area / (F.sum("p") * F.sum("n"))), 6).alias("auc"))
+
+
+def colour_gates(rows: DataFrame, most: float, hard: float | None = None, keep_cosine: float | None = None) -> DataFrame:
+    """``rows`` (distance, cosine) with colour_rejected, kept_by_cosine and hard_rejected.
+
+    A colour distance beyond ``most`` rejects, unless the cosine reaches ``keep_cosine``; one beyond ``hard`` rejects whatever the cosine.  Unknown distances reject nothing.
+    """
+    beyond = F.coalesce(F.col("distance") > most, F.lit(False))
+    is_hard = F.coalesce(F.col("distance") > hard, F.lit(False)) if hard is not None else F.lit(False)
+    near = F.coalesce(F.col("cosine") >= keep_cosine, F.lit(False)) if keep_cosine is not None else F.lit(False)
+    return rows.withColumns({"colour_rejected": (beyond & ~near) | is_hard, "kept_by_cosine": beyond & near & ~is_hard, "hard_rejected": is_hard})
+
+
+def attached(candidates: DataFrame, scores: DataFrame, columns: list[str], reuse: DataFrame | None = None, query: str = "query_id") -> DataFrame:
+    """Candidates with the scores (query, id, columns) of each, or those of its reuse (query, id, columns) where it has them."""
+    out = candidates.join(scores.select(query, "id", *columns), [query, "id"], "left")
+    if reuse is None:
+        return out
+    again = reuse.select(query, "id", *[F.col(c).alias(f"_{c}") for c in columns])
+    out = out.join(again, [query, "id"], "left")
+    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def with_distances(candidates: DataFrame, queries: DataFrame, stored: DataFrame, computed: DataFrame, distance) -> tuple[DataFrame, DataFrame]:
+    """Candidates (query_id, id) with the distance of the query's histogram (query_id, hist) to the item's, and the histograms (id, hist) that have to be stored.
+
+    An item's histogram is the stored one, else the computed one; ``distance`` is a function of two columns.
+    """
+    known = stored.select("id", F.col("hist").alias("_stored"))
+    made = computed.select("id", F.col("hist").alias("_made"))
+    rows = candidates.join(known, "id", "left").join(made, "id", "left").join(queries.select("query_id", F.col("hist").alias("_query")), "query_id", "left")
+    missing = rows.filter(F.col("_stored").isNull() & F.col("_made").isNotNull()).select("id", F.col("_made").alias("hist")).dropDuplicates(["id"])
+    return rows.withColumn("distance", distance(F.col("_query"), F.coalesce("_stored", "_made"))).drop("_stored", "_made", "_query"), missing
+
+
+def rank_by(rows: DataFrame, scores: list[str], query: str = "query_id") -> DataFrame:
+    """Rows with their rank: by the scores in turn, the largest first, missing ones as -1, then the smaller id."""
+    return ranked(rows, query, [*[F.coalesce(F.col(s).cast("double"), F.lit(-1.0)).desc() for s in scores], F.col("id")])
+
+
+def rank_of_visual_winner(rows: DataFrame, query: str = "query_id") -> DataFrame:
+    """(query, id, rank): the place that the candidate with the best cosine takes in the final ranking of rows (id, cosine, fin)."""
+    final = rank_by(rows, ["fin", "cosine"], query)
+    best = F.max_by(F.struct("id", "rank"), F.struct("cosine", (-F.col("id")).alias("i"))).alias("b")
+    return final.filter("cosine is not null").groupBy(query).agg(best).select(query, "b.*")
+
+
+def line_reject(matched: Column, lines: Column, reference_lines: Column, weak: Column, cosine: Column, most_cosine: float = 0.80) -> Column:
+    """Why the lines of two labels say that they are different: most of more than three lines unmatched, or a weak structure at a low cosine; null if they don't."""
+    longest = F.greatest(lines, reference_lines)
+    majority = (lines > 0) & (reference_lines > 0) & (longest > 3) & (1 - matched / longest > 0.5)
+    return F.when(majority, "majority_unmatched_lines").when(weak & (F.coalesce(cosine, F.lit(0.0)) < most_cosine), "weak_structure_low_cosine")
+
+
+def preview(rows: DataFrame, item: Column, order: Column, limit: int = 40, query: str = "query_id") -> DataFrame:
+    """(query, n, items): how many rows each query has, and the first ``limit`` of them in order."""
+    numbered = rows.withColumn("_place", F.row_number().over(Window.partitionBy(query).orderBy(order)))
+    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("_place") <= limit, F.struct("_place", item.alias("item"))))), lambda x: x["item"])
+    return numbered.groupBy(query).agg(F.count(F.lit(1)).alias("n"), shown.alias("items"))
+
+
+def channel_decision(scored: DataFrame, match_threshold: float, minimum: float, query: str = "query_id") -> DataFrame:
+    """(query, winner_id, channel, final, reason) of rows (channel, id, final, soft_cover, soft_score, pos): the best final score over all channels.
+
+    The winner is declined below ``minimum``, and vetoed where its soft score says that its reference barely holds what the text names.  Ties go to the channels' order and the smaller id.
+    """
+    best = F.max_by(F.struct("id", "channel", "final", "soft_cover", "soft_score"), F.struct("final", (-F.col("pos")).alias("p"), (-F.col("id")).alias("i"))).alias("b")
+    found = scored.filter("final is not null").groupBy(query).agg(best).select(query, "b.*")
+    veto = F.coalesce((F.col("soft_cover") < 0.40) & (F.col("soft_score") < 0.35), F.lit(False))
+    reason = F.when(F.col("final") < minimum, "below_minimum").when(veto, "soft_veto").when(F.col("final") > match_threshold, "match").otherwise("similar")
+    found = found.withColumn("reason", reason)
+    return found.select(query, F.when(F.col("reason") == "match", F.col("id")).alias("winner_id"), "channel", F.round("final", 6).alias("final"), "reason")
+
+
+def best_f1_threshold(rows: DataFrame, label: str, score: str, step: float = 1e-6) -> DataFrame:
+    """(threshold, f1, pr_auc): the score from which F1 is best, the highest of equals, and the average precision, of scores rounded to ``step``.
+
+    Counts by score are summed within ranges of scores first, so no task sorts all rows.
+    """
+    place = F.round(F.col(score) / step).cast("long")
+    counts = rows.filter(F.col(score).isNotNull()).groupBy(place.alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count(F.lit(1)).alias("n")).withColumn("range", F.floor(F.col("s") / 1000))
+    ranges = counts.groupBy("range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("p_above"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("n_above"))
+    inside = Window.partitionBy("range").orderBy(F.desc("s"))
+    at = counts.withColumns({"ip": F.sum("p").over(inside), "i": F.sum("n").over(inside)}).join(ranges, "range")
+    at = at.select("s", "p", (F.col("ip") + F.col("p_above")).alias("tp"), (F.col("i") + F.col("n_above")).alias("k"))
+    total = at.agg(F.sum("p").alias("positives"))
+    at = at.join(F.broadcast(total), F.lit(True)).withColumn("f1", 2 * F.col("tp") / (F.col("k") + F.col("positives")))
+    best = F.max_by(F.struct("s", "f1"), F.struct(F.round("f1", 9).alias("f"), "s")).alias("b")
+    area = F.sum(F.when(F.col("positives") > 0, F.col("p") / F.col("positives") * F.col("tp") / F.col("k")))
+    return at.agg(best, F.round(area, 6).alias("pr_auc")).select(F.round(F.col("b.s") * step, 6).alias("threshold"), F.round("b.f1", 6).alias("f1"), "pr_auc")
