@@ -75,6 +75,19 @@ def apply_feedback(log: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     return out.drop("_fp", "_fn")
 
 
+def set_manual_labels(log: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """The log (key, matched_id, manual_id, fp, fn) with the manual labels of ``updates`` (key, manual_id; null clears), and the flags that follow from a set one.
+
+    The last of several updates of a key is up to the caller; clearing a label leaves the flags as they are.
+    """
+    new = updates.select(key, F.col("manual_id").alias("_manual"), F.lit(True).alias("_changed"))
+    rows = log.join(new, key, "left")
+    found = manual_flags(F.col("_manual"), F.col("matched_id"))
+    sets = F.coalesce(F.col("_changed"), F.lit(False)) & F.col("_manual").isNotNull()
+    rows = rows.withColumns({"manual_id": F.when(F.col("_changed"), F.col("_manual")).otherwise(F.col("manual_id")), "fp": F.when(sets, found["fp"]).otherwise(F.col("fp")), "fn": F.when(sets, found["fn"]).otherwise(F.col("fn"))})
+    return rows.drop("_manual", "_changed")
+
+
 def confusion_report(rows: DataFrame, cls: str = "cls") -> DataFrame:
     """One row with the four counts and nine ratios of a column of classes; ratios with nothing below the line are null."""
     n = {c: F.count_if(F.col(cls) == c).alias(c.lower()) for c in ("TP", "FP", "TN", "FN")}

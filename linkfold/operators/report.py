@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkfold.functions.text import line_count, text_counts
 from linkfold.operators.documents import candidate_pool, matched_id, parsed, total_ms
-from linkfold.operators.history import classified, confusion_report, medians
+from linkfold.operators.history import classified, confusion_report, medians, ratio_buckets
 
 
 def id_range(log: DataFrame, key: str, first: int, last: int) -> DataFrame:
@@ -78,3 +79,24 @@ def replaced_reports(saved: DataFrame, new: DataFrame, name: str, order: str, ke
     """Saved reports with the new ones in place of those of the same name; the last ``keep`` by ``order`` stay."""
     kept = saved.join(new.select(name).distinct(), name, "left_anti").unionByName(new)
     return kept.orderBy(F.desc(order), name).limit(keep)
+
+
+def size_ratios(pairs: DataFrame, query: str, reference: str, key: str, top: int = 15) -> tuple[DataFrame, DataFrame]:
+    """The study of how much longer one text of a pair is: a summary of (measure, bucket, n, mean) over lines, characters and words, and the ``top`` pairs by lines.
+
+    A pair's ratio is the larger size by the smaller, from ``ratio_buckets``; pairs of which one text is empty have no mean.
+    """
+    a, b = text_counts(F.col(query)), text_counts(F.col(reference))
+    rows = pairs.select(key, a.alias("a"), b.alias("b"))
+    each = rows.select(key, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"a.{m}").cast("double").alias("a"), F.col(f"b.{m}").cast("double").alias("b")) for m in ("lines", "chars", "words")])).alias("s")).select(key, "s.*")
+    each = each.withColumn("ratio", F.when((F.col("a") > 0) & (F.col("b") > 0), F.greatest("a", "b") / F.least("a", "b")))
+    summary = each.groupBy("measure", ratio_buckets(F.col("ratio"), F.col("a"), F.col("b")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ratio"), 6).alias("mean"))
+    widest = each.filter("measure = 'lines' and ratio is not null").orderBy(F.desc("ratio"), key).limit(top).select(key, F.round("ratio", 6).alias("ratio"))
+    return summary, widest
+
+
+def excess_lines(pairs: DataFrame, query: str, reference: str, key: str, false_positives: DataFrame | None = None) -> DataFrame:
+    """(excess, n, mean_ratio): by how many lines the reference exceeds the query, over pairs where it does; without those of ``false_positives`` (key), if given."""
+    rows = pairs.select(key, line_count(F.col(query)).alias("a"), line_count(F.col(reference)).alias("b")).filter("b > a")
+    rows = rows.join(false_positives.select(key).distinct(), key, "left_anti") if false_positives is not None else rows
+    return rows.groupBy((F.col("b") - F.col("a")).alias("excess")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("b") / F.greatest("a", F.lit(1))), 6).alias("mean_ratio"))

@@ -72,3 +72,35 @@ def without_held_out(df: DataFrame, held_out: DataFrame, text: str) -> DataFrame
     """Rows whose content isn't on the exclusion list, by SHA-256."""
     listed = held_out.select(F.sha2(F.col(text), 256).alias("_sha")).distinct()
     return df.join(listed, F.sha2(df[text], 256) == listed["_sha"], "left_anti")
+
+
+def cards(catalog: DataFrame, images: DataFrame, id_column: str, name: str, slug: str, photo: str, folder: str = "/media", heavy: str | None = None) -> DataFrame:
+    """(id, name, slug, photo_url): catalogue rows as cards; a missing photo is that of ``images`` (key, value) under the slug.
+
+    ``heavy`` adds a large column, which isn't read otherwise.
+    """
+    known = images.select(F.col("key").alias("_key"), F.col("value").alias("_file"))
+    rows = catalog.join(known, F.col(slug) == F.col("_key"), "left")
+    file = F.coalesce(F.nullif(F.trim(photo), F.lit("")), F.col("_file"))
+    return rows.select(F.col(id_column).alias("id"), F.col(name).alias("name"), F.col(slug).alias("slug"), F.concat(F.lit(f"{folder}/"), file).alias("photo_url"), *([heavy] if heavy else []))
+
+
+def distinct_names(catalog: DataFrame, column: str, bad: Column | None = None) -> DataFrame:
+    """(name): a column's distinct values, trimmed, without empty ones and those that ``bad`` holds for (a column of the name)."""
+    names = catalog.select(F.trim(column).alias("name")).filter("name != ''").distinct()
+    return names.filter(~F.coalesce(bad, F.lit(False))) if bad is not None else names
+
+
+def reference_entities(catalog: DataFrame) -> DataFrame:
+    """(id, label, color, type, vintage_year, foundation_year) of ``catalog`` (id, label, label_color, label_type, vintage_year, foundation_year, label_json).
+
+    Empty columns are filled from the recognised label's JSON; years from 1950 to 2100 count.
+    """
+    told = F.from_json("label_json", "struct<color: string, type: string, vintage_year: string, foundation_year: string>")
+    filled = lambda own, name: F.coalesce(F.nullif(F.trim(own), F.lit("")), F.nullif(F.trim(told[name]), F.lit("")))
+    year = lambda name: F.coalesce(F.col(name).cast("string"), told[name]).try_cast("int")
+    between = lambda y: F.when(y.between(1950, 2100), y)
+    return catalog.select(
+        "id", F.trim(F.coalesce("label", F.lit(""))).alias("label"), filled(F.col("label_color"), "color").alias("color"), filled(F.col("label_type"), "type").alias("type"),
+        between(year("vintage_year")).alias("vintage_year"), between(year("foundation_year")).alias("foundation_year"),
+    )

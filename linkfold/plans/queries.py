@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkfold.functions import boxes, color, scores, similarity, text
-from linkfold.operators import analogs, decide, history, knn, lexicon, linking, pairs, search
+from linkfold.operators import analogs, decide, history, knn, lexicon, linking, pairs, report, search
 from linkfold.settings import Settings
 from linkfold.sources.readers import url_slug
 from linkfold.sources.writers import upserted
@@ -249,8 +249,56 @@ WITH p AS (SELECT conv_id, turn, len(list_filter(string_split(q, chr(10)), lambd
 SELECT (b - a)::INT AS excess, count(*) AS n, round(avg(b / greatest(a, 1)), 6) AS mean_ratio FROM p WHERE b > a GROUP BY 1
 """)
 def excess_lines(t):
-    rows = _pairs(t).select(text.line_count(F.col("q")).alias("a"), text.line_count(F.col("r")).alias("b")).filter("b > a")
-    return rows.groupBy((F.col("b") - F.col("a")).alias("excess")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("b") / F.greatest("a", F.lit(1))), 6).alias("mean_ratio"))
+    return report.excess_lines(_keyed_pairs(t), "q", "r", "key")
+
+
+def _keyed_pairs(t):
+    return _pairs(t).select(F.concat_ws(":", "conv_id", "turn").alias("key"), "turn", "q", "r")
+
+
+@query(f"""
+WITH p AS (SELECT conv_id, turn, len(list_filter(string_split(q, chr(10)), lambda x: trim(x) <> '')) AS a, len(list_filter(string_split(r, chr(10)), lambda x: trim(x) <> '')) AS b FROM ({_PAIRS}))
+SELECT (b - a)::INT AS excess, count(*) AS n, round(avg(b / greatest(a, 1)), 6) AS mean_ratio FROM p WHERE b > a AND turn % 4 <> 0 GROUP BY 1
+""")
+def excess_lines_without_fp(t):
+    rows = _keyed_pairs(t)
+    return report.excess_lines(rows, "q", "r", "key", rows.filter("turn % 4 = 0").select("key"))
+
+
+@query(rf"""
+WITH p AS (SELECT len(list_filter(string_split(q, chr(10)), lambda x: trim(x) <> '')) AS la, len(list_filter(string_split(r, chr(10)), lambda x: trim(x) <> '')) AS lb, length(q) AS ca, length(r) AS cb,
+    len(list_filter(regexp_split_to_array(q, '\s+'), lambda x: x <> '')) AS wa, len(list_filter(regexp_split_to_array(r, '\s+'), lambda x: x <> '')) AS wb FROM ({_PAIRS})),
+  e AS (SELECT 'lines' AS measure, la AS a, lb AS b FROM p UNION ALL SELECT 'chars', ca, cb FROM p UNION ALL SELECT 'words', wa, wb FROM p), k AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN greatest(a, b) / least(a, b) END AS x FROM e)
+SELECT measure, CASE WHEN a <= 0 AND b <= 0 THEN 'both_empty' WHEN a <= 0 OR b <= 0 THEN 'one_empty' WHEN x <= 1.25 THEN '<=1.25' WHEN x <= 1.5 THEN '<=1.5' WHEN x <= 2 THEN '<=2' WHEN x <= 3 THEN '<=3' WHEN x <= 5 THEN '<=5' ELSE '>5' END AS bucket,
+  count(*) AS n, round(avg(x), 6) AS mean FROM k GROUP BY 1, 2
+""")
+def size_ratios(t):
+    return report.size_ratios(_keyed_pairs(t), "q", "r", "key")[0]
+
+
+@query("""
+SELECT p_partkey AS id, p_name AS name, 's' || (p_partkey % 50) AS slug, '/media/' || coalesce(CASE WHEN p_size % 2 = 0 THEN p_brand END, s_name) AS photo_url FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 50
+""")
+def catalog_cards(t):
+    slug, photo = F.concat(F.lit("s"), (F.col("p_partkey") % 50).cast("string")), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(" ")
+    images = t("supplier").filter("s_suppkey < 50").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_name").alias("value"))
+    return search.cards(t("part").withColumns({"slug": slug, "photo": photo}), images, "p_partkey", "p_name", "slug", "photo")
+
+
+@query("SELECT DISTINCT p_name AS name FROM part WHERE p_name NOT LIKE '%gizmo%'")
+def distinct_names(t):
+    return search.distinct_names(t("part"), "p_name", F.col("name").contains("gizmo"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CASE WHEN event_id % 8 = 0 THEN user_id END ELSE CASE WHEN event_id % 5 = 0 THEN 7 END END AS manual_id,
+  CASE WHEN event_id % 8 = 0 THEN (event_type <> 'error' AND user_id <> user_id // 2)::INT ELSE 0 END AS fp, CASE WHEN event_id % 8 = 0 THEN (event_type = 'error')::INT ELSE 1 END AS fn FROM events
+""")
+def manual_labels(t):
+    half = F.when(F.col("event_type") != "error", F.expr("user_id div 2"))
+    log = t("events").select("event_id", half.alias("matched_id"), F.when(F.col("event_id") % 5 == 0, F.lit(7).cast("long")).alias("manual_id"), F.lit(0).alias("fp"), F.lit(1).alias("fn"))
+    updates = t("events").filter("event_id % 4 = 0").select("event_id", F.when(F.col("event_id") % 8 == 0, F.col("user_id")).alias("manual_id"))
+    return history.set_manual_labels(log, updates, "event_id").drop("matched_id")
 
 
 _TOKENS = r"list_distinct(list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 2 OR regexp_full_match(x, '\d')))"
@@ -570,7 +618,25 @@ def bhattacharyya(t):
 # Colours, boxes, analogs ----------------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+def _sql_lab(k: int) -> str:
+    return f"((c_acctbal * {k} % 255.0 + 255.0) % 255.0)::DOUBLE * 100 / 255 AS l{k}, (c_custkey * {k} % 255 - 128)::DOUBLE AS a{k}, (c_nationkey * {k})::DOUBLE AS b{k}"
+
+
+def _sql_hue(b: str, a: str) -> str:
+    return f"CASE WHEN {a} = 0 AND {b} = 0 THEN 0 ELSE (degrees(atan2({b}, {a})) + 360) % 360 END"
+
+
+@query(f"""
+WITH v AS (SELECT c_custkey, {_sql_lab(1)}, {_sql_lab(2)} FROM customer),
+  c AS (SELECT *, (sqrt(a1 * a1 + b1 * b1) + sqrt(a2 * a2 + b2 * b2)) / 2 AS cc FROM v), g AS (SELECT *, (1 - sqrt(pow(cc, 7) / (pow(cc, 7) + pow(25.0::DOUBLE, 7)))) / 2 AS g FROM c),
+  p AS (SELECT *, a1 * (1 + g) AS p1, a2 * (1 + g) AS p2 FROM g), h AS (SELECT *, sqrt(p1 * p1 + b1 * b1) AS c1, sqrt(p2 * p2 + b2 * b2) AS c2, {_sql_hue("b1", "p1")} AS h1, {_sql_hue("b2", "p2")} AS h2 FROM p),
+  m AS (SELECT *, h2 - h1 AS turn, h1 + h2 AS total, c1 * c2 = 0 AS grey, (c1 + c2) / 2 AS cm, pow((l1 + l2) / 2 - 50, 2) AS lm FROM h),
+  d AS (SELECT *, CASE WHEN grey THEN 0 WHEN turn > 180 THEN turn - 360 WHEN turn < -180 THEN turn + 360 ELSE turn END AS dh, CASE WHEN grey THEN total WHEN abs(turn) <= 180 THEN total / 2 WHEN total < 360 THEN (total + 360) / 2 ELSE (total - 360) / 2 END AS hm FROM m),
+  t AS (SELECT *, 1 - 0.17 * cos(radians(hm - 30)) + 0.24 * cos(radians(2 * hm)) + 0.32 * cos(radians(3 * hm + 6)) - 0.20 * cos(radians(4 * hm - 63)) AS t FROM d),
+  x AS (SELECT *, (l2 - l1) / (1 + 0.015 * lm / sqrt(20 + lm)) AS x, (c2 - c1) / (1 + 0.045 * cm) AS y, 2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015 * cm * t) AS z,
+    -2 * sqrt(pow(cm, 7) / (pow(cm, 7) + pow(25.0::DOUBLE, 7))) * sin(radians(60 * exp(-pow((hm - 275) / 25, 2)))) AS r FROM t)
+SELECT c_custkey, round(sqrt(x * x + y * y + z * z + r * y * z), 4) AS delta FROM x
+""")
 def ciede2000(t):
     lab = lambda k: color.cie_lab(F.pmod(F.col("c_acctbal") * k, F.lit(255.0)), F.pmod(F.col("c_custkey") * k, F.lit(255)), F.lit(128.0) + F.col("c_nationkey") * k)
     rows = t("customer").select("c_custkey", *[c.alias(f"{n}{k}") for k in (1, 2) for n, c in zip("lab", lab(k), strict=True)])

@@ -91,3 +91,21 @@ def resolve_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
     out = wanted.withColumns({"_name": F.lower("image_file"), "_stem": file_stem(F.col("image_file"))})
     out = out.join(exact, "_name", "left").join(stem, "_stem", "left")
     return out.withColumn("file", F.coalesce("_exact", "_by_stem")).drop("_name", "_stem", "_exact", "_by_stem")
+
+
+def read_lexicon(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(lexicon, canon, canon_pos, form, n_words) of the list under ``name`` in a JSON file of lexicons, each a list of a canon and its forms, in the file's order."""
+    raw = spark.read.schema(f"{name} array<struct<canon: string, forms: array<string>>>").json(path, multiLine=True)
+    groups = raw.select(F.posexplode(name).alias("canon_pos", "g")).select("canon_pos", "g.canon", F.explode("g.forms").alias("form"))
+    form = F.lower(F.trim("form"))
+    return groups.select(F.lit(name).alias("lexicon"), "canon", "canon_pos", form.alias("form"), F.size(F.split(form, " +")).alias("n_words")).filter("form != ''")
+
+
+def read_replacements(spark: SparkSession, path: str, kinds: tuple[str, ...]) -> DataFrame:
+    """(kind, source, target) of a JSON file of maps, such as look-alike letters, digits and whole-token aliases; both sides in lower case."""
+    raw = spark.read.schema(", ".join(f"{k} map<string, string>" for k in kinds)).json(path, multiLine=True)
+    each = [raw.select(F.lit(k).alias("kind"), F.explode(k).alias("source", "target")) for k in kinds]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out.select("kind", F.lower("source").alias("source"), F.lower("target").alias("target"))

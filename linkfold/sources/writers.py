@@ -28,3 +28,16 @@ def export_split(df: DataFrame, key: str, seed: int = 42, validation: float = 0.
     """Rows with ``split``: train or validation by a hash of the key, the same in every run."""
     share = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(10_000))
     return df.withColumn("split", F.when(share < round(10_000 * validation), "validation").otherwise("train"))
+
+
+def export_rows(df: DataFrame, key: str, path: str, limit: int | None = None, seed: int = 42, validation: float = 0.1) -> DataFrame:
+    """Write the rows that have a key, with their split, in the key's order, and return one row of metadata: rows, those of each split, seed and share.
+
+    ``limit`` asks for the first rows by key, for a trial export.
+    """
+    rows = export_split(df.filter(F.col(key).isNotNull()), key, seed, validation)
+    rows = rows.orderBy(key).limit(limit) if limit is not None else rows
+    rows.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    written = df.sparkSession.read.parquet(path)
+    counts = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "validation")]]
+    return written.agg(*counts).withColumns({"seed": F.lit(seed), "share": F.lit(validation)})
