@@ -54,6 +54,9 @@ def knn(queries: DataFrame, catalog: DataFrame, n: int, exclude_self: bool = Fal
                     yield pd.concat(out)
 
         near = catalog.select("id", "vector").mapInPandas(search, "query_id long, id long, cosine double")
+        if blocks > 1:  # a block's few best rows are written to the folder of checkpoints, and its vectors released before the next block's are sent
+            near = near.checkpoint()
+            held.unpersist()
         found = near if found is None else found.unionByName(near)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return found.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n)
