@@ -111,6 +111,13 @@ def entity_form(text: Column) -> Column:
     return canonical(F.regexp_replace(_tidied(t), r"(?iuU)\b\d+[.,]?\d*\s*vol\.?\b", " "))
 
 
+def entity_lines(text: Column, least: int = 3) -> Column:
+    """The lines of a recognised label in ``entity_form``, without short ones and those that any label may hold."""
+    t = F.regexp_replace(unicode_form(F.coalesce(text, F.lit("")), "NFKD"), r"\p{Mn}", "")
+    lines = F.transform(F.split(F.translate(t, "\r", "\n"), "\n"), lambda x: canonical(F.regexp_replace(_tidied(x), r"(?iuU)\b\d+[.,]?\d*\s*vol\.?\b", " ")))
+    return F.filter(lines, lambda x: (F.length(x) >= least) & ~x.isin(*GENERIC_LINES))
+
+
 def soft_form(text: Column) -> Column:
     """The form of the soft score: NFKC, torn words joined line by line, tidied, canonical."""
     t = F.translate(unicode_form(F.coalesce(text, F.lit("")), "NFKC"), "\rёЁ", "\nее")

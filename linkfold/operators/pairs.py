@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,12 +11,13 @@ from pyspark.sql import functions as F
 from linkfold.functions import classes
 from linkfold.functions.scores import fin_blend
 from linkfold.functions.similarity import (
-    dice, fuzzy_coverage, jaccard, levenshtein_similarity, multiset_ngram_dice, overlap, partial_ratio, ratio, safe_ratio, string_similarities, token_similarity,
+    _text_similarity, dice, fuzzy_coverage, jaccard, levenshtein_similarity, multiset_ngram_dice, overlap, partial_ratio, ratio, safe_ratio, string_similarities, token_similarity,
 )
-from linkfold.functions.text import canonical, line_count, ngrams, pair_form, soft_form, soft_terms, tokens
+from linkfold.functions.text import entity_lines, line_count, ngrams, pair_form, soft_form, soft_terms, tokens
 
-# Weights of the soft score.
+# Weights of the soft score, and likenesses from which lines, and short ones, match.
 W_COVER, W_PARTIAL, W_UNIQUE = 0.80, 0.20, 0.08
+LINE_MATCH, SHORT_LINE_MATCH = 0.65, 0.55
 
 
 def idf_table(items: DataFrame, tokens_column: str) -> DataFrame:
@@ -168,31 +168,54 @@ def soft_veto(cover: Column, score: Column, least_cover: float = 0.40, least_sco
     return (cover < least_cover) & (score < least_score)
 
 
-def aligned_lines(pairs: DataFrame, query: str, reference: str, least: float = 0.6) -> DataFrame:
-    """``pairs`` with lines (of the query), matched and mean_similarity: every query line takes the best reference line that is still free.
-
-    The choice is greedy and in order, so it is made line by line within a pair, whose lines are in its own row.
+def _ends_differ(a: str, b: str) -> bool:
+    """Whether two lines are unlike: neither equal, nor one within the other, nor alike, and different in their first two letters and their last two."""
+    if not a or not b:
+        return True
+    alike = _text_similarity(a, b)
+    if a in b or b in a or alike >= LINE_MATCH:
+        return False
+    x, y = a.replace(" ", ""), b.replace(" ", "")
+    if min(len(x), len(y)) < 4:
+        return alike < SHORT_LINE_MATCH
+    return x[:2] != y[:2] and x[-2:] != y[-2:]
+
+
+STRUCTURE = "lines int, reference_lines int, matched int, matched_ratio double, uneven boolean, partial boolean, dissimilar boolean, weak boolean, majority_unmatched boolean"
+
+
+def _structure(lines: list[str], others: list[str]) -> tuple:
+    free, left = list(range(len(others))), []
+    for line in lines:
+        best = max(free, key=lambda j: (_text_similarity(line, others[j]), -j), default=None)
+        if best is not None and (_text_similarity(line, others[best]) >= LINE_MATCH or not _ends_differ(line, others[best])):
+            free.remove(best)
+        else:
+            left.append(line)
+    n, m = len(lines), len(others)
+    if not n or not m:
+        return n, m, 0, 0.0, False, False, False, False, False
+    matched, least, most = n - len(left), min(n, m), max(n, m)
+    uneven, partial, share = most - least >= 2 or most >= 1.75 * least, matched < least, matched / most
+    pool = [others[j] for j in free] or others
+    dissimilar = all(_ends_differ(a, b) for a in left for b in pool) if left else bool(free) and uneven
+    weak = least >= 2 and partial and dissimilar and (uneven or matched <= max(1, least // 2)) and share < 0.6
+    return n, m, matched, round(share, 4), uneven, partial, dissimilar, weak, most > 3 and share < 0.5
+
+
+def aligned_lines(pairs: DataFrame, query: str, reference: str) -> DataFrame:
+    """``pairs`` with the structure of two labels' lines: their numbers, how many match one to one, and what that says.
+
+    Every line of the query takes the likeliest line of the reference that is still free, if they are alike or their ends are.  The choice is greedy and in order, so it is
+    made within a pair, whose lines are in its own row.  uneven: numbers of lines that differ by two or by three quarters; partial: some of the shorter label's lines unmatched;
+    dissimilar: what is left on both sides is unlike; weak: all of these, for labels of two lines or more of which less than 0.6 match; majority_unmatched: over half of more than three.
     """
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        from linkfold.functions.similarity import _ratio
-
-        for qs, rs in batches:
-            rows = []
-            for q, r in zip(qs, rs, strict=True):
-                free, matched, total = [x for x in (r if r is not None else [])], 0, 0.0
-                for line in q if q is not None else []:
-                    scored = [(_ratio(line, x), -i) for i, x in enumerate(free)]
-                    best = max(scored, default=(0.0, 0))
-                    total += best[0]
-                    if best[0] >= least:
-                        matched += 1
-                        free.pop(-best[1])
-                n = len(q) if q is not None else 0
-                rows.append((n, matched, round(total / n, 6) if n else 0.0))
-            yield pd.DataFrame(rows, columns=["lines", "matched", "mean_similarity"])
-
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    lines = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), canonical), lambda x: F.length(x) >= 3)
-    found = F.pandas_udf(run, "lines int, matched int, mean_similarity double")(lines(F.col(query)), lines(F.col(reference)))
-    return pairs.withColumn("_a", found).withColumns({c: F.col(f"_a.{c}") for c in ("lines", "matched", "mean_similarity")}).drop("_a")
+    def run(qs: pd.Series, rs: pd.Series) -> pd.DataFrame:
+        rows = [_structure(list(q) if q is not None else [], list(r) if r is not None else []) for q, r in zip(qs, rs, strict=True)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in STRUCTURE.split(", ")])
+
+    run.__annotations__ = {"qs": pd.Series, "rs": pd.Series, "return": pd.DataFrame}
+    found = F.pandas_udf(run, STRUCTURE)(F.col("_q"), F.col("_r"))
+    rows = pairs.withColumns({"_q": entity_lines(F.col(query)), "_r": entity_lines(F.col(reference))}).withColumn("_a", found)
+    return rows.select(*pairs.columns, "_a.*")

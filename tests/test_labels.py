@@ -242,3 +242,14 @@ def test_decisions(spark):
     assert sorted(r["s"] for r in attached.collect()) == [0.5, 0.9]
     named = report.unmatched_names(spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", 7), (4, None, None)], "id int, name string, link int"), "name", "link")
     assert [tuple(r) for r in named.collect()] == [("a", 2, [1, 2])]
+
+
+def test_line_structure(spark):
+    rows = [
+        ("Красностоп\nБюрнье\nКубань\n2019", "Красностоп\nБюрнье\nКубань\n2019"), ("aaaa\nbbbb\ncccc\ndddd", "xxxx\nyyyy\nzzzz\nwwww"), ("Вино\nab", None), ("абвгд\nежзик\nлмноп", "абвгд\nrstuv"), ("винодельня\nкрасное вино", "красное вино"),
+    ]
+    got = [tuple(r) for r in pairs.aligned_lines(spark.createDataFrame(rows, "q string, r string"), "q", "r").drop("q", "r").collect()]
+    assert got[0] == (4, 4, 4, 1.0, False, False, False, False, False)
+    assert got[1] == (4, 4, 0, 0.0, False, True, True, True, True)
+    assert got[2] == (0, 0, 0, 0.0, False, False, False, False, False)
+    assert got[3][:4] == (3, 2, 1, 0.3333) and got[3][5:8] == (True, True, True) and got[4][:3] == (1, 1, 1)
