@@ -23,7 +23,7 @@ HASH_BITS = 22
 MAX_TRAINING_ROWS = 20_000
 SELECTED_TERMS = 4_096
 FACTORS = 8
-_LIMIT = 150_000
+_LIMIT = 100_000
 _STRIPPED = ".,;:!?\"'()[]{}<>*%$&#@-_/\\|`~«»¿¡…"
 
 

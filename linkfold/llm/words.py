@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
-_LIMIT = 200_000
+_LIMIT = 100_000
 _known: dict[bytes, bytes] = {}
 
 
