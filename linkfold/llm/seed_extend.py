@@ -71,11 +71,13 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
 
     places = stored(docs.mapInPandas(find, "anchor long, whole long, start long, count long, doc_id long"), "places")
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    places = stored(places.join(shared.select("anchor"), "anchor", "left_semi"), "seeds")
+    # counts by anchor are written before they are joined, so that the joins are of plain tables, whose large keys Spark can split
+    places = stored(places.join(stored(shared.select("anchor"), "shared"), "anchor", "left_semi"), "seeds")
 
     classes = places.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "start", "count")).alias("head"))
     classes = stored(classes.select("anchor", "whole", "head.*"), "classes")
     several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    several = stored(several, "several")
 
     # windows of one occurrence of each class, where an anchor has several classes
     heads = classes.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "whole", "start", "count")).alias("heads"))
@@ -96,7 +98,6 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
             yield _columns(parts, names)
 
     compared = stored(docs.join(heads.hint("shuffle_hash"), "doc_id").mapInPandas(windows, "anchor long, whole long, k long, content long, doc_id long"), "windows")
-    # minima are written first, so that the join with them is one of plain tables, whose large keys Spark can split
     earliest = compared.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     extended = compared.join(stored(earliest, "earliest"), ["anchor", "content"]).filter("first < doc_id").select("anchor", "whole", "k").distinct()
     # neighbouring windows are one range
