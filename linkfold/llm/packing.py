@@ -9,6 +9,7 @@ meet in fewer partitions, are packed again by best fit, and so on until no two o
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from linkfold.llm.scratch import stored
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_CHUNKS = 200_000
+_CHUNKS = 300_000
 _PIECES = 200_000
 
 
@@ -27,8 +28,9 @@ class WordEncoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, with common words remembered.
 
     The tokenizer drops white space and never joins tokens across it, so a text's ids are its words' ids in turn.
-    A word is cut further, by the tokenizer's own pattern, into pieces that are encoded apart.  Texts with
-    control characters, for which white space is not what ``str.split`` takes it to be, are encoded whole.
+    A word is cut further, by the tokenizer's own pattern, into pieces that are encoded apart: their UTF-8 bytes, each shown as a character, go to the
+    tokenizer's model.  That holds for composed Latin and Cyrillic letters; words with other ones, and texts with control characters, for which
+    white space is not what ``str.split`` takes it to be, are encoded whole.
     """
 
     # Fixed value: the pattern by which this vocabulary's tokenizer cuts words.
@@ -43,35 +45,38 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.cut = regex.compile(self.PATTERN).findall
         self.odd = regex.compile(r"[\x00\x1c-\x1f\x85]").search
+        self.plain = regex.compile(r"[\x21-\u012f\u0131-\u024f\u0400-\u04ff]+").fullmatch  # but for a dotted capital I
+        # printable bytes are shown as themselves, the others as the characters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        ids = self.ids
+        return b"".join([ids[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            found = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(part))
+            ids = self.ids
+            shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.shown)
+            found = b"".join([ids[t.id] for t in self.model.tokenize(shown)])
             if len(self.parts) < _PIECES:
                 self.parts[part] = found
         return found
 
     def word(self, word: str) -> bytes:
-        ids = b"".join(map(self.part, self.cut(word.lower()))) if word.isascii() else self.letters(word)
+        if word.isascii() or (self.plain(word) and unicodedata.is_normalized("NFC", word)):
+            ids = b"".join(map(self.part, self.cut(word.lower())))
+        else:
+            ids = self.whole(word)
         if len(self.words) < _CHUNKS:
             self.words[word] = ids
         return ids
 
-    def letters(self, word: str) -> bytes:
-        """A word with letters beyond ASCII; its pieces are remembered too."""
-        found = self.parts.get(word)
-        if found is None:
-            found = self.whole(word)
-            if len(self.parts) < _PIECES:
-                self.parts[word] = found
-        return found
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""

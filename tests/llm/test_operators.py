@@ -203,7 +203,7 @@ def test_packing(spark, corpus):
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
     tokenizer.encode_special_tokens = True
-    texts = [*corpus, "Ünïcode ’tis don't I'LL 12,5% 中文字 <|endoftext|> a b c\x1cd\x85e", "x" * 5_000, "İstanbul ΣΑΣ é"]
+    texts = [*corpus, "Ünïcode ’tis don't I'LL 12,5% 中文字 <|endoftext|> a b c\x1cd\x85e", "x" * 5_000, "İstanbul ΣΑΣ é", "a\x7fb \x01 Straße ŒUVRE ё1ж Привет'S e\u0301 ﬁ \xadx"]
     docs = docs_of(spark, texts)
     rows = packing.pack(stored(packing.token_pieces(docs, tokenizer_path(), 256), "pieces"), 256, partition_items=60).toPandas()
     by_doc = {d: g.sort_values("piece") for d, g in rows.groupby("doc_id")}
