@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkfold.functions.classes import GRAPE_ALIASES, GRAPES, color_key, grapes_match, split_grapes, type_key
 from linkfold.functions.text import canonical, distinct_words, entity_form, is_bad_producer
 from linkfold.operators.lexicon import CATEGORY, TYPE, lexicon_hits
+from linkfold.operators.spread import spread
 
 # Weights of the criteria, what a type that is near or unknown, or a conflicting colour, is worth, and the parts of a grape's share.
 WEIGHTS = {"producer": 0.35, "grape": 0.30, "category": 0.20, "type": 0.15}
@@ -50,7 +51,7 @@ def rank_analogs(criteria: DataFrame, catalog: DataFrame, n: int = 10, cosine: D
     asks = lambda c: (F.size(c) > 0).cast("double")
     total = WEIGHTS["producer"] * asks("q_producers") + WEIGHTS["grape"] * asks("q_grapes") + WEIGHTS["category"] * asks("q_categories") + WEIGHTS["type"] * F.col("q_type").isNotNull().cast("double")
     asked = asked.withColumn("asked", total)
-    items = catalog.select("id", "producer", F.coalesce("grapes", F.array().cast(_LIST)).alias("grapes"), "category", "type", canon_rank("type", type_order).alias("type_rank"), canon_rank("category", category_order).alias("category_rank"))
+    items = spread(catalog).select("id", "producer", F.coalesce("grapes", F.array().cast(_LIST)).alias("grapes"), "category", "type", canon_rank("type", type_order).alias("type_rank"), canon_rank("category", category_order).alias("category_rank"))
     blocks = max(1, math.ceil(criteria.count() / BLOCK_QUERIES))
     best = None
     for b in range(blocks):

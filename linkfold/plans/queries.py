@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkfold.functions import boxes, color, scores, similarity, text
 from linkfold.operators import analogs, decide, history, knn, lexicon, linking, pairs, report, search
+from linkfold.operators.spread import spread
 from linkfold.settings import Settings
 from linkfold.sources.readers import url_slug
 from linkfold.sources.writers import upserted
@@ -389,7 +390,7 @@ WITH d AS (SELECT {_TOKENS.format(c="text")} AS tokens FROM documents), n AS (SE
 SELECT token, df, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf FROM f, n
 """)
 def tokens_idf(t):
-    return pairs.idf_table(t("documents").select(text.tokens(F.col("text")).alias("tokens")), "tokens")
+    return pairs.idf_table(spread(t("documents").select("text")).select(text.tokens(F.col("text")).alias("tokens")), "tokens")
 
 
 _FORMS = (("the", ("the and", "the", "and the")), ("of", ("of the", "of", "of and the")), ("de", ("de la", "de", "que de la")))
