@@ -20,7 +20,7 @@ NEAR = 1.25
 #: Two documents that share eight ninths of their text have a similarity of 0.8, from which on the pipeline takes them for near-duplicates.
 COPIED = (8, 9)
 #: Lost lines that are broadcast at most (some 32 MB); beyond, texts are shuffled.
-BROADCAST_LINES = 2_000_000
+BROADCAST_LINES = 500_000
 
 
 def _lines(text: Column) -> Column:
