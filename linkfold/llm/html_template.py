@@ -5,7 +5,7 @@ pages of a host every token has an occurrence vector, one count for each page; t
 which merges by aggregation, so a host with a third of all pages is no task's burden.  Tokens with equal vectors, on a tenth of the host's
 pages at least, are a class.  A second look at the pages tells which classes are valid: their tokens come in one order on every page
 that has them, repeated as a whole, and always inside the same slot of the same other class.  Valid classes nest into the host's
-template.  A text that shares the class of its container belongs to the template; what is left in the slots is the pages' own.  Of the
+template.  A text that shares the class of its container, or that of the whole page, belongs to the template; what is left in the slots is the pages' own.  Of the
 template's containers the one that gathers the article's slots is chosen, menus and the like are cut out of it by tag and class, and
 the blocks in its slots are the text.
 """
@@ -223,8 +223,9 @@ class _Unpacked:
 
 
 def own_blocks(page: Page, classes: dict[int, int]) -> list[bool]:
-    """Whether each block is the page's own: its token isn't in the class of its container."""
-    return [token not in classes or classes[token] != classes.get(page.token[node]) for node, token, _ in page.blocks]
+    """Whether each block is the page's own: its token isn't in the class of its container, nor in that of the outermost one, which has what is on every page once."""
+    whole = classes.get(page.token[1]) if len(page.token) > 1 else None
+    return [token not in classes or classes[token] not in (classes.get(page.token[node]), whole) for node, token, _ in page.blocks]
 
 
 def order_and_nesting(page: Page, classes: dict[int, int]) -> list[tuple[int, int, int, int]]:
