@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkfold.llm import chroma, decontaminate, html_template, line_spread, minmax, packing, seed_extend, sharding, toxicity_fm, url_rules
-
+from linkfold.llm import chroma, decontaminate, html_template, line_spread, minmax, packing, periodic_runs, quality_pu, seed_extend, sharding, toxicity_fm, url_rules, whitening
+from linkfold.llm.scratch import stored
+from linkfold.llm.words import split_words
 
 #: Scores from here on count as toxic.
 TOXIC_FROM = 0.3
+#: Scores from here on count as good.
+GOOD_FROM = 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +78,43 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=0.2, indels=True)
 
 
+def op11_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = stored(quality_pu.measured(table(spark, sf_dir, "documents").select("doc_id", "text")), "measures")
+    scored = quality_pu.score(docs, quality_pu.fit(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= GOOD_FROM).cast("int").alias("predicted")
+    return scored.select(F.col("doc_id").cast("long"), quality_pu.held_out().alias("held_out"), "score", predicted)
+
+
+def with_periods(doc_id: int | None, text: str | None) -> str | None:
+    """The text of op12's contract: of every tenth document, by hash, the words from one on repeat with a period."""
+    if doc_id is None or not text:
+        return text
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    words = [] if rest else split_words(text)
+    n = len(words)
+    if not n:
+        return text
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return b" ".join(words[:a] + [words[a + (i - a) % p] for i in range(a, n)]).decode()
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = F.pandas_udf(lambda ids, texts: pd.Series([with_periods(None if pd.isna(i) else int(i), t) for i, t in zip(ids, texts, strict=True)], dtype=object), "string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted("doc_id", "text").alias("text"))
+    found = periodic_runs.periodic_runs(docs, min_length=24, min_exponent=3)
+    best = F.reduce("runs", F.col("runs")[0], lambda a, r: F.when(r.length * a.period > a.length * r.period, r).otherwise(a))
+    line = lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))
+    digests = [F.sha2(F.concat_ws("", F.transform("runs", line)), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")]
+    digest = found.select(F.col("doc_id").cast("long"), F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, best).alias("best"), *digests)
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return digest.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+def op13_digit_slice_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4).withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_sharding": op1_kd_sharding,
     "op2_chroma_fingerprints": op2_chroma_fingerprints,
@@ -84,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_fm": op8_toxicity_fm,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_cgk_decontamination": op10_cgk_decontamination,
+    "op11_pu_quality": op11_pu_quality,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_digit_slice_whitening": op13_digit_slice_whitening,
 }
 
 LINE_SPREAD_SQL = r"""
