@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from linkfold.llm.scratch import stored
 from linkfold.llm.words import folded_hashes, mix
 
-#: Repetitions, and words sampled in each; by test, over 95 % of passages edited up to the limit are found, and all others with few edits.
-REPETITIONS, SAMPLED = 24, 3
+#: Repetitions, and words sampled in each, of items with fewer words than the number before them.  The more edits a walk has met, the rarer its
+#: words agree, so longer items are sampled by fewer words and more often; by test, over 95 % of passages edited up to the limit are found at any length.
+SAMPLING = ((60, 24, 3), (math.inf, 48, 2))
 #: Words of items that a task holds at a time (some 100 MB with their tables); more items are searched for in blocks.
 BLOCK_WORDS = 1_000_000
 #: Texts whose hashes are broadcast at most (16 MB); beyond, documents are shuffled by them.
@@ -35,6 +36,20 @@ def allowed(m: int, share: float) -> int:
     return int(m * share + 1e-9)
 
 
+def sampling(m: int) -> tuple[int, int]:
+    """Repetitions, and words sampled in each, for items of ``m`` words."""
+    return next((repetitions, min(sampled, 2 * m)) for below, repetitions, sampled in SAMPLING if m < below)
+
+
+def _runs(hashes: np.ndarray, m: int) -> np.ndarray:
+    """A hash of each run of ``m`` words."""
+    n = max(len(hashes) - m + 1, 0)
+    out = hashes[:n]
+    for j in range(1, m):
+        out = mix(out * _PAIR + hashes[j : j + n])
+    return out
+
+
 def _pairs(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes[:-1] * _PAIR + hashes[1:])
 
@@ -59,12 +74,13 @@ def cgk_keys(stream: np.ndarray, starts: np.ndarray, m: int, first: np.ndarray |
     Words outside of a window's text, from ``first`` to ``end``, are blank.
     """
     end = len(stream) if end is None else end
-    rng = np.random.default_rng([m, REPETITIONS, SAMPLED])
+    repetitions, sampled = sampling(m)
+    rng = np.random.default_rng([m, repetitions, sampled])
     steps = 2 * m
-    bits = rng.integers(0, 2**63, (steps, REPETITIONS, 1), dtype=np.uint64)
-    picked = np.zeros((steps, REPETITIONS), dtype=bool)
-    for r in range(REPETITIONS):
-        picked[rng.choice(steps, SAMPLED, replace=False), r] = True
+    bits = rng.integers(0, 2**63, (steps, repetitions, 1), dtype=np.uint64)
+    picked = np.zeros((steps, repetitions), dtype=bool)
+    for r in range(repetitions):
+        picked[rng.choice(steps, sampled, replace=False), r] = True
     last = int(np.flatnonzero(picked.any(axis=1)).max())
     # each window's words in a row of their own, with a blank behind them at which walks end
     spots = starts[:, None] + np.arange(m + 1)
@@ -72,8 +88,8 @@ def cgk_keys(stream: np.ndarray, starts: np.ndarray, m: int, first: np.ndarray |
     inside[:, m] = False
     words = np.where(inside, stream[np.clip(spots, 0, len(stream) - 1)], np.uint64(0)).ravel()
     begin = np.arange(len(starts)) * (m + 1)
-    at = np.broadcast_to(begin, (REPETITIONS, len(starts))).copy()
-    keys = np.broadcast_to(np.arange(1, REPETITIONS + 1, dtype=np.uint64)[:, None], at.shape).copy()
+    at = np.broadcast_to(begin, (repetitions, len(starts))).copy()
+    keys = np.broadcast_to(np.arange(1, repetitions + 1, dtype=np.uint64)[:, None], at.shape).copy()
     for j in range(last + 1):
         word = words[at]
         r = picked[j]
@@ -119,6 +135,13 @@ class Items:
             words = folded_hashes(text)
             if len(words):
                 by_size.setdefault(len(words), []).append((item, words))
+        # items too short for an edit are looked up by the hash of all their words
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m in [m for m in by_size if allowed(m, share) == 0]:
+            found = by_size.pop(m)
+            keys = np.array([_runs(w, m)[0] for _, w in found], dtype=np.uint64)
+            order = np.argsort(keys, kind="stable")
+            self.exact[m] = keys[order], np.array([i for i, _ in found], dtype=np.int64)[order]
         self.ids = {m: np.array([i for i, _ in v], dtype=np.int64) for m, v in by_size.items()}
         self.words = {m: np.stack([w for _, w in v]) for m, v in by_size.items()}
         own = {m: np.unique(np.concatenate([_pairs(x) for x in w])) for m, w in self.words.items()}
@@ -167,11 +190,23 @@ class Items:
                     if len(starts):
                         yield m, starts
 
+    def equal(self, hashes: np.ndarray) -> dict[int, int]:
+        """The first place of each item too short for an edit that a text holds."""
+        first: dict[int, int] = {}
+        for m, (keys, ids) in self.exact.items():
+            runs = _runs(hashes, m)
+            for at in np.flatnonzero(np.isin(runs, keys)).tolist():
+                for item in ids[np.searchsorted(keys, runs[at], "left") : np.searchsorted(keys, runs[at], "right")].tolist():
+                    first.setdefault(item, at)
+        return first
+
     def find(self, docs: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, int]]:
         """(doc_id, item_id, start, distance) of the best window of each document and item within the allowed edits."""
         windows: dict[int, list[tuple[np.ndarray, int]]] = {}
+        best: dict[tuple[int, int], tuple[int, int]] = {}
         base, streams = 0, []
         for k, (_, hashes) in enumerate(docs):
+            best |= {(k, item): (0, at) for item, at in self.equal(hashes).items()}
             hit = False
             for m, starts in self.windows(hashes):
                 windows.setdefault(m, []).append((starts + base, k))
@@ -180,14 +215,11 @@ class Items:
                 streams.append(hashes)
                 windows.setdefault(-1, []).append((np.array([base]), k))
                 base += len(hashes)
-        if not streams:
-            return []
-        stream = np.concatenate(streams)
+        stream = np.concatenate(streams) if streams else np.zeros(0, dtype=np.uint64)
         begin = np.zeros(len(docs), dtype=np.int64)
-        for at, k in windows.pop(-1):
+        for at, k in windows.pop(-1, []):
             begin[k] = at[0]
         finish = begin + [len(h) for _, h in docs]
-        best: dict[tuple[int, int], tuple[int, int]] = {}
         for m, found in windows.items():
             starts = np.concatenate([s for s, _ in found])
             owner = np.concatenate([np.full(len(s), k) for s, k in found])
@@ -252,7 +284,7 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.2, indels:
     """(doc_id, item_id, start, distance) for documents with a window of an item's size, or of any with ``indels``, within the allowed edits of it.
 
     docs: doc_id, text; items: item_id, text; other columns are ignored.  Words are compared without case and marks at their ends; an item of m
-    words allows m * share edited words; start is the best window's first word.  Rows without words or id, on either side, match nothing;
+    words allows m * share edited words, rounded down, so that very short ones are matched exactly; start is the best window's first word.  Rows without words or id, on either side, match nothing;
     repeated rows give one row for each.  Items are searched for in blocks of bounded size, each against all documents.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")

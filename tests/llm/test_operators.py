@@ -322,6 +322,33 @@ def test_decontamination_finds_inserted_and_deleted_words(spark):
     assert {r["doc_id"]: r["distance"] for r in found}[600] == 1
 
 
+@pytest.mark.parametrize("m, n", [(15, 120), (60, 60), (150, 30), (300, 16)])
+def test_decontamination_recall_at_the_limit(m, n):
+    """Passages with all the edits that an item of any length allows, substituted or mixed."""
+    items = decontaminate.Items([(k, " ".join(words(m, 70_000 + k))) for k in range(n)], 0.2, indels=True)
+    found = 0
+    for mixed in (False, True):
+        docs = []
+        for k in range(n):
+            part, rng = words(m, 70_000 + k), random.Random(k)
+            if mixed:
+                part = edited(part, m // 5, k)
+            else:
+                for p in rng.sample(range(m), m // 5):
+                    part[p] = f"new{rng.randrange(10**6)}"
+            docs.append((k, folded_hashes(" ".join(words(40, 80_000 + k) + part + words(40, 90_000 + k)))))
+        found += sum(d == i for d, i, _, distance in items.find(docs) if distance <= m // 5)
+    assert found >= 0.95 * 2 * n
+
+
+def test_decontamination_of_very_short_items(spark):
+    items = [(1, "one"), (2, "two words"), (3, "three short words"), (4, "One!"), (5, "now four short words"), (6, "five words make the limit")]
+    texts = ["one", "a One, b", "two words", "words two", "so three short words.", "three words", "now four short words", "five words made the limit", None, ""]
+    found = decontaminate.contaminated(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"), indels=True).collect()
+    want = [(0, 1, 0, 0), (0, 4, 0, 0), (1, 1, 1, 0), (1, 4, 1, 0), (2, 2, 0, 0), (4, 3, 1, 0), (6, 5, 0, 0), (7, 6, 0, 1)]
+    assert sorted((r["doc_id"], r["item_id"], r["start"], r["distance"]) for r in found) == want
+
+
 def test_decontamination_folds_case_and_marks(spark):
     item = "Éai éonleeau pour an éonqueê aivi ai, éenai éoiré anvitre (èenreré) ouan. La fin"
     texts = [f"avant {item.upper()} après", f"avant {'! '.join(item.split())}!! après", "rien de cela"]
