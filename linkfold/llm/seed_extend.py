@@ -54,33 +54,34 @@ def _columns(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pd.DataFr
 
 
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, start, stop): word ranges of ``docs`` (doc_id, text) covered by windows that also start in a smaller doc_id.
+    """(doc_id, copy, start, stop): word ranges of ``docs`` (doc_id, text) covered by windows that also start in a smaller doc_id.
 
-    Ranges may overlap.  Rows with a null doc_id or fewer than ``window`` words have none; repeated rows are one document.
+    ``copy`` is the text's 64-bit hash, which tells rows apart that share a doc_id; of those, none is smaller than another.
+    Ranges may overlap.  Rows with a null doc_id or fewer than ``window`` words have none; rows equal in both are one document.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text").filter("doc_id is not null")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, copy, text in zip(batch["doc_id"], batch["copy"], batch["text"], strict=True):
                 found = stretches(split_words(text), window)
                 if len(found[0]):
-                    parts.append((*found, np.full(len(found[0]), doc, dtype=np.int64)))
-            yield _columns(parts, ["anchor", "whole", "start", "count", "doc_id"])
+                    parts.append((*found, *(np.full(len(found[0]), x, dtype=np.int64) for x in (doc, copy))))
+            yield _columns(parts, ["anchor", "whole", "start", "count", "doc_id", "copy"])
 
-    places = stored(docs.mapInPandas(find, "anchor long, whole long, start long, count long, doc_id long"), "places")
+    places = stored(docs.mapInPandas(find, "anchor long, whole long, start long, count long, doc_id long, copy long"), "places")
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     # counts by anchor are written before they are joined, so that the joins are of plain tables, whose large keys Spark can split
     places = stored(places.join(stored(shared.select("anchor"), "shared"), "anchor", "left_semi"), "seeds")
 
-    classes = places.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "start", "count")).alias("head"))
+    classes = places.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "copy", "start", "count")).alias("head"))
     classes = stored(classes.select("anchor", "whole", "head.*"), "classes")
     several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     several = stored(several, "several")
 
     # windows of one occurrence of each class, where an anchor has several classes
-    heads = classes.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "whole", "start", "count")).alias("heads"))
+    heads = classes.join(several, "anchor", "left_semi").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("anchor", "whole", "start", "count")).alias("heads"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["anchor", "whole", "k", "content", "doc_id"]
@@ -97,7 +98,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                     parts, size = [], 0
             yield _columns(parts, names)
 
-    compared = stored(docs.join(heads.hint("shuffle_hash"), "doc_id").mapInPandas(windows, "anchor long, whole long, k long, content long, doc_id long"), "windows")
+    compared = stored(docs.join(heads.hint("shuffle_hash"), ["doc_id", "copy"]).mapInPandas(windows, "anchor long, whole long, k long, content long, doc_id long"), "windows")
     earliest = compared.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     extended = compared.join(stored(earliest, "earliest"), ["anchor", "content"]).filter("first < doc_id").select("anchor", "whole", "k").distinct()
     # neighbouring windows are one range
@@ -106,9 +107,9 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
 
     # an occurrence behind its class's first document is covered throughout, the first document's where it is extended
     same = places.join(classes.select("anchor", "whole", F.col("doc_id").alias("first")), ["anchor", "whole"])
-    behind = same.filter("doc_id > first").select("doc_id", "start", (F.col("start") + F.col("count") + window - 1).alias("stop"))
+    behind = same.filter("doc_id > first").select("doc_id", "copy", "start", (F.col("start") + F.col("count") + window - 1).alias("stop"))
     ahead = same.filter("doc_id = first").join(extended, ["anchor", "whole"])
-    ahead = ahead.select("doc_id", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high") + window).alias("stop"))
+    ahead = ahead.select("doc_id", "copy", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high") + window).alias("stop"))
     return behind.unionByName(ahead)
 
 
@@ -117,9 +118,10 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller doc_id; kept words are
     joined by one blank.  Null and empty texts have no words and an empty kept_text.  A null doc_id keeps all its words.
+    Rows may share a doc_id, with one text or several: each is judged by its own text, against documents with smaller ids.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = repeated_spans(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
+    spans = repeated_spans(docs, window).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,5 +137,5 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 rows.append((doc, n, n - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_text"]).astype({"doc_id": "Int64"})
 
-    return docs.join(spans.hint("shuffle_hash"), "doc_id", "left").mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return docs.join(spans.hint("shuffle_hash"), ["doc_id", "copy"], "left").mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
