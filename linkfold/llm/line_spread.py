@@ -1,9 +1,8 @@
 """Removal of boilerplate lines by the number of distinct sites that carry them, with DataFrame operations only.
 
 HyperLogLog sketches of the sites are built for every line's hash and merge by aggregation.  Lines whose estimate lies far from
-the threshold are decided by it; those near it get exact distinct counts.  A line is boilerplate if it reaches the threshold, with as many
-carriers when copies of one document, which are for near-duplicate removal to settle, count as one.  Equal texts are copies, and so are
-documents that consist of such lines but for a ninth and share their longest other one.  A boilerplate line goes from all its carriers.
+the threshold are decided by it; those near it get exact distinct counts.  A line that reaches the threshold goes from all its carriers, if as
+many different texts carry it: equal texts on many sites are copies of one document, which are for near-duplicate removal to settle.
 """
 
 from __future__ import annotations
@@ -17,8 +16,6 @@ from linkfold.llm.scratch import stored
 LG_REGISTERS = 12
 #: Estimates within this factor of the threshold are replaced by exact counts.
 NEAR = 1.25
-#: Two documents that share eight ninths of their text have a similarity of 0.8, from which on the pipeline takes them for near-duplicates.
-COPIED = (8, 9)
 #: Lost lines that are broadcast at most (some 32 MB); beyond, texts are shuffled.
 BROADCAST_LINES = 500_000
 
@@ -33,9 +30,9 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> tuple[DataFrame,
 
     Lines are taken without blanks at the ends; empty lines never count.  A null source is a site of its own.
     """
-    # a text is hashed and measured before its lines become rows, not once for each
-    places = docs.select(F.xxhash64("source").alias("site"), F.xxhash64("text").alias("doc"), F.length(F.translate("text", "\n", "")).alias("size"), _lines(F.col("text")).alias("lines"))
-    places = places.select("site", "doc", "size", F.explode("lines").alias("text")).filter("text != ''").select("doc", "site", "size", F.length("text").alias("n"), F.xxhash64("text").alias("line"))
+    # a text is hashed before its lines become rows, not once for each
+    places = docs.select(F.xxhash64("source").alias("site"), F.xxhash64("text").alias("doc"), _lines(F.col("text")).alias("lines"))
+    places = places.select("site", "doc", F.explode("lines").alias("text")).filter("text != ''").select("doc", "site", F.xxhash64("text").alias("line"))
     places = stored(places, "lines")
 
     spread = places.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_REGISTERS)).alias("sketch"))
@@ -44,16 +41,10 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> tuple[DataFrame,
     carried = stored(places.join(spread, "line"), "carried")
 
     exact = carried.filter("near").select("line", "site").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("sites"))
-    wide = stored(spread.filter("not near").select("line").unionByName(exact.filter(F.col("sites") >= min_sites).select("line")), "wide")
+    wide = spread.filter("not near").select("line").unionByName(exact.filter(F.col("sites") >= min_sites).select("line"))
     # equal texts are one row from here on
-    texts = carried.join(wide, "line").select("doc", "size", "n", "line").distinct()
-    texts = texts.groupBy("doc").agg(F.max("size").alias("size"), F.sum("n").alias("wide"), F.sort_array(F.collect_list(F.struct("n", "line")), asc=False).alias("lines"))
-    longest = [F.get("lines", F.lit(k))["line"] for k in (0, 1)]
-    copied = COPIED[1] * F.col("wide") >= COPIED[0] * F.col("size")
-    texts = stored(texts.select("doc", copied.alias("copied"), longest[0].alias("first"), longest[1].alias("second"), F.inline("lines")), "texts")
-    other = F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-    carriers = texts.select("line", "copied", F.when(F.col("copied"), other).otherwise(F.col("doc")).alias("carrier")).distinct()
-    found = stored(carriers.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("line"), "boilerplate")
+    texts = stored(carried.select("doc", "line").join(stored(wide, "wide"), "line").distinct(), "texts")
+    found = stored(texts.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("line"), "boilerplate")
     return found, texts.join(found, "line").select("doc", "line")
 
 

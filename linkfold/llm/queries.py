@@ -137,15 +137,9 @@ WITH rows AS (
 ), places AS (
   SELECT DISTINCT text, site, line FROM (SELECT text, site, unnest(list_transform(lines, lambda x: trim(x, ' '))) AS line FROM rows) WHERE line <> ''
 ), wide AS (
-  SELECT line FROM places GROUP BY line HAVING count(DISTINCT site) >= 10
-), carried AS (
-  SELECT DISTINCT text, line FROM places SEMI JOIN wide USING (line)
-), texts AS (
-  SELECT text, 9 * sum(length(line)) >= 8 * length(replace(text, chr(10), '')) AS copied, list(line ORDER BY length(line) DESC, line DESC) AS top FROM carried GROUP BY text
-), carriers AS (
-  SELECT DISTINCT line, copied, CASE WHEN NOT copied THEN text WHEN line = top[1] THEN top[2] ELSE top[1] END AS carrier FROM carried JOIN texts USING (text)
+  SELECT line FROM places GROUP BY line HAVING count(DISTINCT site) >= 10 AND count(DISTINCT text) >= 10
 ), gone AS (
-  SELECT list(line) AS gone FROM (SELECT line FROM carriers GROUP BY line HAVING count(*) >= 10)
+  SELECT list(line) AS gone FROM wide
 )
 SELECT doc_id,
        CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), trim(x, ' '))), chr(10)) END AS text,
