@@ -30,20 +30,23 @@ class WordEncoder:
     The tokenizer drops white space and never joins tokens across it, so a text's ids are its words' ids in turn.
     A word is cut further, by the tokenizer's own pattern, into pieces that are encoded apart: their UTF-8 bytes, each shown as a character, go to the
     tokenizer's model.  That holds for composed Latin and Cyrillic letters; words with other ones, and texts with control characters, for which
-    white space is not what ``str.split`` takes it to be, are encoded whole.
+    white space is not what ``str.split`` takes it to be, are encoded whole.  So are texts that hold a special token, which may be joined to a word.
     """
 
     # Fixed value: the pattern by which this vocabulary's tokenizer cuts words.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+    #: Marks that the pattern takes together behind letters; an apostrophe may begin a piece of its own.
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.cut = regex.compile(self.PATTERN).findall
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = regex.compile(r"[\x00\x1c-\x1f\x85]").search
         self.plain = regex.compile(r"[\x21-\u012f\u0131-\u024f\u0400-\u04ff]+").fullmatch  # but for a dotted capital I
         # printable bytes are shown as themselves, the others as the characters from 256 on
@@ -70,7 +73,12 @@ class WordEncoder:
 
     def word(self, word: str) -> bytes:
         if word.isascii() or (self.plain(word) and unicodedata.is_normalized("NFC", word)):
-            ids = b"".join(map(self.part, self.cut(word.lower())))
+            low = word.lower()
+            core = low.rstrip(self.MARKS)
+            if core.isalpha():  # letters, and marks behind them: one piece each
+                ids = self.part(core) + self.part(low[len(core) :]) if len(core) < len(low) else self.part(core)
+            else:
+                ids = b"".join(map(self.part, self.cut(low)))
         else:
             ids = self.whole(word)
         if len(self.words) < _CHUNKS:
@@ -80,7 +88,7 @@ class WordEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.odd(text):
+        if self.odd(text) or any(token in text for token in self.special):
             return self.whole(text)
         words = text.split()
         found = list(map(self.words.get, words))

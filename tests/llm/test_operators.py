@@ -193,6 +193,23 @@ def test_repeats(spark, corpus):
     want = brute_repeats(corpus, 50)
     assert sum(n for _, n, _ in want) > 5_000
     assert [(got[i]["n_words"], got[i]["n_removed"], hashlib.sha256(got[i]["kept_text"].encode()).hexdigest()) for i in range(len(corpus))] == want
+    # rows that share an id: neither is smaller than the other, and each is judged by its own text, in whatever order they come
+    long = words(200, 1)
+    for other in ("x y z", " ".join(words(250, 2)), " ".join(long[40:120] + words(30, 3)), " ".join(words(20, 4) + long[:60])):
+        rows = [(1, " ".join(long)), (5, " ".join(long[30:160])), (5, other), (5, other), (7, " ".join(words(250, 2))), (-3, None), (7, other)]
+        first = {}
+        for d, t in rows:
+            w = (t or "").split()
+            for k in range(len(w) - 49):
+                first[tuple(w[k : k + 50])] = min(d, first.get(tuple(w[k : k + 50]), d))
+        want = []
+        for d, t in rows:
+            w = (t or "").split()
+            gone = {i for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < d for i in range(k, k + 50)}
+            want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+        for order in (rows, rows[::-1]):
+            df = spark.createDataFrame(order, "doc_id long, text string").withColumn("copy", F.lit(1))
+            assert sorted(map(tuple, seed_extend.remove_repeats(df).collect())) == sorted(want)
     df = spark.createDataFrame([(None, "x " * 90), (None, "x " * 90)], "doc_id long, text string")
     assert [r["n_removed"] for r in seed_extend.remove_repeats(df).collect()] == [0, 0]
     assert seed_extend.remove_repeats(df.limit(0)).count() == 0
@@ -202,8 +219,7 @@ def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    texts = [*corpus, "Ünïcode ’tis don't I'LL 12,5% 中文字 <|endoftext|> a b c\x1cd\x85e", "x" * 5_000, "İstanbul ΣΑΣ é", "a\x7fb \x01 Straße ŒUVRE ё1ж Привет'S e\u0301 ﬁ \xadx"]
+    texts = [*corpus, "no<|endoftext|>blank <|startoftext|>", "<|ENDOFTEXT|> <|endoftext", "what's that's 'tis rock'n'roll!' (\"a\")% b... c-d e_f g's. h'", "Ünïcode ’tis don't I'LL 12,5% 中文字 <|endoftext|> a b c\x1cd\x85e", "x" * 5_000, "İstanbul ΣΑΣ é", "a\x7fb \x01 Straße ŒUVRE ё1ж Привет'S e\u0301 ﬁ \xadx"]
     docs = docs_of(spark, texts)
     rows = packing.pack(stored(packing.token_pieces(docs, tokenizer_path(), 256), "pieces"), 256, partition_items=60).toPandas()
     by_doc = {d: g.sort_values("piece") for d, g in rows.groupby("doc_id")}
@@ -240,7 +256,7 @@ def test_best_fit_takes_the_tightest():
 def test_line_spread(spark):
     boiler, near = "All rights reserved.", "Only on nine sites."
     texts = [f"own text {i}\n{boiler}\n{near if i < 9 else ''}\nmore {i}" for i in range(30)]
-    texts += [f"copied page with a long first line of its own\nsecond copied line\nedit {i}" for i in range(30)]
+    texts += ["copied page with a long first line of its own\nsecond copied line"] * 30
     texts += [None, "", boiler]
     docs = docs_of(spark, texts, source=lambda i: f"site{i % 20}")
     out = {r["doc_id"]: r for r in line_spread.remove_boilerplate(docs, 10).collect()}
@@ -275,8 +291,10 @@ def test_line_spread_removes_lines_of_copies_and_blocks(spark):
     texts = [f"{page}\n{footer}"] * 60 + [f"own text of page {i}, which is no copy\n{footer}" for i in range(30)]
     texts += ["\n".join([*block, *(f"short {i} {k}" for k in range(6))]) for i in range(30)]
     texts += ["Nothing but this line."] * 20 + [f"{i} other text around it, which is longer\nNothing but this line." for i in range(12)]
+    header = "The same header on every site, which is longer than what is below."
+    texts += [f"{header}\n{i} short\n{header[::-1]}" for i in range(200)]
     out = {r["doc_id"]: r["text"] for r in line_spread.remove_boilerplate(docs_of(spark, texts, source=lambda i: f"site{i % 20}"), 10).collect()}
-    gone = {footer, *block, "Nothing but this line."}
+    gone = {header, header[::-1]} | {footer, *block, "Nothing but this line."}
     assert out == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, t in enumerate(texts)}
 
 

@@ -77,4 +77,4 @@ def test_stages_by_brute_force(spark, sf_dir):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and set(ORACLE_SQL) <= set(QUERIES)
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES} and set(ORACLE_SQL) <= set(QUERIES)
