@@ -249,7 +249,7 @@ def form_matches(form: Column, text: Column, transliterated: bool = True, spaced
     """Whether a form, or with ``transliterated`` one of its variants, stands in a text as whole words; both in any case and script."""
     held = expanded(text) if transliterated else canonical(text)
     variants = script_variants(form) if transliterated else F.array(canonical(form))
-    return F.exists(variants, lambda v: (v != "") & F.regexp_like(held, form_pattern(v, spaced)))
+    return F.exists(variants, lambda v: v.rlike(r"[^\s\-]") & F.regexp_like(held, form_pattern(v, spaced)))
 
 
 def first_word(form: Column) -> Column:
