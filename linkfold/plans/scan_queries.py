@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkfold.functions.pixels import packed
 from linkfold.functions.text import latin_to_cyrillic
-from linkfold.operators import lexicon, torn_forms
+from linkfold.operators import lexicon, pixels, torn_forms
 from linkfold.plans.queries import query
 
 
@@ -21,3 +22,34 @@ def torn_lexicon(t):
     hits = torn_forms.torn_hits(names.select(F.col("p_partkey").alias("id"), text.alias("text")), table)
     first = lexicon.first_hits(hits).select("id", F.col("form").alias("first_form"))
     return hits.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("form")), ",").alias("forms")).join(first, "id").withColumnRenamed("id", "p_partkey")
+
+
+# Vectors as pixels: three entries in turn are red, green and blue, and all vectors of a label are one image ---------------------------------------
+
+
+def _images(t):
+    byte = lambda e: F.least(F.greatest(F.floor(e.cast("double") * 500 + 128), F.lit(0)), F.lit(255)).cast("int")
+    entry = lambda k, j: byte(F.get("embedding", 3 * k + j))
+    return t("embeddings").select(F.col("label").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: packed(entry(k, 0), entry(k, 1), entry(k, 2))).alias("pixels"))
+
+
+@query("""
+WITH e AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS j, unnest(list_transform(embedding, lambda x: least(greatest(floor(x::DOUBLE * 500 + 128), 0), 255)::INT)) AS c, vec_id FROM embeddings),
+  p AS (SELECT label, max(CASE WHEN j % 3 = 0 THEN c END) AS r, max(CASE WHEN j % 3 = 1 THEN c END) AS g, max(CASE WHEN j % 3 = 2 THEN c END) AS b FROM e WHERE j < 63 GROUP BY label, vec_id, j // 3),
+  s AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM p),
+  t AS (SELECT *, CASE WHEN v = r THEN g - b WHEN v = g THEN b - r + 2 * d ELSE r - g + 4 * d END AS turn FROM s),
+  h AS (SELECT label, CASE WHEN d = 0 THEN 0 ELSE (turn * round_even(180 * 4096.0::DOUBLE / (6 * d), 0)::INT + 2048) >> 12 END AS h,
+    CASE WHEN v = 0 THEN 0 ELSE (d * round_even(255 * 4096.0::DOUBLE / v, 0)::INT + 2048) >> 12 END AS s FROM t),
+  n AS (SELECT label, (CASE WHEN h < 0 THEN h + 180 ELSE h END) * 30 // 180 AS hue, s * 32 // 256 AS saturation, count(*) AS n FROM h GROUP BY ALL)
+SELECT label, hue::BIGINT AS hue, saturation::BIGINT AS saturation, round((n / sqrt(sum(n::DOUBLE * n) OVER (PARTITION BY label)))::FLOAT::DOUBLE, 6) AS weight FROM n
+""")
+def hsv_histogram(t):
+    found = pixels.hsv_histograms(_images(t)).select("id", F.posexplode("hist").alias("bin", "weight")).filter("weight > 0")
+    place = [F.floor(F.col("bin") / pixels.SATURATIONS).alias("hue"), (F.col("bin") % pixels.SATURATIONS).cast("long").alias("saturation")]
+    return found.select(F.col("id").alias("label"), *place, F.round("weight", 6).alias("weight"))
+
+
+@query()
+def dominant_colour(t):
+    found = pixels.dominant_colours(_images(t))
+    return found.select(F.col("id").alias("label"), *[F.round(c, 4).alias(c) for c in ("l8", "a8", "b8", "share")], "pixels")
