@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linkfold.functions.pixels import packed
 from linkfold.functions.text import latin_to_cyrillic
-from linkfold.operators import lexicon, pixels, torn_forms
+from linkfold.operators import keypoints, lexicon, pixels, tilt, torn_forms
 from linkfold.plans.queries import query
 
 
@@ -53,3 +53,32 @@ def hsv_histogram(t):
 def dominant_colour(t):
     found = pixels.dominant_colours(_images(t))
     return found.select(F.col("id").alias("label"), *[F.round(c, 4).alias(c) for c in ("l8", "a8", "b8", "share")], "pixels")
+
+
+# Vectors as keypoints: those of a label are an image, and its reference is the same one seen at an angle, in other pixels ----------------------------
+
+
+def _keypoints(t):
+    at = lambda k: F.floor(F.element_at("embedding", k).cast("double") * 2_000 + 400)
+    return t("embeddings").select(F.col("label").alias("image"), at(1).alias("x"), at(2).alias("y"), F.col("embedding").alias("descriptor"))
+
+
+@query()
+def keypoint_match(t):
+    """Each label against itself and the next two, whose references are turned, scaled and tilted."""
+    points = _keypoints(t)
+    away = 1 + 0.0002 * F.col("x") + 0.0001 * F.col("y")
+    seen = points.select("image", ((0.9 * F.col("x") - 0.3 * F.col("y") + 200) / away).alias("x"), ((0.3 * F.col("x") + 0.9 * F.col("y") + 50) / away).alias("y"), "descriptor")
+    labels = points.select("image").distinct()
+    pairs = labels.select(F.col("image").alias("query_id"), F.explode(F.sequence(F.col("image"), F.col("image") + 2)).alias("id"))
+    return keypoints.verified_pairs(pairs, points, seen).withColumnRenamed("query_id", "label").drop("error")
+
+
+@query()
+def image_tilt(t):
+    """Edges of two sides a supplier's image has, tilted by its key, and how it is turned."""
+    angle = F.radians(F.col("s_suppkey") * 7 % 61 - 30)
+    along = F.explode(F.sequence(F.lit(0), F.lit(160)))
+    edge = t("supplier").select("s_suppkey", angle.alias("t"), F.explode(F.array(F.lit(0), F.lit(120))).alias("side")).select("*", along.alias("k"))
+    points = edge.select("s_suppkey", F.round(300 + F.col("side") * F.cos("t") - F.col("k") * F.sin("t")).alias("x"), F.round(100 + F.col("side") * F.sin("t") + F.col("k") * F.cos("t")).alias("y"))
+    return tilt.upright(points, ["s_suppkey"]).select("s_suppkey", F.round("tilt", 3).alias("tilt"), "method", F.round("rotate", 3).alias("rotate"), "part", F.round("rest", 3).alias("rest"), "reason")
