@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from linkfold.functions.pixels import packed
 from linkfold.functions.text import latin_to_cyrillic
-from linkfold.operators import keypoints, lexicon, pixels, tilt, torn_forms
-from linkfold.plans.queries import query
+from linkfold.operators import boosting, keypoints, lexicon, pixels, tilt, torn_forms
+from linkfold.operators.pairs import pair_features
+from linkfold.operators.spread import spread
+from linkfold.plans.label_queries import _labels
+from linkfold.plans.queries import AS_OF_YEAR, query
 
 
 @query()
@@ -82,3 +85,26 @@ def image_tilt(t):
     edge = t("supplier").select("s_suppkey", angle.alias("t"), F.explode(F.array(F.lit(0), F.lit(120))).alias("side")).select("*", along.alias("k"))
     points = edge.select("s_suppkey", F.round(300 + F.col("side") * F.cos("t") - F.col("k") * F.sin("t")).alias("x"), F.round(100 + F.col("side") * F.sin("t") + F.col("k") * F.cos("t")).alias("y"))
     return tilt.upright(points, ["s_suppkey"]).select("s_suppkey", F.round("tilt", 3).alias("tilt"), "method", F.round("rotate", 3).alias("rotate"), "part", F.round("rest", 3).alias("rest"), "reason")
+
+
+# Pairs of recognised texts and labels, and a scorer that is learnt from their features --------------------------------------------------------------
+
+
+def _labelled_pairs(t):
+    """Each part's text with letters lost and its year kept or not, against its own label (1) and that of the next part (0), and the label itself, which is no recognised text (0)."""
+    labels = _labels(t)
+    lost = F.when(F.col("id") % 3 == 0, F.translate("label", "aeо", "oe")).when(F.col("id") % 3 == 1, F.regexp_replace("label", r"\d{4}", "")).otherwise(F.translate("label", "rn", "m"))
+    asked = labels.select("id", lost.alias("query"))
+    other = labels.select((F.col("id") - 1).alias("id"), F.col("label").alias("reference"))
+    pairs = asked.join(labels.select("id", F.col("label").alias("reference")), "id").withColumn("y", F.lit(1)).unionByName(asked.join(other, "id").withColumn("y", F.lit(0)))
+    pairs = pairs.unionByName(labels.select("id", F.col("label").alias("query"), F.col("label").alias("reference"), F.lit(0).alias("y")))
+    return pair_features(pairs, "query", "reference", AS_OF_YEAR)
+
+
+@query()
+def boosted_pairs(t):
+    """Fitted on four fifths of the pairs, by id; all pairs with their chance of being a match."""
+    rows = spread(_labelled_pairs(t))
+    features = [c for c in rows.columns if c not in ("id", "query", "reference", "y")]
+    model = boosting.fit_boosted(rows.filter("id % 5 > 0"), features, "y", trees=12, depth=3, shrink=0.3)
+    return rows.select("id", "y", (F.col("id") % 5 == 0).alias("held_out"), F.round(model.chance(), 6).alias("chance"))
