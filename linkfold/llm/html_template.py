@@ -46,6 +46,9 @@ _OUT_WORDS = frozenset(
     "gdpr login menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion related "
     "replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar complementary contentinfo alert".split()
 )
+#: Inline elements that are no part of a text, and attributes that may say so of others.
+_OUT_INLINE = frozenset("label video audio datalist meter progress".split())
+_TELLING = re.compile("class|id|role|hidden", re.IGNORECASE)
 _HEAD_WORDS = frozenset(["header", "masthead"])
 #: Words that say nothing of a part's purpose: "ad-box" is an advert, "no-sidebar" and "share-price" are not what one of their words says.
 _NEUTRAL = frozenset(
@@ -83,6 +86,8 @@ class Page:
         stack, tags, opened, mains = [0], [""], {}, 0
         parts: list[str] = []
         text = text or ""
+        #: An inline element whose text is left out: its name, how many of that name are open in it, and the depth at which it began.
+        left, count, began = "", 0, 0
 
         def flush() -> None:
             if parts:
@@ -95,8 +100,10 @@ class Page:
                 parts.clear()
 
         def close() -> str:
-            nonlocal mains
+            nonlocal mains, left
             tag = tags.pop()
+            if left and len(stack) <= began:
+                left = ""  # it ends with the container that holds it, closed or not
             self.tokens.append(self.token[stack.pop()] ^ _END)
             opened[tag] -= 1
             mains -= tag in _MAIN_TAGS
@@ -106,9 +113,10 @@ class Page:
         while True:
             mark = _MARK.search(text, at)
             if mark is None:
-                parts.append(text[at:])
+                if not left:
+                    parts.append(text[at:])
                 break
-            if mark.start() > at:
+            if mark.start() > at and not left:
                 parts.append(text[at : mark.start()])
             at = mark.end()
             name = (mark[2] or "").lower()
@@ -123,6 +131,9 @@ class Page:
                 if opened.get(name):
                     while close() != name:
                         pass
+                elif left == name:
+                    count -= 1
+                    left = left if count else ""
                 continue
             if name in _VOID:
                 continue
@@ -131,6 +142,10 @@ class Page:
                 at = end.end() if end else len(text)
                 continue
             if not holds:
+                if left:
+                    count += left == name
+                elif self.inline_out(name, mark[3]):
+                    left, count, began = name, 1, len(stack)
                 continue
             # an open paragraph ends where a block begins, an open list item or cell where the next does
             if tags[-1] == "p" or tags[-1] == name and name in ("li", "dt", "dd", "td", "th", "tr"):
@@ -153,6 +168,16 @@ class Page:
         while len(stack) > 1:
             close()
 
+    @classmethod
+    def inline_out(cls, name: str, attributes: str) -> bool:
+        """Whether the text of an inline element is left out, by its name, its marks or as hidden."""
+        if name in _OUT_INLINE or ("-" in name and marked(name, _OUT_WORDS)):
+            return True
+        if not attributes or not _TELLING.search(attributes):
+            return False
+        marks, hidden = cls.marks(attributes)
+        return hidden or any(marked(m, _OUT_WORDS) for m in marks)
+
     @staticmethod
     def marks(attributes: str) -> tuple[set[str], bool]:
         """Class names, id and role, and whether the element is hidden."""
