@@ -23,7 +23,8 @@ from linkfold.llm.scratch import small_batches, stored
 from linkfold.llm.words import lower_ascii, mix, word_hashes
 
 BANDS, ROWS = 45, 7
-#: Chance of missing a link at similarity 0.85: (1 - 0.85**7)**45, about 3e-8, and 3e-5 at 0.8; less above.  ``SIGMAS`` adds 3e-6.
+#: Chance of missing a link at similarity 0.85: (1 - 0.85**7)**45, about 3e-8, and 3e-5 at 0.8; less above.  ``SIGMAS`` adds about 1e-5, by the
+#: exact binomial over the signature.
 PERMUTATIONS = (BANDS * ROWS + 1) // 2
 #: Members of a bucket that are compared with each other in one go, and pairs of blocks that Python gets at a time (some 100 MB).
 BLOCK, BLOCK_PAIRS = 256, 256
