@@ -7,7 +7,7 @@ together with a group's name, say, which a sum of weights misses.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,7 +85,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def train(rows: list[list[int]], toxic: np.ndarray, places: dict[int, int], epochs: int = 20, rate: float = 0.02, decay: float = 1e-4) -> Model:
+def train(rows: Sequence[Sequence[int]], toxic: np.ndarray, places: dict[int, int], epochs: int = 20, rate: float = 0.02, decay: float = 1e-4) -> Model:
     """Fit a factorization machine by minibatches of Adam steps on the logistic loss; the same rows give the same model."""
     n, rng = len(places), np.random.default_rng(7)
     share = min(max(toxic.mean(), 1e-3), 1 - 1e-3) if len(toxic) else 1e-3
@@ -98,7 +98,7 @@ def train(rows: list[list[int]], toxic: np.ndarray, places: dict[int, int], epoc
         for at in range(0, len(order), 256):
             part = order[at : at + 256]
             owner = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
-            flat = np.array([t for i in part for t in rows[i]], dtype=np.int64)
+            flat = np.concatenate([np.asarray(rows[i], dtype=np.int64) for i in part])
             b, w, v = params["b"], params["w"], params["v"]
             vs = v[flat]
             total = np.zeros((len(part), FACTORS))
@@ -154,15 +154,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = TermReader(places)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [reader.read(t) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [np.array(reader.read(t), dtype=">u2").tobytes() for t in batch["text"]]})
 
-    rows = sample.mapInPandas(reduce, "doc_id long, toxic int, terms array<int>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
-    return train([r["terms"] for r in rows], np.array([float(r["toxic"] == 1) for r in rows]), places)
+    # two bytes a place, and at most SELECTED_TERMS of them a row, so the largest sample takes some 160 MB here
+    rows = [(r["doc_id"], bytes(r["terms"]), r["toxic"]) for r in sample.mapInPandas(reduce, "doc_id long, toxic int, terms binary").toLocalIterator()]
+    rows.sort()
+    return train([np.frombuffer(terms, dtype=">u2") for _, terms, _ in rows], np.array([float(toxic == 1) for _, _, toxic in rows]), places)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """The rows and columns of ``docs`` (text and any others) with a score from 0 to 1 in a new column; null and empty texts get the model's bias."""
+    """The rows and columns of ``docs`` (text and any others) with a score from 0 to 1 in a new column; null and empty texts get the model's bias.
+
+    A column of the score's name is refused.
+    """
     if name in docs.columns:
         raise ValueError(f"docs have a column {name} already")
     held = docs.sparkSession.sparkContext.broadcast(model)

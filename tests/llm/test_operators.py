@@ -521,6 +521,19 @@ def texts_of(spark, htmls, host="h.org"):
     return [r["text"] for r in html_template.main_texts(df).orderBy("page_id").collect()]
 
 
+@pytest.mark.parametrize(
+    "inline, want",
+    [
+        ("<span hidden>secret</span>", ""), ("<span class='advert'>BUY <b>NOW</b> <span>x</span></span>", ""), ("<label>Name</label>", ""), ("<video>No video</video>", ""), ("<ad-slot>buy</ad-slot>", ""),
+        ("<b aria-hidden='true'>x</b>", ""), ("<a id='promo' href='/x'>x</a>", ""), ("<span class='price'>5</span>", " 5"), ("<my-word>kept</my-word>", " kept"), ("<a href='?class=ad&id=promo'>kept</a>", " kept"), ("<span data-class='advert'>kept</span>", " kept"),
+    ],
+)
+def test_inline_elements_are_judged(spark, inline, want):
+    page = f"<html><body><article><p>First words {inline} of a text.</p><p>Open <span class='advert'>until its block ends</p><p>Last words.</p></article></body></html>"
+    rows = html_template.main_texts(spark.createDataFrame([(1, "http://a/1", page)], "page_id long, url string, html string")).collect()
+    assert rows[0]["text"] == f"First words{want} of a text.\n\nOpen\n\nLast words."
+
+
 def test_classes_decide_what_is_template(spark):
     """A notice in a container of its own goes, on a third of the pages too; a passage that as many pages share among their paragraphs stays."""
     notice, passage = '<div class="zq"><p>Our readers choose this tea</p></div>', "<p>A passage that pages quote word by word</p>"
