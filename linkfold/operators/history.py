@@ -164,6 +164,8 @@ def ratio_buckets(ratio: Column, a: Column, b: Column) -> Column:
 def rate_limited(rows: DataFrame, key: str, ts: str, limit: int, seconds: int = 60) -> DataFrame:
     """Rows with how many of their key came in the last ``seconds``, and whether that is within the limit.
 
+    All arrivals count, allowed or not; ``admission.admissions`` lets calls wait instead, and counts those that were admitted.
+
     Time is cut into slices of that length, and each row also goes to the next one, whose rows may look back on it; so a busy key is split by time.
     """
     names, micros = rows.columns, F.unix_micros(F.col(ts).cast("timestamp"))

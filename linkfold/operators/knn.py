@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkfold.operators.tables import written
+
 #: Query components that are broadcast at most (32 MB of doubles); more queries are searched for in blocks.
 BLOCK_COMPONENTS = 4_000_000
 
@@ -54,8 +56,8 @@ def knn(queries: DataFrame, catalog: DataFrame, n: int, exclude_self: bool = Fal
                     yield pd.concat(out)
 
         near = catalog.select("id", "vector").mapInPandas(search, "query_id long, id long, cosine double")
-        if blocks > 1:  # a block's few best rows are written to the folder of checkpoints, and its vectors released before the next block's are sent
-            near = near.checkpoint()
+        if blocks > 1:  # a block's few best rows are written, and its vectors released before the next block's are sent
+            near = written(near, "near")
             held.unpersist()
         found = near if found is None else found.unionByName(near)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")

@@ -23,8 +23,8 @@ def link_names(names: DataFrame, known: DataFrame, least_share: float = 0.5, lea
     """(name, id, how): each distinct name of ``names`` linked to one of ``known`` (id, known_name), by the first rule that gives a link.
 
     Equal keys, then a key of ``least_contained`` characters or more within the other, then shared tokens of at least ``least_share`` of the longer list.
-    Ties go to the smallest id.  Candidates for the second rule come from the first characters of the shorter key at every place of the longer one, those
-    for the third from a common token; unlinked names have a null id.
+    Ties go to the smallest id.  Candidates for the second rule share the shorter key's run of ``least_contained`` characters that the fewest longer ones have, so a common beginning
+    isn't joined on, those for the third a rare token; unlinked names have a null id.
     """
     names = names.filter("name is not null").select("name").distinct().withColumns({"key": name_key(F.col("name")), "tokens": name_tokens(F.col("name"))})
     known = known.select("id", name_key(F.col("known_name")).alias("known_key"), name_tokens(F.col("known_name")).alias("known_tokens"))
@@ -32,13 +32,19 @@ def link_names(names: DataFrame, known: DataFrame, least_share: float = 0.5, lea
     exact = names.join(by_key, "key").select("name", "id", F.lit(1).alias("rule"), F.lit(0.0).alias("share"))
 
     left, right = names.select("name", "key"), known.select("id", "known_key")
-    starts = lambda k: F.substring(k, 1, least_contained)
-    places = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - least_contained + 1, F.lit(1))), lambda i: F.substring(k, i, F.lit(least_contained))))
-    long_enough = lambda c: F.length(c) >= least_contained
-    short_known = right.filter(long_enough(F.col("known_key"))).withColumn("g", starts(F.col("known_key")))
-    short_name = left.filter(long_enough(F.col("key"))).withColumn("g", starts(F.col("key")))
-    inside = left.withColumn("g", F.explode(places(F.col("key")))).join(short_known, "g").filter("contains(key, known_key)")
-    around = short_name.join(right.withColumn("g", F.explode(places(F.col("known_key")))), "g").filter("contains(known_key, key)")
+    grams = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k) - least_contained + 1), lambda i: F.substring(k, i, F.lit(least_contained))))
+    places = lambda df, key: df.filter(F.length(key) >= least_contained).select("*", F.explode(grams(F.col(key))).alias("g"))
+
+    def by_rarest(short: DataFrame, key: str, long: DataFrame) -> DataFrame:
+        """Each short key with that of its grams which the fewest long ones have; short keys with a gram that none has are in none."""
+        held = long.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+        each = places(short.select(key).distinct(), key).join(held, "g", "left")
+        chosen = each.groupBy(key).agg(F.min(F.struct("df", "g")).alias("rarest"), F.count_if(F.col("df").isNull()).alias("none")).filter("none = 0")
+        return short.join(chosen.select(key, F.col("rarest.g").alias("g")), key)
+
+    names_at, known_at = places(left, "key"), places(right, "known_key")
+    inside = names_at.join(by_rarest(right, "known_key", names_at), "g").filter("contains(key, known_key)")
+    around = known_at.join(by_rarest(left, "key", known_at), "g").filter("contains(known_key, key)")
     contained = inside.select("name", "id").unionByName(around.select("name", "id")).select("name", "id", F.lit(2).alias("rule"), F.lit(0.0).alias("share"))
 
     # lists that share ``least_share`` of the longer one have a token in common among the rarest of each that the rest can't make up for, so common

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linkfold.functions.pixels import packed
 from linkfold.functions.text import latin_to_cyrillic
-from linkfold.operators import boosting, keypoints, lexicon, pixels, tilt, torn_forms
+from linkfold.operators import admission, boosting, key_index, keypoints, lexicon, pixels, tilt, torn_forms
 from linkfold.operators.pairs import pair_features
 from linkfold.operators.spread import spread
 from linkfold.plans.label_queries import _labels
@@ -108,3 +108,45 @@ def boosted_pairs(t):
     features = [c for c in rows.columns if c not in ("id", "query", "reference", "y")]
     model = boosting.fit_boosted(rows.filter("id % 5 > 0"), features, "y", trees=12, depth=3, shrink=0.3)
     return rows.select("id", "y", (F.col("id") % 5 == 0).alias("held_out"), F.round(model.chance(), 6).alias("chance"))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+  a AS (SELECT x.event_id, x.user_id, any_value(x.t) AS t, max(y.t + 36000000000 * ((x.i - y.i) // 3)) AS admitted FROM e x JOIN e y ON x.user_id = y.user_id AND y.i <= x.i GROUP BY x.event_id, x.user_id)
+SELECT event_id, user_id, admitted::BIGINT AS admitted_us, round((admitted - t) / 1000000.0::DOUBLE, 6) AS waited FROM a
+""")
+def admission_times(t):
+    """When each event of a user goes ahead, if three may in any ten hours and the others wait."""
+    found = admission.admissions(t("events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 3, 36_000)
+    return found.select("event_id", "user_id", F.unix_micros("admitted").alias("admitted_us"), F.round("waited", 6).alias("waited"))
+
+
+# Producers with several spellings, some in common, and customers' names that are looked up among them --------------------------------------------------
+
+_NORM = "trim(regexp_replace(replace(lower({0}), '&', ' and '), '[^0-9a-z]+', ' ', 'g'))"
+_PRODUCER = "CASE s_suppkey % 3 WHEN 0 THEN 'Chateau ' || n_name WHEN 1 THEN 'Vinodelnya ' || n_name ELSE n_name || ' & Sons' END || ' ' || (s_suppkey % 4)"
+
+
+@query(f"""
+WITH p AS (SELECT s_suppkey AS id, {_PRODUCER} AS name, replace(lower(n_name), ' ', '-') || '_' || (s_suppkey % 5) AS slug FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  b AS (SELECT id, {_NORM.format("name")} AS k FROM p UNION SELECT id, {_NORM.format("slug")} FROM p),
+  v AS (SELECT id, unnest([k, trim(replace(replace(k, 'vinodelnya ', ''), 'usadba ', '')), trim(replace(k, 'chateau ', 'shato ')), trim(replace(k, 'shato ', 'chateau ')), trim(replace(k, ' and ', ' '))]) AS k FROM b),
+  i AS (SELECT k, min(id) AS id FROM v WHERE k <> '' GROUP BY k),
+  a AS (SELECT {_NORM.format("r_name || ' & House'")} AS k, i.id FROM region JOIN p ON p.id = r_regionkey + 1 JOIN i ON i.k = {_NORM.format("p.name")}),
+  x AS (SELECT * FROM i WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT * FROM a UNION ALL SELECT replace(k, ' and ', ' '), id FROM a WHERE replace(k, ' and ', ' ') NOT IN (SELECT k FROM i)),
+  n AS (SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN 'SHATO  ' || n_name || ', ' || (c_custkey % 7) WHEN 1 THEN n_name || '-' || (c_custkey % 7) WHEN 2 THEN n_name || ' and sons ' || (c_custkey % 7)
+    WHEN 3 THEN r_name || ' House' ELSE n_name || ' Sons, ' || (c_custkey % 7) END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+  m AS (SELECT name, {_NORM.format("name")} AS k FROM n)
+SELECT name, coalesce(x.id, y.id) AS id FROM m LEFT JOIN x ON x.k = m.k LEFT JOIN x y ON y.k = replace(m.k, ' and ', ' ')
+""")
+def key_links(t):
+    nations = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n, of = F.col("n_name"), lambda key, k: (F.col(key) % k).cast("string")
+    made = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Chateau "), n)).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("Vinodelnya "), n)).otherwise(F.concat(n, F.lit(" & Sons")))
+    url = F.concat(F.lit("https://w.org/wineries/"), F.translate(F.lower(n), " ", "-"), F.lit("_"), of("s_suppkey", 5), F.lit("/"))
+    producers = t("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.concat_ws(" ", made, of("s_suppkey", 4)).alias("name"), url.alias("url"), F.col("s_suppkey").alias("pos"))
+    aliases = t("region").join(producers, F.col("id") == F.col("r_regionkey") + 1).select(F.concat("r_name", F.lit(" & House")).alias("alias"), F.col("name").alias("target"), F.col("r_regionkey").alias("pos"))
+    c, kind = of("c_custkey", 7), F.col("c_custkey") % 5
+    name = F.when(kind == 0, F.concat(F.lit("SHATO  "), n, F.lit(", "), c)).when(kind == 1, F.concat(n, F.lit("-"), c)).when(kind == 2, F.concat(n, F.lit(" and sons "), c)).when(kind == 3, F.concat("r_name", F.lit(" House"))).otherwise(F.concat(n, F.lit(" Sons, "), c))
+    names = t("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(name.alias("name"))
+    return key_index.links_by_key(names, key_index.key_index(producers, aliases), aliases)
