@@ -7,16 +7,14 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back, so that an executor's loss costs its tasks alone.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    Only a session on one machine may have no such folder; it gets one of its own that is deleted at the end of the process.
-    The table itself stays until that folder is cleared.
+    Only a session on one machine may have none; it gets one of its own that is deleted at the end of the process.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         master = spark.sparkContext.master
@@ -26,6 +24,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/linkfold-{name}-{uuid.uuid4().hex[:12]}"
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there stays until that folder is cleared."""
+    return f"{shared_folder(spark)}/linkfold-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, so that an executor's loss costs its tasks alone."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

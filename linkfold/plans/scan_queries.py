@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from linkfold.functions.pixels import packed
@@ -9,8 +10,10 @@ from linkfold.functions.text import latin_to_cyrillic
 from linkfold.operators import admission, boosting, key_index, keypoints, lexicon, pixels, tilt, torn_forms
 from linkfold.operators.pairs import pair_features
 from linkfold.operators.spread import spread
+from linkfold.operators.tables import new_path
 from linkfold.plans.label_queries import _labels
 from linkfold.plans.queries import AS_OF_YEAR, query
+from linkfold.sources import model_cache, versions
 
 
 @query()
@@ -150,3 +153,35 @@ def key_links(t):
     name = F.when(kind == 0, F.concat(F.lit("SHATO  "), n, F.lit(", "), c)).when(kind == 1, F.concat(n, F.lit("-"), c)).when(kind == 2, F.concat(n, F.lit(" and sons "), c)).when(kind == 3, F.concat("r_name", F.lit(" House"))).otherwise(F.concat(n, F.lit(" Sons, "), c))
     names = t("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(name.alias("name"))
     return key_index.links_by_key(names, key_index.key_index(producers, aliases), aliases)
+
+
+# Tables that are changed in place, and results that are kept by content ---------------------------------------------------------------------------------
+
+
+@query("""
+WITH c AS (SELECT l_partkey AS k, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS price, max(l_orderkey * 10 + l_linenumber) AS turn FROM lineitem WHERE l_partkey % 7 = 0 GROUP BY l_partkey)
+SELECT p_partkey AS k, p_retailprice AS price, 0::BIGINT AS turn FROM part WHERE p_partkey NOT IN (SELECT k FROM c) UNION ALL SELECT * FROM c
+""")
+def versioned_upsert(t):
+    """Prices of parts, loaded into a keyed table, and those of every seventh part's lines put in their place, in two batches of which the first comes twice."""
+    parts = t("part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("price"), F.lit(0).cast("long").alias("turn"))
+    lines = t("lineitem").filter("l_partkey % 7 = 0").select(F.col("l_partkey").alias("k"), F.col("l_extendedprice").alias("price"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("turn"))
+    path = new_path(parts.sparkSession, "prices")
+    versions.replace(parts, path, keys=["k"], buckets=8)
+    middle = lines.agg(F.avg("turn")).first()[0] or 0
+    for number, half in ((0, lines.filter(F.col("turn") <= middle)), (0, lines.filter(F.col("turn") <= middle)), (1, lines.filter(F.col("turn") > middle))):
+        versions.upsert(half, path, "turn", batch=("lines", number))
+    return versions.read(parts.sparkSession, path)
+
+
+@query("""
+SELECT conv_id, turn, length(text)::DOUBLE AS size, length(text) - length(replace(text, ' ', '')) AS blanks FROM conversations
+""")
+def cached_model(t):
+    """A model's two numbers for each turn, by its text; the second half of the turns finds many of its texts in the store."""
+    turns = t("conversations").select("conv_id", "turn", "text")
+    path = new_path(turns.sparkSession, "model")
+    model = lambda texts: pd.Series([[float(len(x)), float(x.count(" "))] for x in texts])
+    found = [model_cache.with_model(half, "text", model, "array<double>", path, "e") for half in (turns.filter("turn % 2 = 0"), turns.filter("turn % 2 = 1"))]
+    both = found[0].unionByName(found[1])
+    return both.select("conv_id", "turn", F.col("e")[0].alias("size"), F.col("e")[1].cast("long").alias("blanks"))

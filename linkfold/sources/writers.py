@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Load a table anew; readers see the old or the new files."""
+    """Load a table anew into one folder; while it is written there is none.  ``versions.replace`` keeps the old rows readable until then."""
     df.write.mode("overwrite").parquet(path)
 
 
