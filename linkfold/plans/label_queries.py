@@ -60,8 +60,8 @@ def text_score(t):
     asked = items.filter("id % 100 = 0").select("id", F.concat_ws("\n", F.translate("producer", "a", "o"), "label").alias("text"))
     read = entities.entities(asked, items.select("producer"))
     near = asked.select(F.col("id").alias("query_id"), F.col("id").alias("id"))
-    word = items.select("id", F.element_at(F.split("name", " "), 2).alias("word"), (F.col("id") % 17).alias("part"))
-    pairs = word.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "word", "part").join(word, ["word", "part"]).select("query_id", "id").unionByName(near)
+    word = items.select("id", F.element_at(F.split("name", " "), 2).alias("word"))
+    pairs = word.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "word").join(word, "word").select("query_id", "id").unionByName(near)
     scored = entities.text_scores(read, items, pairs)
     return scored.withColumn("mismatches", F.array_join("mismatches", ","))
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from linkfold.functions.pixels import packed
 from linkfold.functions.text import latin_to_cyrillic
-from linkfold.operators import admission, boosting, key_index, keypoints, lexicon, pixels, tilt, torn_forms
+from linkfold.operators import admission, boosting, channels, key_index, keypoints, lexicon, pixels, tilt, torn_forms
 from linkfold.operators.pairs import pair_features
 from linkfold.operators.spread import spread
 from linkfold.operators.tables import new_path
 from linkfold.plans.label_queries import _labels
-from linkfold.plans.queries import AS_OF_YEAR, query
+from linkfold.plans.queries import AS_OF_YEAR, _hits, query
 from linkfold.sources import model_cache, versions
 
 
@@ -185,3 +185,17 @@ def cached_model(t):
     found = [model_cache.with_model(half, "text", model, "array<double>", path, "e") for half in (turns.filter("turn % 2 = 0"), turns.filter("turn % 2 = 1"))]
     both = found[0].unionByName(found[1])
     return both.select("conv_id", "turn", F.col("e")[0].alias("size"), F.col("e")[1].cast("long").alias("blanks"))
+
+
+@query()
+def channel_evaluation(t):
+    """Every hundredth part's label as two recognisers read it, against the ten nearest vectors' parts and itself, and the decision over both."""
+    items = _labels(t).join(t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("producer"), F.col("p_type").alias("region")), "id")
+    items = items.withColumns({"producer": F.concat_ws(" ", "producer", F.lit("Estate"), F.element_at(F.split("name", " "), 2)), "category": F.lit(None).cast("string"), "grapes": F.lit("мерло, каберне")})
+    asked = items.filter("id % 100 = 0")
+    text = F.concat_ws("\n", F.translate("producer", "a", "o"), F.col("label"))
+    read = [asked.select(F.col("id").alias("query_id"), F.lit("first").alias("channel"), F.lit(0).alias("pos"), F.lit(True).alias("soft"), text.alias("text"))]
+    read.append(asked.select(F.col("id").alias("query_id"), F.lit("second").alias("channel"), F.lit(1).alias("pos"), F.lit(False).alias("soft"), F.regexp_replace(F.concat_ws(" ", "producer", "label"), r"\d{4}", "").alias("text")))
+    near = _hits(t).select("query_id", "id", "cosine").unionByName(asked.select(F.col("id").alias("query_id"), F.col("id"), F.lit(0.95).alias("cosine")))
+    scored = channels.scored_channels(read[0].unionByName(read[1]), near, items)
+    return channels.decided(scored, 0.5, 0.3)
