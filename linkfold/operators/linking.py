@@ -70,20 +70,21 @@ def link_names(names: DataFrame, known: DataFrame, least_share: float = 0.5, lea
     return names.select("name").join(best, "name", "left").select("name", F.col("best.id").alias("id"), F.coalesce(F.when(F.col("best.rule").isNotNull(), how), F.lit("none")).alias("how"))
 
 
-def _without(word: Column, edits: int) -> Column:
-    """The word and all that is left of it when up to ``edits`` characters are taken out."""
-    out = F.array(word)
-    for _ in range(edits):
-        less = F.flatten(F.transform(out, lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))))
-        out = F.array_distinct(F.concat(out, less))
-    return out
-
-
 def near_equal_tokens(tokens: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of distinct ``tokens`` (token) that are nearly equal.
 
-    Two words at most two edits apart become equal when at most two characters are taken out of each, so candidates are found by an equal join.
+    Lengths of nearly equal tokens differ by one at most.  A token is cut into three parts, and two edits leave one of them whole, moved by two places at most; so each
+    token looks its possible partners up by length and part, some fifty rows for a token of any length.
     """
-    keyed = tokens.filter(F.length("token") >= 4).select("token").distinct().withColumn("left_over", F.explode(_without(F.col("token"), 2)))
-    pairs = keyed.withColumnRenamed("token", "a").join(keyed.withColumnRenamed("token", "b"), "left_over").filter("a < b")
-    return pairs.filter(near_equal(F.col("a"), F.col("b"))).select("a", "b").distinct()
+    words = tokens.filter(F.length("token") >= 4).select("token").distinct().withColumn("n", F.length("token"))
+    # of n letters, part k begins behind n * k // 3 of them
+    begin = lambda n, k: F.floor(n * k / 3).cast("int")
+    kept = F.array(*[F.struct(F.lit(k).alias("part"), F.expr(f"substring(token, int(floor(n * {k} / 3)) + 1, int(floor(n * {k + 1} / 3)) - int(floor(n * {k} / 3)))").alias("letters")) for k in range(3)])
+    own = words.select(F.col("token").alias("b"), "n", F.explode(kept).alias("p")).select("b", "n", "p.part", "p.letters")
+    asked = words.select("token", F.explode(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1)).alias("n"))
+    asked = asked.select("token", "n", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("part"), F.col("n").alias("m"))
+    low, size = begin(F.col("m"), F.col("part")), begin(F.col("m"), F.col("part") + 1) - begin(F.col("m"), F.col("part"))
+    at = F.filter(F.transform(F.lit([-2, -1, 0, 1, 2]), lambda d: low + d), lambda s: (s >= 0) & (s + size <= F.length("token")))
+    looked = asked.select("token", "n", "part", F.explode(F.array_distinct(F.transform(at, lambda s: F.substring("token", s + 1, size)))).alias("letters"))
+    pairs = looked.withColumnRenamed("token", "a").join(own, ["n", "part", "letters"]).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.filter(near_equal(F.col("a"), F.col("b")))

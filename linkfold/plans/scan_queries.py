@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from linkfold.functions import boxes
 from linkfold.functions.pixels import packed
 from linkfold.functions.text import latin_to_cyrillic
 from linkfold.operators import admission, boosting, channels, key_index, keypoints, lexicon, pixels, tilt, torn_forms
 from linkfold.operators.pairs import pair_features
 from linkfold.operators.spread import spread
 from linkfold.operators.tables import new_path
-from linkfold.plans.label_queries import _labels
+from linkfold.plans.label_queries import _BOX, _bottles, _labels, _numbered
 from linkfold.plans.queries import AS_OF_YEAR, _hits, query
 from linkfold.sources import model_cache, versions
 
@@ -199,3 +200,26 @@ def channel_evaluation(t):
     near = _hits(t).select("query_id", "id", "cosine").unionByName(asked.select(F.col("id").alias("query_id"), F.col("id"), F.lit(0.95).alias("cosine")))
     scored = channels.scored_channels(read[0].unionByName(read[1]), near, items)
     return channels.decided(scored, 0.5, 0.3)
+
+
+@query(f"""
+WITH b AS (SELECT image, id, x1 * 20 AS x1, y1 * 20 AS y1, x2 * 20 AS x2, y2 * 20 AS y2, (x2 - x1) * (y2 - y1) * 400 AS a FROM ({_BOX})),
+  c AS (SELECT * FROM b WHERE id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY image ORDER BY id) = 1), p AS (SELECT image, arg_max(id, (a, -id)) AS first FROM b WHERE id % 2 = 0 GROUP BY image),
+  s AS (SELECT l.image, l.id, t.id AS owner, greatest(least(l.x2, t.x2) - greatest(l.x1, t.x1), 0) * greatest(least(l.y2, t.y2) - greatest(l.y1, t.y1), 0) / l.a AS share
+    FROM b l JOIN b t ON l.image = t.image AND l.id % 2 = 1 AND t.id % 2 = 0),
+  o AS (SELECT * FROM s WHERE share >= 0.5 QUALIFY row_number() OVER (PARTITION BY image, id ORDER BY share DESC, owner) = 1),
+  r AS (SELECT l.image, l.id, o.owner, o.share, greatest(l.x1, c.x1) AS x1, greatest(l.y1, c.y1) AS y1, least(l.x2, c.x2) AS x2, least(l.y2, c.y2) AS y2, l.a, c.a AS ca, coalesce(w.owner, p.first) AS own,
+      abs(l.x1 - c.x1) <= 3 AND abs(l.y1 - c.y1) <= 3 AND abs(l.x2 - c.x2) <= 3 AND abs(l.y2 - c.y2) <= 3 AS same, l.x1 >= c.x1 - 1 AND l.y1 >= c.y1 - 1 AND l.x2 <= c.x2 + 1 AND l.y2 <= c.y2 + 1 AS within
+    FROM b l JOIN o ON o.image = l.image AND o.id = l.id JOIN c ON c.image = l.image LEFT JOIN o w ON w.image = c.image AND w.id = c.id JOIN p ON p.image = l.image),
+  v AS (SELECT *, greatest(x2 - x1, 0) * greatest(y2 - y1, 0) AS cut FROM r)
+SELECT image, id, owner, round(share, 6) AS share, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2, round(cut / ca, 6) AS covered FROM v
+WHERE owner <> own AND NOT same AND NOT within AND cut / a < 0.98 AND cut / ca <= 0.2 AND cut >= 400 AND x2 - x1 >= 4 AND y2 - y1 >= 4
+""")
+def box_foreign_cuts(t):
+    """Of each order's first label, what labels of bottles other than its own cover."""
+    larger = lambda df, name: df.withColumn(name, F.struct(*[(F.col(name)[k] * 20).alias(k) for k in ("x1", "y1", "x2", "y2")]))
+    labels, bottles = larger(_numbered(t).filter("id % 2 = 1"), "box"), larger(_bottles(t), "bottle_box")
+    crops = labels.groupBy("image").agg(F.min_by("box", "id").alias("box"))
+    large = bottles.groupBy("image").agg(F.max_by("bottle_id", F.struct(boxes.area(F.col("bottle_box")).alias("a"), (-F.col("bottle_id")).alias("i"))).alias("bottle_id"))
+    cuts = boxes.foreign_cuts(crops, labels, bottles, "image", large)
+    return cuts.select("image", "id", "owner", F.round("owner_share", 6).alias("share"), *[F.round(F.col("cut")[k], 4).alias(k) for k in ("x1", "y1", "x2", "y2")], F.round("covered", 6).alias("covered"))
