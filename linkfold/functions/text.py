@@ -164,6 +164,13 @@ def stop_key(name: Column, stop: tuple[str, ...], protected: tuple[str, ...] = (
     return F.array_join(F.when(F.size(kept) > 0, kept).otherwise(every), " ")
 
 
+def without_stopwords(name: Column, stop: tuple[str, ...], protected: tuple[str, ...] = ()) -> Column:
+    """A name as it is written, without the words whose canonical form is that of a stop word; protected words stay.  Empty if nothing else is left."""
+    keys = lambda words_: F.array(*[canonical(F.lit(w)) for w in words_]) if words_ else F.array().cast("array<string>")
+    gone = lambda w: F.array_contains(keys(stop), canonical(w)) & ~F.array_contains(keys(protected), canonical(w))
+    return F.array_join(F.filter(words(name), lambda w: ~gone(w)), " ")
+
+
 def distinct_words(text: Column) -> Column:
     """A name with each word once, whatever its case, in the order of their first occurrence."""
     w = words(text)

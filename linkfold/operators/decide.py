@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkfold.functions.scores import fin_blend, hard_rejects, score_band
+from linkfold.operators.pairs import pair_features
 from linkfold.settings import Settings
 
 
@@ -199,3 +200,19 @@ def best_f1_threshold(rows: DataFrame, label: str, score: str, step: float = 1e-
     best = F.max_by(F.struct("s", "f1"), F.struct(F.round("f1", 9).alias("f"), "s")).alias("b")
     area = F.sum(F.when(F.col("positives") > 0, F.col("p") / F.col("positives") * F.col("tp") / F.col("k")))
     return at.agg(best, F.round(area, 6).alias("pr_auc")).select(F.round(F.col("b.s") * step, 6).alias("threshold"), F.round("b.f1", 6).alias("f1"), "pr_auc")
+
+
+def reuse_compare(hits: DataFrame, features: list[str], chance: Column, as_of_year: int, match_threshold: float, similar_threshold: float, weight_text: float = 0.65, weight_cosine: float = 0.45) -> DataFrame:
+    """(query_id, previous_id, id, score, fin, band, pos, compare_source) of winners taken over from earlier queries, by the likeness of both queries' texts.
+
+    hits: query_id, previous_id, id, cosine, text, previous_text, pos; an earlier query counts once, at its first place, and only if both texts say anything.
+    ``features`` names the columns that the scorer ``chance`` reads, of those of ``pair_features``.  No reject applies: the texts are of photographs of one kind.
+    """
+    said = hits.filter((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.trim(F.coalesce("previous_text", F.lit(""))) != "") & F.col("previous_id").isNotNull())
+    first = Window.partitionBy("query_id", "previous_id").orderBy("pos", "id")
+    once = said.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("query_id", "previous_id", "id", "cosine", "text", "previous_text")
+    scored = pair_features(once, "text", "previous_text", as_of_year, "cosine").select("query_id", "previous_id", "id", "cosine", *features).withColumn("score", chance)
+    rows = scored.withColumn("fin", fin_blend(F.col("score"), F.col("cosine"), weight_text, weight_cosine))
+    order = Window.partitionBy("query_id").orderBy(F.desc("fin"), F.desc("score"), "id", "previous_id")
+    band = score_band(F.col("fin"), match_threshold, similar_threshold)
+    return rows.select("query_id", "previous_id", "id", F.round("score", 6).alias("score"), "fin", band.alias("band"), F.row_number().over(order).alias("pos"), F.lit("previous_search_ocr").alias("compare_source"))

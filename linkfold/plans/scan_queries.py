@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from linkfold.functions import boxes
+from linkfold.functions import boxes, records
 from linkfold.functions.pixels import packed
 from linkfold.functions.text import latin_to_cyrillic
 from linkfold.operators import admission, boosting, channels, key_index, keypoints, lexicon, pixels, tilt, torn_forms
@@ -223,3 +223,51 @@ def box_foreign_cuts(t):
     large = bottles.groupBy("image").agg(F.max_by("bottle_id", F.struct(boxes.area(F.col("bottle_box")).alias("a"), (-F.col("bottle_id")).alias("i"))).alias("bottle_id"))
     cuts = boxes.foreign_cuts(crops, labels, bottles, "image", large)
     return cuts.select("image", "id", "owner", F.round("owner_share", 6).alias("share"), *[F.round(F.col("cut")[k], 4).alias(k) for k in ("x1", "y1", "x2", "y2")], F.round("covered", 6).alias("covered"))
+
+
+# Records and lexicons of a catalogue ---------------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT '{"event_id":' || event_id || ',"kind":"' || event_type || '","at":{"user":' || user_id || ',"gone":null},"tags":["' || event_type || '",null],"blob":null,"nan":null}' AS json FROM events
+""")
+def json_events(t):
+    """Events as JSON records, with private, binary and not finite values among them."""
+    rows = t("events").select(
+        "event_id", F.col("event_type").alias("kind"), F.struct(F.col("user_id").alias("user"), F.lit(1).alias("_secret"), F.lit(None).cast("string").alias("gone")).alias("at"), F.array("event_type", F.lit(None)).alias("tags"),
+        F.encode("event_type", "UTF-8").alias("blob"), F.lit(float("nan")).alias("nan"), F.lit(5).alias("_private"),
+    )
+    return records.json_records(rows)
+
+
+@query("""
+WITH u AS (SELECT user_id AS run, event_type AS step, epoch_us(ts) / 1000.0::DOUBLE AS at, value AS ms, event_id % 5 = 0 AS skipped FROM events),
+  f AS (SELECT run, min(at) AS begin, max(at + coalesce(ms, 0)) AS last FROM u GROUP BY run),
+  k AS (SELECT run, step, arg_max(at, (at, ms)) AS at, arg_max(ms, (at, ms)) AS ms FROM u WHERE NOT skipped AND ms > 0 GROUP BY run, step)
+SELECT run AS user_id, step, round(at - begin, 1) AS start_ms, round(ms, 1) AS ms FROM k JOIN f USING (run) UNION ALL SELECT run, 'total', 0.0, round(last - begin, 1) FROM f
+""")
+def step_timings(t):
+    steps = t("events").select(F.col("user_id").alias("run"), F.col("event_type").alias("step"), F.col("ts").alias("started"), F.col("value").alias("ms"), (F.col("event_id") % 5 == 0).alias("skipped"))
+    return records.timing_records(steps).withColumnRenamed("run", "user_id")
+
+
+@query("""
+SELECT 'brand ' || substr(p_brand, 7) AS canon, p_brand AS surface, count(*) AS items FROM part GROUP BY p_brand
+""")
+def producer_frequency(t):
+    """Brands as producers, with words of the trade before and behind them in the catalogue or on the label."""
+    name = F.when(F.col("p_size") % 3 == 0, F.concat_ws(" ", F.lit("Winery"), "p_brand", "p_brand")).when(F.col("p_size") % 3 == 1, F.lit("wine 5"))
+    label = F.when(F.col("p_size") % 3 > 0, F.to_json(F.struct(F.concat_ws(" ", "p_brand", F.lit("ESTATE")).alias("producer"))))
+    return lexicon.producer_lexicon(t("part").select(F.col("p_partkey").alias("id"), name.alias("producer"), label.alias("label_json")), ("winery", "Estate", "wine", "5"))
+
+
+@query("""
+WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS g FROM part)
+SELECT g AS surface, count(*) AS items FROM w WHERE length(g) >= 3 GROUP BY g
+""")
+def grape_frequency(t):
+    """The words of parts' names as grapes, from a text or from the label's JSON, as a list there or not."""
+    first, second = F.element_at(F.split("p_name", " "), 1), F.element_at(F.split("p_name", " "), 2)
+    grapes = F.when(F.col("p_size") % 2 == 0, F.concat(first, F.lit(" • "), second, F.lit(".")))
+    label = F.when(F.col("p_size") % 4 == 1, F.to_json(F.struct(F.lit("").alias("cupage"), F.concat_ws(" - ", first, second).alias("coupage")))).when(F.col("p_size") % 4 == 3, F.to_json(F.struct(F.array(first, second).alias("cupage"))))
+    return lexicon.grape_lexicon(t("part").select(F.col("p_partkey").alias("id"), grapes.alias("grapes"), label.alias("label_json"))).select("surface", "items")

@@ -60,3 +60,18 @@ class Settings:
 
     def with_pool(self, n: int) -> Settings:
         return replace(self, top_n=n if n in POOL_SIZES else POOL_SIZES[-1])
+
+
+#: Parts of names whose values aren't shown.
+SECRET = ("key", "token", "secret", "password")
+
+
+def public_view(raw: dict) -> dict[str, dict]:
+    """Each setting of a raw table by name: its checked value, its default and whether it was changed; what isn't a setting is left out, but secrets are named, masked to their last four characters."""
+    checked = Settings.parse(raw)
+    out = {f.name: {"value": getattr(checked, f.name), "default": f.default, "changed": getattr(checked, f.name) != f.default} for f in fields(Settings)}
+    for name, value in raw.items():
+        if name not in out and any(s in name.lower() for s in SECRET):
+            text = str(value or "")
+            out[name] = {"set": bool(text), "value": "***" + text[-4:] if len(text) > 8 else "***" if text else ""}
+    return out
