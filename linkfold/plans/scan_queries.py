@@ -11,7 +11,7 @@ from linkfold.functions.text import latin_to_cyrillic
 from linkfold.operators import admission, boosting, channels, key_index, keypoints, lexicon, pixels, tilt, torn_forms
 from linkfold.operators.pairs import pair_features
 from linkfold.operators.spread import spread
-from linkfold.operators.tables import new_path
+from linkfold.operators.tables import new_path, written
 from linkfold.plans.label_queries import _BOX, _bottles, _labels, _numbered
 from linkfold.plans.queries import AS_OF_YEAR, _hits, query
 from linkfold.sources import model_cache, versions
@@ -108,7 +108,7 @@ def _labelled_pairs(t):
 @query()
 def boosted_pairs(t):
     """Fitted on four fifths of the pairs, by id; all pairs with their chance of being a match."""
-    rows = spread(_labelled_pairs(t))
+    rows = written(spread(_labelled_pairs(t)), "pairs")  # the features are read again and again, and dear
     features = [c for c in rows.columns if c not in ("id", "query", "reference", "y")]
     model = boosting.fit_boosted(rows.filter("id % 5 > 0"), features, "y", trees=12, depth=3, shrink=0.3)
     return rows.select("id", "y", (F.col("id") % 5 == 0).alias("held_out"), F.round(model.chance(), 6).alias("chance"))
@@ -241,10 +241,10 @@ def json_events(t):
 
 
 @query("""
-WITH u AS (SELECT user_id AS run, event_type AS step, epoch_us(ts) / 1000.0::DOUBLE AS at, value AS ms, event_id % 5 = 0 AS skipped FROM events),
-  f AS (SELECT run, min(at) AS begin, max(at + coalesce(ms, 0)) AS last FROM u GROUP BY run),
-  k AS (SELECT run, step, arg_max(at, (at, ms)) AS at, arg_max(ms, (at, ms)) AS ms FROM u WHERE NOT skipped AND ms > 0 GROUP BY run, step)
-SELECT run AS user_id, step, round(at - begin, 1) AS start_ms, round(ms, 1) AS ms FROM k JOIN f USING (run) UNION ALL SELECT run, 'total', 0.0, round(last - begin, 1) FROM f
+WITH u AS (SELECT user_id AS run, event_type AS step, epoch_us(ts) / 1000.0::DOUBLE AS moment, value AS ms, event_id % 5 = 0 AS skipped FROM events),
+  f AS (SELECT run, min(moment) AS first, max(moment + coalesce(ms, 0)) AS last FROM u GROUP BY run),
+  k AS (SELECT run, step, arg_max(moment, (moment, ms)) AS moment, arg_max(ms, (moment, ms)) AS ms FROM u WHERE NOT skipped AND ms > 0 GROUP BY run, step)
+SELECT run AS user_id, step, round(moment - first, 1) AS start_ms, round(ms, 1) AS ms FROM k JOIN f USING (run) UNION ALL SELECT run, 'total', 0.0, round(last - first, 1) FROM f
 """)
 def step_timings(t):
     steps = t("events").select(F.col("user_id").alias("run"), F.col("event_type").alias("step"), F.col("ts").alias("started"), F.col("value").alias("ms"), (F.col("event_id") % 5 == 0).alias("skipped"))
