@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkfold.functions.classes import GRAPE_ALIASES, GRAPES, color_key, grapes_match, split_grapes, type_key
+from linkfold.functions.classes import cupage, grapes_match, split_grapes
 from linkfold.functions.text import canonical, distinct_words, entity_form, is_bad_producer
-from linkfold.operators.lexicon import CATEGORY, TYPE, lexicon_hits
+from linkfold.operators.lexicon import CATEGORY, TYPE, grape_lexicon, lexicon_table
 from linkfold.operators.spread import spread
+from linkfold.operators.torn_forms import torn_hits
 
 # Weights of the criteria, what a type that is near or unknown, or a conflicting colour, is worth, and the parts of a grape's share.
 WEIGHTS = {"producer": 0.35, "grape": 0.30, "category": 0.20, "type": 0.15}
@@ -36,13 +37,17 @@ def _listed(df: DataFrame, name: str, plural: str) -> Column:
     return F.coalesce(values, F.array().cast(_LIST))
 
 
-def rank_analogs(criteria: DataFrame, catalog: DataFrame, n: int = 10, cosine: DataFrame | None = None, rejected: DataFrame | None = None, category_order: tuple[str, ...] = CATEGORY_ORDER, type_order: tuple[str, ...] = TYPE_ORDER) -> DataFrame:
+def rank_analogs(criteria: DataFrame, catalog: DataFrame, n: int = 10, cosine: DataFrame | None = None, category_order: tuple[str, ...] = CATEGORY_ORDER, type_order: tuple[str, ...] = TYPE_ORDER) -> DataFrame:
     """(query_id, id, score, hits, rank): the ``n`` best items of ``catalog`` (id, producer, grapes, category, type) for each row of ``criteria`` (query_id,
     producer or producers, grapes, category or categories, type; null or empty where nothing is asked; exclude_id).
 
-    Every item is scored, one whose type is unknown too; what scores 0 is left out.  Ties go to the category's and the type's order, the cosine (query_id, id,
-    cosine), the number of hits and the smaller id.  Queries are a stated set: they are broadcast in blocks of bounded size, and each task keeps the best ``n`` of
-    each query before anything is shuffled.  rejected (query_id, id) are left out.
+    Every item counts, one whose type is unknown too; what scores 0 is left out.  A grape's share is of the item's grapes, or of its n_grapes where there is such a
+    column.  Ties go to the category's and the type's order, the cosine (query_id, id,
+    cosine), the number of hits and the smaller id.
+
+    Items that agree in producer, grapes, category and type score alike, so only the ``n`` + 1 smallest ids of each such kind meet the queries (one may be
+    excluded); items with a cosine are scored beside them.  Queries are a stated set: they are broadcast in blocks of bounded size, and each task keeps the best
+    ``n`` of each query before anything is shuffled.
     """
     asked = criteria.select(
         "query_id", "exclude_id", _listed(criteria, "producer", "producers").alias("q_producers"), F.coalesce("grapes", F.array().cast(_LIST)).alias("q_grapes"),
@@ -51,29 +56,36 @@ def rank_analogs(criteria: DataFrame, catalog: DataFrame, n: int = 10, cosine: D
     asks = lambda c: (F.size(c) > 0).cast("double")
     total = WEIGHTS["producer"] * asks("q_producers") + WEIGHTS["grape"] * asks("q_grapes") + WEIGHTS["category"] * asks("q_categories") + WEIGHTS["type"] * F.col("q_type").isNotNull().cast("double")
     asked = asked.withColumn("asked", total)
-    items = spread(catalog).select("id", "producer", F.coalesce("grapes", F.array().cast(_LIST)).alias("grapes"), "category", "type", canon_rank("type", type_order).alias("type_rank"), canon_rank("category", category_order).alias("category_rank"))
+    items = catalog.select("id", "producer", F.array_sort(F.coalesce("grapes", F.array().cast(_LIST))).alias("grapes"), "category", "type", canon_rank("type", type_order).alias("type_rank"), canon_rank("category", category_order).alias("category_rank"), (F.col("n_grapes") if "n_grapes" in catalog.columns else F.size(F.coalesce("grapes", F.array().cast(_LIST)))).alias("n_grapes"))
+    alike = Window.partitionBy("producer", "grapes", "n_grapes", "category", "type").orderBy("id")
+    kinds = spread(items.withColumn("_of_kind", F.row_number().over(alike)).filter(F.col("_of_kind") <= n + 1).drop("_of_kind"))
+    tied = [F.desc("exact"), "category_rank", "type_rank"]
     blocks = max(1, math.ceil(criteria.count() / BLOCK_QUERIES))
     best = None
     for b in range(blocks):
         block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        pairs = items.join(F.broadcast(block), F.lit(True)).filter(~F.col("id").eqNullSafe(F.col("exclude_id")))
-        scored = _scored(pairs)
-        if rejected is not None:
-            scored = scored.join(rejected.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
-        scored = scored.join(cosine, ["query_id", "id"], "left") if cosine is not None else scored.withColumn("cosine", F.lit(None).cast("double"))
-        order = [F.desc("exact"), "category_rank", "type_rank", F.coalesce("cosine", F.lit(-1.0)).desc(), F.desc("hits"), "id"]
-        part = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= n)
+        part = _ranked(_scored(kinds.join(F.broadcast(block), F.lit(True))), [*tied, F.desc("hits"), "id"], n)
+        if cosine is not None:
+            near = _scored(cosine.select("query_id", "id", "cosine").join(F.broadcast(block), "query_id").join(items, "id"), "cosine")
+            both = part.drop("rank").withColumn("cosine", F.lit(None).cast("double")).unionByName(near)
+            both = both.groupBy("query_id", "id", "exact", "hits", "category_rank", "type_rank").agg(F.max("cosine").alias("cosine"))
+            part = _ranked(both, [*tied, F.coalesce("cosine", F.lit(-1.0)).desc(), F.desc("hits"), "id"], n).drop("cosine")
         best = part if best is None else best.unionByName(part)
     return best.select("query_id", "id", F.round("exact", 6).alias("score"), "hits", "rank")
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    """Pairs of an item and a query's criteria with exact, the score as it is ranked by, and hits."""
+def _ranked(scored: DataFrame, order: list, n: int) -> DataFrame:
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= n)
+
+
+def _scored(pairs: DataFrame, *kept: str) -> DataFrame:
+    """Pairs of an item and a query's criteria with exact, the score as it is ranked by, and hits; without the excluded item."""
+    pairs = pairs.filter(~F.col("id").eqNullSafe(F.col("exclude_id")))
     zero_one = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     producer, category = zero_one(F.array_contains("q_producers", F.col("producer"))), zero_one(F.array_contains("q_categories", F.col("category")))
     conflict = (F.size("q_categories") > 0) & F.col("category").isNotNull() & (category == 0)
     pairs = pairs.withColumn("grape_hits", F.size(F.filter("q_grapes", lambda q: F.exists("grapes", lambda g: grapes_match(q, g)))))
-    share = F.least(F.lit(1.0), F.col("grape_hits") / F.greatest(F.size("grapes"), F.lit(1)))
+    share = F.least(F.lit(1.0), F.col("grape_hits") / F.greatest("n_grapes", F.lit(1)))
     grape = F.when(F.col("grape_hits") > 0, GRAPE_RECALL * F.col("grape_hits") / F.size("q_grapes") + GRAPE_SHARE * share).otherwise(0.0)
     kind = F.when(F.col("q_type").isNull(), 0.0).when(F.col("type").isNull(), TYPE_UNKNOWN).when(F.col("type") == F.col("q_type"), 1.0)
     kind = kind.when(F.abs(F.col("type_rank") - F.col("q_rank")) <= 1, TYPE_NEAR).otherwise(0.0)
@@ -81,7 +93,7 @@ def _scored(pairs: DataFrame) -> DataFrame:
     hits = producer + (F.col("grape_hits") > 0).cast("double") + category + zero_one(F.col("type") == F.col("q_type"))
     exact = F.col("raw") / F.col("asked") * F.when(conflict, COLOR_CONFLICT).otherwise(1.0)
     scored = pairs.withColumns({"raw": raw, "hits": hits.cast("int")}).filter("raw > 0").withColumn("exact", exact)
-    return scored.select("query_id", "id", "exact", "hits", "category_rank", "type_rank")
+    return scored.select("query_id", "id", "exact", "hits", "category_rank", "type_rank", *kept)
 
 
 def cosine_fallback(hits: DataFrame, rejected: DataFrame, n: int = 5, least: float = 0.70) -> DataFrame:
@@ -90,57 +102,157 @@ def cosine_fallback(hits: DataFrame, rejected: DataFrame, n: int = 5, least: flo
     return left.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))).filter(F.col("rank") <= n)
 
 
-def find_analogs(criteria: DataFrame, catalog: DataFrame, hits: DataFrame, rejected: DataFrame, n: int = 10, fallback: int = 5, least: float = 0.70) -> DataFrame:
-    """(query_id, id, score, rank, source): the analogs of each query by its criteria, and for queries without any the nearest of ``hits`` (query_id, id, cosine)."""
-    ranked = rank_analogs(criteria, catalog, n, hits.select("query_id", "id", "cosine"), rejected)
-    found = ranked.select("query_id", "id", "score", "rank", F.lit("criteria").alias("source"))
-    near = cosine_fallback(hits.select("query_id", "id", "cosine"), rejected, fallback, least).join(found.select("query_id").distinct(), "query_id", "left_anti")
+def find_analogs(criteria: DataFrame, catalog: DataFrame, hits: DataFrame, rejected: DataFrame, n: int = 10, fallback: int = 5, least: float = 0.70, **orders: tuple[str, ...]) -> DataFrame:
+    """(query_id, id, score, rank, source): the analogs of each query by its criteria, and for queries without any the nearest of ``hits`` (query_id, id, cosine).
+
+    Only the nearest leave out what is rejected (query_id, id), the excluded item and ids that the catalogue doesn't have; a rejected item may still be an analog
+    by criteria.  ``orders`` are those of ``rank_analogs``.
+    """
+    hits = hits.select("query_id", "id", "cosine")
+    found = rank_analogs(criteria, catalog, n, hits, **orders).select("query_id", "id", "score", "rank", F.lit("criteria").alias("source"))
+    never = rejected.select("query_id", "id").unionByName(criteria.select("query_id", F.col("exclude_id").alias("id")))
+    open_hits = hits.join(catalog.select("id").distinct(), "id", "left_semi").join(criteria.select("query_id"), "query_id", "left_semi").join(found.select("query_id").distinct(), "query_id", "left_anti")
+    near = cosine_fallback(open_hits, never, fallback, least)
     return found.unionByName(near.select("query_id", "id", F.col("cosine").alias("score"), "rank", F.lit("embedding_cosine").alias("source")))
 
 
-def catalog_canons(catalog: DataFrame) -> DataFrame:
-    """(id, producer, grapes, category, type) of ``catalog`` (id, name, producer, category, color, type, grapes, label): canonical criteria.
+def item_criteria(winners: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(query_id, exclude_id, producers, grapes, categories, type): what the found items (query_id, id) ask for, themselves excluded; none for an id that ``catalog`` lacks."""
+    listed = lambda c: F.filter(F.array(F.col(c)), lambda x: x.isNotNull())
+    own = winners.select("query_id", "id").join(catalog, "id")
+    return own.select("query_id", F.col("id").cast("long").alias("exclude_id"), listed("producer").alias("producers"), F.coalesce("grapes", F.array().cast(_LIST)).alias("grapes"), listed("category").alias("categories"), "type")
+
 
-    The category is the first colour that the category, the recognised colour or the name says; the type the first that the recognised type, the name or the label does.
+def dispatched(queries: DataFrame, lexicon: DataFrame, catalog: DataFrame, hits: DataFrame, rejected: DataFrame, aliases: DataFrame | None = None, n: int = 10, fallback: int = 5, least: float = 0.70) -> DataFrame:
+    """(query_id, id, score, rank, source) of queries (query_id, text, winner_id): by the fields of the winner where there is one, else by what the text names.
+
+    source: matched_item, criteria or embedding_cosine.  A winner that the catalogue lacks has no analogs.
     """
-    grapes = F.array_distinct(F.transform(split_grapes(F.col("grapes")), lambda g: canonical(g)))
-    aliased = F.transform(grapes, lambda g: _alias(g))
-    producer = distinct_words(F.trim(F.col("producer")))
-    return catalog.select(
-        "id", F.when(~is_bad_producer(entity_form(producer)), canonical(producer)).alias("producer"), F.filter(aliased, lambda g: F.length(g) >= 3).alias("grapes"),
-        F.coalesce(color_key(F.col("category")), color_key(F.col("color")), color_key(F.col("name"))).alias("category"), F.coalesce(type_key(F.col("type")), type_key(F.col("name")), type_key(F.col("label"))).alias("type"),
-    )
+    by_text = text_criteria(queries.filter("winner_id is null").select("query_id", "text"), lexicon, aliases)
+    by_item = item_criteria(queries.filter("winner_id is not null").select("query_id", F.col("winner_id").alias("id")), catalog)
+    found = find_analogs(by_text.unionByName(by_item), catalog, hits, rejected, n, fallback, least)
+    known = queries.select("query_id", F.col("winner_id").isNotNull().alias("_won"))
+    source = F.when(F.col("_won") & (F.col("source") == "criteria"), "matched_item").otherwise(F.col("source"))
+    return found.join(known, "query_id").select("query_id", "id", "score", "rank", source.alias("source"))
 
 
-def _alias(grape: Column) -> Column:
-    out = grape
-    for alias, canon in GRAPE_ALIASES.items():
-        out = F.when(grape == alias, canon).otherwise(out)
-    return out
+def majority_aliases(votes: DataFrame, least: int, share: float) -> DataFrame:
+    """(alias, canon) of votes (alias, canon), a row each: the form that most votes give an alias, the first by alphabet of equals, with ``least`` votes and a ``share`` of all."""
+    counted = votes.groupBy("alias", "canon").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("alias").agg(F.min_by("canon", F.struct(-F.col("n"), "canon")).alias("canon"), F.max("n").alias("n"), F.sum("n").alias("total"))
+    return best.filter((F.col("n") >= least) & (F.col("n") / F.col("total") >= share)).select("alias", "canon")
 
 
-def text_criteria(texts: DataFrame, producers: DataFrame, most_producers: int = 3) -> DataFrame:
-    """(query_id, exclude_id, producers, grapes, categories, type) of ``texts`` (query_id, text): what a recognised text asks for.
+def grape_aliases(items: DataFrame) -> DataFrame:
+    """(alias, canon): other names of grapes, learned from items (grapes, label_json) that name one grape in the catalogue and one on the label."""
+    one = lambda c: F.when(F.size(c) == 1, canonical(c[0]))
+    votes = items.select(one(cupage(F.col("label_json"))).alias("alias"), one(split_grapes(F.col("grapes"))).alias("canon"))
+    return majority_aliases(votes.filter("alias != '' and canon != '' and alias != canon"), 2, 0.6)
 
-    producers: a lexicon of producers' forms (``lexicon_table``); of forms within each other the longest counts, and at most ``most_producers`` are asked for.  A
-    grape that begins another one found is left out.
+
+def _producers(items: DataFrame) -> DataFrame:
+    """items with canon, their producer's canonical form; without those whose producer is no name or shorter than four letters."""
+    named = items.withColumn("_name", distinct_words(F.trim(F.coalesce("producer", F.lit("")))))
+    return named.withColumn("canon", canonical(F.col("_name"))).filter(~is_bad_producer(entity_form(F.col("_name"))) & (F.length("canon") >= 4)).drop("_name")
+
+
+def producer_aliases(items: DataFrame) -> DataFrame:
+    """(alias, canon): other names of producers, learned from the labels of items (producer, region, label_json).
+
+    A name that is a producer's or a region's, or that holds a word for a colour or a type, is no alias.
     """
-    named = texts.select("query_id", canonical(F.col("text")).alias("plain"))
-    found = lexicon_hits(texts.select(F.col("query_id").alias("id"), "text"), producers)
-    longest = found.withColumn("r", F.row_number().over(Window.partitionBy("id", "canon").orderBy(F.length("form").desc(), "form"))).filter("r = 1")
-    forms = longest.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.length("form")).alias("l"), "form", "canon"))).alias("f"))
-    kept = F.filter("f", lambda x: ~F.exists("f", lambda y: (y["form"] != x["form"]) & y["form"].contains(x["form"])))
-    forms = forms.select(F.col("id").alias("query_id"), F.slice(F.transform(kept, lambda x: x["canon"]), 1, most_producers).alias("producers"))
-    grapes = F.filter(F.array(*[F.when(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")).contains(f" {g} "), F.lit(GRAPE_ALIASES.get(g, g))) for g in GRAPES]), lambda g: g.isNotNull())
-    rows = named.withColumn("g", F.array_distinct(grapes))
-    whole = F.filter("g", lambda x: ~F.exists("g", lambda y: (y != x) & F.concat(F.lit(" "), y, F.lit(" ")).contains(F.concat(F.lit(" "), x, F.lit(" ")))))
-    rows = rows.select("query_id", whole.alias("grapes"), F.filter(F.array(color_key(F.col("plain"))), lambda c: c.isNotNull()).alias("categories"), type_key(F.col("plain")).alias("type"))
-    out = rows.join(forms, "query_id", "left").withColumn("producers", F.coalesce("producers", F.array().cast(_LIST)))
-    return out.select("query_id", F.lit(None).cast("long").alias("exclude_id"), "producers", "grapes", "categories", "type")
-
-
-def rescored(texts: DataFrame, lexicon: DataFrame, catalog: DataFrame, hits: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The analogs of stored queries from their texts (query_id, text): criteria are read again and ranked against the catalogue as it is now."""
-    return find_analogs(text_criteria(texts, lexicon), catalog, hits, rejected)
+    known = _producers(items)
+    read = known.withColumn("_read", distinct_words(F.trim(F.coalesce(F.get_json_object("label_json", "$.producer"), F.lit("")))))
+    votes = read.filter(~is_bad_producer(entity_form(F.col("_read")))).select(canonical(F.col("_read")).alias("alias"), "canon").filter("alias != canon and length(alias) >= 4")
+    taken = known.select(F.col("canon").alias("alias")).unionByName(items.select(canonical(F.col("region")).alias("alias")))
+    names = majority_aliases(votes, 1, 0.8).join(taken, "alias", "left_anti")
+    worded = torn_hits(names.select(F.col("alias").alias("id"), F.col("alias").alias("text")), _fixed_lexicons(items.sparkSession))
+    return names.join(worded.select(F.col("id").alias("alias")), "alias", "left_anti")
+
+
+def analog_lexicon(items: DataFrame) -> DataFrame:
+    """(lexicon, canon, canon_pos, form, n_words): the producers, with their aliases, and the grapes that items (id, producer, grapes, region, label_json) name."""
+    canons = _producers(items).select("canon").distinct()
+    producers = canons.select("canon", F.col("canon").alias("form")).unionByName(producer_aliases(items).select("canon", F.col("alias").alias("form"))).withColumn("lexicon", F.lit("producer"))
+    grapes = grape_lexicon(items.select("id", "grapes", "label_json")).select("canon", F.lower("surface").alias("form"), F.lit("grape").alias("lexicon"))
+    return producers.unionByName(grapes).select("lexicon", "canon", F.lit(0).alias("canon_pos"), "form", F.size(F.split("form", "[ -]+")).alias("n_words"))
+
 
+def _fixed_lexicons(spark: SparkSession) -> DataFrame:
+    return lexicon_table(spark, "category", CATEGORY).unionByName(lexicon_table(spark, "type", TYPE))
 
+
+def _first_canons(texts: DataFrame) -> DataFrame:
+    """(id, category, type) of texts (id, lexicon, place, text): of the first text, by place, that names one of a lexicon's canonical forms, the first of these in order."""
+    read = texts.select(F.struct("id", "lexicon", "place").alias("id"), F.when(F.col("lexicon") == "type", _joined(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    hits = torn_hits(read, _fixed_lexicons(texts.sparkSession)).filter("lexicon = id.lexicon").select("id.id", "id.place", "lexicon", "canon", "canon_pos")
+    first = lambda x: F.min_by(F.when(F.col("lexicon") == x, F.col("canon")), F.when(F.col("lexicon") == x, F.struct("place", "canon_pos"))).alias(x)
+    return hits.groupBy("id").agg(first("category"), first("type"))
+
+
+def _joined(text: Column) -> Column:
+    """A text whose ``semi`` and ``extra`` are one word with the Latin word behind them."""
+    return F.regexp_replace(text, r"(?iU)\b(semi|extra)[\s\-]+(?=[a-z])", "$1")
+
+
+def catalog_canons(catalog: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(id, producer, grapes, n_grapes, category, type) of ``catalog`` (id, name, producer, category, color, type, grapes, label, label_json): canonical criteria.
+
+    The category is the first colour that the category, the recognised colour or the name says; the type the first that the recognised type, the name or the label
+    does.  Grapes are those of the catalogue and of the label's JSON (where there is such a column), in canonical forms of three letters or more, each replaced by
+    what ``aliases`` (alias, canon; ``grape_aliases``) gives; n_grapes counts those of the catalogue, or of the label where it has none.
+    """
+    label = F.col("label_json") if "label_json" in catalog.columns else F.lit(None).cast("string")
+    sources = [("category", c) for c in ("category", "color", "name")] + [("type", c) for c in ("type", "name", "label")]
+    texts = F.array(*[F.struct(F.lit(x).alias("lexicon"), F.lit(k).alias("place"), F.col(c).cast("string").alias("text")) for k, (x, c) in enumerate(sources)])
+    canons = _first_canons(catalog.select("id", F.explode(texts).alias("t")).select("id", "t.*"))
+    own, read = split_grapes(F.col("grapes")), cupage(label)
+    grapes, shown = F.transform(F.concat(own, read), canonical), F.when(F.size(own) > 0, F.size(own)).otherwise(F.size(read))
+    rows = catalog.select("id", F.nullif(canonical(distinct_words(F.trim("producer"))), F.lit("")).alias("producer"), grapes.alias("_grapes"), shown.alias("n_grapes"))
+    each = rows.select("id", F.explode("_grapes").alias("alias"))
+    canon = F.col("alias") if aliases is None else F.coalesce("canon", "alias")
+    each = each if aliases is None else each.join(aliases, "alias", "left")
+    named = each.select("id", canon.alias("g")).filter("length(g) >= 3").groupBy("id").agg(F.sort_array(F.collect_set("g")).alias("grapes"))
+    return rows.drop("_grapes").join(named, "id", "left").join(canons, "id", "left").select("id", "producer", F.coalesce("grapes", F.array().cast(_LIST)).alias("grapes"), "n_grapes", "category", "type")
+
+
+def text_criteria(texts: DataFrame, lexicon: DataFrame, aliases: DataFrame | None = None, most_producers: int = 3) -> DataFrame:
+    """(query_id, exclude_id, producers, grapes, categories, type) of ``texts`` (query_id, text): what a recognised text asks for, torn or in another script too.
+
+    lexicon: the forms of the lexicons ``producer`` and ``grape`` (``analog_lexicon``); aliases: alias, canon of grapes (``grape_aliases``).
+
+    Producers are taken from the longest form down, none within a form taken before, at most ``most_producers``.  A grape that is a word for a colour or a type, that
+    stands within another one found, or that begins another one, is left out.  All colours that the text names count, and the first type in the lexicon's order.
+    Null and empty texts ask for nothing.
+    """
+    spark = texts.sparkSession
+    fixed = _fixed_lexicons(spark)
+    read = texts.select(F.col("query_id").alias("id"), "text")
+    table = lexicon.select("lexicon", "canon", "canon_pos", "form", "n_words").filter(F.col("lexicon").isin("producer", "grape"))
+    hits = torn_hits(read, table.unionByName(fixed.filter("lexicon = 'category'"))).select("id", "lexicon", "canon", "canon_pos", "form")
+    kinds = torn_hits(read.withColumn("text", _joined(F.col("text"))), fixed.filter("lexicon = 'type'")).select("id", "lexicon", "canon", "canon_pos", "form")
+    colors = fixed.select(canonical(F.col("form")).alias("canon"))
+    hits = hits.filter("lexicon != 'grape'").unionByName(hits.filter("lexicon = 'grape'").join(F.broadcast(colors), "canon", "left_anti").select(hits.columns)).unionByName(kinds)
+    if aliases is None:
+        hits = hits.withColumn("key", F.col("canon"))
+    else:
+        hits = hits.join(aliases.select(F.col("alias").alias("canon"), F.col("canon").alias("key"), F.lit("grape").alias("lexicon")), ["lexicon", "canon"], "left").withColumn("key", F.coalesce("key", "canon"))
+    of = lambda x, *c: F.sort_array(F.collect_set(F.when(F.col("lexicon") == x, F.struct(*c))))
+    found = hits.groupBy("id").agg(
+        of("producer", (-F.length("form")).alias("l"), "form", "canon").alias("p"), of("grape", "canon_pos", "canon", "key").alias("g"), of("category", "canon_pos", "canon").alias("c"), of("type", "canon_pos", "canon").alias("t"),
+    )
+    plain = F.transform("p", lambda x: F.struct(canonical(x["form"]).alias("form"), x["canon"].alias("canon")))
+    fits = lambda taken, x: (F.size(taken) < most_producers) & ~F.exists(taken, lambda y: (y["canon"] == x["canon"]) | y["form"].contains(x["form"]))
+    taken = F.aggregate(plain, F.array().cast("array<struct<form:string,canon:string>>"), lambda acc, x: F.when(fits(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    around = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    whole = F.filter("g", lambda x: ~F.exists("g", lambda y: (y["canon"] != x["canon"]) & around(y["canon"]).contains(around(x["canon"]))))
+    found = found.select("id", F.transform(taken, lambda x: x["canon"]).alias("producers"), F.array_distinct(F.transform(whole, lambda x: x["key"])).alias("keys"), F.transform("c", lambda x: x["canon"]).alias("categories"), F.get("t", F.lit(0))["canon"].alias("type"))
+    begun = F.filter("keys", lambda x: ~F.exists("keys", lambda y: (F.length(F.split(x, " ")[0]) >= 5) & y.startswith(F.concat(x, F.lit(" ")))))
+    rows = texts.select("query_id").distinct().join(found.withColumnRenamed("id", "query_id"), "query_id", "left")
+    none = F.array().cast(_LIST)
+    return rows.select("query_id", F.lit(None).cast("long").alias("exclude_id"), F.coalesce("producers", none).alias("producers"), F.coalesce(begun, none).alias("grapes"), F.coalesce("categories", none).alias("categories"), "type")
+
+
+def rescored(texts: DataFrame, lexicon: DataFrame, catalog: DataFrame, hits: DataFrame, rejected: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """The analogs of stored queries from their texts (query_id, text): criteria are read again and ranked against the catalogue as it is now."""
+    return find_analogs(text_criteria(texts, lexicon, aliases), catalog, hits, rejected)

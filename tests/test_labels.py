@@ -207,9 +207,6 @@ def test_analogs_score_unknown_types(spark):
         want = [(k + 1, x[4], round(-x[0], 6), -x[3]) for k, x in enumerate(sorted(scored)[:10])]
         assert [(k, s, h) for k, _, s, h in sorted(got[q])] == [(k, s, h) for k, _, s, h in want]
         assert [i for _, i, _, _ in sorted(got[q])] == [i for _, i, _, _ in want]
-    texts = spark.createDataFrame([(1, "Вина p1 Каберне Совиньон красное сухое")], "query_id long, text string")
-    asked = analogs.text_criteria(texts, lexicon.lexicon_table(spark, "producer", (("p1", ("p1",)),))).first()
-    assert (asked["producers"], asked["grapes"], asked["categories"], asked["type"]) == (["p1"], ["каберне совиньон"], ["red"], "dry")
 
 
 def test_exclusive_evaluation(spark):
