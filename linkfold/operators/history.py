@@ -122,35 +122,40 @@ def timing_histogram(rows: DataFrame, seconds: str) -> DataFrame:
     return counted.join(F.broadcast(total), F.lit(True)).select("second", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("pct"))
 
 
-#: Ranges that the values of a group are counted in before any are sorted.
-RANGES = 4_096
+#: A quantile is sketched to one in so many ranks; groups of up to ``WHOLE`` values, ten times as many at least, are put in order as a whole.
+ACCURACY, WHOLE = 10_000, 100_000
+QUANTILES = (0.25, 0.5, 0.75, 0.95)
 
 
 def medians(rows: DataFrame, group: str, value: str) -> DataFrame:
     """For each group: the nearest-rank median (half to even), the interpolated median, and linear quantiles.
 
-    Values are counted by range first, over equal parts of the group's span; running sums over these tell which few ranges hold the wanted ranks, and only their
-    values are put in order, range by range, so a group with a third of all rows is in no task as a whole.  Null and NaN values don't count.
+    A sketch gives for each quantile two values that its ranks lie between, three parts in ten thousand of the group on either side at most, however its values
+    are spread.  A second pass counts what lies below and puts in order what lies between, equal values as one, so a group with a third of all rows is in no task
+    as a whole.  Null and NaN values, and those without a group, don't count.
     """
-    rows = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    spans = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    part = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * RANGES), F.lit(RANGES - 1))).otherwise(0)
-    placed = rows.join(spans, "g").select("g", "v", part.cast("int").alias("part"))
-    counts = placed.groupBy("g", "part").agg(F.count(F.lit(1)).alias("k"))
-    counts = counts.withColumn("upto", F.sum("k").over(Window.partitionBy("g").orderBy("part")))
+    rows = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("g is not null and v is not null and not isnan(v)")
+    edges = [min(1.0, max(0.0, p + side * 2 / ACCURACY)) for p in QUANTILES for side in (-1, 1)]
+    spans = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", edges, ACCURACY).alias("edges"))
     at = lambda p: (F.col("n") - 1) * F.lit(p)
-    ranks = [F.struct(F.lit("nearest").alias("what"), F.bround((F.col("n") - 1) / 2, 0).cast("long").alias("rank"))]
-    for p in (0.25, 0.5, 0.75, 0.95):
-        ranks += [F.struct(F.lit(f"{side}{p}").alias("what"), side_of(at(p)).cast("long").alias("rank")) for side, side_of in (("a", F.floor), ("b", F.ceil))]
-    wanted = spans.select("g", F.explode(F.array(*ranks)).alias("r")).select("g", "r.*")
-    found = wanted.join(counts, "g").filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k"))).select("g", "part", "what", (F.col("rank") - F.col("upto") + F.col("k")).alias("rank"))
-    inside = placed.join(found.select("g", "part").distinct(), ["g", "part"], "left_semi").groupBy("g", "part", "v").agg(F.count(F.lit(1)).alias("k"))
-    inside = inside.withColumn("upto", F.sum("k").over(Window.partitionBy("g", "part").orderBy("v")))
-    values = found.join(inside, ["g", "part"]).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k")))
-    value_of = lambda what: F.max(F.when(F.col("what") == what, F.col("v"))).alias(what)
-    values = values.groupBy("g").agg(*[value_of(w) for w in ("nearest", *[f"{s}{p}" for p in (0.25, 0.5, 0.75, 0.95) for s in "ab"])])
+    part = lambda k, low, high: F.struct(F.lit(k).alias("k"), low.alias("low"), high.alias("high"))
+    whole = F.array(part(0, F.lit(float("-inf")), F.lit(float("inf"))))
+    parts = F.when(F.col("n") <= WHOLE, whole).otherwise(F.array(*[part(k, F.col("edges")[2 * k], F.col("edges")[2 * k + 1]) for k in range(len(QUANTILES))]))
+    rank = lambda what, k, r: F.struct(F.lit(what).alias("what"), F.when(F.col("n") <= WHOLE, 0).otherwise(k).alias("k"), r.cast("long").alias("rank"))
+    ranks = [rank("nearest", QUANTILES.index(0.5), F.bround((F.col("n") - 1) / 2, 0))]
+    for k, p in enumerate(QUANTILES):
+        ranks += [rank(f"a{p}", k, F.floor(at(p))), rank(f"b{p}", k, F.ceil(at(p)))]
+    spans = spans.select("g", "n", parts.alias("parts"), F.array(*ranks).alias("ranks"))
+    placed = rows.join(spans.select("g", "parts"), "g").select("g", "v", F.explode("parts").alias("p")).filter("v <= p.high")
+    # what lies below a part is one row without a value, which comes first
+    counts = placed.groupBy("g", F.col("p.k").alias("k"), F.when(F.col("v") >= F.col("p.low"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("g", "k").orderBy(F.asc_nulls_first("v"))))
+    here = F.filter("ranks", lambda r: (r["k"] == F.col("k")) & (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("c")))
+    values = counts.join(spans.select("g", "n", "ranks"), "g").select("g", "n", "v", F.explode(here).alias("r"))
+    value_of = lambda what: F.max(F.when(F.col("r.what") == what, F.col("v"))).alias(what)
+    values = values.groupBy("g", "n").agg(*[value_of(w) for w in ("nearest", *[f"{s}{p}" for p in QUANTILES for s in "ab"])])
     between = lambda p: F.round(F.col(f"`a{p}`") + (at(p) - F.floor(at(p))) * (F.col(f"`b{p}`") - F.col(f"`a{p}`")), 6)
-    return spans.join(values, "g").select(F.col("g").alias(group), "n", "nearest", between(0.5).alias("interpolated"), between(0.25).alias("p25"), between(0.75).alias("p75"), between(0.95).alias("p95"))
+    return values.select(F.col("g").alias(group), "n", "nearest", between(0.5).alias("interpolated"), between(0.25).alias("p25"), between(0.75).alias("p75"), between(0.95).alias("p95"))
 
 
 def ratio_buckets(ratio: Column, a: Column, b: Column) -> Column:

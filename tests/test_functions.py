@@ -1,5 +1,8 @@
 """Small cases with values worked out by hand."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +93,25 @@ def test_nearest_rank_median(spark):
     assert got == {"a": (3.0, 2.5), "b": (1.0, 1.5)}
 
 
+def test_quantiles_of_large_groups(spark, monkeypatch):
+    """Between sketched values, against sorted ones: an outlier, one value in half the rows, many parts, odd counts, NaN and nulls."""
+    monkeypatch.setattr(history, "ACCURACY", 100)
+    monkeypatch.setattr(history, "WHOLE", 1_000)
+    rng = random.Random(4)
+    spread = {"outlier": [1e12, *(rng.random() for _ in range(4_000))], "tied": [7.0] * 2_500 + [rng.expovariate(1) for _ in range(2_502)], "powers": [2.0 ** rng.uniform(-900, 900) for _ in range(3_001)], "small": [3.0, float("inf"), -1.0]}
+    rows = [(g, v) for g, vs in spread.items() for v in vs] + [("small", None), ("small", float("nan")), (None, 1.0), ("empty", None)]
+    rng.shuffle(rows)
+    got = {r["g"]: r for r in history.medians(spark.createDataFrame(rows, "g string, v double").repartition(7), "g", "v").collect()}
+    assert set(got) == set(spread)
+    for g, vs in spread.items():
+        vs, r = sorted(vs), got[g]
+        assert (r["n"], r["nearest"]) == (len(vs), vs[round((len(vs) - 1) / 2)])
+        for name, p in (("interpolated", 0.5), ("p25", 0.25), ("p75", 0.75)):
+            at = (len(vs) - 1) * p
+            want = vs[math.floor(at)] + (at - math.floor(at)) * (vs[math.ceil(at)] - vs[math.floor(at)])
+            assert r[name] == pytest.approx(want, rel=1e-9, abs=1e-6) or math.isinf(want) and not math.isfinite(r[name])
+
+
 def test_hard_reject_reasons(spark):
     rows = [(["a"], []), ([], ["a"]), (["a"], ["b"]), (["a"], ["a", "b"]), ([], [])]
     got = values(spark, rows, "a array<string>, b array<string>", decide.hard_reject_reason(F.col("a"), F.col("b")))
