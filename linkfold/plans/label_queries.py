@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkfold.functions import answers, boxes, classes, text
+from linkfold.functions import answers, boxes, classes, similarity, text
 from linkfold.operators import decide, entities, lexicon
+from linkfold.operators.pairs import soft_pool
 from linkfold.plans.queries import _hits, _TOP, query
 
 _COLORS = ("красное", "белое", "розовое", "сухое red", "полусухой blanc", "")
@@ -151,6 +152,53 @@ def exclusive_reject(t):
     return pairs.join(out, ["query_id", "id"]).select("conv_id", "turn", "missing")
 
 
+_CLASS_FORMS = {"category": (("red", "(^| )(красное|red|rouge)( |$)"), ("white", "(^| )(белое|white|blanc)( |$)"), ("rose", "(^| )(розовое|rose)( |$)")), "type": (("brut", "(^| )(брют|brut)( |$)"), ("dry", "(^| )(сухое|dry)( |$)"), ("semi_dry", "(^| )полусухое( |$)"), ("semi_sweet", "(^| )полусладкое( |$)"), ("sweet", "(^| )(сладкое|sweet)( |$)"))}
+
+
+@query(f"""
+WITH l AS (SELECT l.*, p_brand FROM ({_LABELS}) l JOIN part ON p_partkey = id), f(lexicon, canon, pattern) AS (VALUES {", ".join(f"('{x}', '{c}', '{p}')" for x, cs in _CLASS_FORMS.items() for c, p in cs)}),
+  h AS (SELECT id, lexicon, canon FROM l JOIN f ON regexp_matches(label, pattern)), p AS (SELECT q.id AS query_id, c.id FROM l q JOIN l c ON q.p_brand = c.p_brand AND q.id % 20 = 0 AND q.id <> c.id)
+SELECT query_id, p.id, a.lexicon, string_agg(a.canon, ',' ORDER BY a.canon) AS missing FROM p JOIN h a ON a.id = query_id WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.id = p.id AND b.lexicon = a.lexicon AND b.canon = a.canon) GROUP BY ALL
+""")
+def exclusive_evaluation(t):
+    """Colours and types that a label names and those of the same brand's other parts don't."""
+    labels = _labels(t).join(t("part").select(F.col("p_partkey").alias("id"), "p_brand"), "id")
+    asked = labels.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("text"), "p_brand")
+    pairs = asked.join(labels.select("id", "p_brand"), "p_brand").filter("query_id != id").select("query_id", "id")
+    items = labels.select("id", F.col("label").alias("category"), F.col("label").alias("type"))
+    tables = {"category": lexicon.lexicon_table(labels.sparkSession, "category", lexicon.CATEGORY), "type": lexicon.lexicon_table(labels.sparkSession, "type", lexicon.TYPE)}
+    found = lexicon.evaluate_exclusive(asked.select("query_id", "text"), items, pairs, tables, fuzzy=())
+    return found.withColumn("missing", F.array_join("missing", ","))
+
+
+@query(f"""
+WITH s AS (SELECT query_id, id, cosine, 1.0::DOUBLE - cosine AS cover, CASE WHEN q_label = 3 THEN 1 ELSE 4 END AS q_terms, label % 3 AS r_terms, round(label / 10.0::DOUBLE, 1) AS text, pos % 4 = 0 AS out FROM ({_TOP})),
+  x AS (SELECT *, CASE WHEN out THEN 0 WHEN q_terms < 2 THEN text * 0.5 ELSE text END AS score2 FROM s),
+  f AS (SELECT *, CASE WHEN out THEN 0 ELSE round(0.65::DOUBLE / 1.1::DOUBLE * score2 + 0.45::DOUBLE / 1.1::DOUBLE * greatest(0, least(1, cosine)), 6) END AS fin2 FROM x)
+SELECT query_id, id, round(score2, 6) AS score2, fin2, row_number() OVER (PARTITION BY query_id ORDER BY fin2 DESC, score2 DESC, cover DESC, r_terms DESC, id)::INT AS rank FROM f
+""")
+def soft_ranking(t):
+    """A pool's candidates by the blend of a score and the cosine; every fourth is rejected, and queries of one label have a single term."""
+    hits = _hits(t)
+    scored = hits.select("query_id", "id", F.round(F.col("label") / 10, 1).alias("score"), (1 - F.col("cosine")).alias("cover"), F.when(F.col("q_label") == 3, 1).otherwise(4).alias("q_terms"), (F.col("label") % 3).alias("r_terms"))
+    return soft_pool(scored, hits.select("query_id", "id", "cosine"), hits.filter("pos % 4 = 0").select("query_id", "id"))
+
+
+@query(f"""
+WITH p AS (SELECT query_id, id, list_transform(q.embedding::DOUBLE[], lambda x: abs(x)) AS a, list_transform(c.embedding::DOUBLE[], lambda x: abs(x) + CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END) AS b FROM ({_TOP}) JOIN embeddings q ON q.vec_id = query_id JOIN embeddings c ON c.vec_id = id)
+SELECT query_id, id, id % 2 <> 0 AND id % 3 = 0 AS to_store, CASE WHEN id % 2 = 0 OR id % 3 = 0 THEN round(sqrt(greatest(0.0, 1 - list_sum(list_transform(generate_series(1, len(a)), lambda i: sqrt(a[i] * b[i]))) / sqrt(list_sum(a) * list_sum(b)))), 4) END AS distance FROM p
+""")
+def stored_histograms(t):
+    """Distances to histograms that are stored for even ids, computed for every third, and missing for others; to_store marks what has been computed anew."""
+    hist = lambda more: F.transform("vector", lambda x: F.abs(x.cast("double")) + more)
+    vectors = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    candidates, queries = _hits(t).select("query_id", "id"), vectors.select(F.col("id").alias("query_id"), hist(0).alias("hist"))
+    stored, computed = vectors.filter("id % 2 = 0").select("id", hist(0).alias("hist")), vectors.filter("id % 3 = 0").select("id", hist(1).alias("hist"))
+    rows, missing = decide.with_distances(candidates, queries, stored, computed, similarity.bhattacharyya)
+    marked = rows.join(missing.select("id", F.lit(True).alias("to_store")), "id", "left")
+    return marked.select("query_id", "id", F.coalesce("to_store", F.lit(False)).alias("to_store"), "distance")
+
+
 # Boxes: the lines of an order are labels, and every other one a bottle ----------------------------------------------------------------------------------
 
 _BOX = """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkfold.functions import boxes, color, scores, similarity, text
-from linkfold.operators import analogs, decide, history, knn, lexicon, linking, pairs, report, search
+from linkfold.operators import analogs, decide, entities, history, knn, lexicon, linking, pairs, report, search
 from linkfold.operators.spread import spread
 from linkfold.settings import Settings
 from linkfold.sources.readers import url_slug
@@ -473,10 +473,14 @@ SELECT conv_id, arg_max(turn, (size, -turn)) AS longest_turn, (SELECT any_value(
   array_to_string(list_sort(list_distinct(list(role))), ',') AS roles FROM e GROUP BY conv_id
 """)
 def ensemble_vote(t):
-    rows = t("conversations").select("conv_id", "turn", "role", F.length("text").alias("size"))
-    mode = decide.majority(rows, "conv_id", "role", 1, 0.0, "turn").select("conv_id", "role")
-    best = F.max_by("turn", F.struct("size", (-F.col("turn")).alias("t"))).alias("longest_turn")
-    return rows.groupBy("conv_id").agg(best, F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles")).join(mode, "conv_id")
+    """Turns as channels that name themselves, by their length, and their role."""
+    none = F.lit(None).cast("string")
+    read = t("conversations").select(
+        "conv_id", "turn", F.col("turn").cast("string").alias("producer"), F.length("text").cast("double").alias("producer_score"), none.alias("wine"), none.alias("form"), none.alias("vintage"),
+        F.col("role").alias("color"), none.alias("type"), F.array("role").alias("grapes"),
+    )
+    voted = entities.voted_entities(read, ["conv_id"], "turn")
+    return voted.select("conv_id", F.col("producer").cast(read.schema["turn"].dataType).alias("longest_turn"), F.col("color").alias("role"), F.array_join("grapes", ",").alias("roles"))
 
 
 # Vectors: the queries are the rows whose id is divisible by 100 --------------------------------------------------------------------------------------
