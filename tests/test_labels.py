@@ -250,3 +250,20 @@ def test_line_structure(spark):
     assert got[1] == (4, 4, 0, 0.0, False, True, True, True, True)
     assert got[2] == (0, 0, 0, 0.0, False, False, False, False, False)
     assert got[3][:4] == (3, 2, 1, 0.3333) and got[3][5:8] == (True, True, True) and got[4][:3] == (1, 1, 1)
+
+
+def test_producers_by_lines_and_regions(spark):
+    """A line whose words are all a name's counts fully for it, and of such names the longer wins; regions by likeness to the whole text."""
+    texts = spark.createDataFrame([(1, "Дивная\nмерло 2019\nКрасная Горка урожай"), (2, "Кубань"), (3, "Крым"), (4, None), (5, ""), (6, "qqqq")], "id long, text string")
+    producers = spark.createDataFrame([("Дивная",), ("Дивная Большая Поляна",), (None,)], "producer string")
+    regions = spark.createDataFrame([("Кубань",), ("Крым",), ("Кубань",), ("ab",), (None,), ("Крымм",)], "region string")
+    named = {r["id"]: (r["producer"], r["score"]) for r in entities.named_producers(texts, producers).collect()}
+    assert named == {1: ("Дивная Большая Поляна", 100.0)}
+    found = {r["id"]: (r["region"], r["score"]) for r in entities.named_regions(texts, regions).collect()}
+    assert found[2] == ("Кубань", 100.0) and found[3] == ("Крым", 100.0) and not {4, 5, 6} & set(found)
+    read = {r["id"]: r for r in entities.entities(texts, producers, regions).collect()}
+    assert (read[2]["region"], read[2]["region_score"], read[2]["wine"]) == ("Кубань", 100.0, None)
+    assert (read[6]["region"], read[6]["region_score"]) == (None, 0.0) and len(read) == 6
+    voted = entities.voted_entities(entities.entities(texts, producers, regions).withColumn("scan", F.lit(1)), ["scan"], "id").first()
+    assert (voted["region"], voted["region_score"], voted["producer"]) == ("Кубань", 100.0, "Дивная Большая Поляна")
+    assert entities.named_regions(texts, regions.limit(0)).count() == 0
