@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from linkfold.functions.text import canonical, expanded, script_variants
 from linkfold.operators.spread import spread
+from linkfold.operators.tables import written
 
 #: Letters of forms and variants in one automaton (some 200 MB at most); larger lexicons are searched for in blocks.
 LETTERS = 1_000_000
@@ -124,6 +125,7 @@ def torn_hits(texts: DataFrame, lexicon: DataFrame, transliterated: bool = True)
     freq = F.col("freq").cast("long") if "freq" in lexicon.columns else F.lit(0).cast("long")
     forms = lexicon.select("lexicon", "canon", "canon_pos", "form", "n_words", freq.alias("freq")).distinct().filter("form is not null")
     forms = forms.withColumn("variants", script_variants(F.col("form")) if transliterated else F.array(canonical(F.col("form"))))
+    forms = written(forms, "forms")  # read once for their number and once for each block
     letters = forms.agg(F.sum(F.length(F.array_join("variants", "")))).first()[0] or 0
     read = expanded(F.col("text")) if transliterated else canonical(F.col("text"))
     held = spread(texts.select("id", read.alias("read")).filter("read != ''"))
