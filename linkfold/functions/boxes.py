@@ -16,9 +16,10 @@ def intersection(a: Column, b: Column) -> Column:
     return F.greatest(wide, F.lit(0.0)) * F.greatest(high, F.lit(0.0))
 
 
-def share_inside(inner: Column, outer: Column) -> Column:
-    """The share of ``inner`` that lies in ``outer``; 0 for an empty box."""
-    return F.when(area(inner) > 0, intersection(inner, outer) / area(inner)).otherwise(0.0)
+def share_inside(inner: Column, outer: Column, size: Column | None = None) -> Column:
+    """The share of ``inner``, whose area is ``size`` if given, that lies in ``outer``; 0 for an empty box."""
+    size = area(inner) if size is None else size
+    return F.when(size > 0, intersection(inner, outer) / size).otherwise(0.0)
 
 
 def from_unit_scale(box: Column, width: Column, height: Column) -> Column:
@@ -209,10 +210,15 @@ SAME_LABEL, INSIDE_SLACK, OWNS = 3.0, 1.0, 0.5
 MOST_COVERED, WITHIN, MOST_CUT, LEAST_CUT_AREA, LEAST_CUT_SIDE = 0.20, 0.98, 0.35, 400.0, 4.0
 
 
+def label_area(labels: DataFrame) -> Column:
+    """The area of each label: its column ``area`` if there is one, else that of its box."""
+    return F.col("area") if "area" in labels.columns else area(F.col("box"))
+
+
 def owning_bottle(labels: DataFrame, bottles: DataFrame, image: str, key: list[str]) -> DataFrame:
-    """(image, key, owner, owner_share): the bottle that holds most of each label (image, key, box), the first by its id of equals; null with less than half of the label."""
-    pairs = labels.select(image, *key, "box").join(bottles.select(image, "bottle_id", "bottle_box"), image)
-    shares = pairs.withColumn("share", share_inside(F.col("box"), F.col("bottle_box"))).filter(F.col("share") >= OWNS)
+    """(image, key, owner, owner_share): the bottle that holds most of each label (image, key, box, area if measured), the first by its id of equals; null with less than half of the label."""
+    pairs = labels.select(image, *key, "box", label_area(labels).alias("size")).join(bottles.select(image, "bottle_id", "bottle_box"), image)
+    shares = pairs.withColumn("share", share_inside(F.col("box"), F.col("bottle_box"), F.col("size"))).filter(F.col("share") >= OWNS)
     best = F.max_by(F.struct("bottle_id", "share"), F.struct("share", (-F.col("bottle_id")).alias("b"))).alias("best")
     return shares.groupBy(image, *key).agg(best).select(image, *key, F.col("best.bottle_id").alias("owner"), F.col("best.share").alias("owner_share"))
 
@@ -220,22 +226,22 @@ def owning_bottle(labels: DataFrame, bottles: DataFrame, image: str, key: list[s
 def foreign_cuts(crops: DataFrame, labels: DataFrame, bottles: DataFrame, image: str, primary: DataFrame | None = None) -> DataFrame:
     """(image, id, cut, owner, owner_share, covered, inside): what labels of other bottles cover of each image's crop, and is cut out of it, in the image's coordinates.
 
-    crops: image, box, one an image; labels: image, id, box, conf; bottles: image, bottle_id, bottle_box, bottle_conf; primary: image, bottle_id, by default ``primary_bottle``.
+    crops: image, box, one an image; labels: image, id, box, conf; both with area if it was measured before the boxes were scaled, since a share at a gate's bound depends on it; bottles: image, bottle_id, bottle_box, bottle_conf; primary: image, bottle_id, by default ``primary_bottle``.
     The crop's own bottle is the one that holds half of it or more, else the primary one; without either nothing is cut.  A label is cut if another bottle holds half of it
     or more and most of it, it isn't the crop itself (up to SAME_LABEL pixels), it doesn't lie inside the crop, by its box or by WITHIN of its area, it covers at most MOST_COVERED
     of the crop, and what it covers is no sliver.  Empty boxes cut nothing and aren't cut.
     """
     first = (primary if primary is not None else primary_bottle(bottles, labels, image)).select(image, F.col("bottle_id").alias("first"))
     own = owning_bottle(crops, bottles, image, []).select(image, F.col("owner").alias("held_by"))
-    held = crops.select(image, F.col("box").alias("crop")).join(own, image, "left").join(first, image, "left").withColumn("own", F.coalesce("held_by", "first")).filter("own is not null")
+    held = crops.select(image, F.col("box").alias("crop"), label_area(crops).alias("crop_size")).join(own, image, "left").join(first, image, "left").withColumn("own", F.coalesce("held_by", "first")).filter("own is not null")
     owned = owning_bottle(labels, bottles, image, ["id"])
-    rows = labels.select(image, "id", "box").join(owned, [image, "id"]).join(held, image)
+    rows = labels.select(image, "id", "box", label_area(labels).alias("size")).join(owned, [image, "id"]).join(held, image)
     box, crop = F.col("box"), F.col("crop")
     cut = F.struct(*[f(box[k], crop[k]).alias(k) for f, k in ((F.greatest, "x1"), (F.greatest, "y1"), (F.least, "x2"), (F.least, "y2"))])
     same = F.lit(True)
     for k in ("x1", "y1", "x2", "y2"):
         same = same & (F.abs(box[k] - crop[k]) <= SAME_LABEL)
-    rows = rows.withColumns({"cut": cut, "_area": intersection(box, crop), "covered": safe_share(intersection(box, crop), area(crop)), "inside": safe_share(intersection(box, crop), area(box))})
+    rows = rows.withColumns({"cut": cut, "_area": intersection(box, crop), "covered": safe_share(intersection(box, crop), F.col("crop_size")), "inside": safe_share(intersection(box, crop), F.col("size"))})
     wide, high = F.col("cut")["x2"] - F.col("cut")["x1"], F.col("cut")["y2"] - F.col("cut")["y1"]
     gates = [
         F.col("owner") != F.col("own"), ~same, ~is_inside(box, crop, INSIDE_SLACK), F.col("inside") < WITHIN, F.col("covered") <= F.least(F.lit(MOST_COVERED), F.lit(MOST_CUT)),

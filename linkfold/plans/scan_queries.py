@@ -218,9 +218,10 @@ WHERE owner <> own AND NOT same AND NOT within AND cut / a < 0.98 AND cut / ca <
 def box_foreign_cuts(t):
     """Of each order's first label, what labels of bottles other than its own cover."""
     larger = lambda df, name: df.withColumn(name, F.struct(*[(F.col(name)[k] * 20).alias(k) for k in ("x1", "y1", "x2", "y2")]))
-    labels, bottles = larger(_numbered(t).filter("id % 2 = 1"), "box"), larger(_bottles(t), "bottle_box")
-    crops = labels.groupBy("image").agg(F.min_by("box", "id").alias("box"))
-    large = bottles.groupBy("image").agg(F.max_by("bottle_id", F.struct(boxes.area(F.col("bottle_box")).alias("a"), (-F.col("bottle_id")).alias("i"))).alias("bottle_id"))
+    sized = lambda df, name: larger(df.withColumn("area", boxes.area(F.col(name)) * 400), name)
+    labels, bottles = sized(_numbered(t).filter("id % 2 = 1"), "box"), sized(_bottles(t), "bottle_box")
+    crops = labels.groupBy("image").agg(F.min_by(F.struct("box", "area"), "id").alias("c")).select("image", "c.*")
+    large = bottles.groupBy("image").agg(F.max_by("bottle_id", F.struct(F.col("area").alias("a"), (-F.col("bottle_id")).alias("i"))).alias("bottle_id"))
     cuts = boxes.foreign_cuts(crops, labels, bottles, "image", large)
     return cuts.select("image", "id", "owner", F.round("owner_share", 6).alias("share"), *[F.round(F.col("cut")[k], 4).alias(k) for k in ("x1", "y1", "x2", "y2")], F.round("covered", 6).alias("covered"))
 
