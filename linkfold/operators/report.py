@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkfold.functions.text import line_count, text_counts
 from linkfold.operators.documents import candidate_pool, matched_id, parsed, total_ms
 from linkfold.operators.history import classified, confusion_report, medians, ratio_buckets
+from linkfold.operators.tables import written
 
 
 def id_range(log: DataFrame, key: str, first: int, last: int) -> DataFrame:
@@ -37,7 +38,11 @@ def error_items(rows: DataFrame) -> DataFrame:
 
 
 def candidate_scores(rows: DataFrame) -> DataFrame:
-    """(metric, polarity, value): the scores of the right candidates ("plus") and of all others ("minus") of the rows of ``judged``."""
+    """(metric, polarity, value): the scores of the right candidates ("plus") and of all others ("minus") of the rows of ``judged``.
+
+    The pools are written first: what asks for their size or reads them again would parse the documents again, once for each place that a pool names.
+    """
+    rows = written(rows.select("target", "pool"), "pools")
     each = rows.select("target", F.explode("pool").alias("c")).withColumn("polarity", F.when(F.col("c.id") == F.col("target"), "plus").otherwise("minus"))
     pairs = F.explode(F.array(F.struct(F.lit("cosine").alias("metric"), F.col("c.cosine").alias("value")), F.struct(F.lit("score").alias("metric"), F.col("c.score").alias("value"))))
     return each.select("polarity", pairs.alias("m")).select("m.metric", "polarity", "m.value").filter("value is not null")
