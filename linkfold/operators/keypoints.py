@@ -19,6 +19,8 @@ from linkfold.functions.scores import inlier_score
 RATIO = 0.75
 #: Fewer matches than this aren't tried; a match is an inlier within so many pixels; so many samples of four matches are tried.
 LEAST_MATCHES, LEAST_KEYPOINTS, REACH, SAMPLES = 8, 4, 5.0, 1_000
+#: Distances, and places of matches under sampled maps, that a task holds at once (8 MB of doubles), however many keypoints two images have.
+CELLS = 1_000_000
 
 
 def packed_keypoints(keypoints: DataFrame) -> DataFrame:
@@ -35,13 +37,18 @@ def packed_keypoints(keypoints: DataFrame) -> DataFrame:
 
 def ratio_matches(query: np.ndarray, reference: np.ndarray, ratio: float = RATIO) -> tuple[np.ndarray, np.ndarray]:
     """Places of the query's descriptors that pass the ratio test, and of their nearest reference descriptors (the first of equal ones)."""
-    far = np.maximum((query**2).sum(axis=1)[:, None] + (reference**2).sum(axis=1) - 2 * query @ reference.T, 0)
-    rows, nearest = np.arange(len(query)), far.argmin(axis=1)
-    first = np.linalg.norm(query - reference[nearest], axis=1)  # without the cancellation of the product
-    far[rows, nearest] = np.inf
-    second = np.linalg.norm(query - reference[far.argmin(axis=1)], axis=1)
-    kept = first < ratio * second
-    return rows[kept], nearest[kept]
+    found, places, squares, step = [], [], (reference**2).sum(axis=1), max(1, CELLS // max(1, len(reference)))
+    for at in range(0, len(query), step):
+        part = query[at : at + step]
+        far = np.maximum((part**2).sum(axis=1)[:, None] + squares - 2 * part @ reference.T, 0)
+        rows, nearest = np.arange(len(part)), far.argmin(axis=1)
+        first = np.linalg.norm(part - reference[nearest], axis=1)  # without the cancellation of the product
+        far[rows, nearest] = np.inf
+        second = np.linalg.norm(part - reference[far.argmin(axis=1)], axis=1)
+        kept = first < ratio * second
+        found.append(at + rows[kept])
+        places.append(nearest[kept])
+    return np.concatenate(found), np.concatenate(places)
 
 
 def homographies(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,7 +90,8 @@ def refitted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     (x, y), (u, v) = (a * s[0, 0] + s[:2, 2]).T, (b * t[0, 0] + t[:2, 2]).T
     zero, one = np.zeros_like(x), np.ones_like(x)
     rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], 1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], 1)])
-    return np.linalg.inv(t) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ s
+    # of four points the map is what the eight rows leave; of more, a square of all rows isn't needed for it
+    return np.linalg.inv(t) @ np.linalg.svd(rows, full_matrices=len(rows) < 9)[2][-1].reshape(3, 3) @ s
 
 
 def ransac(a: np.ndarray, b: np.ndarray, reach: float = REACH, samples: int = SAMPLES, seed: int = 0) -> np.ndarray:
@@ -95,9 +103,9 @@ def ransac(a: np.ndarray, b: np.ndarray, reach: float = REACH, samples: int = SA
     if n < 4:
         return np.zeros(n, dtype=bool)
     rng, best = np.random.default_rng([seed, n]), np.zeros(n, dtype=bool)
-    picks = np.stack([rng.permutation(n)[:4] for _ in range(samples)])
-    for at in range(0, samples, 100):
-        part = picks[at : at + 100]
+    picks, step = np.stack([rng.permutation(n)[:4] for _ in range(samples)]), max(1, min(100, CELLS // n))
+    for at in range(0, samples, step):
+        part = picks[at : at + step]
         held = inliers_of(homographies(a[part], b[part]), a, b, reach)
         top = int(held.sum(axis=1).argmax())
         if held[top].sum() > best.sum():
