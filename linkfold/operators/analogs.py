@@ -11,6 +11,7 @@ from linkfold.functions.classes import cupage, grapes_match, split_grapes
 from linkfold.functions.text import canonical, distinct_words, entity_form, is_bad_producer
 from linkfold.operators.lexicon import CATEGORY, TYPE, grape_lexicon, lexicon_table
 from linkfold.operators.spread import spread
+from linkfold.operators.tables import written
 from linkfold.operators.torn_forms import torn_hits
 
 # Weights of the criteria, what a type that is near or unknown, or a conflicting colour, is worth, and the parts of a grape's share.
@@ -20,7 +21,7 @@ GRAPE_RECALL, GRAPE_SHARE = 0.75, 0.25
 RANK_MISSING = 10_000
 CATEGORY_ORDER = tuple(c for c, _ in CATEGORY)
 TYPE_ORDER = tuple(c for c, _ in TYPE)
-#: Queries that are broadcast at most (some 20 MB of criteria); more are ranked in blocks.
+#: Distinct criteria that are broadcast at most (some 20 MB); more are ranked in blocks.
 BLOCK_QUERIES = 50_000
 _LIST = "array<string>"
 
@@ -45,9 +46,9 @@ def rank_analogs(criteria: DataFrame, catalog: DataFrame, n: int = 10, cosine: D
     column.  Ties go to the category's and the type's order, the cosine (query_id, id,
     cosine), the number of hits and the smaller id.
 
-    Items that agree in producer, grapes, category and type score alike, so only the ``n`` + 1 smallest ids of each such kind meet the queries (one may be
-    excluded); items with a cosine are scored beside them.  Queries are a stated set: they are broadcast in blocks of bounded size, and each task keeps the best
-    ``n`` of each query before anything is shuffled.
+    Items that agree in producer, grapes, category and type score alike, and so do queries that ask for the same.  So each distinct set of criteria meets each kind of
+    items once, by the kind's smallest id; the ``n`` + 1 best kinds hold the ``n`` + 1 best items, of which a query may exclude one.  Items with a cosine are scored beside
+    them.  Distinct criteria are broadcast in blocks of bounded size, and each task keeps the best kinds of each before anything is shuffled.
     """
     asked = criteria.select(
         "query_id", "exclude_id", _listed(criteria, "producer", "producers").alias("q_producers"), F.coalesce("grapes", F.array().cast(_LIST)).alias("q_grapes"),
@@ -55,18 +56,27 @@ def rank_analogs(criteria: DataFrame, catalog: DataFrame, n: int = 10, cosine: D
     )
     asks = lambda c: (F.size(c) > 0).cast("double")
     total = WEIGHTS["producer"] * asks("q_producers") + WEIGHTS["grape"] * asks("q_grapes") + WEIGHTS["category"] * asks("q_categories") + WEIGHTS["type"] * F.col("q_type").isNotNull().cast("double")
-    asked = asked.withColumn("asked", total)
+    asked = asked.withColumns({"asked": total, "asks": F.to_json(F.struct("q_producers", "q_grapes", "q_categories", "q_type"))})
+    same = asked.dropDuplicates(["asks"]).withColumns({"query_id": F.col("asks"), "exclude_id": F.lit(None).cast(catalog.schema["id"].dataType)})
     items = catalog.select("id", "producer", F.array_sort(F.coalesce("grapes", F.array().cast(_LIST))).alias("grapes"), "category", "type", canon_rank("type", type_order).alias("type_rank"), canon_rank("category", category_order).alias("category_rank"), (F.col("n_grapes") if "n_grapes" in catalog.columns else F.size(F.coalesce("grapes", F.array().cast(_LIST)))).alias("n_grapes"))
-    alike = Window.partitionBy("producer", "grapes", "n_grapes", "category", "type").orderBy("id")
-    kinds = spread(items.withColumn("_of_kind", F.row_number().over(alike)).filter(F.col("_of_kind") <= n + 1).drop("_of_kind"))
+    kind = [F.col(c) for c in ("producer", "grapes", "n_grapes", "category", "type")]
+    alike = Window.partitionBy(*kind).orderBy("id")
+    few = items.withColumn("_of_kind", F.row_number().over(alike)).filter(F.col("_of_kind") <= n + 1)
+    # a kind has its smallest id, by which it is ranked, and the ids of its first items; its number stays, as it is written
+    kinds = few.groupBy(*kind, "type_rank", "category_rank").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")).withColumn("kind", F.monotonically_increasing_id())
+    kinds = spread(written(kinds, "kinds"))
     tied = [F.desc("exact"), "category_rank", "type_rank"]
-    blocks = max(1, math.ceil(criteria.count() / BLOCK_QUERIES))
+    blocks = max(1, math.ceil(same.count() / BLOCK_QUERIES))
     best = None
     for b in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        part = _ranked(_scored(kinds.join(F.broadcast(block), F.lit(True))), [*tied, F.desc("hits"), "id"], n)
+        mine = lambda df: df.filter(F.pmod(F.xxhash64("asks"), F.lit(blocks)) == b) if blocks > 1 else df
+        block = mine(asked)
+        met = _ranked(_scored(kinds.drop("ids").join(F.broadcast(mine(same)), F.lit(True)), "kind"), [*tied, F.desc("hits"), "id"], n + 1)
+        met = met.drop("rank", "id").withColumnRenamed("query_id", "asks").join(kinds.select("kind", "ids"), "kind").withColumn("id", F.explode("ids"))
+        part = met.join(block.select("query_id", "exclude_id", "asks"), "asks").filter(~F.col("id").eqNullSafe(F.col("exclude_id")))
+        part = _ranked(part.select("query_id", "id", "exact", "hits", "category_rank", "type_rank"), [*tied, F.desc("hits"), "id"], n)
         if cosine is not None:
-            near = _scored(cosine.select("query_id", "id", "cosine").join(F.broadcast(block), "query_id").join(items, "id"), "cosine")
+            near = _scored(cosine.select("query_id", "id", "cosine").join(block, "query_id").join(items, "id"), "cosine")
             both = part.drop("rank").withColumn("cosine", F.lit(None).cast("double")).unionByName(near)
             both = both.groupBy("query_id", "id", "exact", "hits", "category_rank", "type_rank").agg(F.max("cosine").alias("cosine"))
             part = _ranked(both, [*tied, F.coalesce("cosine", F.lit(-1.0)).desc(), F.desc("hits"), "id"], n).drop("cosine")
