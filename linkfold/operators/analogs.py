@@ -194,10 +194,12 @@ def _fixed_lexicons(spark: SparkSession) -> DataFrame:
 
 def _first_canons(texts: DataFrame) -> DataFrame:
     """(id, category, type) of texts (id, lexicon, place, text): of the first text, by place, that names one of a lexicon's canonical forms, the first of these in order."""
-    read = texts.select(F.struct("id", "lexicon", "place").alias("id"), F.when(F.col("lexicon") == "type", _joined(F.col("text"))).otherwise(F.col("text")).alias("text"))
-    hits = torn_hits(read, _fixed_lexicons(texts.sparkSession)).filter("lexicon = id.lexicon").select("id.id", "id.place", "lexicon", "canon", "canon_pos")
+    read = texts.select("id", "lexicon", "place", F.when(F.col("lexicon") == "type", _joined(F.col("text"))).otherwise(F.col("text")).alias("text")).filter("text != ''")
+    each = written(read.select("lexicon", "text").distinct(), "texts")  # equal texts are read once
+    hits = torn_hits(each.select(F.struct("lexicon", "text").alias("id"), "text"), _fixed_lexicons(texts.sparkSession)).filter("lexicon = id.lexicon")
+    named = hits.groupBy("lexicon", "id.text").agg(F.min_by("canon", "canon_pos").alias("canon"), F.min("canon_pos").alias("canon_pos"))
     first = lambda x: F.min_by(F.when(F.col("lexicon") == x, F.col("canon")), F.when(F.col("lexicon") == x, F.struct("place", "canon_pos"))).alias(x)
-    return hits.groupBy("id").agg(first("category"), first("type"))
+    return read.join(named, ["lexicon", "text"]).groupBy("id").agg(first("category"), first("type"))
 
 
 def _joined(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkfold.operators import analogs
+from linkfold.operators.spread import spread
 from linkfold.plans.label_queries import _LABELS, _labels
 from linkfold.plans.queries import _TOP, _hits, query
 
@@ -16,7 +17,7 @@ def _items(t) -> DataFrame:
     named = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("zz"), word(2))).otherwise(word(2))
     read = F.to_json(F.struct(named.alias("cupage"), F.concat(F.lit("Estate "), word(1)).alias("producer")))
     columns = {"producer": F.concat(F.lit("Estate "), word(1)), "grapes": word(2), "region": F.col("p_brand"), "label_json": read, "category": F.lit(None).cast("string"), "color": F.lit(None).cast("string"), "type": F.lit(None).cast("string")}
-    parts = t("part").select(F.col("p_partkey").alias("id"), *[c.alias(n) for n, c in columns.items()])
+    parts = spread(t("part")).select(F.col("p_partkey").alias("id"), *[c.alias(n) for n, c in columns.items()])
     return parts.join(_labels(t).select("id", F.col("label").alias("name")), "id").withColumn("label", F.lit(None).cast("string"))
 
 
