@@ -10,7 +10,7 @@ from linkfold.functions.pixels import packed
 from linkfold.functions.text import latin_to_cyrillic
 from linkfold.operators import admission, boosting, channels, key_index, keypoints, lexicon, pixels, tilt, torn_forms
 from linkfold.operators.pairs import pair_features
-from linkfold.operators.spread import spread
+from linkfold.operators.spread import dealt
 from linkfold.operators.tables import new_path, written
 from linkfold.plans.label_queries import _BOX, _bottles, _labels, _numbered
 from linkfold.plans.queries import AS_OF_YEAR, _hits, query
@@ -102,13 +102,15 @@ def _labelled_pairs(t):
     other = labels.select((F.col("id") - 1).alias("id"), F.col("label").alias("reference"))
     pairs = asked.join(labels.select("id", F.col("label").alias("reference")), "id").withColumn("y", F.lit(1)).unionByName(asked.join(other, "id").withColumn("y", F.lit(0)))
     pairs = pairs.unionByName(labels.select("id", F.col("label").alias("query"), F.col("label").alias("reference"), F.lit(0).alias("y")))
-    return pair_features(pairs, "query", "reference", AS_OF_YEAR)
+    # equal pairs of texts are compared once, dealt out over all cores
+    features = pair_features(dealt(pairs.select("query", "reference").distinct()), "query", "reference", AS_OF_YEAR)
+    return pairs.join(features, ["query", "reference"]).select(*pairs.columns, *features.columns[2:])
 
 
 @query()
 def boosted_pairs(t):
     """Fitted on four fifths of the pairs, by id; all pairs with their chance of being a match."""
-    rows = written(spread(_labelled_pairs(t)), "pairs")  # the features are read again and again, and dear
+    rows = written(_labelled_pairs(t), "pairs")  # the features are read again and again, and dear
     features = [c for c in rows.columns if c not in ("id", "query", "reference", "y")]
     model = boosting.fit_boosted(rows.filter("id % 5 > 0"), features, "y", trees=12, depth=3, shrink=0.3)
     return rows.select("id", "y", (F.col("id") % 5 == 0).alias("held_out"), F.round(model.chance(), 6).alias("chance"))

@@ -1,6 +1,7 @@
 """Equal texts are read and compared once, and what several steps read is written."""
 
 from linkfold.operators import analogs
+from linkfold.plans import scan_queries
 
 
 def test_equal_names_are_searched_once(spark, monkeypatch):
@@ -15,3 +16,17 @@ def test_equal_names_are_searched_once(spark, monkeypatch):
     got = analogs.catalog_canons(spark.createDataFrame(rows, "id long, name string, producer string, category string, color string, type string, grapes string, label string")).collect()
     assert seen == [2]  # once for the colour and once for the type
     assert {(r["id"], r["category"], r["type"]) for r in got} == {(k, "red", "dry") for k in range(6)} | {(9, None, None)}
+
+
+def test_equal_pairs_of_labels_have_their_features_computed_once(spark, monkeypatch):
+    seen, features = [], scan_queries.pair_features
+
+    def counted(pairs, *args):
+        seen.append(pairs.count())
+        return features(pairs, *args)
+
+    monkeypatch.setattr(scan_queries, "pair_features", counted)
+    parts = spark.createDataFrame([(0, "hot bolt", 7), (210, "hot bolt", 7), (420, "hot bolt", 7)], "p_partkey long, p_name string, p_size int")
+    got = scan_queries._labelled_pairs(lambda name: parts).collect()
+    assert seen == [2] and sorted((r["id"], r["y"]) for r in got) == [(k, y) for k in (0, 210, 420) for y in (0, 1)]
+    assert {r["lev_similarity"] for r in got if r["y"] == 0} == {1.0}
