@@ -1,6 +1,6 @@
 """Equal texts are read and compared once, and what several steps read is written."""
 
-from linkfold.operators import analogs
+from linkfold.operators import analogs, channels
 from linkfold.plans import scan_queries
 
 
@@ -30,3 +30,12 @@ def test_equal_pairs_of_labels_have_their_features_computed_once(spark, monkeypa
     got = scan_queries._labelled_pairs(lambda name: parts).collect()
     assert seen == [2] and sorted((r["id"], r["y"]) for r in got) == [(k, y) for k in (0, 210, 420) for y in (0, 1)]
     assert {r["lev_similarity"] for r in got if r["y"] == 0} == {1.0}
+
+
+def test_scores_of_channels_are_computed_once(spark):
+    texts = spark.createDataFrame([(1, "a", 0, True, "Estate Bolt\nhot bolt red"), (1, "b", 1, False, "hot bolt")], "query_id long, channel string, pos int, soft boolean, text string")
+    near = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.5)], "query_id long, id long, cosine double")
+    items = spark.createDataFrame([(10, "hot bolt", "Bolt Estate", "X", None, None, "hot bolt red"), (11, "old ring", "Ring Estate", "X", None, None, "old ring white")], "id long, name string, producer string, region string, category string, grapes string, label string")
+    scored = channels.scored_channels(texts, near, items)
+    assert scored._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1  # decisions read it several times
+    assert scored.count() == 6
